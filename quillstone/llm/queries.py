@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import contaminated
 from .mixing import mix
+from .tiff import text_tiffs, tiff_pages
 from .token_counts import token_counts
 from .token_output import token_output
 
@@ -24,6 +26,28 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), total_share=1.5, max_epochs=2.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op5_token_counts, op6_mixing)}
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tiff_pages(text_tiffs(table(spark, sf_dir, "documents")))
+    return pages.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("pixels").cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pixels", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        "page",
+        "width",
+        "height",
+        "error",
+    )
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op5_token_counts, op6_mixing, op8_media_columns, op9_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {}
