@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licences
 from .common import table
 from .decontam import contaminated
 from .mixing import mix
@@ -18,6 +19,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), vocab=50257, end_id=2)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(table(spark, sf_dir, "documents"), licences.known_digests(spark))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -48,6 +53,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op5_token_counts, op6_mixing, op8_media_columns, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op4_license_scan, op5_token_counts, op6_mixing, op8_media_columns, op9_decontamination)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_license_scan": licences.oracle_sql()}
