@@ -25,7 +25,7 @@ SHINGLE = 5
 #: Bytes of item texts that one pass over the documents takes along; more items make more passes.
 BLOCK_BYTES = 8 << 20
 # ASCII letters in lower case, other visible ASCII but digits as spaces: case and punctuation do not hide a passage.
-_FOLD = bytes(ord(chr(i).lower()) if chr(i).isalnum() or i > 127 else 32 for i in range(256))
+_FOLD = bytes(i if i > 127 else ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(256))
 _NEAR = [np.array([v for v in range(256) if bin(u ^ v).count("1") <= 2]) for u in range(256)]
 
 

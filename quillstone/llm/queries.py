@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences
+from . import licences, toxicity
 from .common import table
 from .decontam import contaminated
 from .mixing import mix
@@ -31,6 +31,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), total_share=1.5, max_epochs=2.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = tiff_pages(text_tiffs(table(spark, sf_dir, "documents")))
     return pages.select(
@@ -53,6 +58,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op4_license_scan, op5_token_counts, op6_mixing, op8_media_columns, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op4_license_scan, op5_token_counts, op6_mixing, op7_toxicity, op8_media_columns, op9_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {"op4_license_scan": licences.oracle_sql()}
