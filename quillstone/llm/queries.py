@@ -10,6 +10,7 @@ from . import licences, toxicity
 from .common import table
 from .decontam import contaminated
 from .mixing import mix
+from .simhash import near_duplicates
 from .tiff import text_tiffs, tiff_pages
 from .token_counts import token_counts
 from .token_output import token_output
@@ -19,6 +20,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), vocab=50257, end_id=2)
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=3, width=3)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(table(spark, sf_dir, "documents"), licences.known_digests(spark))
 
@@ -58,6 +63,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op4_license_scan, op5_token_counts, op6_mixing, op7_toxicity, op8_media_columns, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_simhash_near_dedup, op4_license_scan, op5_token_counts, op6_mixing, op7_toxicity, op8_media_columns, op9_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {"op4_license_scan": licences.oracle_sql()}
