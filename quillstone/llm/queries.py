@@ -11,6 +11,7 @@ from .common import table
 from .decontam import contaminated
 from .mixing import mix
 from .simhash import near_duplicates
+from .substring import substring_dedup
 from .tiff import text_tiffs, tiff_pages
 from .token_counts import token_counts
 from .token_output import token_output
@@ -24,6 +25,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=3, width=3)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), window=20).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_factors")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_scan(table(spark, sf_dir, "documents"), licences.known_digests(spark))
 
@@ -63,6 +68,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_simhash_near_dedup, op4_license_scan, op5_token_counts, op6_mixing, op7_toxicity, op8_media_columns, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_simhash_near_dedup, op3_substring_dedup, op4_license_scan, op5_token_counts, op6_mixing, op7_toxicity, op8_media_columns, op9_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {"op4_license_scan": licences.oracle_sql()}
