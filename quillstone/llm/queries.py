@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, toxicity
+from . import licences, secret_scan, toxicity
 from .common import table
 from .decontam import contaminated
 from .mixing import mix
@@ -68,6 +68,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_simhash_near_dedup, op3_substring_dedup, op4_license_scan, op5_token_counts, op6_mixing, op7_toxicity, op8_media_columns, op9_decontamination)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.secret_scan(docs, secret_scan.fit(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_simhash_near_dedup, op3_substring_dedup, op4_license_scan, op5_token_counts, op6_mixing, op7_toxicity, op8_media_columns, op9_decontamination, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {"op4_license_scan": licences.oracle_sql()}
