@@ -192,7 +192,16 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, text: st
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
-    """docs without those that hold a benchmark passage; rows with null doc_id stay unless their like is found."""
-    bad = contaminated(docs, items, least).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_doc"]), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """The rows of docs, all columns as they are, that hold no benchmark passage. Null text holds none."""
+    for block in item_blocks(items, item_text, item_id):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Items(shared.value)
+            for whole in batches:
+                for b in slices(whole, text):
+                    yield b.filter(pa.array([not index.find(x, least) for x in texts_of(b.column(b.schema.get_field_index(text)))], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

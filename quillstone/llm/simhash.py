@@ -229,7 +229,10 @@ def hex16(x: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(x), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS, width: int = 3) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id. Ids must be unique and not null."""
-    keep = near_duplicates(docs, radius, width).filter("doc_id = component_id").select(F.col("doc_id").alias("_doc"))
-    return docs.join(keep, docs["doc_id"] == F.col("_doc"), "left_semi")
+def deduplicated(docs: DataFrame, radius: int = RADIUS, width: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs, all columns as they are, with one document of each component: that with the smallest doc_id.
+
+    Ids must be unique; rows with null doc_id all stay."""
+    keep = near_duplicates(docs, radius, width, text, doc_id).filter("doc_id = component_id").select(F.col("doc_id").alias("_doc"))
+    known = docs.filter(F.col(doc_id).isNotNull())
+    return known.join(keep, known[doc_id] == F.col("_doc"), "left_semi").union(docs.filter(F.col(doc_id).isNull()))
