@@ -179,7 +179,7 @@ def _shard_links(prints: DataFrame, radius: int) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """edges(a, b) of longs -> node, root: the smallest node (signed) of its component, for all nodes of edges.
+    """edges(a, b) of longs -> node, root: the smallest node (signed) of its component, for all nodes but the roots.
 
     Alternating large-star and small-star steps, each written to the shared folder: a node never meets more than its
     own neighbours, and what is kept stays linear in the edges. Ends when a round changes nothing.
