@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decisions, evaluation, pipeline, relational, similarity, streaming, texts
+from . import decisions, evaluation, pipeline, relational, rendering, similarity, streaming, texts
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "decisions", "evaluation", "pipeline", "relational", "similarity", "streaming", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "decisions", "evaluation", "pipeline", "relational", "rendering", "similarity", "streaming", "texts"]

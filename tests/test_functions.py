@@ -286,3 +286,19 @@ def test_html():
     assert html.parse(None)[1] == "empty" and html.parse("<script>x</script>")[1] == "no_text"
     ok = html.parse("<p>a &amp; b</p><nav>menu</nav><table><tr><th>h</th><td>1</td></tr></table><div>c<br>d</div>")
     assert ok == ("ok", None, "a & b\nc\nd", [[["h", "1"]]])
+
+
+def test_rendering(spark):
+    from quillstone.functions import rendering as G
+
+    df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "q int, i int, t string")
+    assert G.prompt_rows(df, "q", ["i"], F.col("t"), "|").first()["prompt"] == "[1] a|[2] b"
+    assert one(spark, G.filled("{a}-{b}", a=F.col("x"), b=F.lit(None)), x=3) == "3-"
+    assert one(spark, G.answer_letter(F.col("r")), r="答案：Ｂ") == "B" and one(spark, G.answer_letter(F.col("r")), r="?") == "X"
+    assert one(spark, G.listed_questions(F.col("r")), r='["a", " ", "b?"]') == ["a?", "b?"] and one(spark, G.listed_questions(F.col("r")), r="junk") is None
+    assert one(spark, G.case_label(F.col("r")), r="違反第28條第1項") == "第28條第1項" and one(spark, G.case_label(F.col("r")), r="無") == "other"
+    assert one(spark, G.penalty_report(F.col("r"), "裁罰"), r="115年3月裁罰.PDF")
+    m = spark.createDataFrame([("a", "x", 1.5)], "section string, name string, value double")
+    assert G.markdown_report(m, ["a", "b"]) == "## a\n\n| metric | value |\n|-|-|\n| x | 1.5 |\n\n## b\n\n_not run_\n"
+    ok = lambda **k: one(spark, G.part_ok(F.col("a"), F.array(F.lit("第28條")), F.col("c"), F.col("n"), "[0-9]+元", "公司", "查無"), **k)
+    assert ok(a="依第28條", c=False, n=False) and ok(a="某公司罰5元", c=True, n=False) and ok(a="查無", c=False, n=True) and not ok(a="某公司", c=True, n=False)
