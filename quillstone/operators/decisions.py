@@ -96,8 +96,10 @@ def verdict(matched: Column, lexicon: Lexicon, report: Column, white: Column) ->
 
 
 # The sentence of a full refusal, and cues of a refusing sentence.
-REFUSAL = "根據目前資料庫無法確認此問題的答案"
-REFUSAL_CUES = ("無法確認", "查無", "沒有找到", "資料不足", "無相關")
+REFUSAL = "目前資料庫裡沒有找到足夠可信的法規依據可以回答這個問題,建議換個問法,或直接洽詢主管機關確認。"
+REFUSAL_CUES = (
+    "沒有找到足夠可信", "沒有找到", "未找到", "無法回答", "沒有相關", "無相關", "找不到相關", "不足以回答", "建議洽詢", "沒有足夠", "無法提供", "不在資料庫", "資料庫裡沒有", "查無",
+)
 
 
 def refused(answer: Column, sentence: str = REFUSAL, cues: tuple[str, ...] = REFUSAL_CUES, ends: str = "[。\n]", prefix: int = 14) -> Column:
@@ -110,9 +112,14 @@ def refused(answer: Column, sentence: str = REFUSAL, cues: tuple[str, ...] = REF
 
 
 def verdict_line(report: Column) -> Column:
-    """low, medium or high from a line like "VERDICT: high", however it is punctuated; else null."""
-    found = F.lower(F.regexp_extract(report, r"(?i)VERDICT\s*[:：]?\s*\**\s*(low|medium|high)", 1))
-    return F.when(found != "", found)
+    """low, medium or high from a line like "VERDICT: 高風險" (or high), however it is punctuated; else null."""
+    found = F.lower(F.regexp_extract(report, r"(?i)VERDICT\s*[:：]?\s*\**\s*(高風險|有疑慮|合規|low|medium|high)", 1))
+    return F.when(found.isin("高風險", "high"), "high").when(found.isin("有疑慮", "medium"), "medium").when(found.isin("合規", "low"), "low")
+
+
+def report_level(report: Column, high: tuple[str, ...], medium: tuple[str, ...]) -> Column:
+    """The verdict line's level, else what the report's words show, else low."""
+    return F.coalesce(verdict_line(report), F.when(any_of(report, high), "high").when(any_of(report, medium), "medium").otherwise("low"))
 
 
 def over_budget(calls: Column, tokens: Column, seconds: Column, most_calls: int = 4, most_tokens: int = 12_000, most_seconds: float = 90.0) -> Column:

@@ -140,7 +140,7 @@ def test_router(spark):
 
 def test_refusals_and_verdicts(spark):
     r = lambda a: spark.createDataFrame([(a,)], "a string").select(D.refused(F.col("a"))).first()[0]
-    assert r(D.REFUSAL) and r("查無資料。無法確認。") and not r("第28條。查無案例。") and not r("") and not r(None)
+    assert r(D.REFUSAL) and r("查無資料。無法回答。") and not r("第28條。查無案例。") and not r("") and not r(None)
     v = lambda t: one(spark, D.verdict_line(F.col("t")), t=t)
     assert v("x\nVERDICT：**High**") == "high" and v("VERDICT: low.") == "low" and v("none") is None
     lex = D.Lexicon({"bad": ("cure",), "soft": ("glow",)}, {"bad": 2, "soft": 1})
@@ -302,3 +302,15 @@ def test_rendering(spark):
     assert G.markdown_report(m, ["a", "b"]) == "## a\n\n| metric | value |\n|-|-|\n| x | 1.5 |\n\n## b\n\n_not run_\n"
     ok = lambda **k: one(spark, G.part_ok(F.col("a"), F.array(F.lit("第28條")), F.col("c"), F.col("n"), "[0-9]+元", "公司", "查無"), **k)
     assert ok(a="依第28條", c=False, n=False) and ok(a="某公司罰5元", c=True, n=False) and ok(a="查無", c=False, n=True) and not ok(a="某公司", c=True, n=False)
+
+
+def test_domain_lexicons(spark):
+    from quillstone.operators import lexicons as L
+
+    ads = [("可治療失眠", "無", "high"), ("減肥首選", "**VERDICT:** 合規", "medium"), ("維持正常精力", "VERDICT 有疑慮", "low"), ("好吃", "易生誤解", "medium"), ("好吃", "涉及醫療效能", "high"), ("好吃", "無", "low")]
+    df = spark.createDataFrame(ads, "t string, r string, want string")
+    level = D.verdict(D.lexicon_scan(F.col("t"), L.RISK), L.RISK, D.report_level(F.col("r"), L.REPORT_HIGH, L.REPORT_MEDIUM), D.any_of(F.col("t"), L.ALLOWED))
+    assert [r["got"] for r in df.select(level.alias("got")).collect()] == [w for *_, w in ads]
+    f = lambda q: spark.createDataFrame([(q,)], "q string").select(D.inferred_filter(F.col("q"), L.ADVERTISING, L.CLAIMS, L.LABELS, L.ADVERTISING_LAW)).first()[0]
+    assert f("減肥廣告") == "食安法第28條" and f("廣告標示") is None and f("添加物") is None
+    assert [len(L.RISK.terms[c]) for c in L.RISK.terms] == [24, 30, 3] and len(L.EXAM) == 33
