@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import doc_rows, written
 
 #: Documents of a source that share one running sum, about; a larger source is cut into that many more groups.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 1_000
 
 
 def word_count(text: Column) -> Column:
