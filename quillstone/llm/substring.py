@@ -79,11 +79,23 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["key", "mark", "n_words", "d1", "d2"])
 
 
-def _batches(batches: Iterator[pa.RecordBatch], emit: Callable, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], emit: Callable, names: list[str], first: int) -> Iterator[pa.RecordBatch]:
     """emit(key, base, text, is_copy, list) -> columns for one document; batches of bounded size come out.
 
     `base` tells documents apart that share a key: it is added to places, and is 0 where the key is unique.
+    Of equal hashes in a batch, the first ones by (key, place) go on to meet those of other tasks; for the rest the
+    answer is known already, and they are marked: a passage of very many documents sends each task few rows.
     """
+
+    def marked() -> pa.RecordBatch:
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+        order = np.lexsort(cols[::-1])
+        cols = [c[order] for c in cols]
+        begin = np.maximum.accumulate(np.where(_groups(cols[:-2]), np.arange(len(order)), 0))
+        # Rows of one key and place are one window of repeated rows: none is later than the other.
+        known = (np.arange(len(order)) - begin >= first) & ((cols[-2] != cols[-2][begin]) | (cols[-1] != cols[-1][begin]))
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(known)], [*names, "known"])
+
     out, size = [], 0
     for whole in batches:
         for b in slices(whole, "text"):
@@ -96,10 +108,10 @@ def _batches(batches: Iterator[pa.RecordBatch], emit: Callable, names: list[str]
                     out.append(got)
                     size += len(got[0])
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+                    yield marked()
                     out, size = [], 0
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+        yield marked()
 
 
 def _groups(columns: list[np.ndarray]) -> np.ndarray:
@@ -111,11 +123,14 @@ def _groups(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hash, key, place) sorted by hash -> key, place of those whose hash occurs more than once."""
+    """Rows (hash, key, place, known) sorted by hash -> key, place of those whose hash occurs more than once."""
     held: np.ndarray | None = None  # the last row, and whether the row before it has its hash
     tied = False
     for b in batches:
-        rows = np.stack([c.to_numpy() for c in b.columns], 1)
+        rows = np.stack([c.to_numpy() for c in b.columns[:-1]], 1)
+        known = b.columns[-1].to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[known, 1]), pa.array(rows[known, 2])], ["key", "place"])
+        rows = rows[~known]
         if not len(rows):
             continue
         same = tied
@@ -133,10 +148,13 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hash, check, key, place) sorted by all four -> key, place of those with an earlier equal window."""
+    """Rows (hash, check, key, place, known) sorted by the first four -> key, place of those with an earlier equal."""
     first: np.ndarray | None = None
     for b in batches:
-        rows = np.stack([c.to_numpy().astype(np.int64) for c in b.columns], 1)
+        rows = np.stack([c.to_numpy().astype(np.int64) for c in b.columns[:-1]], 1)
+        known = b.columns[-1].to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[known, 2]), pa.array(rows[known, 3])], ["key", "place"])
+        rows = rows[~known]
         if not len(rows):
             continue
         if first is not None:
@@ -179,7 +197,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, tex
             at = np.unique(at)
             return g[at].view(np.int64), np.full(len(at), key), at + base
 
-        return _batches(batches, emit, ["hash", "key", "place"])
+        return _batches(batches, emit, ["hash", "key", "place"], 2)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = _Hashes().__getitem__
@@ -198,7 +216,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, tex
             go = np.flatnonzero(again[at])
             return _rolled(h, window, _MUL[0])[go].view(np.int64), (_rolled(h, window, _MUL[1])[go] >> np.uint64(33)).astype(np.int32), np.full(len(go), key), go + base
 
-        return _batches(batches, emit, ["hash", "check", "key", "place"])
+        return _batches(batches, emit, ["hash", "check", "key", "place"], 1)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -225,10 +243,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, tex
                 cols = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*cols[:5], cols[5].cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors", "kept"])
 
-    found = dealt.mapInArrow(seeds, "hash long, key long, place long")
-    found = found.repartition("hash").sortWithinPartitions("hash").mapInArrow(_repeated, "key long, place long")
+    # Rows whose answer is known are dealt out by key, the others meet by hash.
+    meet = F.when(F.col("known"), F.xxhash64("key")).otherwise(F.col("hash"))
+    found = dealt.mapInArrow(seeds, "hash long, key long, place long, known boolean")
+    found = found.repartition(meet).sortWithinPartitions("hash").mapInArrow(_repeated, "key long, place long")
     found = found.groupBy("key").agg(F.collect_list("place").alias("places"))
-    hits = dealt.join(found, "key").mapInArrow(windows, "hash long, check int, key long, place long")
-    hits = hits.repartition("hash").sortWithinPartitions("hash", "check", "key", "place").mapInArrow(_later, "key long, place long")
+    hits = dealt.join(found, "key").mapInArrow(windows, "hash long, check int, key long, place long, known boolean")
+    hits = hits.repartition(meet).sortWithinPartitions("hash", "check", "key", "place").mapInArrow(_later, "key long, place long")
     hits = hits.groupBy("key").agg(F.collect_list("place").alias("places"))
     return dealt.join(hits, "key", "left").select("key", "text", "mark", "doc_id", "info", "places").mapInArrow(parsed, "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors int, kept string")
