@@ -1,10 +1,11 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-A document's windows are its runs of as many words as an item has. Only windows that share a shingle with an item
-of that length are fingerprinted: a window without one has similarity 0. A fingerprint looks up, in each of its 8
-bytes, the items within 2 bits of that byte; two fingerprints within RADIUS = 23 bits must agree so in some byte
-(8 bytes with 3 or more differences each make 24), so the lookup finds every item within the radius. Those within it
-are verified by the weighted Jaccard similarity of their shingles, a shingle's weight being how often it occurs.
+A document's windows are its runs of as many words as an item has. A document with fewer words is one window, whole:
+it is verified with each longer item that shares a shingle, whatever their fingerprints. Of the other windows, only
+those that share a shingle with an item of that length are fingerprinted: one without has similarity 0. A fingerprint
+looks up, in each of its 8 bytes, the items within 2 bits of that byte; two fingerprints within RADIUS = 23 bits must
+agree so in some byte (8 bytes with 3 or more differences each make 24), so the lookup finds every item within the
+radius. Those within it are verified by the weighted Jaccard similarity of their shingles, a shingle's weight being how often it occurs.
 """
 
 from __future__ import annotations
@@ -114,6 +115,7 @@ class Items:
         ids = np.array([get(w, 0) for w in words], np.uint64)
         best: dict[int, tuple] = {}
         starts: dict[int, set[int]] = defaultdict(set)
+        longer: set[int] = set()
         for width, (keys, owners) in self.table.items():
             if len(ids) < width:
                 continue
@@ -124,9 +126,19 @@ class Items:
             mine = self._keys(ids, width)[full]
             lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
             for p, a, b in zip(full[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                for n in np.unique(self.lengths[owners[a:b]]).tolist():
+                long = self.lengths[owners[a:b]] > len(words)
+                longer.update(owners[a:b][long].tolist())
+                for n in np.unique(self.lengths[owners[a:b]][~long]).tolist():
                     # Every item-sized window that holds this shingle.
                     starts[n].update(range(max(0, p - n + width), min(p, len(words) - n) + 1))
+        if longer:
+            whole = shingles(words)
+            mine, bits = Counter(whole), _bits(np.array([xxhash.xxh64_intdigest(x) for x in whole], np.uint64))
+            bits_ = _packed(bits.sum(0, dtype=np.int64)[None], len(whole))[0]
+            for item in longer:
+                s = similarity(mine, self.weights[item])
+                if s >= least:
+                    best[item] = ((-s, 0), (self.items[item][0], 0, len(words), int(np.bitwise_count(self.prints[item] ^ bits_)), s))
         for n, places in starts.items():
             places = sorted(places)
             m = max(1, n - SHINGLE + 1)
@@ -166,7 +178,8 @@ def item_blocks(items: DataFrame, text: str, item_id: str) -> Iterator[list[tupl
 
 def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """doc_id, item_id, start_word, n_words, distance, similarity: for each document row and item, the window most
-    similar to the item (ties: the first), if its similarity is at least `least`.
+    similar to the item (ties: the first), if its similarity is at least `least`. A document of fewer words than the
+    item is one window, whole.
 
     Words are compared without ASCII case and punctuation, in shingles of five. An item of fewer words has one
     shingle of them all; an item, text or document without words (null, empty) matches nothing. Repeated rows and

@@ -349,6 +349,23 @@ def test_decontamination_brute_force(spark, docs, empty):
     assert clean.columns == docs.columns and clean.count() == len(ROWS)
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    """A document that is an item with words cut off has no window of the item's length: it is the window itself."""
+    items = [(k, prose(70 + k, n)) for k, n in enumerate((59, 20, 12, 5, 3))]
+    rows = [(100 * k + 10 * cut + front, " ".join(w[cut:] if front else w[: len(w) - cut])) for k, t in items for w in [t.split()] for cut in (1, 2, 4, 9, 20) for front in (0, 1) if cut < len(w)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["start_word"], x["n_words"], round(x["similarity"], 9)) for x in decontam.contaminated(df, bench).collect()}
+    want = {}
+    for doc, text in rows:
+        w = decontam.fold(text.encode())
+        for item, body in items:
+            s = decontam.similarity(Counter(decontam.shingles(w)), Counter(decontam.shingles(decontam.fold(body.encode()))))
+            if len(w) < len(decontam.fold(body.encode())) and s >= 0.8:
+                want[doc, item] = (0, len(w), round(s, 9))
+    assert got == want and want[20, 0] == (0, 57, round(53 / 55, 9))
+    assert sorted(r["doc_id"] for r in decontam.decontaminated(df, bench).collect()) == sorted({d for d, _ in rows} - {d for d, _ in want})
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     items = spark.createDataFrame([(k, prose(k, 20)) for k in range(6)], "item_id long, text string")
     rows = spark.createDataFrame([(k, "x y " + prose(k, 20)) for k in range(6)], "doc_id long, text string")
