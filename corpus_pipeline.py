@@ -28,7 +28,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it: up to twice, or not at all."""
-    return mixing.repeated(docs, mixing.mix(docs, weights=(3, 1, 2), total_share=1.5, max_epochs=2.0))
+    return mixing.mixed(docs, weights=(3, 1, 2), total_share=1.5, max_epochs=2.0)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

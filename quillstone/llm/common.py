@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Most text bytes that one step of an Arrow function holds in expanded (word-wise) form.
 SLICE_BYTES = 4 << 20
+#: The column of keyed().
+ROW = "_row_key"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -38,6 +40,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """df and ROW, a number of its own for each row; as a table, so that every reader sees the same numbers."""
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each piece holds about `most` text bytes, or a single row."""
     col = batch.column(batch.schema.get_field_index(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_rows, written
+from .common import ROW, doc_rows, keyed, written
 
 #: Documents of a source that share one running sum, about; a larger source is cut into that many more groups.
 GROUP_ROWS = 1_000
@@ -49,8 +49,9 @@ def cyclic_weights(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     return sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place + 1))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share: float = 1.5, max_epochs: float = 2.0, seed: int = 42, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share: float = 1.5, max_epochs: float = 2.0, seed: int = 42, text: str = "text", doc_id: str = "doc_id", source: str = "source", key: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words the mix takes of this document, repeats counted).
+    And the column `key` of docs as it is, if one is named.
 
     A source with target / size = w + f gives w whole repetitions of each document and, of its documents in a seeded
     order, whole ones until the fraction f of its words is reached; the document at the edge gives a part of itself.
@@ -61,7 +62,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share: fl
     Null text or no words: size 0, taken 0. Null source: a source of its own, last. Repeated rows and ids: each
     counts. Empty table: no rows. The same input and seed give the same result. Other columns are ignored.
     """
-    d = doc_rows(docs, text, doc_id, source).withColumnRenamed(source, "source").select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text", F.lit(seed)).alias("_order2"))
+    more = [key] if key else []
+    d = doc_rows(docs, text, doc_id, source, *more).withColumnRenamed(source, "source").select(*more, "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text", F.lit(seed)).alias("_order2"))
     # Sizes are needed twice; the second time they come from here and not from the texts.
     d = written(d, "mix-sizes")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
@@ -77,14 +79,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share: fl
     d = d.withColumn("_before", F.sum("size").over(run) - F.col("size")).withColumn("_words", F.sum("size").over(group))
     rest = F.round(F.col("_words") * (F.col("_ratio") - F.col("_whole"))).cast("long") - F.col("_before")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("_whole") * F.col("size") + part).cast("long").alias("taken"))
+    return d.select(*more, "doc_id", "source", "size", "source_size", "target", (F.col("_whole") * F.col("size") + part).cast("long").alias("taken"))
 
 
-def repeated(docs: DataFrame, taken: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, taken: DataFrame, key: str = "doc_id") -> DataFrame:
     """The mixed corpus itself: each document as many times as it was taken, a part of half or more counting as once.
 
-    docs must have unique, non-null doc_id; columns stay as they are.
+    docs must have a unique, non-null `key`, and taken the same; columns stay as they are. mixed() takes any rows.
     """
-    times = taken.select(F.col("doc_id").alias("_doc"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("_times")).filter("_times > 0")
-    out = docs.join(times, docs["doc_id"] == times["_doc"]).withColumn("_times", F.explode(F.sequence(F.lit(1), "_times")))
+    times = taken.select(F.col(key).alias("_doc"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("_times")).filter("_times > 0")
+    out = docs.join(times, docs[key] == times["_doc"]).withColumn("_times", F.explode(F.sequence(F.lit(1), "_times")))
     return out.select(*[docs[c] for c in docs.columns])
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
+    """The mixed corpus: each row of docs, all columns as they are, as many times as mix() takes it.
+
+    Rows are told apart by a key of their own, written once: null and repeated ids lose and multiply nothing.
+    """
+    rows = keyed(docs, "mix-rows")
+    return repeated(rows, mix(rows, weights, total_share, max_epochs, key=ROW), key=ROW).drop(ROW)

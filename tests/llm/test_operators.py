@@ -221,6 +221,15 @@ def test_water_filling_and_mix(spark, docs, empty):
     assert repeated.columns == docs.columns and max(Counter(r["doc_id"] for r in repeated.collect()).values()) <= 2
 
 
+def test_mixed_takes_null_and_repeated_ids_row_by_row(spark):
+    rows = [(i, prose(700 + k, 10), "s") for k, i in enumerate([None] * 6 + [5] * 4 + [8, 9])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = mixing.mixed(df, total_share=1.5)
+    assert out.columns == df.columns
+    got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert set(got) == {(i, t) for i, t, _ in rows} and max(got.values()) == 2 and sum(got.values()) == 18
+
+
 def test_large_sources_meet_their_target(spark, monkeypatch):
     monkeypatch.setattr(mixing, "GROUP_ROWS", 7)
     df = spark.createDataFrame([(i, "w " * (i % 13 + 1), f"s{i % 3}" if i % 2 else "hot") for i in range(300)], "doc_id long, text string, source string")
