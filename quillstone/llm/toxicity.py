@@ -9,6 +9,7 @@ the table is normalised by the largest gradient, so that what many texts share m
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,16 +31,31 @@ SAMPLE_DOCS = 3_000
 #: Training documents that a row must occur in to be learned.
 LEAST_DOCS = 20
 _FOLD = bytes(i if i > 127 else ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(256))
+#: Characters of one piece of a very long word, and how many it shares with the next: every 5-gram is in a piece.
+PIECE, OVERLAP = 1000, 4
+# Other spaces, punctuation and controls, zero-width space and byte-order mark (none lies above).
+_MARKS = {i: " " for i in range(128, 0x20000) if unicodedata.category(chr(i))[0] in "ZP" or unicodedata.category(chr(i)) == "Cc" or i in (0x200B, 0xFEFF)}
+
+
+def _pieces(word: bytes) -> list[bytes]:
+    w = word.decode("utf-8", "replace")
+    return [w[i : i + PIECE].encode() for i in range(0, len(w) - OVERLAP, PIECE - OVERLAP)] if len(w) > PIECE else [word]
 
 
 def words_for(text: bytes) -> list[bytes]:
-    """ASCII letters in lower case, other visible ASCII but digits as spaces."""
-    return text.translate(_FOLD).split()
+    """ASCII letters in lower case, other visible ASCII but digits as spaces; words end at Unicode spaces and
+    punctuation too. A word of more than PIECE characters is cut into overlapping pieces, each a word of its own."""
+    words = text.translate(_FOLD).split()
+    if not text.isascii():
+        words = [x for w in words for x in ((w,) if w.isascii() else [y.encode() for y in w.decode("utf-8", "replace").translate(_MARKS).split()])]
+    if max(map(len, words), default=0) > PIECE:
+        words = [x for w in words for x in _pieces(w)]
+    return words
 
 
 def features(word: bytes) -> list[int]:
-    """The word and its n-grams of characters, as rows of the table."""
-    w = "<" + word.decode("utf-8", "replace")[:40] + ">"
+    """The word and all its n-grams of characters, as rows of the table."""
+    w = "<" + word.decode("utf-8", "replace") + ">"
     grams = {w} | {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)}
     return [xxhash.xxh32_intdigest(g.encode()) & (BUCKETS - 1) for g in sorted(grams)]
 
@@ -128,10 +144,10 @@ class Scorer:
         while at + len(new) > len(self.part):
             self.part, self.size = np.resize(self.part, 2 * len(self.part)), np.resize(self.size, 2 * len(self.size))
         new = sorted(new)
-        rows = [features(w) for w in new]
+        rows = [np.array(features(w), np.int64) for w in new]
         if rows:
             n = np.array([len(r) for r in rows])
-            flat = np.fromiter((x for r in rows for x in r), np.int64, int(n.sum()))
+            flat = np.concatenate(rows)
             self.part[at : at + len(new)] = np.add.reduceat(self.logits[flat], np.cumsum(n) - n)
             self.size[at : at + len(new)] = n
         self.number.update(zip(new, range(at, at + len(new)), strict=True))

@@ -270,6 +270,23 @@ def test_toxicity(spark, docs, empty):
     assert {r["predicted"] for r in toxicity.score(df, none).collect()} == {0}
 
 
+def test_words_end_at_unicode_marks_and_are_seen_whole():
+    text = "One\u00a0two\u3000three\u2014four\u3001five\u3002s\u00e9 \u200bsix"
+    assert [w.decode() for w in toxicity.words_for(text.encode())] == ["one", "two", "three", "four", "five", "s\u00e9", "six"]
+    row = lambda g: xxhash.xxh32_intdigest(g.encode()) & (toxicity.BUCKETS - 1)
+    assert {row(g) for g in ("vile", "lewor", "ord>")} <= set(toxicity.features(b"a" * 60 + b"vileword"))
+    long = "".join(random.Random(4).choices("abc漢字", k=2 * toxicity.PIECE + 500))
+    pieces = [w.decode() for w in toxicity.words_for(long.encode())]
+    assert len(pieces) == 3 and all(len(w) <= toxicity.PIECE for w in pieces)
+    assert {long[i : i + 5] for i in range(len(long) - 4)} == {w[i : i + 5] for w in pieces for i in range(len(w) - 4)}
+    model = toxicity.train([t.encode() for _, t, _ in toxic_rows(400)], [y for *_, y in toxic_rows(400)])
+    scorer = toxicity.Scorer(model.logits(), float(model.bias[1] - model.bias[0]))
+    clean = prose(3, 40).split()
+    bad = [w for k in range(40) for w in (clean[k], ("vileword", "nastything", "foulmouth")[k % 3])]
+    a, b, c = scorer.score([x.encode() for x in ("　".join(clean), "　".join(bad), " ".join(bad))])
+    assert a < 0.7 < b and b == c
+
+
 def test_scores_do_not_depend_on_the_cache():
     model = toxicity.train([t.encode() for _, t, _ in toxic_rows(80)], [y for *_, y in toxic_rows(80)])
     texts = [t.encode() for _, t, _ in toxic_rows(50, 3)]
