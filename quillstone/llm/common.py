@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 
 #: Most text bytes that one step of an Arrow function holds in expanded (word-wise) form.
 SLICE_BYTES = 4 << 20
-#: The column of keyed().
-ROW = "_row_key"
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the one that driver and executors share (spark.checkpoint.dir)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        # Only where the cluster names none (tests, one machine): a folder of our own, kept for the session.
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        # Only on one machine (tests): a folder of our own, kept for the session.
         conf = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", conf)
         spark.sparkContext.setCheckpointDir(conf)
@@ -37,12 +37,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
 
 
-def keyed(df: DataFrame, name: str) -> DataFrame:
-    """df and ROW, a number of its own for each row; as a table, so that every reader sees the same numbers."""
-    return written(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+def discard(df: DataFrame) -> None:
+    """Deletes what written() wrote; only for tables that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def keyed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df with a number of its own for each row, as a table, so that every reader sees the same numbers; and the name
+    of that column, which clashes with no other."""
+    key = free_name(df, "_row_key")
+    return written(df.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -124,6 +142,15 @@ class PieceEncoder:
         get = self.cache.__getitem__
         return [sum(map(get, x)) for x in docs]
 
+    def encoded(self, texts: list[str], end: list[int] | None = None):
+        """The ids of all texts, one after the other, `end` behind each; and how many each text has."""
+        import numpy as np
+
+        tail = np.array(end or [], self.width).tobytes()
+        parts = [x + tail for x in self.ids(texts)]
+        flat = np.frombuffer(b"".join(parts), self.width)
+        return flat, np.array([len(x) for x in parts], np.int64) // flat.itemsize
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of `width`."""
         import numpy as np

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, doc_rows, keyed, written
+from .common import doc_rows, free_name, keyed, written
 
 #: Documents of a source that share one running sum, about; a larger source is cut into that many more groups.
 GROUP_ROWS = 1_000
@@ -85,17 +85,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share: fl
 def repeated(docs: DataFrame, taken: DataFrame, key: str = "doc_id") -> DataFrame:
     """The mixed corpus itself: each document as many times as it was taken, a part of half or more counting as once.
 
-    docs must have a unique, non-null `key`, and taken the same; columns stay as they are. mixed() takes any rows.
+    docs must have a unique, non-null `key`, and taken the same; columns stay as they are. Empty tables: no rows.
+    mixed() takes any rows.
     """
-    times = taken.select(F.col(key).alias("_doc"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("_times")).filter("_times > 0")
-    out = docs.join(times, docs[key] == times["_doc"]).withColumn("_times", F.explode(F.sequence(F.lit(1), "_times")))
-    return out.select(*[docs[c] for c in docs.columns])
+    mine, times = free_name(docs, "_doc"), free_name(docs, "_times")
+    often = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    counts = taken.select(F.col(key).alias(mine), often.alias(times)).filter(F.col(times) > 0)
+    out = docs.join(counts, F.col(f"`{key}`") == F.col(mine)).withColumn(times, F.explode(F.sequence(F.lit(1), times)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
-    """The mixed corpus: each row of docs, all columns as they are, as many times as mix() takes it.
+    """The mixed corpus: each row of docs, all columns as they are, as many times as mix() takes it. Nulls, empty
+    texts, ties and empty tables: as mix() says.
 
     Rows are told apart by a key of their own, written once: null and repeated ids lose and multiply nothing.
     """
-    rows = keyed(docs, "mix-rows")
-    return repeated(rows, mix(rows, weights, total_share, max_epochs, key=ROW), key=ROW).drop(ROW)
+    rows, key = keyed(docs, "mix-rows")
+    return repeated(rows, mix(rows, weights, total_share, max_epochs, key=key), key).drop(key)
