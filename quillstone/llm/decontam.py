@@ -1,33 +1,46 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 A document's windows are its runs of as many words as an item has. A document with fewer words is one window, whole:
-it is verified with each longer item that shares a shingle, whatever their fingerprints. Of the other windows, only
-those that share a shingle with an item of that length are fingerprinted: one without has similarity 0. A fingerprint
-looks up, in each of its 8 bytes, the items within 2 bits of that byte; two fingerprints within RADIUS = 23 bits must
-agree so in some byte (8 bytes with 3 or more differences each make 24), so the lookup finds every item within the
-radius. Those within it are verified by the weighted Jaccard similarity of their shingles, a shingle's weight being how often it occurs.
+it is verified with each longer item that shares a shingle, whatever their fingerprints. Of the other windows, those
+without a shingle of any item have similarity 0 to all and get no fingerprint. A window's fingerprint looks up the
+items of its length: two fingerprints within RADIUS = 15 bits agree in one of four 16-bit blocks but for 3 bits, so the
+index holds each block of each item with up to 2 bits changed, the lookup asks with up to 1 more, and every item within
+the radius is found, and few others (about one in 25). Those within it are verified by the weighted Jaccard similarity
+of their shingles, a shingle's weight being how often it occurs.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_rows, slices, texts_of, written
+from .common import doc_rows, shared_dir, slices, texts_of
 
-RADIUS = 23
+RADIUS = 15
+BLOCKS, BLOCK_BITS = 4, 16
 SHINGLE = 5
 #: Bytes of item texts that one pass over the documents takes along; more items make more passes.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 # ASCII letters in lower case, other visible ASCII but digits as spaces: case and punctuation do not hide a passage.
 _FOLD = bytes(i if i > 127 else ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(256))
-_NEAR = [np.array([v for v in range(256) if bin(u ^ v).count("1") <= 2]) for u in range(256)]
+
+
+def _changes(bits: int) -> np.ndarray:
+    """Masks of at most `bits` bits of a block."""
+    return np.array([sum(1 << i for i in c) for n in range(bits + 1) for c in combinations(range(BLOCK_BITS), n)], np.int64)
+
+
+#: What the index and a lookup change in a block: together up to RADIUS // BLOCKS bits.
+_STORED, _ASKED = _changes(2), _changes(1)
 
 
 def fold(text: bytes) -> list[bytes]:
@@ -79,12 +92,20 @@ class Items:
             pick = width == w
             order = np.argsort(flat[pick], kind="stable")
             self.table[w] = (flat[pick][order], owner[pick][order])
-        self.bytes_index: list[dict[int, np.ndarray]] = []
-        for k in range(8):
-            by = defaultdict(list)
-            for i, p in enumerate(self.prints.tolist()):
-                by[p >> (8 * k) & 255].append(i)
-            self.bytes_index.append({v: np.array(sorted(i for u in _NEAR[v].tolist() for i in by.get(u, ()))) for v in range(256)})
+        #: Sorted keys of length, block and value, and their items.
+        self.sizes = np.unique(self.lengths)
+        size = np.searchsorted(self.sizes, self.lengths)
+        blocks = self._block_keys(self.prints, _STORED) | (size << 18)[:, None]
+        order = np.argsort(blocks, axis=None, kind="stable")
+        self.block_keys, self.block_items = blocks.reshape(-1)[order], (order // blocks.shape[1]).astype(np.int32)
+        #: Of the lookups so far: items they could have met, and items whose distance was taken.
+        self.possible, self.compared = 0, 0
+
+    @staticmethod
+    def _block_keys(prints: np.ndarray, changes: np.ndarray) -> np.ndarray:
+        """For each fingerprint, all its blocks' numbers and values, changed by each mask."""
+        parts = [((prints >> np.uint64(BLOCK_BITS * k)) & np.uint64(0xFFFF)).astype(np.int64)[:, None] ^ changes | k << BLOCK_BITS for k in range(BLOCKS)]
+        return np.concatenate(parts, 1)
 
     @staticmethod
     def _keys(ids: np.ndarray, width: int) -> np.ndarray:
@@ -95,15 +116,23 @@ class Items:
             out = out * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n]
         return out
 
-    def near(self, prints: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """For each place in prints: (item, distance) within RADIUS, through the byte index."""
+    def near(self, prints: np.ndarray, length: int) -> dict[int, list[tuple[int, int]]]:
+        """For each place in prints: (item of that length, distance) within RADIUS, through the block index."""
+        size = int(np.searchsorted(self.sizes, length))
+        keys = (self._block_keys(prints, _ASKED) | size << 18).reshape(-1)
+        lo = np.searchsorted(self.block_keys, keys, "left")
+        n = np.searchsorted(self.block_keys, keys, "right") - lo
+        ends = np.cumsum(n)
+        at = np.repeat(np.repeat(np.arange(len(prints)), BLOCKS * len(_ASKED)), n)
+        items = self.block_items[np.repeat(lo - ends + n, n) + np.arange(len(at))].astype(np.int64)
+        pairs = np.unique(at * len(self.items) + items)
+        at, items = pairs // len(self.items), pairs % len(self.items)
+        self.possible += len(prints) * int((self.lengths == length).sum())
+        self.compared += len(pairs)
+        d = np.bitwise_count(self.prints[items] ^ prints[at])
         out: dict[int, list[tuple[int, int]]] = {}
-        for at, p in enumerate(prints.tolist()):
-            found = np.unique(np.concatenate([self.bytes_index[k][p >> (8 * k) & 255] for k in range(8)]).astype(np.int64))
-            if len(found):
-                d = np.bitwise_count(self.prints[found] ^ np.uint64(p))
-                if len(hit := np.flatnonzero(d <= RADIUS)):
-                    out[at] = list(zip(found[hit].tolist(), d[hit].tolist(), strict=True))
+        for p, i, x in zip(*(c[d <= RADIUS].tolist() for c in (at, items, d)), strict=True):
+            out.setdefault(p, []).append((i, x))
         return out
 
     def find(self, text: bytes, least: float) -> list[tuple[int | None, int, int, int, float]]:
@@ -150,11 +179,9 @@ class Items:
                 bits = _bits(np.array([xxhash.xxh64_intdigest(x) for x in text_of.values()], np.uint64))
                 sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(bits, 0, dtype=np.int64)])
                 first = np.searchsorted(need, part)
-                for k, found in self.near(_packed(sums[first + m] - sums[first], m)).items():
+                for k, found in self.near(_packed(sums[first + m] - sums[first], m), n).items():
                     mine = None
                     for item, distance in found:
-                        if self.lengths[item] != n:
-                            continue
                         mine = mine or Counter(text_of[s] for s in range(part[k], part[k] + m))
                         s = similarity(mine, self.weights[item])
                         if s >= least and (item not in best or (-s, int(part[k])) < best[item][0]):
@@ -162,6 +189,17 @@ class Items:
         return [best[i][1] for i in sorted(best)]
 
 
+_INDEXES: dict[str, Items] = {}
+
+
+def _index(name: str, items: list[tuple[int | None, bytes]]) -> Items:
+    """The index of a block of items, made once in each worker process; the last one is kept."""
+    if name not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[name] = Items(items)
+    return _INDEXES[name]
+
+
 def item_blocks(items: DataFrame, text: str, item_id: str) -> Iterator[list[tuple[int | None, bytes]]]:
     """The items in blocks of at most BLOCK_BYTES (or one item), read through the driver one block at a time."""
     block, size = [], 0
@@ -188,30 +226,45 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, text: st
     """
     spark: SparkSession = docs.sparkSession
     rows, schema = doc_rows(docs, text, doc_id), "doc_id long, item_id long, start_word int, n_words int, distance int, similarity double"
-    out = None
+    parts = []
     for block in item_blocks(items, item_text, item_id):
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Items(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared.value)
             for whole in batches:
                 for b in slices(whole, "text"):
                     found = [(doc, *hit) for doc, x in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True) for hit in index.find(x, least)]
                     cols = list(zip(*found, strict=True)) or [()] * 6
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"])
 
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else written(out.union(part), "contaminated")
-    return out if out is not None else spark.createDataFrame([], schema)
+        parts.append((rows.mapInArrow(run, schema), shared))
+        if len(parts) == 2 and isinstance(parts[0], tuple):
+            # More than one block: each block's results are written once, and its items leave the executors.
+            parts[0] = _settled(*parts[0])
+        if len(parts) > 1:
+            parts[-1] = _settled(*parts[-1])
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return parts[0][0] if isinstance(parts[0], tuple) else spark.read.schema(schema).parquet(*parts)
+
+
+def _settled(part: DataFrame, shared: Broadcast) -> str:
+    path = shared_dir(part.sparkSession, "contaminated")
+    part.write.parquet(path)
+    shared.unpersist()
+    return path
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """The rows of docs, all columns as they are, that hold no benchmark passage. Null text holds none."""
+    """The rows of docs, all columns as they are, that hold no benchmark passage. Null and empty texts hold none, and a
+    null or empty item is in none. Repeated rows and ids: each row is judged by its own text. Empty tables: of docs,
+    no rows; of items, all rows stay. Every block of items reads what the blocks before it left."""
     for block in item_blocks(items, item_text, item_id):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Items(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared.value)
             for whole in batches:
                 for b in slices(whole, text):
                     yield b.filter(pa.array([not index.find(x, least) for x in texts_of(b.column(b.schema.get_field_index(text)))], pa.bool_()))
