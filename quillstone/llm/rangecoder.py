@@ -9,8 +9,9 @@ numpy calls; they share the block's models, which start empty in each block and
 
 The two confidences, and whether both predictions agree, choose a mixing context. Its learned counts give the
 weights of the three orders: the probability of "as order 2 says", "as order 1 says", or "by order 0". That choice,
-then (in the last case) the id itself, drives a carry-less range coder of 64 bits that emits 16 bits at a time.
-Models are updated after a step, from all lanes in lane order, on both sides alike.
+then (in the last case) the id itself, drives a range coder of 64 bits that emits 16 bits at a time; carries are added
+to the word before and settled when the block ends. Models are updated after a step, from all lanes in lane order, on
+both sides alike.
 """
 
 from __future__ import annotations
@@ -28,123 +29,162 @@ _HASH_BITS = 17
 _WEIGHT_BITS = 12
 _COUNT = 24  # what one id adds to its order-0 count, against 1 that each id starts with
 _U = np.uint64
-_TOP, _BOTTOM = _U(1 << 48), _U((1 << 32) - 1)
+#: A lane's interval is at least this wide when a step begins.
+_WIDE = _U(1 << 48)
 _HEAD = struct.Struct("<4sIIIIII")
 MAGIC = b"QBK1"
 
 
-#: Confidence after a miss (first 8) and after a hit.
-_SURE = np.array([0, 0, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.uint8)
-_EIGHT = np.uint8(8)
+#: What a confidence changes by after a miss (first 8: it is halved) and after a hit.
+_CHANGE = np.array([0, -1, -1, -2, -2, -3, -3, -4, 1, 1, 1, 1, 1, 1, 1, 0])
 
 
 class _Model:
+    """A row of the tables for orders 1 and 2 holds the id last seen and, in its last three bits, the confidence."""
+
     def __init__(self, vocab: int, lanes: int):
         self.vocab = vocab
         self.count = np.ones(vocab, np.int64)
         self.cum = np.arange(vocab + 1, dtype=np.int64)
-        self.pending, self.seen = 0, 0
-        self.next1, self.sure1 = np.zeros(vocab, np.int64), np.zeros(vocab, np.uint8)
-        self.next2, self.sure2 = np.zeros(1 << _HASH_BITS, np.int64), np.zeros(1 << _HASH_BITS, np.uint8)
+        self.find = self.cum.astype(np.int32)  # for the search: at most (1 + _COUNT) ids of a block, which fits
+        self.pending, self.waiting, self.seen = [], 0, 0
+        self.last1, self.last2 = np.zeros(vocab, np.int64), np.zeros(1 << _HASH_BITS, np.int64)
         self.hits = np.tile(np.array([1, 1, 2], np.int64), (128, 1))
         self.before1, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.ends = np.zeros((128, 4), _U)
+        self.ends[:, 3] = 1 << _WEIGHT_BITS
 
-    def predict(self, n: int):
-        """For the first n lanes: both predictions, the ends of the shares of order 2 and order 1."""
+    def predict(self, n: int) -> np.ndarray:
+        """For the first n lanes: both predictions (p2, p1), and the row of `shares` that each lane's choice has."""
         a = self.before1[:n]
-        self.slot = ((a * 0x9E3779B1 + self.before2[:n] * 0x85EBCA6B) >> 7) & ((1 << _HASH_BITS) - 1)
-        self.p2, self.p1 = self.next2.take(self.slot), self.next1.take(a)
-        self.c2, self.c1 = self.sure2.take(self.slot), self.sure1.take(a)
-        self.context = ((self.c2 << 4) | (self.c1 << 1) | (self.p1 == self.p2)).astype(np.int64)
+        slot = a * 0x9E3779B1
+        slot += self.before2[:n] * 0x85EBCA6B
+        slot >>= 7
+        slot &= (1 << _HASH_BITS) - 1
+        self.slot = slot
+        self.v2, self.v1 = self.last2.take(slot), self.last1.take(a)
+        self.p2, self.p1 = self.v2 >> 3, self.v1 >> 3
+        context = self.v2 & 7
+        context <<= 3
+        context |= self.v1 & 7
+        context <<= 1
+        context |= self.p1 == self.p2
+        self.context = context
         h = self.hits
         total = h.sum(1)
         w2 = np.maximum(h[:, 0] * ((1 << _WEIGHT_BITS) - 3) // total, 1)
-        w1 = np.maximum(h[:, 1] * ((1 << _WEIGHT_BITS) - 3) // total, 1)
-        return w2.astype(_U).take(self.context), (w2 + w1).astype(_U).take(self.context)
+        self.ends[:, 1] = w2
+        self.ends[:, 2] = w2 + np.maximum(h[:, 1] * ((1 << _WEIGHT_BITS) - 3) // total, 1)
+        #: Where the shares of order 2, order 1 and order 0 begin, four values for each context.
+        self.shares = self.ends.reshape(-1)
+        return context << 2
 
-    def learn(self, ids: np.ndarray, outcome: np.ndarray, missed: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, is2: np.ndarray, outcome: np.ndarray, missed: np.ndarray) -> None:
         n = len(ids)
         self.hits += np.bincount(self.context * 3 + outcome, minlength=384).reshape(128, 3) * 2
-        for p, c, to, sure, at in ((self.p2, self.c2, self.next2, self.sure2, self.slot), (self.p1, self.c1, self.next1, self.sure1, self.before1[:n])):
-            c = c + (p == ids) * _EIGHT
-            new = np.flatnonzero(c == 0)
-            to[at.take(new)] = ids.take(new)
-            sure[at] = _SURE.take(c)
+        fresh = ids << 3
+        for v, hit, to, at in ((self.v2, is2, self.last2, self.slot), (self.v1, self.p1 == ids, self.last1, self.before1[:n])):
+            sure = hit.astype(np.int64)
+            sure <<= 3
+            sure |= v & 7
+            new = _CHANGE.take(sure)
+            new += v
+            # A row of no confidence that missed is taken over.
+            new += (fresh - v) * (sure == 0)
+            to[at] = new
         if len(missed):
-            np.add.at(self.count, ids.take(missed), _COUNT)
-            self.pending += len(missed)
-            if self.pending > self.seen // 8:
-                self.seen += self.pending
-                self.pending = 0
+            self.pending.append(ids.take(missed))
+            self.waiting += len(missed)
+            if self.waiting > self.seen // 8:
+                self.seen += self.waiting
+                self.count += _COUNT * np.bincount(np.concatenate(self.pending), minlength=self.vocab)
                 np.cumsum(self.count, out=self.cum[1:])
+                self.find[:] = self.cum
+                self.pending, self.waiting = [], 0
         self.before2[:n] = self.before1[:n]
         self.before1[:n] = ids
 
 
-class _Lanes:
-    """Low end and span of each lane's interval; subclasses say what happens when 16 bits are settled."""
+class _Writer:
+    """Low end and width of each lane's interval, and the words each lane has settled, but for carries: a row for
+    each place, so that lanes, which are at nearly the same place, write near each other."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, steps: int):
         self.low, self.span = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
+        self.lanes = lanes
+        self.out = np.zeros(lanes * (steps + 64), np.uint32)
+        self.at = np.arange(lanes)
 
     def narrow(self, at, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         """`at`: a slice, or the lanes' numbers."""
-        if isinstance(at, slice):
-            low, span = self.low[at], self.span[at]
-            low += r * start
-            np.multiply(r, size, out=span)
-        else:
-            low, span = self.low.take(at) + r * start, r * size
-        go = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span <= _BOTTOM))
-        if not isinstance(at, slice):
-            self.low[at], self.span[at] = low, span
-        lanes, low, span = go if isinstance(at, slice) else at.take(go), low.take(go), span.take(go)
+        start = r * start
+        low = self.low[at] + start
+        carry = np.flatnonzero(low < start)
+        if len(carry):
+            self.out[self.at[at].take(carry) - self.lanes] += 1
+        self.low[at], self.span[at] = low, r * size
+
+    def settle(self) -> None:
+        lanes = np.flatnonzero(self.span < _WIDE)
+        low, span = self.low.take(lanes), self.span.take(lanes)
         while len(lanes):
-            span = np.where((low ^ (low + span)) < _TOP, span, (~low + _U(1)) & _BOTTOM)
-            self.settled(lanes, low)
+            at = self.at.take(lanes)
+            self.out[at] = low >> _U(48)
+            self.at[lanes] = at + self.lanes
             low <<= _U(16)
             span <<= _U(16)
             self.low[lanes], self.span[lanes] = low, span
-            go = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span <= _BOTTOM))
+            go = np.flatnonzero(span < _WIDE)
             lanes, low, span = lanes.take(go), low.take(go), span.take(go)
 
+    def used(self) -> np.ndarray:
+        return self.at // self.lanes
 
-class _Writer(_Lanes):
-    def __init__(self, lanes: int, steps: int):
-        super().__init__(lanes)
-        self.width = steps + 64
-        self.out = np.zeros(lanes * self.width, np.uint16)
-        self.at = np.arange(lanes) * self.width
+    def room(self, words: int) -> None:
+        if self.at.max() + words * self.lanes >= len(self.out):
+            self.out = np.concatenate([self.out, np.zeros_like(self.out)])
 
-    def settled(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        at = self.at.take(lanes)
-        self.out[at] = low >> _U(48)
-        self.at[lanes] = at + 1
+    def words(self) -> np.ndarray:
+        """All words, a row for each lane, after the ends are settled."""
+        self.room(8)
+        for k in range(4):
+            self.out[self.at] = (self.low >> _U(48 - 16 * k)) & _U(0xFFFF)
+            self.at += self.lanes
+        out = self.out.reshape(-1, self.lanes)[: self.used().max()]
+        for k in range(len(out) - 1, 0, -1):
+            out[k - 1] += out[k] >> 16
+        return out.T.astype("<u2")
 
-    def used(self) -> np.ndarray:
-        return self.at - np.arange(len(self.low)) * self.width
 
-    def room(self, words: int) -> None:
-        if (used := self.used()).max() + words > self.width:
-            lanes, wider = len(self.low), 2 * self.width
-            out = np.zeros((lanes, wider), np.uint16)
-            out[:, : self.width] = self.out.reshape(lanes, -1)
-            self.out, self.width = out.reshape(-1), wider
-            self.at = np.arange(lanes) * wider + used
-
-
-class _Reader(_Lanes):
-    def __init__(self, lanes: int, stream: np.ndarray, at: np.ndarray):
-        super().__init__(lanes)
-        self.stream, self.at, self.code = stream, at, np.zeros(lanes, _U)
+class _Reader:
+    """How far into its interval each lane's code lies, and the interval's width."""
+
+    def __init__(self, stream: np.ndarray, lengths: np.ndarray):
+        lanes = self.lanes = len(lengths)
+        # A row for each place, as in the writer.
+        words = np.zeros((lanes, int(lengths.max()) + 8), np.uint16)
+        words[np.arange(words.shape[1]) < lengths[:, None]] = stream
+        self.stream = np.ascontiguousarray(words.T).reshape(-1)
+        self.at, self.code, self.span = np.arange(lanes), np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
         for _ in range(4):
-            self.code = (self.code << _U(16)) | stream[self.at]
-            self.at = self.at + 1
+            self.code = (self.code << _U(16)) | self.stream[self.at]
+            self.at = self.at + lanes
+
+    def narrow(self, at, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        self.code[at] -= r * start
+        self.span[at] = r * size
 
-    def settled(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        at = self.at.take(lanes)
-        self.code[lanes] = (self.code.take(lanes) << _U(16)) | self.stream.take(at)
-        self.at[lanes] = at + 1
+    def settle(self) -> None:
+        lanes = np.flatnonzero(self.span < _WIDE)
+        span, code = self.span.take(lanes), self.code.take(lanes)
+        while len(lanes):
+            at = self.at.take(lanes)
+            code <<= _U(16)
+            code |= self.stream.take(at)
+            span <<= _U(16)
+            self.code[lanes], self.span[lanes], self.at[lanes] = code, span, at + self.lanes
+            go = np.flatnonzero(span < _WIDE)
+            lanes, span, code = lanes.take(go), span.take(go), code.take(go)
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -171,25 +211,23 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
         if t % 8 == 0:
             code.room(64)
         x = grid[t, :k]
-        end2, end1 = model.predict(k)
+        at = model.predict(k)
         is2 = model.p2 == x
-        known = is2 | (model.p1 == x)
-        outcome = 2 - known.astype(np.int64) - is2
-        start = np.where(is2, _U(0), np.where(known, end2, end1))
-        end = np.where(is2, end2, np.where(known, end1, _U(1 << _WEIGHT_BITS)))
-        code.narrow(slice(k), code.span[:k] >> _U(_WEIGHT_BITS), start, end - start)
+        outcome = np.subtract(2, is2 | (model.p1 == x), dtype=np.int64)
+        outcome -= is2
+        at += outcome
+        start = model.shares.take(at)
+        at += 1
+        code.narrow(slice(k), code.span[:k] >> _U(_WEIGHT_BITS), start, model.shares.take(at) - start)
         missed = np.flatnonzero(outcome == 2)
         if len(missed):
             y = x.take(missed)
             first = model.cum.take(y)
             code.narrow(missed, code.span.take(missed) // _U(model.cum[-1]), first.astype(_U), (model.cum.take(y + 1) - first).astype(_U))
-        model.learn(x, outcome, missed)
-    code.room(8)
-    for _ in range(4):
-        code.settled(np.arange(lanes), code.low)
-        code.low <<= _U(16)
-    used, out = code.used(), code.out.reshape(lanes, -1)
-    body = used.astype("<u4").tobytes() + b"".join(out[i, : used[i]].astype("<u2").tobytes() for i in range(lanes))
+        code.settle()
+        model.learn(x, is2, outcome, missed)
+    out, used = code.words(), code.used()
+    body = used.astype("<u4").tobytes() + out[np.arange(out.shape[1]) < used[:, None]].tobytes()
     return _HEAD.pack(MAGIC, n, lanes, vocab, len(body), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
 
 
@@ -201,35 +239,34 @@ def decode_block(data: bytes, offset: int = 0) -> tuple[np.ndarray, int]:
         raise ValueError("damaged block")
     steps = _lanes(n)[1]
     lengths = np.frombuffer(body[: 4 * lanes], "<u4").astype(np.int64)
-    stream = np.frombuffer(body[4 * lanes :], "<u2").astype(_U)
-    stream = np.concatenate([stream, np.zeros(8, _U)])
-    at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    model, code = _Model(vocab, lanes), _Reader(lanes, stream, at)
+    model, code = _Model(vocab, lanes), _Reader(np.frombuffer(body[4 * lanes :], "<u2"), lengths)
     grid = np.zeros((steps, lanes), np.int64)
     short = n - (lanes - 1) * steps
     for t in range(steps):
         k = lanes if t < short else lanes - 1
         if k == 0:
             break
-        end2, end1 = model.predict(k)
+        at = model.predict(k)
         r = code.span[:k] >> _U(_WEIGHT_BITS)
-        off = code.code[:k] - code.low[:k]
-        is2 = off < r * end2
-        known = off < r * end1
-        outcome = 2 - known.astype(np.int64) - is2
-        start = np.where(is2, _U(0), np.where(known, end2, end1))
-        end = np.where(is2, end2, np.where(known, end1, _U(1 << _WEIGHT_BITS)))
-        code.narrow(slice(k), r, start, end - start)
+        off = code.code[:k]
+        is2 = off < r * model.shares.take(at + 1)
+        outcome = np.subtract(2, off < r * model.shares.take(at + 2), dtype=np.int64)
+        outcome -= is2
+        at += outcome
+        start = model.shares.take(at)
+        at += 1
+        code.narrow(slice(k), r, start, model.shares.take(at) - start)
         x = np.where(is2, model.p2, model.p1)
         missed = np.flatnonzero(outcome == 2)
         if len(missed):
             r = code.span.take(missed) // _U(model.cum[-1])
-            target = ((code.code.take(missed) - code.low.take(missed)) // r).astype(np.int64)
-            y = np.searchsorted(model.cum, np.minimum(target, model.cum[-1] - 1), "right") - 1
+            target = np.minimum(code.code.take(missed) // r, _U(model.cum[-1] - 1)).astype(np.int32)
+            y = np.searchsorted(model.find, target, "right") - 1
             first = model.cum.take(y)
             code.narrow(missed, r, first.astype(_U), (model.cum.take(y + 1) - first).astype(_U))
             x[missed] = y
-        model.learn(x, outcome, missed)
+        code.settle()
+        model.learn(x, is2, outcome, missed)
         grid[t, :k] = x
     ids = grid.T.reshape(-1)[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .byte_level import ByteLevelEncoder, is_plain
 from .common import PieceEncoder, doc_rows, slices
 
 _ENCODERS: dict = {}
@@ -16,7 +17,8 @@ def encoder(path: str, pre: str, width: str = "<u2") -> PieceEncoder:
     """One encoder for each worker process: loading a vocabulary costs more than a batch."""
     key = (path, pre, width)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, pre, width=width)
+        out = PieceEncoder(path, pre, width=width)
+        _ENCODERS[key] = ByteLevelEncoder(path, width=width) if pre == "byte" and is_plain(out.tokenizer) else out
     return _ENCODERS[key]
 
 

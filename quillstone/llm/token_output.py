@@ -1,6 +1,6 @@
 """Token-id shards: range-partitioned documents -> checksummed binary files, and back.
 
-File format, all integers little-endian. A shard holds documents in ascending (doc_id, then input order):
+File format, all integers little-endian. A shard holds documents in ascending order of doc_id, then a hash of the text:
     magic "QTOK1\\0\\0\\0"
     blocks as rangecoder.py writes them, each decodable alone
     zlib-compressed index: int64 doc_id, uint8 whether it is null, uint32 ids, for each document
@@ -28,6 +28,8 @@ from .token_counts import encoder
 MAGIC = b"QTOK1\0\0\0"
 _TRAILER = struct.Struct("<IIQQI8s")
 MANIFEST = "shard int, path string, n_docs long, n_ids long, n_bytes long, crc32 long"
+#: Text bytes that are encoded at once: each piece of them is looked up once.
+BATCH_BYTES = 8 << 20
 #: Input text bytes that one shard gets, about.
 SHARD_BYTES = 32 << 20
 
@@ -53,8 +55,9 @@ class ShardWriter:
         self.file.write(data)
         self.crc, self.size = zlib.crc32(data, self.crc), self.size + len(data)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Documents, their ids one after the other, and how many each has."""
+        self.docs += zip(doc_ids, lengths.tolist(), strict=True)
         self.buffer.append(ids)
         self.held += len(ids)
         self.n_ids += len(ids)
@@ -118,7 +121,8 @@ def write_token_shards(docs: DataFrame, out: str, tokenizer: str, vocab: int, en
     n_docs, n_ids, n_bytes, crc32 of the file. Shards follow each other in ascending doc_id order (nulls first).
 
     Null or empty text: just the end id. Repeated ids and rows: each is kept. Empty table: no shards. Other columns
-    are ignored. Rows are dealt by ranges of doc_id, so shard sizes do not depend on sources or groups of copies.
+    are ignored. Rows are dealt by ranges of doc_id, then of a hash of the text, so shard sizes depend neither on
+    sources or groups of copies nor on how many rows share an id or have none.
     """
     rows = doc_rows(docs, text, doc_id)
     if shards is None:
@@ -133,18 +137,18 @@ def write_token_shards(docs: DataFrame, out: str, tokenizer: str, vocab: int, en
 
         shard = TaskContext.get().partitionId()
         enc, sink = encoder(tokenizer, pre, width), None
-        tail = np.array([end_id], width).tobytes()
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", BATCH_BYTES):
                 if sink is None:
                     sink = ShardWriter(f"{out}/shard-{shard:06d}.tok", max(vocab, end_id + 1))
-                for doc, ids in zip(b.column(0).to_pylist(), enc.ids([x or "" for x in b.column(1).to_pylist()]), strict=True):
-                    sink.add(doc, np.frombuffer(ids + tail, width))
+                sink.add(b.column(0).to_pylist(), *enc.encoded([x or "" for x in b.column(1).to_pylist()], [end_id]))
         if sink:
             yield pa.RecordBatch.from_pylist([dict(zip(("shard", "path", "n_docs", "n_ids", "n_bytes", "crc32"), (shard, f"{out}/shard-{shard:06d}.tok", *sink.close()), strict=True))], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64()), ("crc32", pa.int64())]))
 
-    dealt = rows.repartitionByRange(int(shards), "doc_id").sortWithinPartitions("doc_id")
-    return written(dealt.mapInArrow(run, MANIFEST), "token-manifest")
+    # The hash deals out rows that share an id (or have none), and orders them; the text settles its ties.
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(int(shards), "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text")
+    return written(dealt.select("doc_id", "text").mapInArrow(run, MANIFEST), "token-manifest")
 
 
 def read_token_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -173,6 +177,7 @@ def read_token_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
 
 def token_output(docs: DataFrame, tokenizer: str, vocab: int, end_id: int, out: str | None = None, pre: str = "byte") -> DataFrame:
-    """Writes shards (by default below the shared folder) and returns what reading them back gives."""
+    """Writes shards (by default below the shared folder) and returns what reading them back gives. Nulls, ties,
+    repeated rows and empty tables: as write_token_shards() says; other columns are ignored."""
     out = out or shared_dir(docs.sparkSession, "token-shards")
     return read_token_shards(docs.sparkSession, write_token_shards(docs, out, tokenizer, vocab, end_id, pre))
