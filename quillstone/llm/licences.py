@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import doc_rows
 
-# Fixed values. Well-known short licence texts and notices, whole, by SPDX name.
+# Fixed values. Well-known short licence texts and notices, whole, by name. Longer ones stand below by their digests.
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -47,12 +47,61 @@ Permission is granted to anyone to use this software for any purpose, including
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0 line": "Licensed under CC BY 4.0.",
-    "MIT line": "Licensed under the MIT License.",
 }
+# Fixed values. How notices of one line name licences, and how they begin: each beginning goes with each name.
+NOTICES = {
+    "MIT": ["the MIT License", "MIT License", "the MIT license (MIT)", "MIT"],
+    "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License", "Apache License 2.0", "Apache 2.0", "Apache-2.0"],
+    "GPL-2.0": ["the GNU General Public License, version 2", "the GNU General Public License v2", "the GNU General Public License v2.0", "the GNU GPL v2", "the GPL v2", "GPLv2", "GPL-2.0"],
+    "GPL-3.0": ["the GNU General Public License, version 3", "the GNU General Public License v3", "the GNU General Public License v3.0", "the GNU GPL v3", "the GPL v3", "GPLv3", "GPL-3.0"],
+    "LGPL-2.1": ["the GNU Lesser General Public License, version 2.1", "the GNU LGPL v2.1", "the LGPL v2.1", "LGPL-2.1"],
+    "LGPL-3.0": ["the GNU Lesser General Public License, version 3", "the GNU LGPL v3", "the LGPL v3", "LGPL-3.0"],
+    "AGPL-3.0": ["the GNU Affero General Public License, version 3", "the GNU AGPL v3", "the AGPL v3", "AGPL-3.0"],
+    "MPL-2.0": ["the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "the MPL 2.0", "MPL-2.0"],
+    "BSD-2-Clause": ["the BSD 2-Clause License", "the 2-clause BSD license", "the Simplified BSD License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["the BSD 3-Clause License", "the 3-clause BSD license", "the New BSD License", "BSD-3-Clause"],
+    "ISC": ["the ISC License", "ISC License", "ISC"],
+    "Zlib": ["the zlib License", "zlib License"],
+    "Unlicense": ["the Unlicense", "The Unlicense"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "the CC0 1.0 license"],
+    "CC-BY-4.0": ["CC BY 4.0", "the CC BY 4.0 license", "a Creative Commons Attribution 4.0 International License", "the Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "the CC BY-SA 4.0 license", "a Creative Commons Attribution-ShareAlike 4.0 International License", "the Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "the CC BY-NC 4.0 license", "a Creative Commons Attribution-NonCommercial 4.0 International License", "the Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "the CC BY-ND 4.0 license"],
+    "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "the CC BY-NC-SA 4.0 license"],
+    "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0", "the CC BY-NC-ND 4.0 license"],
+}
+BEGINNINGS = ["Licensed under", "Released under", "Distributed under", "Available under", "Published under", *(f"This {x} is {y} under" for x in ("work", "software", "project", "file", "program") for y in ("licensed", "released"))]
+# Fixed values. Canonical digests of whole licence texts, in the form that Debian's common-licenses have.
+DIGESTS = {
+    "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0": "Apache-2.0",
+    "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908": "LGPL-2.0",
+    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
+    "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a": "GPL-3.0",
+    "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b": "GFDL-1.2",
+    "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d": "GFDL-1.3",
+    "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6": "MPL-1.1",
+    "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56": "MPL-2.0",
+    "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e": "CC0-1.0",
+    "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702": "Artistic-1.0-Perl",
+    "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651": "BSD-3-Clause-UC",
+}
+
+
+def notices() -> list[tuple[str, str]]:
+    """("<name> line", whole line): every beginning with every spelling, and the SPDX tag."""
+    out = []
+    for name, spellings in NOTICES.items():
+        lines = [f"{b} {s}." for b in BEGINNINGS for s in spellings] + [f"SPDX-License-Identifier: {name}{x}" for x in ("", "-only", "-or-later")]
+        out += [(f"{name} line", x) for x in lines]
+    return out
+
+
+#: (name, text) of all texts that are known by more than their digest.
+KNOWN = [*LICENCES.items(), *notices()]
 # Fixed values. Spellings held to be equal, after case and punctuation are gone: the left becomes the right.
 EQUIVALENT = [("licence", "license"), ("sub license", "sublicense"), ("sub licensing", "sublicensing"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("judgement", "judgment"), ("favour", "favor"), ("organisation", "organization"), ("authorise", "authorize"), ("https", "http"), ("per cent", "percent"), ("copyright owner", "copyright holder")]
 #: Lines that name a holder or a year, or reserve rights, and so differ between copies of one licence.
@@ -60,8 +109,10 @@ COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright[ \t]*(\(c\)|©|:|<|\[|[0-9]{4}|by )|\(c
 #: ASCII but for letters and digits, and the usual typographic marks.
 MARKS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f ©‐-―‘-‟•…]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A known text is at most a few KB; a table of this many digests is broadcast safely.
-MOST_KNOWN = 10_000
+#: Digests that are broadcast at once, about 100 bytes each; a larger table is looked up in as many parts as it needs.
+MOST_KNOWN = 100_000
+#: What a line must have to be looked up: every known notice of one line has it.
+HINT = r"(?i)licen|(released|distributed|available|published) under"
 
 
 def canonical(text: Column) -> Column:
@@ -77,34 +128,42 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, licences: dict[str, str] | None = None) -> DataFrame:
-    """digest, license: one row for each known text; of texts with one canonical form, the first name."""
-    licences = LICENCES if licences is None else licences
-    if len(licences) > MOST_KNOWN:
-        raise ValueError(f"at most {MOST_KNOWN} known texts; pass more as a table to join by digest")
-    known = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(licences.items())], "place int, license string, text string")
-    return known.groupBy(digest(F.col("text")).alias("_known")).agg(F.min_by("license", "place").alias("license"))
+def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None, digests: dict[str, str] | None = None) -> DataFrame:
+    """_known (digest), license: one row for each known text, by default KNOWN and DIGESTS; of texts with one canonical
+    form, the first name. `digests`: by digest, the name of a text that is known by that alone."""
+    if texts is None:
+        texts, digests = KNOWN, DIGESTS if digests is None else digests
+    known = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(texts)], "place int, license string, text string").select("place", "license", digest(F.col("text")).alias("_known"))
+    more = spark.createDataFrame([(len(texts) + i, n, x) for i, (x, n) in enumerate((digests or {}).items())], "place int, license string, _known string")
+    return known.unionByName(more).groupBy("_known").agg(F.min_by("license", "place").alias("license"))
 
 
 def licence_scan(docs: DataFrame, known: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, digest (of the whole canonical text), license (the known text it equals, or null), lines (how many of
     its lines are, each taken whole, a known text), line_licenses (their names, distinct, sorted, joined by ", ").
 
-    `known` comes from known_digests() and has a bounded size. Only lines with "licen" in them are looked up: each
-    known single-line notice has it. Null text counts as empty: it matches nothing, its lines are 0 and "". Repeated
-    rows and ids: a row each. Null doc_id stays null. Empty table: no rows. Other columns are ignored. No shuffle:
-    the digests of known texts are broadcast, and documents are joined to them by hash.
+    `known` comes from known_digests(), or is any table of _known (distinct digests) and license. Only lines that HINT
+    finds are looked up: each known single-line notice has it. Null text counts as empty: it matches nothing, its lines
+    are 0 and "". Repeated rows and ids: a row each. Null doc_id stays null. Empty tables: no rows, or no licences.
+    Other columns are ignored. No shuffle of documents: digests of known texts are broadcast, MOST_KNOWN at a time, and
+    documents are joined to them by hash.
     """
     d = doc_rows(docs, text, doc_id).withColumn("text", F.coalesce("text", F.lit("")))
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.regexp_like(x, F.lit("[Ll][Ii][Cc][Ee][Nn]")))
-    d = d.select("doc_id", digest(F.col("text")).alias("digest"), F.transform(lines, digest).alias("_lines"))
-    names = known.agg(F.map_from_entries(F.collect_list(F.struct("_known", "license"))).alias("_names"))
-    d = d.join(F.broadcast(known), F.col("digest") == F.col("_known"), "left")
-    # One row; the product with it is a broadcast of a bounded map, not of documents.
-    d = d.join(F.broadcast(names), how="left")
-    found = F.filter(F.transform("_lines", lambda x: F.try_element_at("_names", x)), lambda x: x.isNotNull())
-    found = F.when(F.size("_lines") > 0, found).otherwise(F.array().cast("array<string>"))
-    return d.select("doc_id", "digest", "license", F.size(found).alias("lines"), F.array_join(F.array_sort(F.array_distinct(found)), ", ").alias("line_licenses"))
+    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.regexp_like(x, F.lit(HINT)))
+    d = d.select("doc_id", digest(F.col("text")).alias("digest"), F.transform(lines, digest).alias("_lines"), F.lit(None).cast("string").alias("license"), F.array().cast("array<string>").alias("_found"))
+    known = known.select(F.col("_known").alias("_digest"), F.col("license").alias("_name"))
+    parts = max(1, -(-known.count() // MOST_KNOWN))
+    for i in range(parts):
+        part = known.filter(F.pmod(F.xxhash64("_digest"), F.lit(parts)) == i) if parts > 1 else known
+        names = part.agg(F.map_from_entries(F.collect_list(F.struct("_digest", "_name"))).alias("_names"))
+        d = d.join(F.broadcast(part), F.col("digest") == F.col("_digest"), "left")
+        # One row; the product with it is a broadcast of a bounded map, not of documents.
+        d = d.join(F.broadcast(names), how="left")
+        # Most documents have no such line: nothing is looked up for them.
+        found = F.filter(F.transform("_lines", lambda x: F.try_element_at("_names", x)), lambda x: x.isNotNull())
+        found = F.when(F.size("_lines") > 0, F.concat("_found", found)).otherwise(F.col("_found"))
+        d = d.select("doc_id", "digest", "_lines", F.coalesce("license", "_name").alias("license"), found.alias("_found"))
+    return d.select("doc_id", "digest", "license", F.size("_found").alias("lines"), F.array_join(F.array_sort(F.array_distinct("_found")), ", ").alias("line_licenses"))
 
 
 def _quoted(x: str) -> str:
@@ -123,13 +182,15 @@ def _sql_canonical(x: str) -> str:
 
 
 def oracle_sql() -> str:
-    rows = ", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(LICENCES.items()))
+    rows = ", ".join(f"({i}, {_quoted(n)}, {_quoted(t)})" for i, (n, t) in enumerate(KNOWN))
+    more = ", ".join(f"({len(KNOWN) + i}, {_quoted(n)}, {_quoted(x)})" for i, (x, n) in enumerate(DIGESTS.items()))
     return f"""
 WITH listed(place, license, body) AS (VALUES {rows}),
-known AS (SELECT sha256({_sql_canonical("body")}) AS known_digest, arg_min(license, place) AS license FROM listed GROUP BY 1),
+digests(place, license, digest) AS (VALUES {more}),
+known AS (SELECT digest AS known_digest, arg_min(license, place) AS license FROM (SELECT place, license, sha256({_sql_canonical("body")}) AS digest FROM listed UNION ALL SELECT place, license, digest FROM digests) GROUP BY 1),
 d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
 whole AS (SELECT d.r, d.doc_id, sha256({_sql_canonical("text")}) AS digest FROM d),
-split_lines AS (SELECT r, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[Ll][Ii][Cc][Ee][Nn]'))) AS line FROM d),
+split_lines AS (SELECT r, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_quoted(HINT)}))) AS line FROM d),
 found AS (SELECT r, count(*) AS n, array_to_string(list_sort(list_distinct(list(license))), ', ') AS names FROM split_lines JOIN known ON known_digest = sha256({_sql_canonical("line")}) GROUP BY r)
 SELECT w.doc_id, w.digest, k.license, coalesce(f.n, 0)::INTEGER AS lines, coalesce(f.names, '') AS line_licenses
 FROM whole w LEFT JOIN known k ON k.known_digest = w.digest LEFT JOIN found f ON f.r = w.r"""
