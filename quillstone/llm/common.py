@@ -64,10 +64,10 @@ def keyed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that each piece holds about `most` text bytes, or a single row."""
+    """Cuts a batch so that each piece holds about `most` bytes of a text or binary column, or a single row."""
     col = batch.column(batch.schema.get_field_index(text))
-    if pa.types.is_large_string(col.type):
-        col = col.cast(pa.string())
+    if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type):
+        col = col.cast(pa.binary())
     at, size, start = 0, 0, 0
     offsets = memoryview(col.buffers()[1]).cast("i") if len(col) else []
     for at in range(len(col)):

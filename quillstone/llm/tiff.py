@@ -22,13 +22,24 @@ from .common import doc_rows, slices, texts_of
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 LETTERS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
 NONE, LZW, ADOBE_DEFLATE, DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
-#: Most pixels of a page that are decoded: a damaged header must not claim all memory.
-MOST_BYTES = 1 << 30
+#: How many bytes one byte of a file can stand for, in any of the compressions: a header that claims more is damaged.
+MOST_GROWTH = 4096
+#: Stored bytes that one step of tiff_pages() decodes, about.
+STEP_BYTES = 1 << 20
 
 
-def unpack_bits(data: bytes) -> bytes:
+def inflate(data: bytes, most: int) -> bytes:
+    """The first `most` bytes: what a strip or tile has beyond its pixels is never decoded."""
+    out = zlib.decompressobj().decompress(data, most) if most else b""
+    if len(out) < most:
+        raise ValueError("deflated data end early")
+    return out
+
+
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
+    """Stops after `most` bytes, if given."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and (most is None or len(out) < most):
         c = data[i]
         if c < 128:
             out += data[i + 1 : i + 2 + c]
@@ -60,8 +71,8 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits; the width grows one code early; 256 clears, 257 ends."""
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """Codes of 9 to 12 bits; the width grows one code early; 256 clears, 257 ends. Stops after `most` bytes, if given."""
     out, table, width, acc, bits, last = bytearray(), [], 9, 0, 0, b""
     for byte in data:
         acc, bits = (acc << 8 | byte) & 0xFFFFFFFF, bits + 8
@@ -83,6 +94,8 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise ValueError("LZW code out of range")
         out += word
+        if most is not None and len(out) >= most:
+            break
         if last and len(table) < 4096:
             table.append(last + word[:1])
         last = word
@@ -201,9 +214,9 @@ def _page(data: bytes, end: str, tags: dict[int, list]) -> dict:
         raise ValueError("a page without width or height")
     if len(set(bits)) > 1 or bits[0] not in (1, 8, 16, 32):
         raise ValueError(f"unsupported bits per sample {bits}")
-    if width * height * samples * max(bits[0], 8) // 8 > MOST_BYTES:
-        raise ValueError("page too large")
-    unpack = {NONE: bytes, LZW: lzw_decode, ADOBE_DEFLATE: zlib.decompress, DEFLATE: zlib.decompress, PACKBITS: unpack_bits}.get(compression)
+    if width * height * samples * bits[0] > 8 * MOST_GROWTH * len(data):
+        raise ValueError("a page of more pixels than its file can hold")
+    unpack = {NONE: lambda x, n: x, LZW: lzw_decode, ADOBE_DEFLATE: inflate, DEFLATE: inflate, PACKBITS: unpack_bits}.get(compression)
     if unpack is None:
         raise ValueError(f"unsupported compression {compression}")
     bits, planes, deep = bits[0], samples if planar == 2 else 1, 1 if planar == 2 else samples
@@ -219,9 +232,9 @@ def _page(data: bytes, end: str, tags: dict[int, list]) -> dict:
         plane, cell = divmod(k, across * down)
         y, x = cell // across * h, cell % across * w
         rows = h if tiled else min(h, height - y)
-        raw = unpack(data[starts[k] : starts[k] + counts[k]])
+        line = -(-w * deep * bits // 8)
+        raw = unpack(data[starts[k] : starts[k] + counts[k]], rows * line)
         if bits == 1:
-            line = -(-w * deep // 8)
             part = np.unpackbits(np.frombuffer(raw, "u1", rows * line).reshape(rows, line), axis=1)[:, : w * deep].reshape(rows, w, deep)
         else:
             part = np.frombuffer(raw, kind, rows * w * deep).reshape(rows, w, deep).astype(out.dtype)
@@ -261,7 +274,8 @@ def tiff_pages(files: DataFrame, media: str = "media") -> DataFrame:
     pixels (rows x columns x samples, chunky), feature, error.
 
     A null, damaged or unsupported file gives one row with error set and the rest null; a file without pages gives
-    none. An input column with one of the result names gives way to the result. No shuffle.
+    none. Repeated rows: each counts. Empty table: no rows. An input column with one of the result names gives way to
+    the result. No shuffle. Files are decoded STEP_BYTES of stored bytes at a time, or one by one.
     """
     names = {n for n, _ in _OUT}
     keep = [c for c in files.columns if c not in names or c == media]
@@ -271,8 +285,7 @@ def tiff_pages(files: DataFrame, media: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in slices(whole, media, STEP_BYTES):
                 take, rows = [], []
                 for i, data in enumerate(b.column(place).to_pylist()):
                     try:
@@ -290,9 +303,26 @@ def tiff_pages(files: DataFrame, media: str = "media") -> DataFrame:
     return files.mapInArrow(run, schema)
 
 
+def stored_as(rows: int) -> dict:
+    """Compression, predictor and layout of a page of so many rows."""
+    if rows <= 2:
+        return {"compression": PACKBITS, "predictor": 1}
+    if rows <= 4:
+        return {"compression": LZW, "predictor": 2}
+    if rows % 16 == 0:
+        return {"compression": ADOBE_DEFLATE, "predictor": 2, "tile": (16, 32)}
+    return {"compression": DEFLATE, "predictor": 2}
+
+
 def text_tiffs(docs: DataFrame, row_bytes: int = 192, samples: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, media: each whole text as UTF-8, padded with spaces to a positive multiple of row_bytes, as
-    one deflated TIFF page of row_bytes / samples columns. Null text counts as empty; one row for each input row."""
+    one TIFF page of row_bytes / samples columns. How it is stored follows from its size alone, so equal texts have
+    equal files, and every compression of the format is in use: PackBits in strips for the smallest, LZW in strips
+    with predictor, deflate in tiles, and deflate in strips with predictor for the largest.
+
+    Null text counts as empty; null doc_id stays null; repeated rows: a row each; empty table: no rows; other columns
+    are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -301,7 +331,7 @@ def text_tiffs(docs: DataFrame, row_bytes: int = 192, samples: int = 3, text: st
                 media = []
                 for x in texts:
                     rows = max(1, -(-len(x) // row_bytes))
-                    media.append(write_tiff(np.frombuffer(x.ljust(rows * row_bytes, b" "), np.uint8).reshape(rows, row_bytes // samples, samples)))
+                    media.append(write_tiff(np.frombuffer(x.ljust(rows * row_bytes, b" "), np.uint8).reshape(rows, row_bytes // samples, samples), **stored_as(rows)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return doc_rows(docs, text, doc_id).mapInArrow(run, "doc_id long, n_bytes long, media binary")
