@@ -30,6 +30,9 @@ KINDS = ("assign", "access", "hex", "crf")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Texts with a base hit, and texts of any kind, that training may see: the bound of the sample.
 SAMPLE_HITS, SAMPLE_OTHERS = 600, 200
+#: Words of these texts around which training looks: every word of a hit, every long word, and this many others of each
+#: text; of more than SAMPLE_WINDOWS in all, a seeded choice of as many.
+OTHER_WORDS, SAMPLE_WINDOWS = 5, 6_000
 B, I, O = 0, 1, 2  # noqa: E741
 _REACH = 5  # words on each side of a hit that training looks at
 _CORE = "\"'`()<>[]{},;:.!?"
@@ -145,23 +148,25 @@ def train(texts: list[str], seed: int = 5, rounds: int = 70) -> Field | None:
     """None where no text of the sample has a hit."""
     rng = np.random.default_rng(seed)
     number: dict[bytes, int] = {b"": 0}
-    seqs, golds, files = [], [], []
+    kept, places = [], []
     width = 2 * _REACH + 1
     for text in texts:
         words, tags = _tags(text)
         if not words:
             continue
-        f = text_features(text.encode())
         ids = [0] * _REACH + [number.setdefault(w, len(number)) for w in words] + [0] * _REACH
         padded = np.concatenate([np.full(_REACH, O), tags, np.full(_REACH, O)])
-        hits = np.flatnonzero(tags != O)
-        # Around each hit, and around some other words, long ones among them.
-        others = np.flatnonzero(tags == O)
-        long = [i for i in others.tolist() if len(words[i]) > 12][:5]
-        for i in [*hits.tolist()[:10], *long, *(rng.choice(others, min(5, len(others)), replace=False).tolist() if len(others) else [])]:
-            seqs.append(ids[i : i + width])
-            golds.append(padded[i : i + width])
-            files.append(f)
+        # Around each hit, around long words, and around some others.
+        hits, others = np.flatnonzero(tags != O), np.flatnonzero(tags == O)
+        long = [i for i in others.tolist() if len(words[i]) > 12]
+        some = rng.choice(others, min(OTHER_WORDS, len(others)), replace=False) if len(others) else others
+        places += [(len(kept), i) for i in [*hits.tolist(), *long, *some.tolist()]]
+        kept.append((np.array(ids), padded, text_features(text.encode())))
+    if len(places) > SAMPLE_WINDOWS:
+        places = [places[i] for i in np.sort(rng.choice(len(places), SAMPLE_WINDOWS, replace=False))]
+    seqs = [kept[k][0][i : i + width] for k, i in places]
+    golds = [kept[k][1][i : i + width] for k, i in places]
+    files = [kept[k][2] for k, _ in places]
     if not seqs or not any((g != O).any() for g in golds):
         return None
     seqs, golds, files = np.array(seqs), np.array(golds), np.array(files)
@@ -303,7 +308,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Field | None:
     """Trains on a bounded sample, chosen by a hash of the text: SAMPLE_HITS texts that may have a base hit,
-    SAMPLE_OTHERS of all."""
+    SAMPLE_OTHERS of all, SAMPLE_WINDOWS places in them. Null texts do not take part, and equal texts count once; None
+    for an empty table, or where no text of the sample has a hit. Other columns are ignored."""
     d = doc_rows(docs, text, doc_id).filter("text is not null").select("text", F.xxhash64("text").alias("h"))
     some = F.regexp_like("text", F.lit("(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]")) | F.contains("text", F.lit("AKIA")) | F.regexp_like("text", F.lit("[0-9a-f]{24}"))
     # Hashes are sorted first, so that texts do not pass through the limit.

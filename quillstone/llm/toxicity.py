@@ -28,8 +28,8 @@ PAD, SCALE = 200, 400.0
 BIAS = -0.8
 #: Labelled documents that training may see, chosen by a hash of doc_id: the bound of the sample.
 SAMPLE_DOCS = 3_000
-#: Training documents that a row must occur in to be learned.
-LEAST_DOCS = 20
+#: The share of the training documents that a row must occur in to be learned; in two at least.
+LEAST_SHARE = 1 / 500
 _FOLD = bytes(i if i > 127 else ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(256))
 #: Characters of one piece of a very long word, and how many it shares with the next: every 5-gram is in a piece.
 PIECE, OVERLAP = 1000, 4
@@ -105,7 +105,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, rounds: int = 10
     # A row occurs in at least as many texts as the most frequent of its words does.
     frequent = np.zeros(BUCKETS, np.int64)
     np.add.at(frequent, rows, np.bincount(word, minlength=len(lengths))[owner])
-    keep = (frequent >= LEAST_DOCS)[:, None]
+    keep = (frequent >= max(2, LEAST_SHARE * len(texts)))[:, None]
     table *= keep
     balance = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     state, most = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, weight)], None
@@ -171,9 +171,11 @@ def held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE_DOCS) -> Model:
     """Trains on at most `sample` labelled rows that are not held out, chosen by a hash of doc_id. Documents come
-    to the driver only as far as the sample has them. Null labels, ids and texts do not take part."""
+    to the driver only as far as the sample has them. Null labels, ids and texts do not take part. Of repeated ids with
+    labels that differ the greatest counts, and of documents that share an id one, by a hash of the text. Empty tables:
+    a model that gives every text the bias alone. Other columns are ignored."""
     chosen = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null and _y is not null")
-    chosen = chosen.filter(~held_out("_id")).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    chosen = chosen.filter(~held_out("_id")).groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     d = doc_rows(docs, text, doc_id).filter("text is not null")
     # `sample` rows of two numbers: a size known beforehand.
     rows = d.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
@@ -203,7 +205,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "te
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text scores below the threshold. Null text scores as empty."""
+    """The rows of docs, all columns as they are, whose text scores below the threshold. Null text scores as empty, and
+    equal texts alike, so repeated rows stay or go together; ids do not matter. Empty table: no rows."""
     shared = docs.sparkSession.sparkContext.broadcast((model.logits(), float(model.bias[1] - model.bias[0])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
