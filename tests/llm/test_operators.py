@@ -1,6 +1,7 @@
 """Small fixtures for every operator: edge cases, brute force, round trips."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -13,10 +14,11 @@ import xxhash
 from tokenizers import Tokenizer
 
 from quillstone.llm import decontam, licences, mixing, secret_scan, simhash, substring, tiff, toxicity
+from quillstone.llm.byte_level import ByteLevelEncoder
 from quillstone.llm.common import PieceEncoder
 from quillstone.llm.rangecoder import decode_block, encode_block
 from quillstone.llm.token_counts import token_counts
-from quillstone.llm.token_output import token_output
+from quillstone.llm.token_output import read_token_shards, token_output, write_token_shards
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -54,6 +56,37 @@ def test_pieces_equal_whole_texts():
         assert enc.lengths(texts) == [len(w) for w in want]
         enc = PieceEncoder(path, pre, most=50)  # a cache that is emptied again and again
         assert [np.frombuffer(x, "<u2").tolist() for t in texts[:300] for x in enc.ids([t])] == want[:300]
+        flat, lengths = enc.encoded(texts[:50], [2])
+        assert flat.tolist() == [i for w in want[:50] for i in [*w, 2]] and lengths.tolist() == [len(w) + 1 for w in want[:50]]
+
+
+def test_byte_level_pieces_equal_whole_texts():
+    r = random.Random(5)
+    lib = Tokenizer.from_file(BYTE)
+    alphabets = [" \n  aB'sllveré1.漢²", " \n\t\r\x0b\x85\xa0　 aB'sé1.!<|́Σİ😀\x1c\x00\u200d²½ªǅ٣漢\u200b\u180e", "ab ', \n"]
+    texts = ["".join(r.choice(a) for _ in range(r.randint(0, 30))) for a in alphabets for _ in range(3000)]
+    r.shuffle(texts)
+    texts += ["", "", "<|endoftext|> x", "don't 's 'sea it''s", "a   b", "", "\x1c", prose(1, 500)]
+    want = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+    for most in (1_000_000, 40):
+        enc = ByteLevelEncoder(BYTE, most)
+        for at in range(0, len(texts), 700):
+            flat, lengths = enc.encoded(texts[at : at + 700], [2])
+            assert flat.tolist() == [i for w in want[at : at + 700] for i in [*w, 2]]
+            assert lengths.tolist() == [len(w) + 1 for w in want[at : at + 700]]
+    assert enc.encoded([])[0].tolist() == [] and enc.encoded([""], [2])[0].tolist() == [2] and enc.lengths(["", "ab"]) == [0, 1]
+    with pytest.raises(ValueError):
+        ByteLevelEncoder(WORD)
+
+
+def test_token_shards_of_rows_without_ids(spark, tmp_path):
+    rows = [(None, prose(k, 20)) for k in range(40)] + [(7, prose(50 + k, 5)) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = write_token_shards(df, f"file://{tmp_path}/t", BYTE, 50257, 2, shards=6)
+    assert made.count() == 6 and max(r["n_docs"] for r in made.collect()) < 40
+    got = Counter(r["ids_crc32"] for r in read_token_shards(spark, made).collect())
+    lib = Tokenizer.from_file(BYTE)
+    assert got == Counter(zlib.crc32(np.array([*lib.encode(t).ids, 2], "<u4").tobytes()) for _, t in rows)
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 63, 64, 65, 300, 5000, 20000])
@@ -123,23 +156,82 @@ def test_simhash_brute_force(spark, docs, empty):
     assert simhash.near_duplicates(docs).count() == len(ROWS)
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.deduplicated(df)
-    assert kept.count() == len({got[k] for k in got}) + 1  # doc 9 stands twice in the rows, and both are kept
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({got[k] for k in got})
+
 
+def test_deduplicated_keeps_one_row_of_each_component(spark, empty):
+    """Null and repeated ids, and columns with the names that are used inside."""
+    rows = [(None, LONG, 1), (5, LONG, 2), (5, LONG, 3), (None, "", 4), (None, None, 5), (7, "one two three four", 6), (7, "quite another text here", 7)]
+    df = spark.createDataFrame([(i, t, k, 1, 2, 3, "x") for i, t, k in rows], "doc_id long, text string, row long, _ROW_KEY int, _doc int, _kept int, fingerprint string").repartition(3)
+    out = simhash.deduplicated(df)
+    assert out.columns == df.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    assert got == sorted([(5, LONG), (0, ""), (7, "one two three four"), (7, "quite another text here")])
+    assert simhash.deduplicated(empty).count() == 0
 
-def test_bk_tree_and_large_shards(spark, monkeypatch):
+
+def test_bk_tree():
     r = random.Random(2)
     prints = list({r.getrandbits(64) & ~0xFFFF | r.choice((1, 3, 7)) for _ in range(300)} | {0xAAAA0000 | 1 << k for k in range(12)})
-    tree = simhash.BKTree(prints)
-    for p in prints[:60]:
-        assert sorted(tree.near(p, 3)) == [i for i, q in enumerate(prints) if (p ^ q).bit_count() <= 3]
+    tree = simhash.BKTree(np.array(prints, np.uint64))
+    # Children are keyed by their distance to the parent, and each fingerprint but the first is one child.
+    assert sorted(tree.children.tolist()) == list(range(1, len(prints)))
+    assert all((prints[e // 128] ^ prints[c]).bit_count() == e % 128 for e, c in zip(tree.edges.tolist(), tree.children.tolist(), strict=True))
+    asked = prints[:60] + [r.getrandbits(64) for _ in range(20)]
+    want = {(q, i) for q, p in enumerate(asked) for i, x in enumerate(prints) if (p ^ x).bit_count() <= 3}
+    q, at = tree.near(np.array(asked, np.uint64), 3)
+    assert set(zip(q.tolist(), at.tolist(), strict=True)) == want and len(q) == len(want)
+    assert tree.visited < len(asked) * len(prints)
+    assert len(simhash.BKTree(np.zeros(0, np.uint64)).near(np.array([1], np.uint64), 3)[0]) == 0
+
+
+def test_masks_lose_no_pair_within_the_radius():
+    r = random.Random(9)
+    for n in (0, 1, 5000, 300_000, 1 << 26, 1 << 34, 1 << 50):
+        masks = [m for _, m in simhash.shard_masks(n)]
+        assert len(masks) == (4 if n <= 1 << 26 else 16)
+        for _ in range(300):
+            x = r.getrandbits(64)
+            y = x
+            for bit in r.sample(range(64), 3):
+                y ^= 1 << bit
+            assert any(x & m == y & m for m in masks)
+            assert all(any(x & f == y & f for f in simhash._finer(b, 12)) for b in range(4) if not (x ^ y) >> 16 * b & 0xFFFF)
+
+
+def test_large_shards(spark, monkeypatch):
+    r = random.Random(2)
+    prints = list({r.getrandbits(64) & ~0xFFFF | r.choice((1, 3, 7)) for _ in range(300)} | {0xAAAA0000 | 1 << k for k in range(12)} | {0x5555000000000000 | 1 << k | 1 << j for k in range(24) for j in range(24)})
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    df = spark.createDataFrame(signed, "fingerprint long")
-    roots = {}
-    for trees, queries in ((1024, 16384), (16, 32)):
-        monkeypatch.setattr(simhash, "TREE", trees)
-        monkeypatch.setattr(simhash, "QUERIES", queries)
-        roots[trees] = sorted(map(tuple, simhash.components(simhash._shard_links(df, 3)).collect()))
-    assert roots[1024] == roots[16] and len(roots[16]) >= 11
+    df = spark.createDataFrame(signed, "fingerprint long").repartition(3)
+    up = {p: p for (p,) in signed}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for x in range(len(prints)):
+        for y in range(x):
+            if (prints[x] ^ prints[y]).bit_count() <= 3:
+                a, b = sorted((top(signed[x][0]), top(signed[y][0])))
+                up[b] = a
+    want = sorted((p, top(p)) for (p,) in signed if top(p) != p)
+    for tree, large, queries in ((1024, 8192, 16384), (16, 20, 32), (64, 2000, 50)):
+        for name, value in (("TREE", tree), ("LARGE", large), ("QUERIES", queries)):
+            monkeypatch.setattr(simhash, name, value)
+        assert sorted(map(tuple, simhash.components(simhash._shard_links(df, 3)).collect())) == want
+
+
+def test_united():
+    r = np.random.default_rng(1)
+    a, b = r.integers(0, 400, 300).astype(np.uint64), r.integers(0, 400, 300).astype(np.uint64)
+    up = list(range(400))
+    for _ in range(400):
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            up[x] = up[y] = min(up[x], up[y])
+    node, root = simhash.united(a, b)
+    assert dict(zip(node.tolist(), root.tolist(), strict=True)) == {x: up[x] for x in set(a.tolist()) | set(b.tolist()) if up[x] != x}
 
 
 def test_components_of_a_chain(spark):
@@ -172,13 +264,46 @@ def test_substring_brute_force(spark, docs, empty):
             seen.add(k)
         kept = [x for x, c in zip(w, cover, strict=True) if not c]
         assert got[doc] == (len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()), doc
+    # Every factor's words stand where it says, earlier; factors are what is removed.
+    words = {d: (t or "").encode().split() for d, t in rows}
+    crossed = 0
+    for x in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        at = 0
+        assert len(x["factors"]) == x["n_factors"] and sum(f["length"] for f in x["factors"]) == x["n_removed"]
+        for f in x["factors"]:
+            crossed += f["start"] == at > 0
+            assert f["start"] >= at and (f["source"], f["source_start"]) < (x["doc_id"], f["start"])
+            assert words[f["source"]][f["source_start"] :][: f["length"]] == words[x["doc_id"]][f["start"] :][: f["length"]]
+            at = f["start"] + f["length"]
     # Repeated rows of one id: neither comes before the other.
     assert sorted(x["n_removed"] for x in substring.substring_dedup(docs).collect()) == [0] * len(ROWS)
-    two = spark.createDataFrame([(1, prose(1, 30)), (1, prose(1, 30) + " more"), (None, prose(1, 30))], "doc_id long, text string")
-    assert substring.substring_dedup(two).count() == 3
+    # Rows that share an id are ordered by a hash of the text; a row without an id stands by such a hash.
+    shared, other = prose(1, 30), prose(2, 30)
+    some = [(1, shared), (1, shared + " more"), (None, shared), (None, shared), (2, other), (3, other + " x"), (3, None)]
+    got = Counter((x["doc_id"], x["n_words"], x["n_removed"]) for x in substring.substring_dedup(spark.createDataFrame(some, "doc_id long, text string")).collect())
+    assert got[2, 30, 0] == 1 and got[3, 31, 30] == 1 and got[3, 0, 0] == 1
+    # Of the texts with `shared`, one place is the first: a row of id 1, or both (equal) rows without an id.
+    parts = sorted((d or 0, n, r) for (d, n, r), k in got.items() for _ in range(k) if d in (None, 1))
+    assert parts in ([(0, 30, 30)] * 2 + [(1, 30, 0), (1, 31, 30)], [(0, 30, 30)] * 2 + [(1, 30, 30), (1, 31, 0)], [(0, 30, 0)] * 2 + [(1, 30, 30), (1, 31, 30)])
     assert substring.substring_dedup(empty).count() == 0
 
 
+def test_parse_is_greedy_and_checks_boundaries():
+    run = lambda at, n, source, there: [(at + i, source, there + i) for i in range(n)]
+    # Windows of 5: one run, then at its boundary a run of another document, then a gap.
+    rows = np.array(run(3, 4, 7, 100) + run(7, 2, 8, 50) + run(40, 1, 9, 0))
+    assert substring.parse(rows, 5).tolist() == [(3, 8, 7, 100), (11, 2, 8, 54), (40, 5, 9, 0)]
+    # A run that ends inside a factor adds nothing.
+    assert substring.parse(np.array(run(0, 1, 1, 5) + run(1, 10, 2, 8)), 5).tolist() == [(0, 5, 1, 5), (5, 10, 2, 12)]
+    assert substring.parse(np.zeros((0, 3), np.int64), 5).tolist() == []
+
+
+def test_copies_meet_in_parts(spark):
+    rows = [(k, 0, 30, 1, 1) for k in range(500)] + [(1000, 0, 30, 2, 2), (1001, 0, 5, 3, 3), (1002, 0, 5, 3, 3), (1003, 5, 30, 4, 4), (1003, 5, 30, 4, 4)]
+    info = spark.createDataFrame(rows, "key long, mark long, n_words long, d1 long, d2 long")
+    assert sorted(map(tuple, substring.copies(info, 20).collect())) == [(k, 0, 0) for k in range(1, 500)]
+
+
 def test_licences(spark, docs, empty):
     known = licences.known_digests(spark)
     mit = licences.LICENCES["MIT"]
@@ -188,11 +313,32 @@ def test_licences(spark, docs, empty):
     ]
     got = sorted(((r["doc_id"] or 0, r["license"], r["lines"], r["line_licenses"]) for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()), key=str)
     assert got == sorted([(1, "MIT", 0, ""), (2, None, 0, ""), (3, None, 1, "CC-BY-NC-4.0 line"), (4, None, 0, ""), (5, None, 0, ""), (6, "MIT line", 1, "MIT line"), (6, "MIT line", 1, "MIT line"), (0, "MIT with title", 0, "")], key=str)
+    lines = "Released under the MIT License.\n// SPDX-License-Identifier: GPL-3.0-only\n# This software is released under the Apache License 2.0\nReleased under protest."
+    (got,) = licences.licence_scan(spark.createDataFrame([(1, lines)], "doc_id long, text string"), known).collect()
+    assert (got["license"], got["lines"], got["line_licenses"]) == (None, 3, "Apache-2.0 line, GPL-3.0 line, MIT line")
     plan = licences.licence_scan(docs, known)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert licences.licence_scan(docs, known).count() == len(ROWS) and licences.licence_scan(empty, known).count() == 0
 
 
+def test_licences_in_parts_and_by_digest(spark, monkeypatch):
+    rows = [(k, f"the licence of number {k}") for k in range(30)] + [(30, licences.LICENCES["ISC"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = licences.known_digests(spark, [(f"L{k}", t) for k, t in rows[:20]])
+    want = {k: f"L{k}" if k < 20 else None for k, _ in rows}
+    for most in (100_000, 6):
+        monkeypatch.setattr(licences, "MOST_KNOWN", most)
+        got = licences.licence_scan(df, known).collect()
+        assert {r["doc_id"]: r["license"] for r in got} == want and all(r["line_licenses"] == (r["license"] or "") for r in got)
+    monkeypatch.undo()
+    assert {r["license"] for r in licences.licence_scan(df, known.limit(0)).collect()} == {None}
+    common = "/usr/share/common-licenses"
+    if os.path.isdir(common):
+        texts = [(n, open(f"{common}/{n}", encoding="utf-8", errors="replace").read()) for n in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0")]
+        found = licences.licence_scan(spark.createDataFrame([(i, t.upper()) for i, (_, t) in enumerate(texts)], "doc_id long, text string"), licences.known_digests(spark)).collect()
+        assert [r["license"].removesuffix(".0") for r in sorted(found)] == [n.removesuffix(".0") for n, _ in texts]
+
+
 def test_water_filling_and_mix(spark, docs, empty):
     sizes = spark.createDataFrame([("a", 3.0, 10), ("b", 1.0, 1000), ("c", 2.0, 300), (None, 3.0, 5), ("z", 2.0, 0)], "source string, weight double, source_size long")
     got = {r["source"]: r["target"] for r in mixing.water_fill(sizes, 1.5, 2.0).collect()}
@@ -270,6 +416,37 @@ def test_toxicity(spark, docs, empty):
     assert {r["predicted"] for r in toxicity.score(df, none).collect()} == {0}
 
 
+def test_scores_equal_plain_averages():
+    """A text's score from its features one by one: average with PAD zero vectors, linear softmax."""
+    rows = toxic_rows(120)
+    model = toxicity.train([t.encode() for _, t, _ in rows], [y for *_, y in rows])
+    scorer = toxicity.Scorer(model.logits(), float(model.bias[1] - model.bias[0]))
+    texts = ["", "vileword", *(t for _, t, _ in toxic_rows(20, 4)), "Ünïcode, 漢字！ FOULmouth"]
+    for text, got in zip(texts, scorer.score([t.encode() for t in texts]), strict=True):
+        found = re.findall(r"[^\W_0-9]+(?:[0-9]+[^\W_]*)*|[0-9]+[^\W_]*", text.lower()) if text.isascii() else ["ünïcode", "漢字", "foulmouth"] if text else []
+        vectors = []
+        for w in found:
+            w = "<" + w + ">"
+            for g in {w} | {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)}:
+                vectors.append(model.table[xxhash.xxh32_intdigest(g.encode()) % toxicity.BUCKETS])
+        mean = sum(vectors, np.zeros(toxicity.DIM)) / (len(vectors) + toxicity.PAD) * toxicity.SCALE
+        e = np.exp(mean @ model.weight + model.bias)
+        assert got == pytest.approx(e[1] / e.sum(), rel=1e-9)
+
+
+def test_toxicity_training_lowers_the_balanced_loss():
+    rows = toxic_rows(200)
+    texts, y = [t.encode() for _, t, _ in rows], np.array([y for *_, y in rows])
+
+    def loss(rounds):
+        m = toxicity.train(texts, y.tolist(), rounds=rounds)
+        s = toxicity.Scorer(m.logits(), float(m.bias[1] - m.bias[0])).score(texts)
+        return -np.log(s[y == 1]).mean() / 2 - np.log(1 - s[y == 0]).mean() / 2
+
+    steps = [loss(n) for n in (1, 10, 100)]
+    assert steps[0] > steps[1] > steps[2] and steps[2] < 0.3
+
+
 def test_words_end_at_unicode_marks_and_are_seen_whole():
     text = "One\u00a0two\u3000three\u2014four\u3001five\u3002s\u00e9 \u200bsix"
     assert [w.decode() for w in toxicity.words_for(text.encode())] == ["one", "two", "three", "four", "five", "s\u00e9", "six"]
@@ -330,6 +507,99 @@ def test_tiff_pages(spark, docs, empty):
     assert tiff.tiff_pages(tiff.text_tiffs(empty)).count() == 0
 
 
+def strips(data: bytes) -> tuple[dict, list[bytes]]:
+    """The first directory's numbers and the stored strips or tiles, read by hand."""
+    import struct
+
+    at = struct.unpack_from("<I", data, 4)[0]
+    tags = {}
+    for i in range(struct.unpack_from("<H", data, at)[0]):
+        tag, kind, n, value = struct.unpack_from("<HHII", data, at + 2 + 12 * i)
+        width = {3: 2, 4: 4}[kind]
+        where = at + 10 + 12 * i if n * width <= 4 else value
+        tags[tag] = struct.unpack_from(f"<{n}{'H' if kind == 3 else 'I'}", data, where)
+    starts, counts = tags.get(273) or tags[324], tags.get(279) or tags[325]
+    return tags, [data[a : a + n] for a, n in zip(starts, counts, strict=True)]
+
+
+def test_media_columns_by_hand(spark):
+    """Every result column from the files themselves, decoded without the reader."""
+    texts = ["", "a", "x" * 384, "Long é " * 80, "word " * 620, "漢字 and more " * 900, "b" * (192 * 16)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None), (100, "a")], "doc_id long, text string")
+    files = {r["doc_id"]: bytes(r["media"]) for r in tiff.text_tiffs(df).collect()}
+    used = set()
+    for r in tiff.tiff_pages(tiff.text_tiffs(df)).collect():
+        data = (dict(enumerate(texts)) | {100: "a"}).get(r["doc_id"], "").encode()
+        payload = data.ljust(max(1, -(-len(data) // 192)) * 192, b" ")
+        tags, parts = strips(files[r["doc_id"]])
+        h, kind = len(payload) // 192, tags[259][0]
+        used.add((kind, 322 in tags))
+        assert (tags[256], tags[257], tags[277]) == ((64,), (h,), (3,)) and r["n_bytes"] == len(data) and bytes(r["pixels"]) == payload
+        rows = []
+        for part in parts:
+            if kind == 32773:
+                out, i = b"", 0
+                while i < len(part):
+                    n = part[i]
+                    out, i = (out + part[i + 1 : i + 2 + n], i + 2 + n) if n < 128 else (out + part[i + 1 : i + 2] * (257 - n), i + 2)
+                raw = out
+            elif kind == 5:
+                raw = tiff.lzw_decode(part)  # compared with a known stream elsewhere
+            else:
+                raw = zlib.decompress(part)
+            rows.append(raw)
+        if 322 in tags:
+            w, tall = tags[322][0], tags[323][0]
+            grid = np.zeros((h, 64, 3), np.uint8)
+            for k, raw in enumerate(rows):
+                y, x = k // 2 * tall, k % 2 * w
+                grid[y : y + tall, x : x + w] = np.cumsum(np.frombuffer(raw, np.uint8).reshape(tall, w, 3), 1, dtype=np.uint8)
+        else:
+            grid = np.frombuffer(b"".join(rows), np.uint8).reshape(h, 64, 3)
+            grid = np.cumsum(grid, 1, dtype=np.uint8) if tags[317] == (2,) else grid
+        assert grid.tobytes() == payload
+        shares = [sum(16 * k <= v < 16 * k + 16 for v in payload) * 1000 // len(payload) for k in range(16)]
+        assert r["feature"] == f"64x{h}x3 min={min(payload)} max={max(payload)} mean={sum(payload) * 1000 // len(payload)} bins={','.join(map(str, shares))}"
+    assert used == {(32773, False), (5, False), (8, True), (32946, False)}
+    assert files[1] == files[100]
+
+
+def test_known_streams():
+    # From the format's specification: the PackBits example, and LZW of 7 7 7 8 8 7 7 6 6 as codes 256 7 258 8 8 258 6 6 257.
+    assert tiff.unpack_bits(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257))
+    stream = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8))
+    assert tiff.lzw_decode(stream) == bytes((7, 7, 7, 8, 8, 7, 7, 6, 6)) == tiff.lzw_decode(tiff.lzw_encode(bytes((7, 7, 7, 8, 8, 7, 7, 6, 6))))
+    with pytest.raises(ValueError):
+        tiff.inflate(zlib.compress(b"abc"), 4)
+    assert tiff.inflate(zlib.compress(b"a" * 10_000_000), 5) == b"aaaaa"
+
+
+def test_a_row_for_each_page(spark):
+    import struct
+
+    one, two = tiff.write_tiff(page(1, 3, 4, 1), tiff.NONE, 1), tiff.write_tiff(page(2, 5, 6, 3), tiff.LZW)
+    # The second file behind the first, its places moved, and the first directory pointing to the second.
+    at = struct.unpack_from("<I", one, 4)[0]
+    n = struct.unpack_from("<H", one, at)[0]
+    base, moved = len(one), bytearray(two)
+    first = struct.unpack_from("<I", two, 4)[0]
+    for i in range(struct.unpack_from("<H", two, first)[0]):
+        p = first + 2 + 12 * i
+        tag, kind, count, value = struct.unpack_from("<HHII", two, p)
+        if tag == 273 or count * {3: 2, 4: 4}[kind] > 4:
+            struct.pack_into("<I", moved, p + 8, value + base)
+    both = bytearray(one) + moved
+    struct.pack_into("<I", both, at + 2 + 12 * n, base + first)
+    rows = sorted(tiff.tiff_pages(spark.createDataFrame([(1, bytes(both)), (1, bytes(both))], "id int, media binary")).collect(), key=lambda r: r["page"])
+    assert [(r["page"], r["height"], r["width"], r["samples"]) for r in rows] == [(0, 3, 4, 1)] * 2 + [(1, 5, 6, 3)] * 2
+    assert bytes(rows[0]["pixels"]) == page(1, 3, 4, 1).tobytes() and bytes(rows[2]["pixels"]) == page(2, 5, 6, 3).tobytes()
+    huge = bytearray(one)
+    struct.pack_into("<I", huge, at + 2 + 8, 1 << 30)  # a width that the file cannot hold
+    with pytest.raises(ValueError, match="more pixels"):
+        tiff.read_tiff(bytes(huge))
+
+
 def test_big_endian_and_planar():
     # Two samples, planar, big-endian, 16 bits, built by hand.
     import struct
@@ -446,3 +716,32 @@ def test_field_and_pruned_viterbi():
         hits += bool(whole)
     assert hits >= 30
     assert secret_scan.train(["no hits here"]) is None
+
+
+def test_viterbi_against_all_paths():
+    from itertools import product
+
+    r = np.random.default_rng(3)
+    for n in (1, 2, 3, 5, 6):
+        for _ in range(20):
+            e, follow = r.normal(0, 2, (n, 3)), r.normal(0, 2, (3, 3))
+            score = lambda p, e=e, follow=follow: sum(e[i, t] for i, t in enumerate(p)) + sum(follow[a, b] for a, b in zip(p, p[1:], strict=False))
+            assert tuple(secret_scan.viterbi(e, follow)) == max(product(range(3), repeat=n), key=score)
+
+
+def test_field_tags_held_out_texts():
+    """Tags of texts that training has not seen, against those of the base patterns: recall and precision."""
+    r = random.Random(12)
+    key = lambda n: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    kinds = [lambda: f"password = {key(24)}", lambda: f"api_key={key(20)}", lambda: f"AKIA{key(16).upper()}", lambda: "%040x" % r.getrandbits(160)]
+    make = lambda k: f"{prose(k, 12)} {kinds[k % 4]()} {prose(k + 1, 12)}" if k % 3 else prose(k, 40)
+    scanner = secret_scan.Scanner(secret_scan.train([make(k) for k in range(300)]))
+    right = wrong = lost = 0
+    for k in range(9000, 9200):
+        text = make(k)
+        words, tags = secret_scan._tags(text)
+        scanner._learn([words])
+        found = {i for a, b in scanner.tagged(words, secret_scan.text_features(text.encode())) for i in range(a, b)}
+        want = set(np.flatnonzero(tags != secret_scan.O).tolist())
+        right, wrong, lost = right + len(found & want), wrong + len(found - want), lost + len(want - found)
+    assert right > 100 and right / (right + wrong) >= 0.95 and right / (right + lost) >= 0.95
