@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_rows
+from .common import doc_rows, written
 
 # Fixed values. Well-known short licence texts and notices, whole, by name. Longer ones stand below by their digests.
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -150,19 +150,23 @@ def licence_scan(docs: DataFrame, known: DataFrame, text: str = "text", doc_id:
     """
     d = doc_rows(docs, text, doc_id).withColumn("text", F.coalesce("text", F.lit("")))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.regexp_like(x, F.lit(HINT)))
-    d = d.select("doc_id", digest(F.col("text")).alias("digest"), F.transform(lines, digest).alias("_lines"), F.lit(None).cast("string").alias("license"), F.array().cast("array<string>").alias("_found"))
+    d = d.select("doc_id", digest(F.col("text")).alias("digest"), F.transform(lines, digest).alias("_lines"))
     known = known.select(F.col("_known").alias("_digest"), F.col("license").alias("_name"))
     parts = max(1, -(-known.count() // MOST_KNOWN))
+    known = written(known, "known-licences") if parts > 1 else known
     for i in range(parts):
         part = known.filter(F.pmod(F.xxhash64("_digest"), F.lit(parts)) == i) if parts > 1 else known
         names = part.agg(F.map_from_entries(F.collect_list(F.struct("_digest", "_name"))).alias("_names"))
         d = d.join(F.broadcast(part), F.col("digest") == F.col("_digest"), "left")
         # One row; the product with it is a broadcast of a bounded map, not of documents.
         d = d.join(F.broadcast(names), how="left")
-        # Most documents have no such line: nothing is looked up for them.
         found = F.filter(F.transform("_lines", lambda x: F.try_element_at("_names", x)), lambda x: x.isNotNull())
-        found = F.when(F.size("_lines") > 0, F.concat("_found", found)).otherwise(F.col("_found"))
-        d = d.select("doc_id", "digest", "_lines", F.coalesce("license", "_name").alias("license"), found.alias("_found"))
+        # Most documents have no such line: nothing is looked up for them.
+        found = F.when(F.size("_lines") > 0, found).otherwise(F.array().cast("array<string>"))
+        name = F.col("_name")
+        if i:
+            name, found = F.coalesce("license", name), F.concat("_found", found)
+        d = d.select("doc_id", "digest", "_lines", name.alias("license"), found.alias("_found"))
     return d.select("doc_id", "digest", "license", F.size("_found").alias("lines"), F.array_join(F.array_sort(F.array_distinct("_found")), ", ").alias("line_licenses"))
 
 
