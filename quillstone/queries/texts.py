@@ -88,7 +88,7 @@ def citations_unsupported(spark: SparkSession, d: str) -> DataFrame:
     no = F.col("o_orderkey") % 60 + 1
     answer = F.concat(F.lit("依第"), no.cast("string"), F.lit("條規定辦理。"))
     evidence = F.array(F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("第 "), no.cast("string"), F.lit(" 條 內容"))).otherwise(F.lit("無")))
-    return table(spark, d, "orders").select("o_orderkey", no.alias("cited"), F.array_join(citations.unsupported_udf(answer, evidence), ",").alias("missing"))
+    return table(spark, d, "orders").select("o_orderkey", no.alias("cited"), F.array_join(F.transform(citations.unsupported(answer, evidence), citations.citation_label), ",").alias("missing"))
 
 
 @query("""SELECT page_id, p[1] AS category, CASE WHEN len(p) >= 3 THEN p[2] END AS "primary", CASE WHEN len(p) > 3 THEN array_to_string(p[3:len(p) - 1], '/') ELSE '' END AS subtopic, regexp_replace(p[len(p)], '\\.[A-Za-z0-9]+$', '') AS document FROM (SELECT page_id, list_filter(string_split(url, '/'), lambda x: x <> '') AS p FROM pages)""")

@@ -94,11 +94,30 @@ def test_references():
     assert citations.detect("食品安全衛生管理法第15條之一及健康食品管理法第14條") == [("食安法", 15, "15之一", None, "primary"), ("健康食品管理法", 14, "14", None, "primary")]
     assert citations.detect("第15條") == [] and citations.detect("本法第3條所稱") == []
     assert citations.detect("本法第3條所稱", "食安法第28條") == [("食安法", 3, "3", None, "definition")]
-    assert citations.cited("依食安法第二十八條及第15條之1、第28條") == [(28, None, "食安法"), (15, "一", "食安法")]
-    assert citations.cited("第104條") == [(104, None, None)]
     assert [citations.number(citations.numeral(n)) for n in range(1, 100)] == list(range(1, 100)) and citations.numeral(104) == "104"
-    assert citations.unsupported("第28條、第9條", ["第 28 條之一"]) == [(9, None, None)]
-    assert citations.unsupported("第15條之一", ["第15之一條"]) == []
+
+
+def test_cited_articles(spark):
+    rows = [
+        ("依食安法第二十八條及第15條之1、第28條", [], [(28, None, "食安法"), (15, "一", "食安法")]),
+        ("第104條", ["第104條"], [(104, None, None)]),
+        ("第28條、第9條", ["第 28 條之一"], [(28, None, None), (9, None, None)]),
+        ("第15條之一", ["第15之一條", None], [(15, "一", None)]),
+        ("藥事法及其他許多不相干的內容，依第 十 條", None, [(10, None, None)]),
+        ("本法第3條，健食法第4條之 2", ["第四條之二"], [(3, None, "本法"), (4, "二", "健食法")]),
+        ("第百條", [], []), ("", [], []), (None, ["第1條"], []),
+    ]
+    df = spark.createDataFrame([(i, a, e) for i, (a, e, _) in enumerate(rows)], "i int, a string, e array<string>")
+    got = {r["i"]: r for r in df.select("i", citations.cited(F.col("a")).alias("c"), citations.unsupported(F.col("a"), F.col("e")).alias("u")).collect()}
+    assert [[tuple(c) for c in got[i]["c"]] for i in range(len(rows))] == [want for *_, want in rows]
+    assert [[(c["article"], c["suffix"]) for c in got[i]["u"]] for i in range(len(rows))] == [[(28, None), (15, "一")], [], [(9, None)], [], [(10, None)], [(3, None)], [], [], []]
+
+
+def test_law_labels(spark):
+    labels = ["食安法第28條", "食安法第15條之一", " 食安法第15之一條\n", "食安法第15條之1", "健康食品管理法第14條", "藥事法第1條", "食安法", "", None]
+    got = [r["r"] for r in spark.createDataFrame([(x,) for x in labels], "x string").select(citations.law_reference(F.col("x")).alias("r")).collect()]
+    want = [("食安法", 28, "28"), ("食安法", 15, "15之一"), ("食安法", 15, "15之一"), ("食安法", 15, "15之1"), ("健康食品管理法", 0, "0"), None, None, None, None]
+    assert [r and tuple(r)[:3] for r in got] == want and {tuple(r)[3:] for r in got if r} == {(None, "primary")}
 
 
 def test_sign_test(spark):
