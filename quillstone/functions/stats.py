@@ -29,21 +29,51 @@ def hash_index(k: Column, i: Column, n: Column | int, seed: int) -> Column:
     return F.pmod(h, n if isinstance(n, Column) else F.lit(n))
 
 
-def bootstrap(values: DataFrame, value: str, order: str, resamples: int, seed: int, sample: int | None = None) -> DataFrame:
+#: Parts into which an ordered table is cut for running sums and numbers.
+PARTS = 64
+
+
+def parted(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df and the part of the column's range that each row is in: fixed bounds, so a row's part never changes. Equal
+    values are in one part."""
+    bounds = df.agg(F.percentile_approx(F.col(column).cast("double"), [i / PARTS for i in range(1, PARTS)], 1000)).first()[0]
+    above = [F.when(F.col(column) > F.lit(b), 1).otherwise(0) for b in sorted(set(bounds or []))]
+    return df.withColumn(name, sum(above, F.lit(0)))
+
+
+def running(df: DataFrame, column: str, value: Column, name: str) -> DataFrame:
+    """df and the sum of `value` over all rows before it, in the order of a column of distinct numbers: sums within parts
+    of the column's range, and the sums of the parts before."""
+    rows = parted(df, column, "_part").withColumn("_value", value)
+    sums = rows.groupBy("_part").agg(F.sum("_value").alias("_sum"))
+    before = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("_value").over(Window.partitionBy("_part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # At most PARTS rows.
+    return rows.withColumn("_inside", inside).join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, F.col("_base") + F.col("_inside")).drop("_part", "_p", "_value", "_base", "_inside")
+
+
+def bootstrap(values: DataFrame, value: str, order: str, resamples: int, seed: int) -> DataFrame:
     """n, mean, low, high: the 2.5 and 97.5 percentiles of the means of resamples drawn by hash_index.
 
-    For metrics with one value for each question (a bounded set); each value is numbered, resamples are rows of a
-    range, and the draws are joined to the values by number. An empty table gives n = 0 and nulls.
+    `order` is a column of distinct numbers, by which values are numbered. Every value makes a draw in each resample;
+    draws meet the values by number. The work is n x resamples, dealt out by number. Nulls do not take part. An empty
+    table gives n = 0 and nulls.
     """
-    v = values.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), (F.row_number().over(Window.orderBy(order)) - 1).alias("i"))
+    v = running(values.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(order).alias("_o")), "_o", F.lit(1).cast("long"), "i").select("v", "i")
     size = v.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
-    draws = values.sparkSession.range(resamples).select(F.col("id").alias("k")).crossJoin(F.broadcast(v.select("i"))).crossJoin(F.broadcast(size.select("n")))
+    # One row of two numbers goes to every task, and each row is repeated once for each resample.
+    draws = v.select("i").crossJoin(F.broadcast(size.select("n"))).select(F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("k"), "i", "n")
     draws = draws.select("k", hash_index(F.col("k"), F.col("i"), F.col("n"), seed).alias("i"))
-    means = draws.join(F.broadcast(v), "i").groupBy("k").agg(F.avg("v").alias("m"))
+    means = draws.join(v, "i").groupBy("k").agg(F.avg("v").alias("m"))
     ends = means.agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
     return size.crossJoin(ends)
 
 
+def excludes_zero(low: Column, high: Column) -> Column:
+    """Whether an interval lies on one side of zero; null: no."""
+    return F.coalesce((low > 0) | (high < 0), F.lit(False))
+
+
 def bootstrap_numpy(values: np.ndarray, resamples: int = 10_000, seed: int = 0) -> tuple[float, float, float]:
     """Mean, low, high, by numpy's default generator; NaN for no values. Draws 1,000 resamples at a time."""
     v = np.asarray(values, float)
@@ -63,9 +93,12 @@ def bootstrap_udaf(v: pd.Series) -> list[float]:
 def sign_test(up: Column, down: Column) -> Column:
     """Exact two-sided p of `up` against `down` flips: min(1, 2 * sum_{i <= min} C(n, i) / 2^n); 1 without flips."""
     n, k = (up + down).cast("double"), F.least(up, down)
-    # C(n, i) / 2^n by its logarithm: no factorial, which ends at 20.
-    term = lambda i: F.exp(F.aggregate(F.when(i > 0, F.sequence(F.lit(1).cast("long"), i.cast("long"))).otherwise(F.array().cast("array<bigint>")), -n * F.log(F.lit(2.0)), lambda s, j: s + F.log((n - j + 1) / j)))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long")), F.lit(0.0), lambda s, i: s + term(i))
+    # C(n, i) / 2^n by its logarithm, each from the one before: no factorial, which ends at 20.
+    state = lambda at, total: F.struct(at.alias("at"), total.alias("total"))
+    step = lambda s, i: state(s["at"] + F.log((n - i + 1) / i), s["total"] + F.exp(s["at"] + F.log((n - i + 1) / i)))
+    first = -n * F.log(F.lit(2.0))
+    places = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    tail = F.aggregate(places, state(first, F.exp(first)), step)["total"]
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
@@ -73,10 +106,10 @@ def threshold_sweep(scored: DataFrame, score: str, inside: str) -> DataFrame:
     """threshold, false_rejects, false_accepts, errors for every distinct score: rejects are inside rows below it,
     accepts are outside rows at or above it. By running sums over distinct scores, so each row is read once."""
     by = scored.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(inside)).alias("a"), F.count_if(~F.col(inside)).alias("b"))
-    below = Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
-    above = Window.orderBy("threshold").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    out = by.select("threshold", F.coalesce(F.sum("a").over(below), F.lit(0)).alias("false_rejects"), F.sum("b").over(above).alias("false_accepts"))
-    return out.withColumn("errors", F.col("false_rejects") + F.col("false_accepts"))
+    total = by.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("_all"))
+    out = running(running(by, "threshold", F.col("a"), "false_rejects"), "threshold", F.col("b"), "_below")
+    out = out.crossJoin(F.broadcast(total)).withColumn("false_accepts", F.col("_all") - F.col("_below"))
+    return out.select("threshold", "false_rejects", "false_accepts", (F.col("false_rejects") + F.col("false_accepts")).alias("errors"))
 
 
 def confusion(df: DataFrame, gold: str, predicted: str, classes: list[str]) -> DataFrame:

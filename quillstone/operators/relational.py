@@ -98,6 +98,14 @@ def bag_union(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame
     return left.unionByName(right.join(left.select(*on).distinct(), list(on), "left_anti"))
 
 
+def partition_check(everything: DataFrame, kept: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
+    """One row: n, kept, rejected, in_both, in_neither (counts of keys). The parts are a partition if the last two are 0."""
+    marks = [df.select(F.col(key).alias("_k"), *[F.lit(i == j).alias(c) for j, c in enumerate("akr")]) for i, df in enumerate((everything, kept, rejected))]
+    by = marks[0].unionByName(marks[1]).unionByName(marks[2]).groupBy("_k").agg(*[F.bool_or(c).alias(c) for c in "akr"])
+    a, k, r = (F.col(c) for c in "akr")
+    return by.agg(F.count_if(a).alias("n"), F.count_if(k).alias("kept"), F.count_if(r).alias("rejected"), F.count_if(k & r).alias("in_both"), F.count_if(a & ~k & ~r).alias("in_neither"))
+
+
 def quota_sample(df: DataFrame, by: str, key: str, quota: int, seed: int) -> DataFrame:
     """`quota` rows of each class in the order of md5(seed|key): the same rows wherever it runs."""
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relational import three_way_split
 
-#: Characters of a text that make features: the experiment regresses short notices.
-OPENING = 200
-
 
 def split(docs: DataFrame) -> DataFrame:
     """Rows with text and a target above 0, the log target, and their split."""
-    kept = docs.filter((F.col("text") != "") & (F.col("n_chars") != 0)).select("doc_id", F.substring("text", 1, OPENING).alias("text"), F.log(F.col("n_chars").cast("double")).alias("y"))
+    kept = docs.filter((F.col("text") != "") & (F.col("n_chars") != 0)).select("doc_id", "text", F.log(F.col("n_chars").cast("double")).alias("y"))
     return three_way_split(kept, "doc_id", 42)
 
 
@@ -33,18 +31,28 @@ def vocabulary(rows: DataFrame, top: int) -> DataFrame:
     return best.crossJoin(F.broadcast(n)).select("gram", "df", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
 
 
+def weighted(rows: DataFrame, train: DataFrame, features: int) -> DataFrame:
+    """rows(split, y, text, ...) + features: counts of the most frequent grams of the training rows, each times its
+    idf = ln((1 + n) / (1 + df)) + 1 there, of unit length."""
+    n = train.count()
+    counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=features).fit(train)
+    # Spark's idf is ln((n + 1) / (df + 1)), without the 1.
+    idf = IDF(inputCol="tf", outputCol="raw").fit(counts.transform(train)) if n else None
+    if idf is None:
+        return counts.transform(rows).withColumnRenamed("tf", "features")
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="tf", outputCol="raw")
+    return Normalizer(p=2.0, inputCol="raw", outputCol="features").transform(scaled.transform(counts.transform(rows)))
+
+
 def experiment(rows: DataFrame, features: int = 5000, alpha: float = 1.0) -> DataFrame:
-    """split, n, mae, rmse, r2 (log target), mae_units (target itself)."""
+    """split, n, mae, rmse, r2 (log target), mae_units (target itself). Whole texts; grams are counted by the training
+    rows alone."""
     rows = rows.withColumn("grams", grams(F.col("text")))
     train = rows.filter("split = 'train'")
-    counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=features).fit(train)
-    idf = IDF(inputCol="tf", outputCol="raw").fit(counts.transform(train))
-    unit = Normalizer(p=2.0, inputCol="raw", outputCol="features")
-    make = lambda df: unit.transform(idf.transform(counts.transform(df)))
     n, sd = train.agg(F.count(F.lit(1)), F.stddev_pop("y")).first()
+    ready = weighted(rows, train, features)
     # Spark scales the penalty by the label's deviation: alpha * sd / n is ridge with alpha.
-    fit = LinearRegression(labelCol="y", regParam=alpha * (sd or 0.0) / max(n, 1), elasticNetParam=0.0, standardization=False, solver="normal").fit(make(train))
-    p = fit.transform(make(rows))
+    fit = LinearRegression(labelCol="y", regParam=alpha * (sd or 0.0) / max(n, 1), elasticNetParam=0.0, standardization=False, solver="l-bfgs", maxIter=200, tol=1e-9).fit(ready.filter("split = 'train'"))
+    p = fit.transform(ready)
     err, units = F.col("prediction") - F.col("y"), F.exp("prediction") - F.exp("y")
-    a = p.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(err)), 4).alias("mae"), F.round(F.sqrt(F.avg(err * err)), 4).alias("rmse"), F.round(1 - F.sum(err * err) / (F.var_pop("y") * F.count(F.lit(1))), 4).alias("r2"), F.round(F.avg(F.abs(units)), 2).alias("mae_units"))
-    return a
+    return p.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(err)), 4).alias("mae"), F.round(F.sqrt(F.avg(err * err)), 4).alias("rmse"), F.round(1 - F.sum(err * err) / (F.var_pop("y") * F.count(F.lit(1))), 4).alias("r2"), F.round(F.avg(F.abs(units)), 2).alias("mae_units"))

@@ -61,13 +61,13 @@ def threshold_argmin(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH s AS ({_SCORES}) SELECT min(score) FILTER (inside) AS low_in, max(score) FILTER (NOT inside) AS high_out, round(min(score) FILTER (inside) - max(score) FILTER (NOT inside), 6) AS gap,
-list_sort(list(score))[(count(*) // 2 + 1)::INTEGER] AS upper_median FROM s""")
+quantile_disc(score, 0.5) AS median FROM s""")
 def score_gap(spark: SparkSession, d: str) -> DataFrame:
-    a = _scores(spark, d).agg(F.min(F.when(F.col("inside"), F.col("score"))).alias("low_in"), F.max(F.when(~F.col("inside"), F.col("score"))).alias("high_out"), F.sort_array(F.collect_list("score")).alias("all"))
-    return a.select("low_in", "high_out", F.round(F.col("low_in") - F.col("high_out"), 6).alias("gap"), F.element_at("all", (F.size("all") / 2).cast("int") + 1).alias("upper_median"))
+    a = _scores(spark, d).agg(F.min(F.when(F.col("inside"), F.col("score"))).alias("low_in"), F.max(F.when(~F.col("inside"), F.col("score"))).alias("high_out"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY score)").alias("median"))
+    return a.select("low_in", "high_out", F.round(F.col("low_in") - F.col("high_out"), 6).alias("gap"), "median")
 
 
-_BOOT = """WITH v AS (SELECT {v}::DOUBLE AS v, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM labels WHERE doc_id < 400), n AS (SELECT count(*) AS n, avg(v) AS mean FROM v),
+_BOOT = """WITH v AS (SELECT {v}::DOUBLE AS v, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM labels), n AS (SELECT count(*) AS n, avg(v) AS mean FROM v),
 dr AS (SELECT k, concat('0x', substr(md5(k || '|' || i || '|0'), 1, 8))::UBIGINT % n AS i FROM range(200) r(k), v, n), m AS (SELECT k, avg(v.v) AS m FROM dr JOIN v ON v.i = dr.i GROUP BY k)
 SELECT n, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM n, (SELECT list(m) AS l FROM m) x, m GROUP BY n, mean"""
 
@@ -78,28 +78,52 @@ def _interval(df: DataFrame) -> DataFrame:
 
 @query(_BOOT.format(v="quality"))
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return _interval(stats.bootstrap(table(spark, d, "labels").filter("doc_id < 400"), "quality", "doc_id", 200, 0))
+    return _interval(stats.bootstrap(table(spark, d, "labels"), "quality", "doc_id", 200, 0))
 
 
-@query(_BOOT.format(v="(quality - toxic)"))
+@query(f"""SELECT *, low > 0 OR high < 0 AS ci_excludes_zero FROM ({_BOOT.format(v="(quality - toxic)")})""")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """The interval of a difference of two systems on the same questions."""
-    both = table(spark, d, "labels").filter("doc_id < 400").withColumn("diff", F.col("quality") - F.col("toxic"))
-    return _interval(stats.bootstrap(both, "diff", "doc_id", 200, 0))
+    """The interval of a difference of two systems on the same questions, and whether zero lies outside it."""
+    both = table(spark, d, "labels").withColumn("diff", F.col("quality") - F.col("toxic"))
+    out = _interval(stats.bootstrap(both, "diff", "doc_id", 200, 0))
+    return out.withColumn("ci_excludes_zero", stats.excludes_zero(F.col("low"), F.col("high")))
+
+
+@query(f"""{_RANKS}, v AS (SELECT coalesce(1.0 / rank, 0)::DOUBLE AS v, row_number() OVER (ORDER BY qid) - 1 AS i FROM r), n AS (SELECT count(*) AS n, avg(v) AS mean FROM v),
+dr AS (SELECT k, concat('0x', substr(md5(k || '|' || i || '|0'), 1, 8))::UBIGINT % n AS i FROM range(200) r(k), v, n), m AS (SELECT k, avg(v.v) AS m FROM dr JOIN v ON v.i = dr.i GROUP BY k)
+SELECT n, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM n, m GROUP BY n, mean""")
+def mrr_interval(spark: SparkSession, d: str) -> DataFrame:
+    """The mean reciprocal rank with its interval."""
+    return _interval(stats.bootstrap(_ranks(spark, d).select("qid", stats.reciprocal(F.col("rank")).alias("rr")), "rr", "qid", 200, 0))
+
+
+@query(f"""WITH s AS ({_SCORES}) SELECT qid, score, 'lowest' AS list FROM (SELECT * FROM s WHERE inside ORDER BY score, qid LIMIT 10) UNION ALL SELECT qid, score, 'highest' FROM (SELECT * FROM s WHERE NOT inside ORDER BY score DESC, qid LIMIT 10)""")
+def score_listings(spark: SparkSession, d: str) -> DataFrame:
+    """The ten lowest scores of questions that belong to the corpus, and the ten highest of those that don't."""
+    s = _scores(spark, d)
+    low, high = s.filter("inside").orderBy("score", "qid").limit(10), s.filter("not inside").orderBy(F.desc("score"), "qid").limit(10)
+    return low.select("qid", "score", F.lit("lowest").alias("list")).unionByName(high.select("qid", "score", F.lit("highest").alias("list")))
+
+
+@query("""SELECT role, count(*) FILTER (ok) AS count, count(*) AS total, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS rate, strftime(max(run_at), '%Y-%m-%d %H:%M') AS run_at FROM (SELECT role, length(text) > 60 AS ok, TIMESTAMP '2024-03-01 00:00:00' + to_minutes(turn) AS run_at FROM conversations) GROUP BY role""")
+def rate_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Count, total and rate of each group, and the label of its last run."""
+    c = table(spark, d, "conversations").select("role", (F.length("text") > 60).alias("ok"), F.timestamp_add("MINUTE", F.col("turn").cast("int"), F.lit("2024-03-01 00:00:00").cast("timestamp")).alias("run_at"))
+    return c.groupBy("role").agg(F.count_if("ok").alias("count"), F.count(F.lit(1)).alias("total"), F.round(F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)), 6).alias("rate"), F.date_format(F.max("run_at"), "yyyy-MM-dd HH:mm").alias("run_at"))
 
 
 @query()
 def bootstrap_by_toxic(spark: SparkSession, d: str) -> DataFrame:
-    """numpy's resampling as a grouped aggregate, on a bounded set of questions."""
-    v = table(spark, d, "labels").filter("doc_id < 400").groupBy("toxic").agg(stats.bootstrap_udaf(F.col("quality").cast("double")).alias("b"))
+    """numpy's resampling as a grouped aggregate over all of a group's values."""
+    v = table(spark, d, "labels").groupBy("toxic").agg(stats.bootstrap_udaf(F.col("quality").cast("double")).alias("b"))
     return v.select("toxic", *[F.round(F.get("b", F.lit(i)), 6).alias(c) for i, c in enumerate(("mean", "low", "high"))])
 
 
-@query("""WITH f AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS up, count(*) FILTER (quality = 0 AND toxic = 1) AS down FROM labels WHERE doc_id % 10 = 3 AND doc_id < 300)
+@query("""WITH f AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS up, count(*) FILTER (quality = 0 AND toxic = 1) AS down FROM labels)
 SELECT up, down, CASE WHEN up + down = 0 THEN 1.0 ELSE round(least(1.0, 2 * (SELECT sum(exp(lgamma(up + down + 1) - lgamma(i + 1) - lgamma(up + down - i + 1) - (up + down) * ln(2))) FROM range(least(up, down)::BIGINT + 1) r(i))), 9) END AS p FROM f""")
 def sign_test(spark: SparkSession, d: str) -> DataFrame:
     """Exact test on paired outcomes."""
-    f = table(spark, d, "labels").filter("doc_id % 10 = 3 and doc_id < 300").agg(F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("up"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("down"))
+    f = table(spark, d, "labels").agg(F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("up"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1)).alias("down"))
     return f.select("up", "down", F.round(stats.sign_test(F.col("up"), F.col("down")), 9).alias("p"))
 
 
@@ -144,4 +168,4 @@ def tfidf_chars(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ridge_regression(spark: SparkSession, d: str) -> DataFrame:
     """Log target, character features fitted on training rows only, ridge; errors on the three splits."""
-    return learning.experiment(learning.split(table(spark, d, "documents")), features=256)
+    return learning.experiment(learning.split(table(spark, d, "documents")))

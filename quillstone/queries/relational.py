@@ -48,9 +48,10 @@ def fetch_semi(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").join(ids, "l_orderkey", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_seen(spark: SparkSession, d: str) -> DataFrame:
-    seen = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Rows that no urgent order has seen."""
+    seen = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").select("c_custkey", "c_name").join(seen, "c_custkey", "left_anti")
 
 
@@ -166,19 +167,20 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type ELSE 'other' END AS intent, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'model' ELSE 'fallback' END AS source FROM events""")
+@query("""SELECT event_id, CASE WHEN ok THEN event_type ELSE 'other' END AS intent, CASE WHEN ok THEN 'model' ELSE 'fallback' END AS source FROM (SELECT event_id, event_type, event_type IN ('click', 'view', 'purchase') AND value <= 60 AS ok FROM events)""")
 def json_validate_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """A reply must be JSON with an intent of the list; anything else falls back."""
-    reply = F.to_json(F.struct(F.col("event_type").alias("intent"), F.lit("x" * 80).alias("reason")))
+    """A reply must be JSON with an intent of the list; a broken one, or anything else, falls back."""
+    whole = F.to_json(F.struct(F.col("event_type").alias("intent"), F.lit("x" * 80).alias("reason")))
+    reply = F.when(F.col("value") > 60, F.substring(whole, 1, 30)).otherwise(whole)
     parsed = F.from_json(reply, "intent string, reason string")
     ok = F.coalesce(parsed["intent"].isin("click", "view", "purchase"), F.lit(False))
     return table(spark, d, "events").select("event_id", F.when(ok, parsed["intent"]).otherwise("other").alias("intent"), F.when(ok, "model").otherwise("fallback").alias("source"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey <= 500""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem""")
 def explode_refs(spark: SparkSession, d: str) -> DataFrame:
     """Nested references to edge rows: order rows with an array of lines, exploded again."""
-    li = table(spark, d, "lineitem").filter("l_orderkey <= 500")
+    li = table(spark, d, "lineitem")
     nested = li.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("refs"))
     return nested.select("l_orderkey", F.inline("refs"))
 
@@ -222,6 +224,46 @@ def truncate_preview(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT w, array_to_string(list_sort(list(DISTINCT doc_id))[:20], ',') AS docs, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) WHERE length(w) BETWEEN 9 AND 10 GROUP BY w HAVING count(DISTINCT doc_id) >= 3""")
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     """Term -> ordered distinct documents (the first 20 shown), for terms in three documents or more."""
-    w = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("w")).filter(F.length("w").between(9, 10)).distinct()
-    big = w.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("doc_id")).alias("docs"))
-    return big.filter("n >= 3").select("w", F.array_join(F.transform(F.slice("docs", 1, 20), lambda x: x.cast("string")), ",").alias("docs"), "n")
+    w = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")).filter(F.length("w").between(9, 10)).distinct()
+    # The shown ones are cut off within each task before they meet; the counts are sums. No list of all documents.
+    shown = w.withColumn("_p", F.row_number().over(Window.partitionBy("w").orderBy("doc_id"))).filter("_p <= 20")
+    lists = shown.groupBy("w").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("docs"))
+    counts = w.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    return counts.join(lists, "w").select("w", "docs", "n")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity BETWEEN 12 AND 20 AND l_returnflag IN ('A', 'R') AND l_shipdate IS NOT NULL")
+def filter_range_members(spark: SparkSession, d: str) -> DataFrame:
+    """A range, a list of members and a column that must be there, all of which reach the scan."""
+    li = table(spark, d, "lineitem").filter(F.col("l_quantity").between(12, 20) & F.col("l_returnflag").isin("A", "R") & F.col("l_shipdate").isNotNull())
+    return li.select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("""SELECT sub, k, place FROM (SELECT sub, k, place, row_number() OVER (PARTITION BY l_orderkey, k ORDER BY sub, place) AS r FROM (SELECT l_orderkey, l_linenumber % 2 AS sub, l_suppkey % 7 AS k, l_linenumber AS place FROM lineitem)) WHERE r = 1""")
+def sub_merge_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of sub-questions merged: of rows with one key, the first by sub-question and place stays."""
+    li = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 2).alias("sub"), (F.col("l_suppkey") % 7).alias("k"), F.col("l_linenumber").alias("place"))
+    return R.first_wins(li, ["l_orderkey"], "k", ["sub", "place"]).select("sub", "k", "place")
+
+
+@query("""SELECT l_orderkey AS k, 'part' AS origin FROM lineitem WHERE l_partkey < 20 UNION SELECT l_orderkey, 'part' FROM lineitem WHERE l_suppkey = 3 UNION SELECT o_orderkey, 'part' FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def union_three_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Keys from three sources, each once."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    keys = li.filter("l_partkey < 20").select(F.col("l_orderkey").alias("k")).union(li.filter("l_suppkey = 3").select("l_orderkey")).union(o.filter("o_orderpriority = '1-URGENT'").select("o_orderkey"))
+    return keys.distinct().select("k", F.lit("part").alias("origin"))
+
+
+@query("""SELECT count(*) AS n, (SELECT count(*) FROM orders WHERE o_totalprice >= 100000) AS kept, (SELECT count(*) FROM orders WHERE o_totalprice < 100000) AS rejected, 0::BIGINT AS in_both, 0::BIGINT AS in_neither FROM orders""")
+def partition_check(spark: SparkSession, d: str) -> DataFrame:
+    """What is kept and what is rejected make up everything, and share nothing: in one pass over the marks of each key."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    kept, rejected = o.filter("o_totalprice >= 100000").select("o_orderkey"), o.filter("o_totalprice < 100000").select("o_orderkey")
+    return R.partition_check(o, kept, rejected, "o_orderkey")
+
+
+@query("""SELECT reason, doc_id FROM (SELECT doc_id, CASE WHEN n_chars < 200 THEN 'too_short' WHEN n_chars > 15000 THEN 'too_long' END AS reason FROM documents) WHERE reason IS NOT NULL ORDER BY reason, doc_id LIMIT 200""")
+def failed_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The failed list, by reason and then by file, 200 rows at most."""
+    reason = F.when(F.col("n_chars") < 200, "too_short").when(F.col("n_chars") > 15000, "too_long")
+    return table(spark, d, "documents").select(reason.alias("reason"), "doc_id").filter("reason is not null").orderBy("reason", "doc_id").limit(200)

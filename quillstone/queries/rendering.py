@@ -13,10 +13,10 @@ from ..session import table
 from .registry import query
 
 
-@query("""SELECT o_custkey, string_agg('[' || i || '] ' || line, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS prompt FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderpriority || ': ' || format('{:,}', o_orderkey) AS line FROM orders WHERE o_custkey <= 50) GROUP BY 1""")
+@query("""SELECT o_custkey, string_agg('[' || i || '] ' || line, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS prompt FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderpriority || ': ' || format('{:,}', o_orderkey) AS line FROM orders) GROUP BY 1""")
 def prompt_rendering(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat("o_orderpriority", F.lit(": "), G.money(F.col("o_orderkey")))
-    return G.prompt_rows(table(spark, d, "orders").filter("o_custkey <= 50"), "o_custkey", ["o_orderkey"], line)
+    return G.prompt_rows(table(spark, d, "orders"), "o_custkey", ["o_orderkey"], line)
 
 
 @query("""SELECT c_custkey, 'Dear ' || c_name || ', segment ' || coalesce(c_mktsegment, '') || '.' AS letter FROM customer""")
