@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,6 +158,15 @@ def enumerated(x: Column, cue: str = "(?:如|例如|包括)", mark: str = "、",
     return F.array_distinct(F.filter(nouns, lambda p: F.length(p).between(3, 12)))
 
 
+def noun_map(rows: DataFrame, x: Column, key: str, shown: int) -> DataFrame:
+    """noun, n (rows that enumerate it), rows (the first `shown` of their keys, in order). Keys are cut off in each task
+    before they meet, so a noun of all rows makes no list of them."""
+    one = rows.select(F.col(key).alias("_k"), F.explode(enumerated(x)).alias("noun")).distinct()
+    top = one.withColumn("_p", F.row_number().over(Window.partitionBy("noun").orderBy("_k"))).filter(F.col("_p") <= shown)
+    lists = top.groupBy("noun").agg(F.sort_array(F.collect_list("_k")).alias("rows"))
+    return one.groupBy("noun").agg(F.count(F.lit(1)).alias("n")).join(lists, "noun")
+
+
 def path_metadata(path: Column) -> Column:
     """category (first part), primary (second part if there are three or more), subtopic (what lies between, joined),
     document (file name without its ending)."""

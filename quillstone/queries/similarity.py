@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import relational as R
 from ..operators import similarity as S
 from ..session import table
 from .registry import query
@@ -33,11 +34,11 @@ def knn_prefiltered(spark: SparkSession, d: str) -> DataFrame:
     return S.knn(q, e.filter(F.col("label").isin(1, 3, 5)), 5, "vec_id", "vec_id")
 
 
-@query(f"SELECT qid, count(*) AS n, max(score) AS best FROM ({_TOP} WHERE q.vec_id % 25 = 0) WHERE rank <= 3 AND score >= 0.6 GROUP BY qid")
+@query(f"SELECT qid, count(*) AS n, max(score) AS best FROM ({_TOP} WHERE q.vec_id % 25 = 0) WHERE rank <= 3 AND score >= 0.4 GROUP BY qid")
 def near_dup_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Probes with another neighbour among the top three at or above the threshold."""
     q, e = _queries(spark, d)
-    return S.knn(q, e, 3, "vec_id", "vec_id").filter("score >= 0.6").groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    return S.knn(q, e, 3, "vec_id", "vec_id").filter("score >= 0.4").groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
 
 
 @query(f"""WITH t AS (SELECT * FROM ({_TOP} WHERE q.vec_id % 25 = 0) WHERE rank <= 5), q AS (SELECT vec_id AS qid FROM embeddings WHERE vec_id % 25 = 0)
@@ -57,20 +58,21 @@ def retry_cascade(spark: SparkSession, d: str) -> DataFrame:
     ids = q.select(F.col("vec_id").alias("qid"))
     first = S.gate(S.knn(q, e.filter("label % 2 = 0"), 5, "vec_id", "vec_id"), ids, 0.55, 5)
     again = q.join(first.filter("not confident").select(F.col("qid").alias("vec_id")), "vec_id", "left_semi")
-    retry = S.gate(S.knn(again, e, 5, "vec_id", "vec_id"), again.select(F.col("vec_id").alias("qid")), 0.55, 5)
+    # No more than all queries are asked again: a bound without running the first search for a count.
+    retry = S.gate(S.knn(again, e, 5, "vec_id", "vec_id", most=q.count()), again.select(F.col("vec_id").alias("qid")), 0.55, 5)
     return S.cascade(first, retry).select("qid", "confident", "top_score", "used_retry", "attempts")
 
 
-@query(f"""WITH t AS (SELECT * FROM ({_TOP} WHERE q.vec_id % 25 = 0) WHERE rank <= 10), b AS (SELECT q.vec_id AS qid, c.vec_id AS cid, {_DOT} AS score FROM embeddings q JOIN embeddings c ON q.label = c.label AND c.vec_id < 40 AND q.vec_id <> c.vec_id WHERE q.vec_id % 25 = 0)
+@query(f"""WITH t AS (SELECT * FROM ({_TOP} WHERE q.vec_id % 25 = 0) WHERE rank <= 10), b AS (SELECT q.vec_id AS qid, c.vec_id AS cid, {_DOT} AS score FROM embeddings q JOIN embeddings c ON q.label = c.label AND c.label IN (2, 7) AND q.vec_id <> c.vec_id WHERE q.vec_id % 25 = 0)
 SELECT qid, cid, score, 'dense' AS how FROM t UNION ALL SELECT qid, cid, score, 'boost' FROM b WHERE (qid, cid) NOT IN (SELECT (qid, cid) FROM t)""")
 def entity_boost_union(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of the search, and those a lexical match adds; the boost only widens the pool."""
+    """Candidates of the search, and those that a match of labels, for two labels, adds; the boost only widens the pool."""
     q, e = _queries(spark, d)
     dense = S.knn(q, e, 10, "vec_id", "vec_id").select("qid", "cid", "score", F.lit("dense").alias("how"))
     a = q.select(F.col("vec_id").alias("qid"), "label", F.col("embedding").alias("x"))
-    b = e.filter("vec_id < 40").select(F.col("vec_id").alias("cid"), "label", F.col("embedding").alias("y"))
+    b = e.filter("label in (2, 7)").select(F.col("vec_id").alias("cid"), "label", F.col("embedding").alias("y"))
     boost = a.join(b, "label").filter("qid <> cid").select("qid", "cid", F.round(S.dot(F.col("x"), F.col("y")), 5).alias("score"), F.lit("boost").alias("how"))
-    return dense.unionByName(boost.join(dense.select("qid", "cid"), ["qid", "cid"], "left_anti"))
+    return R.bag_union(dense, boost, ["qid", "cid"])
 
 
 @query(f"""WITH t AS (SELECT * FROM ({_TOP} WHERE q.vec_id % 25 = 0) WHERE rank <= 10)
@@ -91,24 +93,15 @@ _GRAMS = "CASE WHEN length({t}) >= 3 THEN list_distinct(list_transform(range(1,
 
 
 @query(f"""WITH b AS (SELECT item_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM benchmark), g AS (SELECT item_id, {_GRAMS.format(t="t")} AS g FROM b)
-SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 6) AS similarity FROM g x JOIN g y ON x.item_id < y.item_id AND len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) >= 0.3""")
+SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 6) AS similarity FROM g x JOIN g y ON x.item_id < y.item_id AND len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) >= 0.12""")
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of benchmark items by 3-gram similarity: both meet on shared grams, never all against all."""
-    g = table(spark, d, "benchmark").select("item_id", S.ngrams(F.col("text")).alias("g"))
-    flat = g.select("item_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    x, y = (flat.select(F.col("item_id").alias(n), F.col("n").alias(f"n{n}"), "gram") for n in ("a", "b"))
-    both = x.join(y, "gram").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
-    s = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-    return both.filter(s >= 0.3).select("a", "b", F.round(s, 6).alias("similarity"))
-
-
-@query(f"""WITH l AS (SELECT doc_id AS lid, regexp_replace(substr(text, 1, 400), '\\s+', '', 'g') AS t, substr(text, 1, 400) AS x FROM documents WHERE doc_id % 100 = 0), r AS (SELECT doc_id AS rid, regexp_replace(substr(text, 1, 400), '\\s+', '', 'g') AS t, substr(text, 1, 400) AS x FROM documents WHERE doc_id % 100 <> 0),
-e AS (SELECT lid, min(rid) AS rid, 1.0::DOUBLE AS similarity, 'exact' AS how FROM l JOIN r USING (x) GROUP BY lid),
-lg AS (SELECT lid, {_GRAMS.format(t="t")} AS g FROM l WHERE lid NOT IN (SELECT lid FROM e)), rg AS (SELECT rid, {_GRAMS.format(t="t")} AS g FROM r),
-p AS (SELECT lid, rid, len(list_intersect(lg.g, rg.g)) AS k, len(lg.g) AS n, len(rg.g) AS m FROM lg, rg WHERE len(rg.g) >= 0.9 * len(lg.g) AND len(lg.g) >= 0.9 * len(rg.g) AND len(rg.g) > 0),
-f AS (SELECT lid, rid, round(k / (n + m - k), 6) AS similarity, row_number() OVER (PARTITION BY lid ORDER BY round(k / (n + m - k), 6) DESC, rid) AS p FROM p WHERE round(k / (n + m - k), 6) >= 0.9)
-SELECT * FROM e UNION ALL SELECT lid, rid, similarity, 'fuzzy' FROM f WHERE p = 1""")
+    """Pairs of benchmark items by 3-gram similarity, through the rarest grams of each."""
+    return S.jaccard_self(table(spark, d, "benchmark"), "item_id", "text", 0.12)
+
+
+@query()
 def fuzzy_remap_best(spark: SparkSession, d: str) -> DataFrame:
-    """Old ids to new ones by text: equal openings first, then the most similar one at 0.9 or more."""
-    t = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"))
-    return S.fuzzy_best(t.filter("doc_id % 100 = 0"), t.filter("doc_id % 100 <> 0"), "doc_id", "doc_id", "text", 0.9)
+    """Old ids to new ones by whole text: an equal text first, then the most similar one at 0.9 or more. The stated
+    queries are the rows whose id is divisible by 100, against all rows but themselves."""
+    t = table(spark, d, "documents").select("doc_id", "text")
+    return S.fuzzy_best(t.filter("doc_id % 100 = 0"), t, "doc_id", "doc_id", "text", 0.9, exclude_self=True)

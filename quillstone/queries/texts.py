@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking, citations, stats, text
@@ -24,13 +26,45 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.length(x).alias("n"), F.md5(x).alias("digest"))
 
 
-@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(x, '-\\s*\\d+\\s*-', '', 'g'), '\\b\\d+\\s*/\\s*\\d+\\b', '', 'g'), '~\\s*\\d+\\s*~', '', 'g')) AS digest FROM (SELECT doc_id, '- ' || doc_id || ' - ' || doc_id || '/9 ~' || doc_id || '~ ' || substr(text, 1, 50) AS x FROM documents WHERE regexp_full_match(substr(text, 1, 50), '[a-zA-Z .,\\n]*'))""")
+@query()
 def page_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Page-number patterns go, in their order."""
-    opening = F.substring("text", 1, 50)
-    x = F.concat(F.lit("- "), F.col("doc_id"), F.lit(" - "), F.col("doc_id"), F.lit("/9 ~"), F.col("doc_id"), F.lit("~ "), opening)
-    rows = _docs(spark, d).filter(F.regexp_like(opening, F.lit(r"\A[a-zA-Z .,\n]*\z")))
-    return rows.select("doc_id", F.md5(text.remove_page_numbers(x)).alias("digest"))
+    """Page-number patterns go from whole texts, in their order; with a foot line of each kind put before and behind."""
+    n = F.col("doc_id").cast("string")
+    x = F.concat(F.lit("- "), n, F.lit(" -\n"), F.col("text"), F.lit("\n第 "), n, F.lit(" 頁，共 "), n, F.lit(" 頁 "), n, F.lit("/"), n, F.lit(" ~"), n, F.lit("~\n12\n3-4\n5)\n |\nend"))
+    y = text.remove_page_numbers(x)
+    return _docs(spark, d).select("doc_id", F.length(y).alias("n"), F.md5(y).alias("digest"))
+
+
+@query("""SELECT o_orderkey, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '第\\s*\\d+\\s*頁[,，]\\s*共\\s*\\d+\\s*頁', '', 'g'), '-\\s*\\d+\\s*-', '', 'g'), '\\b\\d+\\s*/\\s*\\d+\\b', '', 'g'), '(?m)^\\s*\\d{1,3}\\s*$', '', 'g'), '(?m)^\\s*\\d{1,3}-\\d{1,3}\\s*$', '', 'g'), '(?m)^\\d{1,3}\\)\\s*$', '', 'g'), '~\\s*\\d+\\s*~', '', 'g'), '(?m)^\\s*\\|\\s*$', '', 'g')) AS digest
+FROM (SELECT o_orderkey, '- ' || o_orderkey || ' -' || chr(10) || o_orderpriority || chr(10) || '第 ' || o_custkey || ' 頁，共 9 頁 x' || chr(10) || o_custkey || '/' || o_orderkey || ' ~' || o_custkey || '~ y' || chr(10) || (o_custkey % 1000) || chr(10) || 'a' || chr(10) || (o_custkey % 100) || '-7' || chr(10) || 'b' || chr(10) || '5)' || chr(10) || 'c' || chr(10) || ' |' || chr(10) || 'end' AS x FROM orders)""")
+def page_number_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """All eight patterns, on notes that hold each of them."""
+    c, o = F.col("o_custkey"), F.col("o_orderkey").cast("string")
+    part = lambda x: x.cast("string")
+    x = F.concat(
+        F.lit("- "), o, F.lit(" -\n"), F.col("o_orderpriority"), F.lit("\n第 "), part(c), F.lit(" 頁，共 9 頁 x\n"), part(c), F.lit("/"), o, F.lit(" ~"), part(c), F.lit("~ y\n"),
+        part(c % 1000), F.lit("\na\n"), part(c % 100), F.lit("-7\nb\n5)\nc\n |\nend"),
+    )
+    return table(spark, d, "orders").select("o_orderkey", F.md5(text.remove_page_numbers(x)).alias("digest"))
+
+
+@query()
+def normalize_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    """Compatibility forms of whole texts."""
+    return _docs(spark, d).select("doc_id", F.md5(text.nfkc(F.col("text"))).alias("digest"))
+
+
+@query()
+def merge_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that a layout broke, joined."""
+    x = text.merge_lines(F.col("text"))
+    return _docs(spark, d).select("doc_id", F.length(x).alias("n"), F.size(F.split(x, "\n")).alias("lines"))
+
+
+@query()
+def fix_spaced(spark: SparkSession, d: str) -> DataFrame:
+    """Spaced ideographs closed up, in whole texts with such a run put before."""
+    return _docs(spark, d).select("doc_id", F.md5(text.fix_spaced(F.concat(F.lit("食 品 安 全 "), F.col("text")))).alias("digest"))
 
 
 @query()
@@ -48,8 +82,33 @@ def chunk_hash(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def chunk_router(spark: SparkSession, d: str) -> DataFrame:
     """Every document through the chunkers: strategy, chunks, characters."""
-    c = chunking.chunk_documents(table(spark, d, "documents"))
-    return c.groupBy("doc_id", "strategy").agg(F.count(F.lit(1)).alias("chunks"), F.sum("char_len").alias("chars"))
+    return chunking.chunk_counts(table(spark, d, "documents"))
+
+
+def _strategy(spark: SparkSession, d: str, make: Callable[[str], list[str]], shape: Column) -> DataFrame:
+    """A chunker's results on whole texts brought into the shape it is for: doc_id, chunks, chars."""
+    docs = _docs(spark, d).select("doc_id", shape.alias("text"))
+    chunks = chunking.chunks_by(docs, make)
+    return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
+
+
+@query()
+def chunk_qa_simple(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence that ends a line or is followed by a space as a question of its own."""
+    i = F.regexp_replace("text", r"\.\s+", ".\nQ1: ")
+    return _strategy(spark, d, chunking.question_chunks, F.concat(F.lit("Q1: "), i))
+
+
+@query()
+def chunk_header(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence as a section under a heading."""
+    return _strategy(spark, d, chunking.heading_chunks, F.concat(F.lit("一、"), F.regexp_replace("text", r"\.\s+", ".\n二、")))
+
+
+@query()
+def chunk_length_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Texts by length alone, with overlap."""
+    return _strategy(spark, d, chunking.length_chunks, F.col("text"))
 
 
 @query()
@@ -103,33 +162,34 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", "status", "reason", F.length("text").alias("n"), F.size("tables").alias("tables"))
 
 
-@query()
+@query("""SELECT l_orderkey, '| line | part | flags |' || chr(10) || '| --- | --- | --- |' || string_agg(chr(10) || '| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_returnflag || '\\|' || l_linestatus || ' |', '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS markdown FROM lineitem GROUP BY 1""")
 def table_markdown(spark: SparkSession, d: str) -> DataFrame:
-    """Valid data tables of pages as Markdown."""
-    t = html.parse_pages(table(spark, d, "pages")).select("page_id", F.posexplode("tables").alias("place", "rows"))
-    return t.filter(text.valid_table(F.col("rows"))).select("page_id", "place", text.markdown_table(F.col("rows")).alias("markdown"))
+    """Valid data tables as Markdown: each order's lines as rows of cells under a header."""
+    cells = F.array(F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.concat("l_returnflag", F.lit("|"), "l_linestatus"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", cells.alias("cells")))).alias("r"))
+    whole = F.concat(F.array(F.array(F.lit("line"), F.lit("part"), F.lit("flags"))), F.transform("r", lambda x: x["cells"]))
+    return rows.select("l_orderkey", whole.alias("rows")).filter(text.valid_table(F.col("rows"))).select("l_orderkey", text.markdown_table(F.col("rows")).alias("markdown"))
 
 
-@query("""SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(list_filter(list_transform(list_filter(list_transform(regexp_extract_all(text, '\\b(?:of|the) ([^.]{1,80})', 1), lambda s: string_split(s, ' ')), lambda l: len(l) > 3)[1], lambda p: p), lambda p: length(p) BETWEEN 3 AND 12)) AS w FROM documents WHERE lang = 'en' AND doc_id % 10 = 0)""")
+@query("""SELECT DISTINCT doc_id, w FROM (SELECT doc_id, unnest(list_filter(list_transform(flatten(list_transform(list_filter(regexp_extract_all(text, '(?:of|the) ([^.]{1,80})', 1), lambda s: len(string_split(s, ' ')) > 3), lambda s: string_split(s, ' '))), lambda p: regexp_replace(regexp_replace(p, '等.*$', ''), '^\\s+|\\s+$', '', 'g')), lambda p: length(p) BETWEEN 3 AND 12)) AS w FROM documents)""")
 def enumerated_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Nouns of the first enumeration of a text, after a cue, cut at the mark, 3 to 12 characters long."""
-    spans = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"\b(?:of|the) ([^.]{1,80})"), F.lit(1)), lambda s: F.split(s, " ")), lambda p: F.size(p) > 3)
-    words = F.filter(F.get(spans, F.lit(0)), lambda p: F.length(p).between(3, 12))
-    return _docs(spark, d).filter("lang = 'en' and doc_id % 10 = 0").select("doc_id", F.explode(words).alias("w")).distinct()
+    """Nouns of all enumerations of a text, after a cue, cut at the mark, 3 to 12 characters long."""
+    nouns = text.enumerated(F.col("text"), cue="(?:of|the) ", mark=" ", stop=".")
+    return _docs(spark, d).select("doc_id", F.explode(nouns).alias("w"))
 
 
 @query()
 def entity_lexicon(spark: SparkSession, d: str) -> DataFrame:
-    """Enumerated nouns -> ordered distinct rows they come from."""
-    made = F.concat(F.lit("例如"), F.array_join(F.slice(F.split("text", " "), 1, 5), "、"), F.lit("等。"))
-    one = _docs(spark, d).select("doc_id", F.explode(text.enumerated(made)).alias("noun"))
-    return one.groupBy("noun").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
+    """Enumerated nouns of whole texts -> how many rows they come from, and the first of these, 50 at most shown."""
+    made = F.concat(F.lit("例如"), F.array_join(F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 6), "、"), F.lit("等。"))
+    return text.noun_map(_docs(spark, d), made, "doc_id", 50)
 
 
 @query()
 def lcs_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Questions of 12 to 60 characters whose longest run in common with their source is short; with the reason."""
-    b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 50).alias("q"), F.substring("text", 30, 60).alias("src"))
+    """Questions of 12 to 60 characters whose longest run in common with their source is short; with the reason. Each
+    item's first sentence asks, and its whole text is the source."""
+    b = table(spark, d, "benchmark").select("item_id", F.substring_index("text", ".", 1).alias("q"), F.substring_index("text", ".", -2).alias("src"))
     lcs = b.withColumn("lcs", stats.lcs_udf("q", "src"))
     reason = F.when(~F.length("q").between(12, 60), "length").when(F.col("lcs") > 6, "copied")
     return lcs.select("item_id", "lcs", reason.isNull().alias("ok"), reason.alias("reason"))
