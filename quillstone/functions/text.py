@@ -136,6 +136,20 @@ def split_questions(x: Column, marks: str = "[?？]+", least: int = 2) -> Column
     return F.when(F.size(trimmed) >= 2, F.transform(trimmed, lambda p: F.concat(p, F.lit("?")))).otherwise(F.array(strip(x)))
 
 
+#: A sub-question of fewer characters may lack its subject.
+SHORT_PART = 8
+
+
+def decomposed(x: Column, reply: Column, marks: str = "[?？]+", most: int = 6) -> Column:
+    """struct(subs, used_llm): the rule's parts; where one of several is short and there is a model's reply (a JSON list
+    of strings), the reply's questions, if they are 1 to `most`, else the rule's."""
+    parts = split_questions(x, marks)
+    asked = F.coalesce(reply.isNotNull() & (F.size(parts) >= 2) & F.exists(parts, lambda p: F.length(F.regexp_replace(p, "[?？]+$", "")) < SHORT_PART), F.lit(False))
+    given = F.filter(F.transform(F.from_json(reply, "array<string>"), strip), lambda p: p.isNotNull() & (p != ""))
+    given = F.transform(given, lambda p: F.when(F.regexp_like(p, F.lit("[?？]$")), p).otherwise(F.concat(p, F.lit("?"))))
+    return F.struct(F.when(asked & F.size(given).between(1, most), given).otherwise(parts).alias("subs"), asked.alias("used_llm"))
+
+
 # Words and marks that show a question.
 QUESTION_MARKS = ("?", "嗎", "呢", "什麼", "甚麼", "哪", "如何", "怎麼", "怎樣", "是否", "多少", "為何", "為什麼", "會不會", "能不能", "可不可以", "要不要")
 

@@ -122,6 +122,11 @@ def report_level(report: Column, high: tuple[str, ...], medium: tuple[str, ...])
     return F.coalesce(verdict_line(report), F.when(any_of(report, high), "high").when(any_of(report, medium), "medium").otherwise("low"))
 
 
+def wants_cases(q: Column, words: tuple[str, ...]) -> Column:
+    """Whether a question also asks for cases."""
+    return any_of(q, words)
+
+
 def over_budget(calls: Column, tokens: Column, seconds: Column, most_calls: int = 4, most_tokens: int = 12_000, most_seconds: float = 90.0) -> Column:
     """The first budget that is used up: tool_calls, tokens, seconds; else null."""
     return F.when(calls >= most_calls, "tool_calls").when(tokens >= most_tokens, "tokens").when(seconds >= most_seconds, "seconds")

@@ -11,9 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import split_questions
-from ..operators.decisions import Lexicon, lexicon_scan, over_budget, refused, verdict, verdict_line
-from ..operators.relational import first_wins, quota_fill, ranked
+from ..functions.citations import citation_label, unsupported
+from ..functions.text import decomposed, keyword_question, split_questions, strip
+from ..operators.decisions import Lexicon, any_of, lexicon_scan, over_budget, refused, verdict, verdict_line, wants_cases
+from ..operators.lexicons import CASES as CASE_WORDS
+from ..operators.relational import bag_union, first_wins, quota_fill, ranked
 from ..operators.similarity import cascade, gate, knn
 from .models import Models
 
@@ -22,64 +24,153 @@ THRESHOLD, POOL, KEEP, CASE_THRESHOLD, CASES = 0.52, 10, 5, 0.58, 3
 REFUSE = "The indexed documents do not answer this question."
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, models: Models, threshold: float = THRESHOLD, pool: int = POOL, keep: int = KEEP) -> DataFrame:
-    """questions(qid, question), chunks(cid, text, embedding) -> qid, confident, top_score, kept: search, rerank, gate."""
+def boosted(questions: DataFrame, nouns: DataFrame, least: int = 3, most: int = 12) -> DataFrame:
+    """questions(qid, question), nouns(noun, cid) -> qid, cid: the rows of every noun that a question contains. The
+    question's own substrings meet the nouns by equality; no question meets all nouns."""
+    t = F.col("question")
+    part = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    own = questions.select("qid", F.explode(F.array_distinct(F.flatten(F.array(*[part(n) for n in range(least, most + 1)])))).alias("noun"))
+    return own.join(nouns, "noun").select("qid", "cid").distinct()
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, models: Models, threshold: float = THRESHOLD, pool: int = POOL, keep: int = KEEP, nouns: DataFrame | None = None) -> DataFrame:
+    """questions(qid, question), chunks(cid, text, embedding) -> qid, confident, top_score, kept: search, the rows that
+    `nouns` (noun, cid) adds to the pool, rerank, gate."""
     q = questions.select("qid", models.encode(F.col("question")).alias("embedding"))
-    found = knn(q.withColumnRenamed("qid", "vec"), chunks.select(F.col("cid").alias("vec"), "embedding"), pool, "vec", "vec", exclude_self=False)
+    found = knn(q.withColumnRenamed("qid", "vec"), chunks.select(F.col("cid").alias("vec"), "embedding"), pool, "vec", "vec", exclude_self=False).select("qid", "cid")
+    if nouns is not None:
+        found = bag_union(found, boosted(questions, nouns), ["qid", "cid"])
     pairs = found.join(questions.select("qid", "question"), "qid").join(chunks.select("cid", "text"), "cid")
     scored = pairs.select("qid", "cid", models.rerank(F.col("question"), F.col("text")).alias("score"))
     return gate(scored, questions, threshold, keep)
 
 
-def retrieve_with_retry(questions: DataFrame, chunks: DataFrame, models: Models, **how) -> DataFrame:
-    """A rejected question is reformulated once; its second result counts only if it is confident."""
+def retrieve_with_retry(questions: DataFrame, chunks: DataFrame, models: Models, base: Column | None = None, **how) -> DataFrame:
+    """A rejected question is reformulated once (`base`, if given, is what is reformulated); its second result counts
+    only if it is confident."""
     first = retrieve(questions, chunks, models, **how)
-    again = questions.join(first.filter("not confident").select("qid"), "qid", "left_semi").withColumn("question", models.rewrite(F.col("question")))
+    again = questions.join(first.filter("not confident").select("qid"), "qid", "left_semi").withColumn("question", models.rewrite(F.col("question") if base is None else base))
     return cascade(first, retrieve(again, chunks, models, **how))
 
 
-def fixed_path(questions: DataFrame, chunks: DataFrame, models: Models = Models(), split: str = "[?？]+", top: int = 8, **how) -> DataFrame:  # noqa: B008
-    """questions(qid long, question) -> qid, n_subs, confident, used_retry, sources, refused, answer, supported.
+def nearest_cases(questions: DataFrame, cases: DataFrame, models: Models, top: int, threshold: float = CASE_THRESHOLD) -> DataFrame:
+    """questions(qid, question), cases(cid, text, embedding) -> qid, cases (ids in order), case_texts, case_confident:
+    whether the best is near enough; a question without neighbours has no row."""
+    q = questions.select(F.col("qid").alias("vec"), models.encode(F.col("question")).alias("embedding"))
+    found = knn(q, cases.select(F.col("cid").alias("vec"), "embedding"), top, "vec", "vec", exclude_self=False).join(cases.select("cid", F.col("text").alias("chunk")), "cid")
+    order = F.array_sort(F.collect_list(F.struct("rank", "cid", "chunk")))
+    lists = found.groupBy("qid").agg(order.alias("o"), F.max("score").alias("best"))
+    return lists.select("qid", F.transform("o", lambda x: x["cid"]).alias("cases"), F.transform("o", lambda x: x["chunk"]).alias("case_texts"), F.coalesce(F.col("best") >= threshold, F.lit(False)).alias("case_confident"))
+
+
+def verify(answers: DataFrame, models: Models, sentence: str = REFUSE) -> DataFrame:
+    """answers(question, evidence, answer, ...) -> answer, unsupported, regenerated: an answer that cites an article that
+    no piece of its evidence has is written anew once, with the labels as feedback; what is still unsupported is reported.
+    Refusals are left alone."""
+    labels = lambda: F.transform(unsupported(F.col("answer"), F.col("evidence")), citation_label)
+    none = F.array().cast("array<string>")
+    out = answers.withColumn("_refused", refused(F.col("answer"), sentence)).withColumn("_first", F.when(F.col("_refused"), none).otherwise(labels()))
+    out = out.withColumn("regenerated", F.size("_first") > 0)
+    better = F.nullif(models.regenerate(F.col("question"), F.col("evidence"), F.col("answer"), F.col("_first")), F.lit(""))
+    out = out.withColumn("answer", F.when(F.col("regenerated"), F.coalesce(better, F.col("answer"))).otherwise(F.col("answer")))
+    return out.withColumn("unsupported", F.when(F.col("regenerated"), labels()).otherwise(none)).drop("_refused", "_first")
+
+
+def fixed_path(questions: DataFrame, chunks: DataFrame, models: Models = Models(), split: str = "[?？]+", top: int = 8, cases: DataFrame | None = None, case_words: tuple[str, ...] = CASE_WORDS, **how) -> DataFrame:  # noqa: B008
+    """questions(qid, question) -> qid, n_subs, used_llm, confident, used_retry, sources, cases, refused, answer,
+    unsupported, regenerated, supported.
 
     Decompose, retrieve for each part with max(3, top // parts) places, merge the confident parts' results (first
-    wins), refuse without evidence, else generate and verify that the answer's evidence is in its sources.
+    wins); where a question asks for cases, the nearest ones; refuse if neither regulations nor cases are confident,
+    else generate, verify the citations and write the answer anew once.
     """
-    parts = questions.select("qid", "question", split_questions(F.col("question"), split).alias("subs"))
-    subs = parts.select("qid", F.size("subs").alias("n_subs"), F.posexplode("subs").alias("sub", "text")).withColumn("sid", F.col("qid") * 1000 + F.col("sub"))
-    got = retrieve_with_retry(subs.select(F.col("sid").alias("qid"), F.col("text").alias("question")), chunks, models, **how).withColumnRenamed("qid", "sid")
+    parts = questions.select("qid", "question", decomposed(F.col("question"), models.split(F.col("question")), split).alias("d")).select("qid", "question", "d.*")
+    subs = parts.select("qid", "used_llm", F.size("subs").alias("n_subs"), F.posexplode("subs").alias("sub", "text")).withColumn("sid", F.concat_ws(":", F.col("qid").cast("string"), F.col("sub").cast("string")))
+    got = retrieve_with_retry(subs.select(F.col("sid").alias("qid"), F.col("text").alias("question")), chunks, models, keep=how.pop("keep", max(top, KEEP)), **how).withColumnRenamed("qid", "sid")
     joined = subs.join(got, "sid")
+    # Every part has its budget; a single question has all places.
     lists = joined.filter("confident").select("qid", "sub", "n_subs", F.posexplode("kept").alias("place", "cid")).filter(F.col("place") < F.greatest(F.lit(3), F.floor(F.lit(top) / F.col("n_subs"))))
     merged = first_wins(lists, ["qid"], "cid", ["sub", "place"]).join(chunks.select("cid", F.col("text").alias("chunk")), "cid")
     order = F.array_sort(F.collect_list(F.struct("sub", "place", "cid", "chunk")))
     evidence = merged.groupBy("qid").agg(F.transform(order, lambda x: x["cid"]).alias("sources"), F.transform(order, lambda x: x["chunk"]).alias("evidence"))
-    about = joined.groupBy("qid").agg(F.first("n_subs").alias("n_subs"), F.bool_or("confident").alias("confident"), F.bool_or("used_retry").alias("used_retry"))
+    about = joined.groupBy("qid").agg(F.first("n_subs").alias("n_subs"), F.bool_or("used_llm").alias("used_llm"), F.bool_or("confident").alias("confident"), F.bool_or("used_retry").alias("used_retry"))
     out = questions.join(about, "qid").join(evidence, "qid", "left")
-    none = ~F.col("confident") | F.col("sources").isNull()
-    answer = F.when(none, REFUSE).otherwise(models.generate(F.col("question"), F.col("evidence")))
-    out = out.withColumn("answer", answer)
-    said = F.substring_index("answer", " A: ", -1)
-    supported = none | F.exists(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: F.contains(e, said))
-    return out.select("qid", "n_subs", "confident", "used_retry", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"), F.coalesce("sources", F.array().cast(dict(evidence.dtypes)["sources"])).alias("sources"), refused(F.col("answer"), REFUSE).alias("refused"), "answer", supported.alias("supported"))
-
-
-def review_path(texts: DataFrame, rules: DataFrame, lexicon: Lexicon, models: Models = Models(), guaranteed: Column | None = None, top: int = 5) -> DataFrame:  # noqa: B008
-    """texts(qid, question), rules(cid, text, embedding) -> qid, matched, sources, level: lexicon scan, guaranteed
-    rules first and the nearest others, a report, the verdict."""
+    if cases is None:
+        out = out.withColumn("cases", F.array().cast("array<bigint>")).withColumn("case_texts", F.array().cast("array<string>")).withColumn("case_confident", F.lit(False))
+    else:
+        near = nearest_cases(questions.filter(wants_cases(F.col("question"), case_words)), cases, models, CASES)
+        out = out.join(near, "qid", "left").withColumn("case_confident", F.coalesce("case_confident", F.lit(False)))
+    empty = F.array().cast("array<string>")
+    out = out.withColumn("evidence", F.concat(F.coalesce("evidence", empty), F.when(F.col("case_confident"), F.col("case_texts")).otherwise(empty)))
+    none = (~F.col("confident") | F.col("sources").isNull()) & ~F.col("case_confident")
+    out = verify(out.withColumn("answer", F.when(none, REFUSE).otherwise(models.generate(F.col("question"), F.col("evidence")))), models)
+    kinds = dict(out.dtypes)
+    return out.select(
+        "qid", "n_subs", "used_llm", "confident", "used_retry", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"), F.coalesce("sources", F.array().cast(dict(evidence.dtypes)["sources"])).alias("sources"),
+        F.when(F.col("case_confident"), F.col("cases")).otherwise(F.array().cast(kinds["cases"])).alias("cases"), refused(F.col("answer"), REFUSE).alias("refused"), "answer", "unsupported", "regenerated", (F.size("unsupported") == 0).alias("supported"),
+    )
+
+
+def review_path(texts: DataFrame, rules: DataFrame, lexicon: Lexicon, models: Models = Models(), guaranteed: Column | None = None, top: int = 5, cases: DataFrame | None = None, white: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
+    """texts(qid, question), rules(cid, text, embedding) -> qid, matched, sources, cases, answer, unsupported, level.
+
+    Lexicon scan; the nearest of the guaranteed rules (a search of their own, so that they are found wherever they
+    rank among all), then the nearest others up to `top`; the nearest cases; a report, its verification, the verdict.
+    """
     q = texts.select(F.col("qid").alias("vec"), models.encode(F.col("question")).alias("embedding"))
-    found = knn(q, rules.select(F.col("cid").alias("vec"), "embedding"), 2 * top, "vec", "vec", exclude_self=False)
-    filled = quota_fill(found, ["qid"], guaranteed if guaranteed is not None else F.lit(False), F.col("score"), top, ["cid"])
-    ids = filled.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "cid"))), lambda x: x["cid"]).alias("sources"))
-    scanned = texts.withColumn("matched", lexicon_scan(F.col("question"), lexicon))
+    search = lambda df: knn(q, df.select(F.col("cid").alias("vec"), "embedding"), top, "vec", "vec", exclude_self=False)
+    sure = guaranteed if guaranteed is not None else F.lit(False)
+    first, others = search(rules.filter(sure)).withColumn("_sure", F.lit(True)), search(rules).withColumn("_sure", F.lit(False))
+    filled = quota_fill(bag_union(first, others, ["qid", "cid"]), ["qid"], F.col("_sure"), F.col("score"), top, ["cid"]).join(rules.select("cid", F.col("text").alias("chunk")), "cid")
+    order = F.array_sort(F.collect_list(F.struct("place", "cid", "chunk")))
+    ids = filled.groupBy("qid").agg(F.transform(order, lambda x: x["cid"]).alias("sources"), F.transform(order, lambda x: x["chunk"]).alias("evidence"))
+    out = texts.withColumn("matched", lexicon_scan(F.col("question"), lexicon)).join(ids, "qid", "left")
+    if cases is None:
+        out = out.withColumn("cases", F.array().cast("array<bigint>"))
+    else:
+        out = out.join(nearest_cases(texts, cases, models, top).select("qid", "cases"), "qid", "left")
     hits = reduce(lambda a, b: a + b, [F.size(F.col("matched")[c]) for c in lexicon.terms])
-    report = F.concat(F.lit("VERDICT: "), F.when(hits >= 3, "high").when(hits >= 1, "medium").otherwise("low"))
-    level = verdict(F.col("matched"), lexicon, verdict_line(report), F.lit(False))
-    return scanned.join(ids, "qid", "left").select("qid", "matched", "sources", level.alias("level"))
+    report = F.concat(F.lit("VERDICT: "), F.when(hits >= 3, "high").when(hits >= 1, "medium").otherwise("low"), F.lit("\n"), models.generate(F.col("question"), F.coalesce("evidence", F.array().cast("array<string>"))))
+    out = verify(out.withColumn("answer", report), models)
+    level = verdict(F.col("matched"), lexicon, verdict_line(F.col("answer")), any_of(F.col("question"), white))
+    return out.select("qid", "matched", "sources", "cases", "answer", "unsupported", level.alias("level"))
+
+
+def search_tool(calls: DataFrame, chunks: DataFrame, models: Models, shell: str, drift: bool = True, retry: bool = True, marks: str = "[?？]+", **how) -> DataFrame:
+    """calls(qid, query, original) -> qid, confident, top_score, kept, drift, used_retry, query: the tool that searches
+    regulations.
+
+    Keywords become a question. Where the original question's own search is confident and finds another best row, that
+    result takes over. A result that is still not confident is searched once more by a reformulation: of the original
+    question, or of the call's own where the original is several questions.
+    """
+    asked = calls.withColumn("question", keyword_question(F.col("query"), shell))
+    first = retrieve(asked.select("qid", "question"), chunks, models, **how)
+    best = lambda df: df.withColumn("top_id", F.get("kept", F.lit(0)))
+    out = best(first).withColumn("drift", F.lit(False))
+    if drift:
+        differ = asked.filter(F.col("original").isNotNull() & (strip(F.col("question")) != strip(F.col("original"))))
+        literal = best(retrieve(differ.select("qid", F.col("original").alias("question")), chunks, models, **how))
+        other = literal.filter("confident").select("qid", *[F.col(c).alias(f"_{c}") for c in ("confident", "top_score", "kept", "top_id")])
+        j = out.drop("drift").join(other, "qid", "left").withColumn("drift", F.coalesce(F.col("_confident") & ~F.col("_top_id").eqNullSafe(F.col("top_id")), F.lit(False)))
+        out = j.select("qid", *[F.when(F.col("drift"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("confident", "top_score", "kept")], "drift")
+    out = out.select("qid", "confident", "top_score", "kept", "drift")
+    if retry:
+        base = F.when(F.col("original").isNull() | (F.size(split_questions(F.col("original"), marks)) >= 2), F.col("question")).otherwise(F.col("original"))
+        again = asked.join(out.filter("not confident").select("qid"), "qid", "left_semi").select("qid", models.rewrite(base).alias("question"))
+        second = retrieve(again, chunks, models, **how)
+        marked = out.select("qid", "drift")
+        out = cascade(out.drop("drift"), second).drop("attempts").join(marked, "qid")
+    else:
+        out = out.withColumn("used_retry", F.lit(False))
+    return out.join(asked.select("qid", F.col("question").alias("query")), "qid")
 
 
 def tool_loop(questions: DataFrame, tools: dict[str, DataFrame], plan: Column, most_calls: int = 4, most_tokens: int = 12_000, most_seconds: float = 90.0) -> DataFrame:
     """questions(qid), tools name -> (qid, confident, top_id, tokens, seconds), plan: each question's tools in order
-    (array of names) -> one row for each call that was made: qid, hop, tool, confident, top_id, stop.
+    (array of names) -> one row for each call that was made: qid, hop, tool, confident, top_id, stop, tokens, seconds, error.
 
+    A tool that does not exist is a call with an error, which costs its place and nothing else.
     The loop is unrolled: every call a plan could make is a row, running sums cut the calls that come after a used-up
     budget, and stop says which budget that was. A search of regulations is forced at the head of a plan without it.
     """
@@ -91,7 +182,30 @@ def tool_loop(questions: DataFrame, tools: dict[str, DataFrame], plan: Column, m
     before = Window.partitionBy("qid").orderBy("hop").rowsBetween(Window.unboundedPreceding, -1)
     spent = [F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("tokens", "seconds")]
     rows = rows.withColumn("stop", over_budget(F.col("hop"), spent[0], spent[1], most_calls, most_tokens, most_seconds))
-    return rows.select("qid", "hop", "tool", "confident", "top_id", "stop")
+    error = F.when(~F.col("tool").isin(*tools), F.concat(F.lit("unknown tool: "), F.col("tool")))
+    return rows.select("qid", "hop", "tool", "confident", "top_id", "stop", "tokens", "seconds", error.alias("error"))
+
+
+def loop_evidence(calls: DataFrame, also: tuple[str, ...] = ("search_related",)) -> DataFrame:
+    """qid, place, cid: what the calls that were made and confident found, and those of the tools in `also`, which are
+    never confident and supply evidence all the same; each row once, in the order of the calls."""
+    made = calls.filter(F.col("stop").isNull() & (F.col("confident") | F.col("tool").isin(*also)) & F.col("top_id").isNotNull())
+    return first_wins(made.select("qid", F.col("hop").alias("place"), F.col("top_id").alias("cid")), ["qid"], "cid", ["place"])
+
+
+def agent_answers(questions: DataFrame, calls: DataFrame, chunks: DataFrame, models: Models = Models()) -> DataFrame:  # noqa: B008
+    """questions(qid, question), calls of tool_loop(), chunks(cid, text) -> qid, calls, tokens, seconds (of the calls
+    that were made), grounded, stop_reason, sources, answer, unsupported, regenerated: a question that no call grounds
+    is refused; the others' evidence is fetched again in order, an answer is generated and verified."""
+    made = F.col("stop").isNull()
+    usage = calls.groupBy("qid").agg(F.coalesce(F.sum(F.when(made, F.col("tokens"))), F.lit(0)).alias("tokens"), F.round(F.coalesce(F.sum(F.when(made, F.col("seconds"))), F.lit(0.0)), 3).alias("seconds"))
+    found = loop_evidence(calls).join(chunks.select("cid", F.col("text").alias("chunk")), "cid")
+    order = F.array_sort(F.collect_list(F.struct("place", "cid", "chunk")))
+    evidence = found.groupBy("qid").agg(F.transform(order, lambda x: x["cid"]).alias("sources"), F.transform(order, lambda x: x["chunk"]).alias("evidence"))
+    out = questions.join(loop_results(calls), "qid").join(usage, "qid").join(evidence, "qid", "left")
+    out = out.withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+    out = out.withColumn("answer", F.when(F.col("grounded"), models.generate(F.col("question"), F.col("evidence"))).otherwise(REFUSE))
+    return verify(out, models).select("qid", "calls", "tokens", "seconds", "grounded", "stop_reason", F.when(F.col("grounded"), F.col("sources")).alias("sources"), "answer", "unsupported", "regenerated")
 
 
 def loop_results(calls: DataFrame) -> DataFrame:

@@ -18,9 +18,11 @@ def split(docs: DataFrame) -> DataFrame:
 
 
 def grams(x: Column, low: int = 2, high: int = 4) -> Column:
-    """Runs of low to high characters, repeats included."""
-    one = lambda n: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.substr(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.array(*[one(n) for n in range(low, high + 1)]))
+    """Runs of low to high characters, repeats included: from an array of the characters, so that the work is linear."""
+    letters = F.filter(F.split(x, ""), lambda c: c != "")
+    run = lambda c, n: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
+    # Bound by a one-element array, so that the characters are split once.
+    return F.flatten(F.transform(F.array(letters), lambda c: F.flatten(F.array(*[run(c, n) for n in range(low, high + 1)]))))
 
 
 def vocabulary(rows: DataFrame, top: int) -> DataFrame:

@@ -53,9 +53,24 @@ def generate(question: Column, evidence: Column) -> Column:
     return F.concat(F.lit("Q: "), F.substring(question, 1, 60), F.lit(" A: "), F.substring(F.coalesce(F.get(evidence, F.lit(0)), F.lit("")), 1, 200))
 
 
+def regenerate(question: Column, evidence: Column, answer: Column, unsupported: Column) -> Column:
+    """The answer without the sentences that hold an unsupported label; empty if nothing is left."""
+    sentences = F.filter(F.split(answer, "。"), lambda s: ~F.exists(unsupported, lambda u: F.contains(s, u)))
+    return F.array_join(sentences, "。")
+
+
+def no_split(question: Column) -> Column:
+    """No model that decomposes: null."""
+    return F.lit(None).cast("string")
+
+
 @dataclass(frozen=True)
 class Models:
     encode: Callable[[Column], Column] = encode
     rerank: Callable[[Column, Column], Column] = overlap
     rewrite: Callable[[Column], Column] = rewrite
     generate: Callable[[Column, Column], Column] = generate
+    #: question, evidence, answer, labels that the evidence does not have -> another answer, empty for none.
+    regenerate: Callable[[Column, Column, Column, Column], Column] = regenerate
+    #: question -> a JSON list of sub-questions, or null.
+    split: Callable[[Column], Column] = no_split

@@ -44,14 +44,14 @@ def pipeline_query(spark: SparkSession, d: str) -> DataFrame:
 def review_path(spark: SparkSession, d: str) -> DataFrame:
     """The review path over user turns, with benchmark items as the rules."""
     models = Models()
-    texts = table(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
+    texts = table(spark, d, "conversations").filter("role = 'user'").select(F.struct("conv_id", "turn").alias("qid"), F.col("text").alias("question"))
     rules = table(spark, d, "benchmark").select(F.col("item_id").alias("cid"), "text", models.encode(F.col("text")).alias("embedding"))
     out = answering.review_path(texts, rules, LEXICON, models, F.col("cid") < 3)
-    return out.select("qid", F.size("matched.grave").alias("grave"), F.size("matched.mild").alias("mild"), "sources", "level")
+    return out.select("qid.*", F.size("matched.grave").alias("grave"), F.size("matched.mild").alias("mild"), "sources", "level")
 
 
 _BEST = f"SELECT qid, cid AS top_id, score FROM ({_TOP} WHERE q.vec_id % 25 = 0{{}}) WHERE rank = 1"
-_LOOP = f"""WITH reg AS ({_BEST.format(" AND c.label < 5")}), cas AS ({_BEST.format(" AND c.label >= 5")}), rel AS ({_BEST.format(" AND c.vec_id < 100")}),
+_LOOP = f"""WITH reg AS ({_BEST.format(" AND c.label < 5")}), cas AS ({_BEST.format(" AND c.label >= 5")}), rel AS ({_BEST.format(" AND c.label % 3 = 0")}),
 calls AS (SELECT qid, 'search_regulations' AS tool, top_id, score >= 0.4 AS confident, 4000 AS tokens FROM reg UNION ALL SELECT qid, 'search_cases', top_id, score >= 0.45, 5000 FROM cas UNION ALL SELECT qid, 'search_related', top_id, false, 4000 FROM rel),
 plan AS (SELECT vec_id AS qid, CASE label % 3 WHEN 0 THEN ['search_regulations', 'search_cases', 'search_related', 'search_cases'] WHEN 1 THEN ['search_cases', 'search_related'] ELSE ['search_regulations'] END AS p FROM embeddings WHERE vec_id % 25 = 0),
 steps AS (SELECT qid, unnest(range(len(f))) AS hop, unnest(f) AS tool FROM (SELECT qid, CASE WHEN list_contains(p, 'search_regulations') THEN p ELSE list_concat(['search_regulations'], p) END AS f FROM plan)),
@@ -66,7 +66,7 @@ def _loop(spark: SparkSession, d: str) -> DataFrame:
     tools = {
         "search_regulations": call(e.filter("label < 5"), F.col("score") >= 0.4, 4000),
         "search_cases": call(e.filter("label >= 5"), F.col("score") >= 0.45, 5000),
-        "search_related": call(e.filter("vec_id < 100"), F.lit(False), 4000),
+        "search_related": call(e.filter("label % 3 = 0"), F.lit(False), 4000),
     }
     names = {0: ("search_regulations", "search_cases", "search_related", "search_cases"), 1: ("search_cases", "search_related"), 2: ("search_regulations",)}
     array = lambda k: F.array(*[F.lit(x) for x in names[k]])
@@ -77,7 +77,7 @@ def _loop(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_LOOP} SELECT qid, hop::INTEGER AS hop, tool, confident, top_id, stop FROM run")
 def agent_hops(spark: SparkSession, d: str) -> DataFrame:
     """The bounded tool loop, unrolled: every planned call, and which budget cut it off."""
-    return _loop(spark, d)
+    return _loop(spark, d).select("qid", "hop", "tool", "confident", "top_id", "stop")
 
 
 @query(f"""{_LOOP} SELECT qid, count(*) FILTER (stop IS NULL) AS calls, coalesce(bool_or(stop IS NULL AND confident), false) AS grounded, arg_max(top_id, hop) FILTER (stop IS NULL AND confident) AS answer_id, arg_min(stop, hop) FILTER (stop IS NOT NULL) AS stop_reason, coalesce(bool_or(stop IS NULL AND confident), false) AS answered FROM run GROUP BY qid""")
@@ -85,6 +85,25 @@ def agent_results(spark: SparkSession, d: str) -> DataFrame:
     return answering.loop_results(_loop(spark, d))
 
 
+@query()
+def agent_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The loop's questions answered from what its calls found, or refused; usage, sources, verification."""
+    e = table(spark, d, "embeddings")
+    name = lambda c: F.concat(F.lit("vector "), F.col(c).cast("string"), F.lit(" of label "), F.col("label").cast("string"))
+    questions = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), name("vec_id").alias("question"))
+    out = answering.agent_answers(questions, _loop(spark, d), e.select(F.col("vec_id").alias("cid"), name("vec_id").alias("text")))
+    return out.select("qid", "calls", "tokens", "seconds", "grounded", "stop_reason", F.size("sources").alias("n_sources"), "answer")
+
+
+@query()
+def search_tool(spark: SparkSession, d: str) -> DataFrame:
+    """The tool that searches regulations: the first words of each item call it, the whole item is the original."""
+    models = Models()
+    calls = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring_index("text", " ", 6).alias("query"), F.col("text").alias("original"))
+    out = answering.search_tool(calls, _chunks(spark, d, models), models, "%s: which rules hold?", marks="[.]+")
+    return out.select("qid", "confident", "top_score", F.size("kept").alias("n_kept"), "drift", "used_retry", "query")
+
+
 @query(f"""WITH a AS ({_BEST.format(" AND c.label % 2 = 0")}), b AS ({_BEST.format("")})
 SELECT a.qid, CASE WHEN b.score >= 0.5 AND a.top_id <> b.top_id THEN true ELSE a.score >= 0.5 END AS confident, CASE WHEN b.score >= 0.5 AND a.top_id <> b.top_id THEN b.top_id ELSE a.top_id END AS top_id, (b.score >= 0.5 AND a.top_id <> b.top_id) AS drift FROM a JOIN b USING (qid)""")
 def drift_check(spark: SparkSession, d: str) -> DataFrame:
@@ -95,4 +114,4 @@ def drift_check(spark: SparkSession, d: str) -> DataFrame:
     return answering.drift_checked(one(e.filter("label % 2 = 0")), one(e))
 
 
-__all__ = ["_DOT", "agent_hops", "agent_results", "drift_check", "gated_retrieval", "pipeline_query", "review_path"]
+__all__ = ["_DOT", "agent_answers", "agent_hops", "agent_results", "drift_check", "gated_retrieval", "pipeline_query", "review_path", "search_tool"]

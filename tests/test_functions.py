@@ -245,6 +245,73 @@ def test_fixed_path(spark):
     assert got[2]["refused"] and got[2]["sources"] == [] and got[2]["used_retry"] is False
 
 
+def test_fixed_path_has_all_places_cases_and_boost(spark):
+    rows = [f"apples number {i} keep doctors away" for i in range(10)] + ["第28條 apples keep doctors away always"]
+    chunks = spark.createDataFrame([(i, t, hashed(t)) for i, t in enumerate(rows)], "cid long, text string, embedding array<double>")
+    cases = spark.createDataFrame([(900, "fined for apples", hashed("fined for apples"))], "cid long, text string, embedding array<double>")
+    q = spark.createDataFrame([(1, "apples keep doctors away"), (2, "quantum lattice"), (3, "fined for apples")], "qid long, question string")
+    got = {r["qid"]: r for r in answering.fixed_path(q, chunks, Models(), cases=cases, case_words=("fined",)).collect()}
+    assert len(got[1]["sources"]) == 8 and got[1]["cases"] == [] and got[2]["refused"] and got[2]["cases"] == []
+    assert got[3]["cases"] == [900] and not got[3]["refused"]
+    nouns = spark.createDataFrame([("lattice", 4), ("absent", 5)], "noun string, cid long")
+    assert [tuple(r) for r in answering.boosted(q, nouns).collect()] == [(2, 4)]
+    pool = answering.retrieve(q, chunks, Models(rerank=lambda a, b: F.lit(1.0)), keep=20, nouns=nouns)
+    assert 4 in next(r["kept"] for r in pool.collect() if r["qid"] == 2)
+
+
+def test_verify_writes_anew_once(spark):
+    rows = [
+        (1, ["第28條 規定"], "依第28條辦理。", ("依第28條辦理。", [], False)),
+        (2, ["第28條 規定"], "依第28條辦理。另依第9條。", ("依第28條辦理。", [], True)),
+        (3, ["無"], "依第9條", ("依第9條", ["第9條"], True)),
+        (4, [], answering.REFUSE, (answering.REFUSE, [], False)),
+    ]
+    df = spark.createDataFrame([(i, "q", e, a) for i, e, a, _ in rows], "i int, question string, evidence array<string>, answer string")
+    got = {r["i"]: (r["answer"], r["unsupported"], r["regenerated"]) for r in answering.verify(df, Models()).collect()}
+    assert got == {i: want for i, *_, want in rows}
+
+
+def test_review_path_finds_guaranteed_rules_wherever_they_rank(spark):
+    rows = [(i, f"slim fast now {i}") for i in range(30)] + [(99, "entirely different words here")]
+    rules = spark.createDataFrame([(i, t, hashed(t)) for i, t in rows], "cid long, text string, embedding array<double>")
+    texts = spark.createDataFrame([(1, "slim fast now 3")], "qid long, question string")
+    (got,) = answering.review_path(texts, rules, D.Lexicon({"a": ("slim",)}, {"a": 1}), Models(), F.col("cid") == 99).collect()
+    assert got["sources"][0] == 99 and got["sources"][1] == 3 and len(got["sources"]) == 5 and got["level"] == "medium"
+
+
+def test_search_tool_drift_and_retry(spark):
+    rows = ["alpha beta gamma delta", "omega sigma kappa theta", "quarks leptons bosons gluons"]
+    chunks = spark.createDataFrame([(i, t, hashed(t)) for i, t in enumerate(rows)], "cid long, text string, embedding array<double>")
+    calls = spark.createDataFrame([
+        (1, "alpha beta gamma delta", "alpha beta gamma delta"), (2, "alpha beta gamma delta", "omega sigma kappa theta"),
+        (3, "is it so that it was as he or we do?", "a is of quarks leptons bosons gluons to be it as so no"), (4, "nothing at all fits in here", None),
+    ], "qid long, query string, original string")
+    got = {r["qid"]: r for r in answering.search_tool(calls, chunks, Models(), "%s?").collect()}
+    assert (got[1]["kept"][0], got[1]["drift"], got[1]["used_retry"]) == (0, False, False)
+    assert (got[2]["kept"][0], got[2]["drift"]) == (1, True)
+    assert (got[3]["kept"][:1], got[3]["used_retry"], got[3]["drift"]) == ([2], True, False)
+    assert not got[4]["confident"] and got[4]["kept"] == []
+
+
+def test_decomposed(spark):
+    rows = [("可以賣嗎?要標示營養嗎?", '["可以賣糖果嗎", "糖果要標示營養嗎?"]'), ("這個產品可以賣嗎?這個產品要標示營養嗎?", '["x"]'), ("一個問題", '["x","y"]'), ("可以賣嗎?要標示營養嗎?", None), ("可以賣嗎?要標示營養嗎?", "no list")]
+    got = [r["d"] for r in spark.createDataFrame(rows, "q string, reply string").select(text.decomposed(F.col("q"), F.col("reply")).alias("d")).collect()]
+    assert [(len(r["subs"]), r["used_llm"]) for r in got] == [(2, True), (2, False), (1, False), (2, False), (2, True)]
+    assert got[0]["subs"] == ["可以賣糖果嗎?", "糖果要標示營養嗎?"] and got[4]["subs"] == got[3]["subs"]
+
+
+def test_agent_answers(spark):
+    q = spark.createDataFrame([(1, "apples"), (2, "rivers")], "qid int, question string")
+    call = lambda ok, top: spark.createDataFrame([(i, ok if i == 1 else False, top, 100, 1.5) for i in (1, 2)], "qid int, confident boolean, top_id int, tokens int, seconds double")
+    tools = {"search_regulations": call(True, 7), "search_related": call(False, 8)}
+    calls = answering.tool_loop(q, tools, F.array(F.lit("search_regulations"), F.lit("nonsense"), F.lit("search_related"), F.lit("search_regulations")))
+    assert {r["error"] for r in calls.collect()} == {None, "unknown tool: nonsense"}
+    chunks = spark.createDataFrame([(7, "apples keep"), (8, "related")], "cid int, text string")
+    got = {r["qid"]: r for r in answering.agent_answers(q, calls, chunks).collect()}
+    assert got[1]["sources"] == [7, 8] and got[1]["tokens"] == 300 and got[1]["seconds"] == 4.5 and "apples keep" in got[1]["answer"]
+    assert got[2]["answer"] == answering.REFUSE and got[2]["sources"] is None and not got[2]["grounded"]
+
+
 def zipped(**members):
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
