@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, doc_rows, free_name, keyed, slices, texts_of, written
+from .common import discard, free_name, slices, texts_of, written
 
 RADIUS = 3
 BLOCKS, BLOCK_BITS = 4, 16
@@ -55,11 +55,11 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * counts.astype(np.int64) > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, text: str = "text", doc_id: str = "doc_id", key: str | None = None) -> DataFrame:
-    """doc_id, fingerprint (the 64 bits as a signed long); and _key, the long column `key`, if one is named. Null text
+def fingerprints(docs: DataFrame, width: int = 3, text: str = "text", doc_id: str = "doc_id", key: Column | None = None) -> DataFrame:
+    """doc_id, fingerprint (the 64 bits as a signed long); and _key, the long value `key`, if one is given. Null text
     counts as empty, a null doc_id stays null, repeated rows have a row each, an empty table gives none, and other
     columns are ignored."""
-    more = [F.col(key).cast("long").alias("_key")] if key else []
+    more = [key.cast("long").alias("_key")] if key is not None else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -284,11 +284,21 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, width: int = 3, text: st
     it any one, and a row without doc_id only where no row of the component has one.
 
     Null text counts as empty. Repeated rows and ids: copies of each other, so one of them stays. Empty table: no rows.
-    Rows are told apart by a key of their own, written once; its name clashes with no column.
+    Rows are found again by doc_id and a hash of the text; only where several rows share both are they compared. The
+    columns that this takes have names that clash with none.
     """
-    rows, key = keyed(docs, "simhash-rows")
-    d = written(fingerprints(rows, width, text, doc_id, key), "simhash-prints")
-    d = d.join(_classes(d, radius), F.col("fingerprint") == F.col("_print"))
-    keep = d.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("_first"))
-    mine = free_name(docs, "_kept")
-    return rows.join(keep.select(F.col("_first._key").alias(mine)), F.col(key) == F.col(mine), "left_semi").drop(key)
+    content = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    d = written(fingerprints(docs, width, text, doc_id, content), "simhash-prints")
+    keys = d.groupBy("doc_id", "_key", "fingerprint").agg(F.count(F.lit(1)).alias("rows"))
+    keys = keys.join(_classes(d, radius), F.col("fingerprint") == F.col("_print"))
+    keep = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "rows")).alias("f"))
+    number, mine, often = (free_name(docs, n) for n in ("_number", "_content", "_often"))
+    keep = written(keep.select(F.col("f.doc_id").alias(number), F.col("f._key").alias(mine), (F.col("f.rows") > 1).alias(often)), "simhash-kept")
+    once, several = keep.filter(~F.col(often)).drop(often), keep.filter(often).drop(often)
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(number)) & (content == F.col(mine))
+    out = docs.join(once, same, "left_semi")
+    if several.isEmpty():
+        return out
+    # One row of each key; the partial aggregate leaves one for each task, however many share it.
+    more = docs.join(several, same).dropDuplicates([number, mine]).drop(number, mine)
+    return out.unionByName(more)
