@@ -5,17 +5,22 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import clean, strip
+from ..operators.decisions import any_of
+from ..operators.lexicons import EXAM
+from ..operators.similarity import normalised
+
 ENDINGS = ("txt", "docx", "doc", "pdf")
-#: Of a nested archive's members, unpacked; a member beyond is an error row and not read.
-MOST_MEMBER = 256 << 20
+#: The longest value that a binary column can hold; a longer member is an error row.
+MOST_MEMBER = (1 << 31) - 1
 
 
 def scan(spark: SparkSession, root: str, endings: tuple[str, ...] = ENDINGS) -> DataFrame:
@@ -75,8 +80,8 @@ def unpack(files: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for p, c in zip(f["path"], f["content"], strict=True):
-                rows = list(members(p, c or b""))
-                yield pd.DataFrame(rows, columns=["path", "content", "error"])
+                for member in members(p, c or b""):
+                    yield pd.DataFrame([member], columns=["path", "content", "error"])
 
     return files.select("path", "content").mapInPandas(run, "path string, content binary, error string")
 
@@ -141,8 +146,31 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, status string, reason string, text string")
 
 
-def classify_pages(pages: DataFrame, path: str = "path", text: str = "text", has_table: str = "has_table", page: str = "page") -> DataFrame:
-    """Per file, from its pages: empty, needs_ocr (font codes in 15 of 100 characters of the first five pages, or fewer
+def open_error(message: Column) -> Column:
+    """encrypted or corrupted, by what a reader said when it failed; null where it did not."""
+    return F.when(F.regexp_like(F.lower(message), F.lit("password|encrypt|decrypt")), "encrypted").when(message.isNotNull(), "corrupted")
+
+
+def joined_pages(pages: DataFrame, path: str = "path", text: str = "text", page: str = "page") -> DataFrame:
+    """path, text: a file's pages in order, empty ones left out, joined by an empty line and cleaned."""
+    own = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t"))))
+    texts = F.filter(F.transform(own, lambda x: x["t"]), lambda t: F.length(F.trim(F.coalesce(t, F.lit("")))) > 0)
+    return pages.groupBy(path).agg(F.array_join(texts, "\n\n").alias(text)).withColumn(text, clean(F.col(text)))
+
+
+#: Characters that recognised text must have to count as text.
+LEAST_OCR = 50
+
+
+def settled(parsed: DataFrame, how: str = "how", text: str = "text", status: str = "status", reason: str = "reason") -> DataFrame:
+    """Recognised text of fewer than LEAST_OCR characters is a failure of its own kind; other rows stay as they are."""
+    short = (F.col(how) == "ocr") & (F.col(status) == "ok") & (F.length(F.coalesce(F.col(text), F.lit(""))) < LEAST_OCR)
+    return parsed.withColumn(reason, F.when(short, "ocr_no_text").otherwise(F.col(reason))).withColumn(status, F.when(short, "failed").otherwise(F.col(status)))
+
+
+def classify_pages(pages: DataFrame, path: str = "path", text: str = "text", has_table: str = "has_table", page: str = "page", error: str | None = None) -> DataFrame:
+    """Per file, from its pages (one with a null page if it has none): encrypted or corrupted, by the reader's message in
+    the column `error`, if one is named; empty, needs_ocr (font codes in 15 of 100 characters of the first five pages, or fewer
     than 30 characters a page), has_tables or normal_text."""
     t = F.coalesce(F.col(text), F.lit(""))
     codes = F.length(t) - F.length(F.regexp_replace(t, r"\(cid:[0-9]+\)", ""))
@@ -150,9 +178,10 @@ def classify_pages(pages: DataFrame, path: str = "path", text: str = "text", has
     a = pages.groupBy(path).agg(
         F.count(F.col(page)).alias("n_pages"), F.avg(F.length(t)).alias("avg_chars"), F.bool_or(F.coalesce(F.col(has_table), F.lit(False))).alias("tables"),
         F.sum(F.when(early, codes).otherwise(0)).alias("codes"), F.sum(F.when(early, F.length(t)).otherwise(0)).alias("chars"),
+        F.max(F.col(error) if error else F.lit(None).cast("string")).alias("message"),
     )
     ratio = F.when(F.col("chars") > 0, F.col("codes") / F.col("chars")).otherwise(0.0)
-    kind = F.when(F.col("n_pages") == 0, "empty").when((ratio >= 0.15) | (F.col("avg_chars") < 30), "needs_ocr").when(F.col("tables"), "has_tables").otherwise("normal_text")
+    kind = F.when(F.col("message").isNotNull(), open_error(F.col("message"))).when(F.col("n_pages") == 0, "empty").when((ratio >= 0.15) | (F.col("avg_chars") < 30), "needs_ocr").when(F.col("tables"), "has_tables").otherwise("normal_text")
     return a.select(path, "n_pages", "avg_chars", kind.alias("kind"))
 
 
@@ -185,6 +214,58 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("source", F.coalesce("source", F.lit("manual")))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def read_nouns(spark: SparkSession, path: str) -> DataFrame:
+    """noun, cid: a JSON object of nouns, each with a list of ids; a missing file is an empty table."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "noun string, cid long")
+    held = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,array<bigint>>").alias("m"))
+    return held.select(F.explode("m").alias("noun", "ids")).select("noun", F.explode("ids").alias("cid"))
+
+
+def write_nouns(nouns: DataFrame, path: str) -> None:
+    """nouns(noun, cid) as one JSON object: a lexicon, so small."""
+    lists = nouns.groupBy("noun").agg(F.sort_array(F.collect_set("cid")).alias("ids"))
+    lists.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("noun", "ids")))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_prompt(spark: SparkSession, path: str) -> str:
+    """A prompt template; a missing file is an empty text."""
+    if not _exists(spark, path):
+        return ""
+    return "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).toLocalIterator())
+
+
+def write_vectors(chunks: DataFrame, path: str, key: str = "cid", vector: str = "embedding") -> None:
+    """The vector table: ids and unit vectors of floats, in ranges of the id, rebuilt as a whole. A null vector is left
+    out, as it is in no index."""
+    rows = chunks.filter(F.col(vector).isNotNull()).select(F.col(key), normalised(F.col(vector)).cast("array<float>").alias(vector))
+    rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Results as JSON lines, null fields kept."""
+    results.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def rewrite(spark: SparkSession, path: str, make: Callable[[DataFrame], DataFrame]) -> bool:
+    """Replaces a table of JSON lines by make(table): the new one is written beside it, the old one is kept as .bak, and
+    only then does the new one take its place. False, and nothing done, where nothing changes."""
+    old = spark.read.json(path)
+    new = make(old)
+    if old.schema == new.schema and old.exceptAll(new).isEmpty() and new.exceptAll(old).isEmpty():
+        return False
+    new.write.mode("overwrite").json(f"{path}.new")
+    at = lambda end: spark._jvm.org.apache.hadoop.fs.Path(path + end)
+    files = at("").getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(at(".bak"), True)
+    return files.rename(at(""), at(".bak")) and files.rename(at(".new"), at(""))
+
+
 def read_splits(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header; a folder split=... for each part becomes the column split."""
     return spark.read.schema(schema).option("header", True).csv(path)
@@ -194,13 +275,19 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").option("header", True).csv(path)
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """Ids from 1 by a fixed order, without a global sort in one task: range partitions are counted, then offset."""
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    dealt = dealt.persist()
-    counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
-    before = counts.select("_p", "_first", (F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_base"))
-    return dealt.join(F.broadcast(before), "_p").withColumn(name, F.col("_base") + F.col("_i") - F.col("_first") + 1).drop("_p", "_i", "_first", "_base")
+def numbered(df: DataFrame, order: list[str], name: str = "id", parts: int = 64) -> DataFrame:
+    """Ids from 1 by a fixed order of distinct keys: the id is the number of keys at or before a row's. Keys are cut into
+    parts at fixed bounds of the first column, counted, and numbered within their part; nothing rests on how
+    a shuffle happened to deal them, so a task that runs again gives the same ids."""
+    first = F.col(order[0])
+    bounds = [r[0] for r in df.select(first.alias("b")).filter("b is not null").distinct().orderBy(F.xxhash64("b"), "b").limit(parts).sort("b").toLocalIterator()]
+    place = sum([F.when(first > F.lit(b), 1).otherwise(0) for b in bounds], F.lit(0))
+    rows = df.withColumn("_part", F.when(first.isNull(), -1).otherwise(place))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # One row for each part.
+    before = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return rows.withColumn("_i", own).join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, F.col("_base") + F.col("_i")).drop("_part", "_p", "_i", "_base")
 
 
 def write_tables(chunks: DataFrame, root: str) -> None:
@@ -210,6 +297,14 @@ def write_tables(chunks: DataFrame, root: str) -> None:
     chunks.select(F.col("id").alias("chunk_id"), F.inline("refs")).write.mode("overwrite").parquet(f"{root}/chunk_laws")
 
 
+def write_parsed(chunks: DataFrame, notices_: DataFrame, parsed: DataFrame, root: str) -> None:
+    """The three results of a run as JSON lines: chunks and notices, numbered by a fixed order and not by when they
+    came, and the failed files."""
+    numbered(chunks, ["path", "chunk_no"]).write.mode("overwrite").json(f"{root}/chunks")
+    numbered(notices_, ["file", "no"]).write.mode("overwrite").json(f"{root}/notices")
+    write_failed(parsed, root)
+
+
 def write_failed(parsed: DataFrame, root: str) -> None:
     parsed.filter("status = 'failed'").select("path", "reason", F.current_timestamp().alias("detected_at")).write.mode("overwrite").json(f"{root}/failed")
 
@@ -223,7 +318,8 @@ def exam_items(lines: list[str], answers: dict[int, str]) -> list[tuple[int, str
     out: list[list] = []
     for line in lines:
         line = line.translate(str.maketrans("ＡＢＣＤ", "ABCD"))
-        if m := _QUESTION.match(line):
+        # A number that does not go on from the last question's is part of its text.
+        if (m := _QUESTION.match(line)) and (not out or int(m[1]) == out[-1][0] + 1):
             out.append([int(m[1]), m[2].strip(), {}])
         elif out and (m := _OPTION.match(line)):
             out[-1][2][m[1]] = m[2].strip()
@@ -236,6 +332,21 @@ def exam_items(lines: list[str], answers: dict[int, str]) -> list[tuple[int, str
     return [(n, stem, options, answers[n]) for n, stem, options in out if len(options) == 4 and answers.get(n) in options]
 
 
+def answer_key(sheet: Column) -> Column:
+    """array<struct(no, answer)> of an answer sheet: a line of numbers that begins with 題號, and the line of letters after
+    it that begins with 答案; letters other than A to D are left out."""
+    lines = F.transform(F.split(sheet, "\\r?\\n"), lambda x: strip(F.translate(x, "ＡＢＣＤ", "ABCD")))
+    pairs = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("nos"), F.get(lines, i + 1).alias("letters"))), lambda p: F.startswith(p["nos"], F.lit("題號")) & F.startswith(p["letters"], F.lit("答案")))
+    one = F.transform(pairs, lambda p: F.arrays_zip(F.regexp_extract_all(p["nos"], F.lit(r"第?(\d+)題?"), F.lit(1)).alias("no"), F.regexp_extract_all(F.regexp_replace(F.substr(p["letters"], F.lit(3)), r"\s+", ""), F.lit("(.)"), F.lit(1)).alias("answer")))
+    known = F.filter(F.flatten(one), lambda x: x["no"].isNotNull() & F.coalesce(x["answer"].isin("A", "B", "C", "D"), F.lit(False)))
+    return F.transform(known, lambda x: F.struct(x["no"].cast("int").alias("no"), x["answer"].alias("answer")))
+
+
+def about_rules(stem: Column, options: Column, cues: tuple[str, ...] = EXAM) -> Column:
+    """Whether a question's text or options have a cue of the rules."""
+    return any_of(F.concat(stem, F.array_join(F.map_values(options), "")), cues)
+
+
 def exam_table(files: DataFrame, keys: DataFrame) -> DataFrame:
     """files(year, text), keys(year, no, answer) -> year, no, stem, options, answer."""
 

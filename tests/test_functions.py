@@ -360,6 +360,45 @@ def test_tables_of_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t/chunk_laws")).count() == 1
 
 
+def test_sinks_and_loads(spark, tmp_path):
+    root = str(tmp_path)
+    assert files.read_nouns(spark, f"{root}/none.json").count() == 0 and files.read_prompt(spark, f"{root}/none.txt") == ""
+    nouns = spark.createDataFrame([("茶", 1), ("茶", 2), ("糖", 1)], "noun string, cid long")
+    files.write_nouns(nouns, f"{root}/nouns")
+    assert sorted(map(tuple, files.read_nouns(spark, f"{root}/nouns").collect())) == sorted([("茶", 1), ("茶", 2), ("糖", 1)])
+    (tmp_path / "p.txt").write_text("one {x}\ntwo")
+    assert files.read_prompt(spark, f"{root}/p.txt") == "one {x}\ntwo"
+    files.write_vectors(spark.createDataFrame([(2, [3.0, 4.0]), (1, [0.0, 0.0]), (3, None)], "cid int, embedding array<double>"), f"{root}/v")
+    assert [(r["cid"], [round(x, 3) for x in r["embedding"]]) for r in spark.read.parquet(f"{root}/v").orderBy("cid").collect()] == [(1, [0.0, 0.0]), (2, [0.6, 0.8])]
+    files.write_results(spark.createDataFrame([(1, None), (2, "x")], "a int, b string"), f"{root}/r.json")
+    assert files.rewrite(spark, f"{root}/r.json", lambda df: df) is False
+    assert files.rewrite(spark, f"{root}/r.json", lambda df: df.withColumn("a", F.col("a") + 1)) is True
+    assert sorted(r["a"] for r in spark.read.json(f"{root}/r.json").collect()) == [2, 3] and sorted(r["a"] for r in spark.read.json(f"{root}/r.json.bak").collect()) == [1, 2]
+    chunks = spark.createDataFrame([(p, n, "t") for p in "cab" for n in (1, 0)], "path string, chunk_no int, text string").repartition(3)
+    files.write_parsed(chunks, spark.createDataFrame([("f", "1")], "file string, no string"), spark.createDataFrame([("x", "failed", "empty")], "path string, status string, reason string"), f"{root}/out")
+    assert [(r["path"], r["chunk_no"]) for r in spark.read.json(f"{root}/out/chunks").orderBy("id").collect()] == [(p, n) for p in "abc" for n in (0, 1)]
+    assert [r["reason"] for r in spark.read.json(f"{root}/out/failed").collect()] == ["empty"]
+
+
+def test_pages(spark):
+    pages = spark.createDataFrame([("a", 2, "two", None), ("a", 1, "one", None), ("a", 3, " ", None), ("e", None, None, "File has not been decrypted"), ("f", None, None, "EOF marker not found"), ("g", None, None, None)], "path string, page int, text string, error string")
+    assert {r["path"]: r["text"] for r in files.joined_pages(pages.filter("path = 'a'")).collect()} == {"a": "one\n\ntwo"}
+    kinds = {r["path"]: r["kind"] for r in files.classify_pages(pages.withColumn("has_table", F.lit(False)), error="error").collect()}
+    assert kinds == {"a": "needs_ocr", "e": "encrypted", "f": "corrupted", "g": "empty"}
+    rows = spark.createDataFrame([("ocr", "x" * 49, "ok", None), ("ocr", "x" * 50, "ok", None), ("txt", "x", "ok", None)], "how string, text string, status string, reason string")
+    assert [(r["status"], r["reason"]) for r in files.settled(rows).collect()] == [("failed", "ocr_no_text"), ("ok", None), ("ok", None)]
+
+
+def test_answer_sheets(spark):
+    sheet = "標題\n題號 第1題 第2題 3\n答案ＡC#\n題號 4 5\n無\n題號 6\n答案 D"
+    assert [tuple(x) for x in one(spark, files.answer_key(F.col("s")), s=sheet)] == [(1, "A"), (2, "C"), (6, "D")]
+    lines = "1. 題幹\n7. 是題幹的一部分\n(A) 甲\n(B) 乙\n(C) 丙\n(D) 丁\n2. 次題\n(A) 甲\n(B) 乙\n(C) 丙\n(D) 標示".split("\n")
+    items = files.exam_items(lines, {1: "A", 2: "D"})
+    assert [(n, stem) for n, stem, *_ in items] == [(1, "題幹7. 是題幹的一部分"), (2, "次題")]
+    hint = spark.createDataFrame([(stem, options) for _, stem, options, _ in items], "stem string, options map<string,string>").select(files.about_rules(F.col("stem"), F.col("options")).alias("x"))
+    assert [r["x"] for r in hint.collect()] == [False, True]
+
+
 def test_exam(spark):
     paper = "1. 題幹\n續行\n(A) 甲\n(B) 乙\n(C) 丙\n(D) 丁\n2. 缺\n(A) 甲"
     (item,) = files.exam_items(paper.split("\n"), {1: "B", 2: "A"})
