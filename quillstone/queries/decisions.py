@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import decisions as D
+from ..operators import lexicons as X
 from ..session import table
 from .registry import query
 
@@ -85,3 +86,34 @@ def budget_ladder(spark: SparkSession, d: str) -> DataFrame:
     """The first budget that is used up."""
     u = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"), F.max("value").alias("m"))
     return u.select("user_id", D.over_budget(F.col("n"), F.col("v"), F.col("m"), 12, 600, 99.0).alias("stop"))
+
+
+_TERMS = [t for words in X.RISK.terms.values() for t in words]
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_COUNT = lambda words, x="x": f"len(list_filter({_LIST(dict.fromkeys(words))}, lambda t: contains({x}, t)))"
+_BY_WORDS = f"greatest({', '.join(f'CASE WHEN {_COUNT(X.RISK.terms[c])} > 0 THEN {n} ELSE 0 END' for c, n in X.RISK.level.items())})"
+_BY_REPORT = f"CASE WHEN contains(report, 'VERDICT') THEN 0 WHEN {_COUNT(X.REPORT_HIGH, 'report')} > 0 THEN 2 WHEN {_COUNT(X.REPORT_MEDIUM, 'report')} > 0 THEN 1 ELSE 0 END"
+
+
+@query(f"""SELECT o_orderkey, {", ".join(f"{_COUNT(w)}::INTEGER AS {c}" for c, w in X.RISK.terms.items())}, ['low', 'medium', 'high'][CASE WHEN b = 1 AND {_COUNT(_TERMS)} = 0 AND {_COUNT(X.ALLOWED)} > 0 THEN 0 ELSE b END + 1] AS level
+FROM (SELECT *, greatest({_BY_WORDS}, {_BY_REPORT}) AS b FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '本品' ELSE '本品可' || {_LIST(_TERMS)}[o_custkey % {len(_TERMS)} + 1] END || '，' || {_LIST(X.ALLOWED)}[o_orderkey % {len(X.ALLOWED)} + 1] AS x,
+CASE o_orderkey % 5 WHEN 0 THEN '此文案易生誤解' WHEN 1 THEN '涉及醫療效能' WHEN 2 THEN 'VERDICT: 合規，但違反' ELSE '尚可' END AS report FROM orders))""")
+def domain_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """The domain's own lexicon, white list and report words on advertisements made of them."""
+    o = table(spark, d, "orders")
+    pick = lambda words, i: F.element_at(F.array(*[F.lit(w) for w in words]), (i % len(words) + 1).cast("int"))
+    x = F.concat(F.when(F.col("o_orderkey") % 4 == 0, "本品").otherwise(F.concat(F.lit("本品可"), pick(_TERMS, F.col("o_custkey")))), F.lit("，"), pick(X.ALLOWED, F.col("o_orderkey")))
+    report = pick(("此文案易生誤解", "涉及醫療效能", "VERDICT: 合規，但違反", "尚可", "尚可"), F.col("o_orderkey"))
+    t = o.select("o_orderkey", x.alias("x"), report.alias("report")).withColumn("m", D.lexicon_scan(F.col("x"), X.RISK))
+    level = D.verdict(F.col("m"), X.RISK, D.report_level(F.col("report"), X.REPORT_HIGH, X.REPORT_MEDIUM), D.any_of(F.col("x"), X.ALLOWED))
+    return t.select("o_orderkey", *[F.size(f"m.{c}").alias(c) for c in X.RISK.terms], level.alias("level"))
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN ({_COUNT(X.ADVERTISING)} > 0 OR {_COUNT(X.CLAIMS)} > 0) AND {_COUNT(X.LABELS)} = 0 THEN '{X.ADVERTISING_LAW}' END AS law, {_COUNT(X.CASES)} > 0 AS cases, {_COUNT(X.EXAM)} > 0 AS exam
+FROM (SELECT o_orderkey, {_LIST((*X.ADVERTISING, *X.CLAIMS, *X.LABELS, *X.CASES, "問題"))}[o_custkey % {len(X.ADVERTISING) + len(X.CLAIMS) + len(X.LABELS) + len(X.CASES) + 1} + 1] || '怎麼' || {_LIST((*X.CASES, "辦", "寫"))}[o_orderkey % {len(X.CASES) + 2} + 1] || '?' AS x FROM orders)""")
+def domain_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The law a question implies, whether it asks for cases, and whether it is about the rules: by the domain's lists."""
+    pick = lambda words, i: F.element_at(F.array(*[F.lit(w) for w in words]), (i % len(words) + 1).cast("int"))
+    x = F.concat(pick((*X.ADVERTISING, *X.CLAIMS, *X.LABELS, *X.CASES, "問題"), F.col("o_custkey")), F.lit("怎麼"), pick((*X.CASES, "辦", "寫"), F.col("o_orderkey")), F.lit("?"))
+    t = table(spark, d, "orders").select("o_orderkey", x.alias("x"))
+    return t.select("o_orderkey", D.inferred_filter(F.col("x"), X.ADVERTISING, X.CLAIMS, X.LABELS, X.ADVERTISING_LAW).alias("law"), D.wants_cases(F.col("x"), X.CASES).alias("cases"), D.any_of(F.col("x"), X.EXAM).alias("exam"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import citations
 from ..operators import relational as R
 from ..session import table
 from .registry import query
@@ -267,3 +268,34 @@ def failed_listing(spark: SparkSession, d: str) -> DataFrame:
     """The failed list, by reason and then by file, 200 rows at most."""
     reason = F.when(F.col("n_chars") < 200, "too_short").when(F.col("n_chars") > 15000, "too_long")
     return table(spark, d, "documents").select(reason.alias("reason"), "doc_id").filter("reason is not null").orderBy("reason", "doc_id").limit(200)
+
+
+@query("""SELECT 'documents' AS name, count(*) > 0 AS ok, count(*) AS n FROM documents UNION ALL SELECT 'vectors', count(*) = count(*) FILTER (len(embedding) = 64), count(*) FILTER (len(embedding) <> 64) FROM embeddings
+UNION ALL SELECT 'labels', count(*) = 0, count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'pages', count(*) = 0, count(*) FROM pages WHERE html IS NULL OR html = ''
+UNION ALL SELECT 'failed', count(*) = 0, count(*) FROM documents WHERE text IS NULL OR n_chars < 200""")
+def health(spark: SparkSession, d: str) -> DataFrame:
+    """Five checks of the index, each with what it counted."""
+    t = {n: table(spark, d, n) for n in ("documents", "embeddings", "labels", "pages")}
+    n = F.count(F.lit(1))
+    checks = [
+        t["documents"].agg(n.alias("n")).select(F.lit("documents").alias("name"), (F.col("n") > 0).alias("ok"), "n"),
+        t["embeddings"].filter(F.size("embedding") != 64).agg(n.alias("n")).select(F.lit("vectors"), F.col("n") == 0, "n"),
+        t["labels"].join(t["documents"].select("doc_id"), "doc_id", "left_anti").agg(n.alias("n")).select(F.lit("labels"), F.col("n") == 0, "n"),
+        t["pages"].filter("html is null or html = ''").agg(n.alias("n")).select(F.lit("pages"), F.col("n") == 0, "n"),
+        t["documents"].filter("text is null or n_chars < 200").agg(n.alias("n")).select(F.lit("failed"), F.col("n") == 0, "n"),
+    ]
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.union(c)
+    return out
+
+
+@query("""SELECT conv_id, turn, o.o_orderkey AS label_no, CASE WHEN o.o_custkey % 5 = 4 THEN NULL WHEN o.o_custkey % 5 = 3 THEN '0' WHEN o.o_custkey % 5 = 0 THEN (o.o_orderkey % 60 + 1)::VARCHAR ELSE (o.o_orderkey % 60 + 1) || '之' || CASE o.o_custkey % 5 WHEN 1 THEN '一' ELSE '2' END END AS article FROM conversations c JOIN orders o ON o.o_orderkey = c.conv_id""")
+def label_references(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of laws as references: plain, with a suffix on either side, a whole act, none."""
+    no = (F.col("o_orderkey") % 60 + 1).cast("string")
+    kind = F.col("o_custkey") % 5
+    label = F.when(kind == 0, F.concat(F.lit("食安法第"), no, F.lit("條"))).when(kind == 1, F.concat(F.lit("食安法第"), no, F.lit("條之一"))).when(kind == 2, F.concat(F.lit("食安法第"), no, F.lit("之2條"))).when(kind == 3, "健康食品管理法").otherwise("其他")
+    o = table(spark, d, "orders").select("o_orderkey", citations.law_reference(label)["article_full"].alias("article"))
+    c = table(spark, d, "conversations").select("conv_id", "turn")
+    return c.join(o, F.col("conv_id") == F.col("o_orderkey")).select("conv_id", "turn", F.col("o_orderkey").alias("label_no"), "article")
