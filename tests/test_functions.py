@@ -209,6 +209,63 @@ def test_fuzzy_best_loses_nothing(spark):
     assert {(x["lid"], x["rid"]) for x in S.fuzzy_best(left, right, "id", "id", "t", 0.8).collect()} == want
 
 
+def test_fuzzy_best_leaves_itself_out(spark):
+    base = "abcdefghijklmnopqrstuvwxyz0123456789" * 2
+    rows = [(0, base), (1, "x" + base), (2, base), (100, base + "y"), (200, "quite another text"), (300, "alone " * 5)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {r["lid"]: (r["rid"], r["how"]) for r in S.fuzzy_best(df.filter("id % 100 = 0"), df, "id", "id", "t", 0.8, exclude_self=True).collect()}
+    assert got == {0: (2, "exact"), 100: (0, "fuzzy")}
+    pairs = {(r["a"], r["b"]) for r in S.jaccard_self(df, "id", "t", 0.8).collect()}
+    assert pairs == {(0, 1), (0, 2), (0, 100), (1, 2), (1, 100), (2, 100)}
+
+
+def test_page_numbers_and_nouns_of_whole_texts(spark):
+    import re
+
+    rows = ["- 3 -\n body 12/30 of\n12\n3-4\nend " * 40, "第 3 頁，共 9 頁\n5)\n|\nx ~ 7 ~", "", "a - b", "x" * 3000 + "\n88\n"]
+    got = [r["y"] for r in spark.createDataFrame([(x,) for x in rows], "x string").select(text.remove_page_numbers(F.col("x")).alias("y")).collect()]
+    for x, y in zip(rows, got, strict=True):
+        for p in text.PAGE_NUMBERS:
+            x = re.sub(p, "", x)
+        assert x == y
+    docs = spark.createDataFrame([(i, "x" * 5000 + "例如白糖塊、黑糖塊、紅糖塊、冰糖塊等。") for i in range(5)] + [(9, "沒有")], "doc_id long, text string")
+    nouns = {r["noun"]: (r["n"], r["rows"]) for r in text.noun_map(docs, F.col("text"), "doc_id", 3).collect()}
+    assert nouns == {n: (5, [0, 1, 2]) for n in ("白糖塊", "黑糖塊", "紅糖塊", "冰糖塊")}
+
+
+def test_ridge_equals_its_normal_equations(spark):
+    from quillstone.plans import learning
+
+    r = np.random.default_rng(3)
+    words = ["ab", "cde", "fgh", "bcd", "efg"]
+    data = [(i, " ".join(r.choice(words, 6)), float(r.normal()), ("train", "val", "test")[i % 3]) for i in range(90)]
+    rows = spark.createDataFrame(data, "doc_id long, text string, y double, split string")
+    got = {x["split"]: x for x in learning.experiment(rows, 5000, 1.0).collect()}
+    grams = [[t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)] for _, t, *_ in data]
+    train = np.array([d[3] == "train" for d in data])
+    vocab = sorted({g for x, t in zip(grams, train, strict=True) if t for g in x})
+    x = np.array([[g.count(v) for v in vocab] for g in grams], float)
+    x *= np.log((1 + train.sum()) / (1 + (x[train] > 0).sum(0))) + 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.array([d[2] for d in data])
+    xc, yc = x[train] - x[train].mean(0), y[train] - y[train].mean()
+    beta = np.linalg.solve(xc.T @ xc + np.eye(len(vocab)), xc.T @ yc)
+    p = y[train].mean() + (x - x[train].mean(0)) @ beta
+    for split in ("train", "val", "test"):
+        m = np.array([d[3] == split for d in data])
+        assert got[split]["n"] == m.sum() and got[split]["mae"] == pytest.approx(np.abs(p - y)[m].mean(), abs=2e-3)
+
+
+def test_running_sums_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(stats, "PARTS", 5)
+    df = spark.createDataFrame([((i * 37) % 101, i % 4) for i in range(101)], "k long, v long")
+    got = {r["k"]: r["s"] for r in stats.running(df, "k", F.col("v"), "s").collect()}
+    rows, total = sorted((r["k"], r["v"]) for r in df.collect()), 0
+    for k, v in rows:
+        assert got[k] == total
+        total += v
+
+
 def test_relational(spark):
     df = spark.createDataFrame([(2, "a\n", 1), (1, "a", 2), (3, None, 3), (4, None, 4)], "id int, t string, v int")
     assert sorted((r["id"], r["v"]) for r in R.keep_first(df, "t", ["id"]).collect()) == [(1, 2), (3, 3)]
