@@ -41,15 +41,18 @@ def parted(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.withColumn(name, sum(above, F.lit(0)))
 
 
-def running(df: DataFrame, column: str, value: Column, name: str) -> DataFrame:
-    """df and the sum of `value` over all rows before it, in the order of a column of distinct numbers: sums within parts
-    of the column's range, and the sums of the parts before."""
-    rows = parted(df, column, "_part").withColumn("_value", value)
-    sums = rows.groupBy("_part").agg(F.sum("_value").alias("_sum"))
-    before = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = F.coalesce(F.sum("_value").over(Window.partitionBy("_part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def running(df: DataFrame, column: str, **values: Column) -> DataFrame:
+    """df and, for each name, the sum of its value over all rows before it, in the order of a column of distinct numbers:
+    sums within parts of the column's range, and the sums of the parts before."""
+    rows = parted(df, column, "_part").withColumns({f"_v_{n}": v for n, v in values.items()})
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(n) for n in values])
+    before = sums.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_b_{n}") for n in values])
+    inside = Window.partitionBy("_part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(f"_i_{n}") for n in values])
     # At most PARTS rows.
-    return rows.withColumn("_inside", inside).join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, F.col("_base") + F.col("_inside")).drop("_part", "_p", "_value", "_base", "_inside")
+    out = rows.join(F.broadcast(before), F.col("_part") == F.col("_p"))
+    return out.select(*df.columns, *[(F.col(f"_b_{n}") + F.col(f"_i_{n}")).alias(n) for n in values])
 
 
 def bootstrap(values: DataFrame, value: str, order: str, resamples: int, seed: int) -> DataFrame:
@@ -59,7 +62,7 @@ def bootstrap(values: DataFrame, value: str, order: str, resamples: int, seed: i
     draws meet the values by number. The work is n x resamples, dealt out by number. Nulls do not take part. An empty
     table gives n = 0 and nulls.
     """
-    v = running(values.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(order).alias("_o")), "_o", F.lit(1).cast("long"), "i").select("v", "i")
+    v = running(values.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.col(order).alias("_o")), "_o", i=F.lit(1).cast("long")).select("v", "i")
     size = v.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
     # One row of two numbers goes to every task, and each row is repeated once for each resample.
     draws = v.select("i").crossJoin(F.broadcast(size.select("n"))).select(F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("k"), "i", "n")
@@ -107,7 +110,7 @@ def threshold_sweep(scored: DataFrame, score: str, inside: str) -> DataFrame:
     accepts are outside rows at or above it. By running sums over distinct scores, so each row is read once."""
     by = scored.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(inside)).alias("a"), F.count_if(~F.col(inside)).alias("b"))
     total = by.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("_all"))
-    out = running(running(by, "threshold", F.col("a"), "false_rejects"), "threshold", F.col("b"), "_below")
+    out = running(by, "threshold", false_rejects=F.col("a"), _below=F.col("b"))
     out = out.crossJoin(F.broadcast(total)).withColumn("false_accepts", F.col("_all") - F.col("_below"))
     return out.select("threshold", "false_rejects", "false_accepts", (F.col("false_rejects") + F.col("false_accepts")).alias("errors"))
 

@@ -259,7 +259,7 @@ def test_ridge_equals_its_normal_equations(spark):
 def test_running_sums_in_parts(spark, monkeypatch):
     monkeypatch.setattr(stats, "PARTS", 5)
     df = spark.createDataFrame([((i * 37) % 101, i % 4) for i in range(101)], "k long, v long")
-    got = {r["k"]: r["s"] for r in stats.running(df, "k", F.col("v"), "s").collect()}
+    got = {r["k"]: r["s"] for r in stats.running(df, "k", s=F.col("v")).collect()}
     rows, total = sorted((r["k"], r["v"]) for r in df.collect()), 0
     for k, v in rows:
         assert got[k] == total
