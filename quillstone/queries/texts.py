@@ -22,8 +22,8 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT doc_id, length(x)::INTEGER AS n, md5(x) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(text, chr(160), ' '), chr(65279), ''), chr(8203), ''), '\\(cid:[0-9]+\\)', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS x FROM documents)""")
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     """The parts of cleaning that SQL can say: invisible characters, font codes, white space."""
-    x = text.compact(text.remove_cid(text.remove_invisible(F.col("text"))))
-    return _docs(spark, d).select("doc_id", F.length(x).alias("n"), F.md5(x).alias("digest"))
+    cleaned = _docs(spark, d).select("doc_id", text.compact(text.remove_cid(text.remove_invisible(F.col("text")))).alias("x"))
+    return cleaned.select("doc_id", F.length("x").alias("n"), F.md5("x").alias("digest"))
 
 
 @query()
