@@ -112,3 +112,51 @@ def test_queries_have_their_columns(spark, tables):
         assert columns <= set(df.columns)
         if name in ("op5_token_counts", "op8_media_columns", "op10_secret_scan"):
             assert df.count() == len(tables[1])
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _times int, _doc int, _kept int, _row_key long, size int, fingerprint string, taken long, score double"
+
+
+def _rows(spark, texts):
+    more = (1, 2, 3, 4, 5, "x", 6, 0.5)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), *more) for i, t, s in texts], CLASHING)
+
+
+def test_stages_with_null_and_repeated_ids_and_clashing_columns(spark, tables):
+    root, _, _, items = tables
+    long = prose(3, 300)
+    texts = [(None, prose(60 + k, 40), "a") for k in range(3)] + [(1005, prose(70 + k, 40), "b") for k in range(3)] + [(1005, prose(70, 40), "b"), (None, prose(60, 40), None), (1007, long, "a"), (1008, long, "c"), (1009, None, "a"), (1010, "", "b"), (1011, "pre " + items[0][1] + " post", "a")]
+    df = _rows(spark, texts).repartition(3)
+    stage = dict(corpus_pipeline.STAGES)
+    kept = stage["near_dedup"](spark, stage["toxicity"](spark, df, root), root)
+    assert kept.columns == df.columns
+    # One row of each text; equal texts and the two empty ones are copies, whatever their ids.
+    want = {(None, prose(61, 40)), (None, prose(62, 40)), (1005, prose(70, 40)), (1005, prose(71, 40)), (1005, prose(72, 40)), (1007, long), (1009, ""), (1011, texts[-1][1]), (None, prose(60, 40))}
+    assert Counter((r["doc_id"], r["text"] or "") for r in kept.collect()) == Counter(want)
+    clean = stage["decontamination"](spark, kept, root)
+    assert clean.columns == df.columns and clean.count() == len(want) - 1
+    mixed = stage["mixing"](spark, clean, root)
+    assert mixed.columns == df.columns
+    times = Counter((r["doc_id"], r["text"] or "") for r in mixed.collect())
+    assert max(times.values()) <= 2 and (1009, "") not in times
+    # Every source with words is near its target: 2 times its size at most, and within a document of it.
+    size = {s: 0 for s in "abc"}
+    for r in clean.collect():
+        size[r["source"] or "c"] = size.get(r["source"] or "c", 0) + len((r["text"] or "").split())
+    got = Counter()
+    for r in mixed.collect():
+        got[r["source"] or "c"] += len(r["text"].split())
+    total = sum(size.values())
+    assert abs(sum(got.values()) - 1.5 * total) <= 310
+    out = stage["token_output"](spark, mixed, root).collect()
+    assert len(out) == sum(times.values()) and sorted(r["start"] for r in out)[0] == 0
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: r["start"])] == sorted((r["doc_id"] for r in out), key=lambda d: (d is not None, d or 0))
+
+
+def test_stages_of_an_empty_table(spark, tables):
+    df = _rows(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, tables[0])
+        assert out.count() == 0
+        if name != "token_output":
+            assert out.columns == df.columns
