@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..operators import similarity as S
+from ..operators import vectors as V
 from ..session import table
+from ..stages import Stages
 from .registry import query
 
 _DOT = "round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 5)"
@@ -56,11 +58,20 @@ def retry_cascade(spark: SparkSession, d: str) -> DataFrame:
     """A narrow search first; only the rejected queries search all, and the retry counts only if it is confident."""
     q, e = _queries(spark, d)
     ids = q.select(F.col("vec_id").alias("qid"))
-    first = S.gate(S.knn(q, e.filter("label % 2 = 0"), 5, "vec_id", "vec_id"), ids, 0.55, 5)
-    again = q.join(first.filter("not confident").select(F.col("qid").alias("vec_id")), "vec_id", "left_semi")
-    # No more than all queries are asked again: a bound without running the first search for a count.
-    retry = S.gate(S.knn(again, e, 5, "vec_id", "vec_id", most=q.count()), again.select(F.col("vec_id").alias("qid")), 0.55, 5)
-    return S.cascade(first, retry).select("qid", "confident", "top_score", "used_retry", "attempts")
+    with Stages(spark, "retry-cascade") as stages:
+        first = stages.table(S.gate(S.knn(q, e.filter("label % 2 = 0"), 5, "vec_id", "vec_id"), ids, 0.55, 5), "first")
+        again = q.join(first.filter("not confident").select(F.col("qid").alias("vec_id")), "vec_id", "left_semi")
+        retry = S.gate(S.knn(again, e, 5, "vec_id", "vec_id"), again.select(F.col("vec_id").alias("qid")), 0.55, 5)
+        return stages.result(S.cascade(first, retry).select("qid", "confident", "top_score", "used_retry", "attempts"))
+
+
+@query(f"SELECT * FROM ({_TOP} WHERE q.vec_id % 25 = 0) WHERE rank <= 10")
+def knn_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same search over a stored collection of vector blocks, which skips blocks that can't reach the best."""
+    q, e = _queries(spark, d)
+    with Stages(spark, "knn-blocks") as stages:
+        blocks = stages.table(V.vector_blocks(e, "vec_id"), "blocks")
+        return stages.result(V.search_blocks(q, blocks, 10, "vec_id")[0])
 
 
 @query(f"""WITH t AS (SELECT * FROM ({_TOP} WHERE q.vec_id % 25 = 0) WHERE rank <= 10), b AS (SELECT q.vec_id AS qid, c.vec_id AS cid, {_DOT} AS score FROM embeddings q JOIN embeddings c ON q.label = c.label AND c.label IN (2, 7) AND q.vec_id <> c.vec_id WHERE q.vec_id % 25 = 0)
