@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.citations import citation_label, unsupported
+from ..functions.terms import term_pairs
 from ..functions.text import decomposed, keyword_question, split_questions, strip
 from ..operators.decisions import Lexicon, any_of, lexicon_scan, over_budget, refused, verdict, verdict_line, wants_cases
 from ..operators.lexicons import CASES as CASE_WORDS
@@ -24,13 +25,10 @@ THRESHOLD, POOL, KEEP, CASE_THRESHOLD, CASES = 0.52, 10, 5, 0.58, 3
 REFUSE = "The indexed documents do not answer this question."
 
 
-def boosted(questions: DataFrame, nouns: DataFrame, least: int = 3, most: int = 12) -> DataFrame:
-    """questions(qid, question), nouns(noun, cid) -> qid, cid: the rows of every noun that a question contains. The
-    question's own substrings meet the nouns by equality; no question meets all nouns."""
-    t = F.col("question")
-    part = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    own = questions.select("qid", F.explode(F.array_distinct(F.flatten(F.array(*[part(n) for n in range(least, most + 1)])))).alias("noun"))
-    return own.join(nouns, "noun").select("qid", "cid").distinct()
+def boosted(questions: DataFrame, nouns: DataFrame) -> DataFrame:
+    """questions(qid, question), nouns(noun, cid) -> qid, cid: the rows of every noun that a question contains. One walk of
+    an automaton over each question finds all its nouns."""
+    return term_pairs(questions, nouns, "qid", "question", "noun").join(nouns, "noun").select("qid", "cid").distinct()
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, models: Models, threshold: float = THRESHOLD, pool: int = POOL, keep: int = KEEP, nouns: DataFrame | None = None) -> DataFrame:
