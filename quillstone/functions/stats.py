@@ -87,10 +87,41 @@ def bootstrap_numpy(values: np.ndarray, resamples: int = 10_000, seed: int = 0)
     return float(v.mean()), float(np.percentile(means, 2.5)), float(np.percentile(means, 97.5))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def bootstrap_udaf(v: pd.Series) -> list[float]:
-    """As a grouped aggregate over one group's metric values: mean, low, high."""
-    return list(bootstrap_numpy(v.dropna().to_numpy()))
+#: At most so many of 2^32 draws give a count of 0, 1, ... (Poisson with mean 1).
+POISSON = (1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276, 4294962463, 4294966817)
+#: Draws that one md5 gives.
+_DRAWS = 4
+
+
+def intervals(df: DataFrame, key: str, metrics: dict[str, Column], group: str | None = None, resamples: int = 200, seed: int = 0) -> DataFrame:
+    """group, metric, n, mean, low, high: each metric's mean and the 2.5 and 97.5 percentiles of its resampled means, for
+    each group (as a string; null as "null") and for all rows ("all").
+
+    How often a row counts in a resample is a Poisson draw by a hash of its key and the resample, the limit of drawing rows
+    with replacement; a resample is two sums, which merge. So rows stay where they are: a task keeps `resamples` sums for
+    each group and metric, and only those are shuffled. Nulls of a metric take no part in it; a metric without values has
+    n = 0 and nulls. Rows that share a key are drawn alike: it should be distinct.
+    """
+    named = F.coalesce(F.col(group).cast("string"), F.lit("null")) if group else F.lit("all")
+    rows = df.select(named.alias("group"), F.col(key).cast("string").alias("_key"), *[m.cast("double").alias(f"m_{n}") for n, m in metrics.items()])
+    blocks = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // _DRAWS) - 1))))
+    h = F.md5(F.concat_ws("|", "_key", F.col("_b").cast("string"), F.lit(str(seed))))
+    drawn = [F.struct((F.col("_b") * _DRAWS + j).alias("k"), F.conv(F.substring("_h", 1 + 8 * j, 8), 16, 10).cast("long").alias("u")) for j in range(_DRAWS)]
+    # Resample -1 is the table itself: every row once.
+    itself = F.when(F.col("_b") == 0, F.array(F.struct(F.lit(-1).alias("k"), F.lit(POISSON[0]).cast("long").alias("u"))))
+    blocks = blocks.withColumn("_h", h).withColumn("_d", F.explode(F.concat(F.array(*drawn), F.coalesce(itself, F.array().cast("array<struct<k:int,u:bigint>>"))))).filter(F.col("_d.k") < resamples)
+    times = sum([(F.col("_d.u") >= t).cast("int") for t in POISSON], F.lit(0)).cast("double")
+    weighed = blocks.select("group", F.col("_d.k").alias("k"), times.alias("w"), *[f"m_{n}" for n in metrics]).filter("w > 0")
+    sums = [x for n in metrics for x in (F.sum(F.col("w") * F.col(f"m_{n}")).alias(f"s_{n}"), F.sum(F.when(F.col(f"m_{n}").isNotNull(), F.col("w"))).alias(f"c_{n}"))]
+    sets = [[F.col("group"), F.col("k")], [F.col("k")]] if group else [[F.col("group"), F.col("k")]]
+    by = weighed.groupingSets(sets, F.col("group"), F.col("k")).agg(F.grouping("group").alias("_all"), *sums).withColumn("group", F.when(F.col("_all") == 1, "all").otherwise(F.col("group")))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"s_{n}").alias("s"), F.col(f"c_{n}").alias("c")) for n in metrics]))
+    means = by.select("group", "k", each.alias("x")).select("group", "k", "x.*").withColumn("m", F.col("s") / F.nullif(F.col("c"), F.lit(0.0)))
+    own, others = F.col("k") == -1, F.when(F.col("k") >= 0, F.col("m"))
+    return means.groupBy("group", "metric").agg(
+        F.coalesce(F.max(F.when(own, F.col("c"))), F.lit(0)).cast("long").alias("n"), F.max(F.when(own, F.col("m"))).alias("mean"),
+        F.percentile(others, F.lit(0.025)).alias("low"), F.percentile(others, F.lit(0.975)).alias("high"),
+    )
 
 
 def sign_test(up: Column, down: Column) -> Column:
@@ -125,19 +156,57 @@ def interval_text(point: Column, low: Column, high: Column) -> Column:
     return F.format_string("%.3f [%.3f, %.3f]", point, low, high)
 
 
+class SuffixAutomaton:
+    """All substrings of a text in a linear number of states, built character by character."""
+
+    def __init__(self, text: str):
+        self.moves: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        last = 0
+        for c in text:
+            new = self._state({}, self.length[last] + 1, 0)
+            at = last
+            while at >= 0 and c not in self.moves[at]:
+                self.moves[at][c] = new
+                at = self.link[at]
+            if at >= 0:
+                to = self.moves[at][c]
+                if self.length[to] > self.length[at] + 1:
+                    # The shorter substrings that end in this state part from the longer ones.
+                    part = self._state(dict(self.moves[to]), self.length[at] + 1, self.link[to])
+                    while at >= 0 and self.moves[at].get(c) == to:
+                        self.moves[at][c] = part
+                        at = self.link[at]
+                    self.link[to] = to = part
+                self.link[new] = to
+            last = new
+
+    def _state(self, moves: dict[str, int], length: int, link: int) -> int:
+        self.moves.append(moves)
+        self.length.append(length)
+        self.link.append(link)
+        return len(self.moves) - 1
+
+    def longest_in(self, other: str) -> int:
+        """Length of the longest substring of the text that the other has too; linear in the other."""
+        best = size = at = 0
+        for c in other:
+            while at and c not in self.moves[at]:
+                at = self.link[at]
+                size = self.length[at]
+            if c in self.moves[at]:
+                at, size = self.moves[at][c], size + 1
+                best = max(best, size)
+        return best
+
+
 def longest_common_substring(a: str, b: str) -> int:
-    """Length of the longest run of characters that both have."""
-    if not a or not b:
-        return 0
-    y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    best, last = 0, np.zeros(len(y) + 1, np.int64)
-    for c in np.frombuffer(a.encode("utf-32-le"), np.uint32):
-        now = np.zeros_like(last)
-        now[1:] = np.where(y == c, last[:-1] + 1, 0)
-        best, last = max(best, int(now.max())), now
-    return best
+    """Length of the longest run of characters that both have, in time linear in both."""
+    short, long = sorted((a, b), key=len)
+    return SuffixAutomaton(short).longest_in(long) if short else 0
 
 
 @F.pandas_udf(T.IntegerType())
 def lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """longest_common_substring of each row; null counts as empty."""
     return pd.Series([longest_common_substring(x or "", y or "") for x, y in zip(a, b, strict=True)])

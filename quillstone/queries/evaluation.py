@@ -67,34 +67,56 @@ def score_gap(spark: SparkSession, d: str) -> DataFrame:
     return a.select("low_in", "high_out", F.round(F.col("low_in") - F.col("high_out"), 6).alias("gap"), "median")
 
 
-_BOOT = """WITH v AS (SELECT {v}::DOUBLE AS v, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM labels), n AS (SELECT count(*) AS n, avg(v) AS mean FROM v),
-dr AS (SELECT k, concat('0x', substr(md5(k || '|' || i || '|0'), 1, 8))::UBIGINT % n AS i FROM range(200) r(k), v, n), m AS (SELECT k, avg(v.v) AS m FROM dr JOIN v ON v.i = dr.i GROUP BY k)
-SELECT n, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM n, (SELECT list(m) AS l FROM m) x, m GROUP BY n, mean"""
+def _intervals_sql(values: str, metrics: dict[str, str], grouped: bool = True, resamples: int = 200) -> str:
+    """SQL of stats.intervals over a query that gives id, g and what the metrics need."""
+    w = " + ".join(f"(u >= {t})::INTEGER" for t in stats.POISSON)
+    own = " UNION ALL ".join(f"SELECT g, k, w, '{n}' AS metric, {m} AS m FROM w" for n, m in metrics.items())
+    sets = "GROUPING SETS ((g, k, metric), (k, metric))" if grouped else "g, k, metric"
+    name = "CASE WHEN grouping(g) = 1 THEN 'all' ELSE g END" if grouped else "g"
+    return f"""WITH v AS ({values}), d AS (SELECT v.*, b, md5(id::VARCHAR || '|' || b || '|0') AS h FROM v, range({resamples // 4}) t(b)),
+w AS (SELECT * EXCLUDE (u, h, b, j), {w} AS w FROM (SELECT *, b * 4 + j AS k, concat('0x', substr(h, 1 + 8 * j, 8))::UBIGINT AS u FROM d, range(4) s(j)) UNION ALL SELECT *, -1 AS k, 1 AS w FROM v),
+x AS ({own}), r AS (SELECT {name} AS "group", k, metric, sum(w * m) / nullif(sum(w) FILTER (m IS NOT NULL), 0) AS m, sum(w) FILTER (m IS NOT NULL) AS c FROM x GROUP BY {sets})
+SELECT "group", metric, coalesce(max(c) FILTER (k = -1), 0)::BIGINT AS n, round(max(m) FILTER (k = -1), 6) AS mean, round(quantile_cont(m, 0.025) FILTER (k >= 0), 6) AS low, round(quantile_cont(m, 0.975) FILTER (k >= 0), 6) AS high FROM r GROUP BY 1, 2"""
 
 
-def _interval(df: DataFrame) -> DataFrame:
-    return df.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("group", "metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
-@query(_BOOT.format(v="quality"))
+@query(_intervals_sql("SELECT doc_id AS id, 'all' AS g, quality FROM labels", {"quality": "quality::DOUBLE"}, False))
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return _interval(stats.bootstrap(table(spark, d, "labels"), "quality", "doc_id", 200, 0))
+    return _shown(stats.intervals(table(spark, d, "labels"), "doc_id", {"quality": F.col("quality")}))
 
 
-@query(f"""SELECT *, low > 0 OR high < 0 AS ci_excludes_zero FROM ({_BOOT.format(v="(quality - toxic)")})""")
+@query(f"""SELECT *, low > 0 OR high < 0 AS ci_excludes_zero FROM ({_intervals_sql("SELECT doc_id AS id, 'all' AS g, quality - toxic AS diff FROM labels", {"diff": "diff::DOUBLE"}, False)})""")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """The interval of a difference of two systems on the same questions, and whether zero lies outside it."""
-    both = table(spark, d, "labels").withColumn("diff", F.col("quality") - F.col("toxic"))
-    out = _interval(stats.bootstrap(both, "diff", "doc_id", 200, 0))
+    out = _shown(stats.intervals(table(spark, d, "labels"), "doc_id", {"diff": F.col("quality") - F.col("toxic")}))
     return out.withColumn("ci_excludes_zero", stats.excludes_zero(F.col("low"), F.col("high")))
 
 
-@query(f"""{_RANKS}, v AS (SELECT coalesce(1.0 / rank, 0)::DOUBLE AS v, row_number() OVER (ORDER BY qid) - 1 AS i FROM r), n AS (SELECT count(*) AS n, avg(v) AS mean FROM v),
-dr AS (SELECT k, concat('0x', substr(md5(k || '|' || i || '|0'), 1, 8))::UBIGINT % n AS i FROM range(200) r(k), v, n), m AS (SELECT k, avg(v.v) AS m FROM dr JOIN v ON v.i = dr.i GROUP BY k)
-SELECT n, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM n, m GROUP BY n, mean""")
+_AT = {f"recall_{k}": f"CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END::DOUBLE" for k in (1, 3, 5)} | {"mrr": "coalesce(1.0 / rank, 0)::DOUBLE"}
+
+
+@query(_intervals_sql(f"{_RANKS} SELECT qid AS id, label::VARCHAR AS g, rank FROM r", _AT))
+def recall_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 1, 3 and 5 and the mean reciprocal rank with their intervals, by label and over all."""
+    r = F.col("rank")
+    metrics = {f"recall_{k}": stats.recall_at(r, k) for k in (1, 3, 5)} | {"mrr": stats.reciprocal(r)}
+    return _shown(stats.intervals(_ranks(spark, d), "qid", metrics, "label"))
+
+
+@query(_intervals_sql(f"{_RANKS} SELECT qid AS id, 'all' AS g, rank FROM r", {"mrr": _AT["mrr"]}, False))
 def mrr_interval(spark: SparkSession, d: str) -> DataFrame:
     """The mean reciprocal rank with its interval."""
-    return _interval(stats.bootstrap(_ranks(spark, d).select("qid", stats.reciprocal(F.col("rank")).alias("rr")), "rr", "qid", 200, 0))
+    return _shown(stats.intervals(_ranks(spark, d), "qid", {"mrr": stats.reciprocal(F.col("rank"))}))
+
+
+@query(_intervals_sql("SELECT conv_id || ':' || turn AS id, role AS g, CASE WHEN length(text) > 60 THEN 1.0 WHEN text IS NOT NULL THEN 0.0 END::DOUBLE AS ok FROM conversations", {"rate": "ok"}))
+def rate_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of each group, and of all, with its interval."""
+    c = table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "role", (F.length("text") > 60).cast("double").alias("ok"))
+    return _shown(stats.intervals(c, "id", {"rate": F.col("ok")}, "role"))
 
 
 @query(f"""WITH s AS ({_SCORES}) SELECT qid, score, 'lowest' AS list FROM (SELECT * FROM s WHERE inside ORDER BY score, qid LIMIT 10) UNION ALL SELECT qid, score, 'highest' FROM (SELECT * FROM s WHERE NOT inside ORDER BY score DESC, qid LIMIT 10)""")
@@ -112,11 +134,10 @@ def rate_summary(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("role").agg(F.count_if("ok").alias("count"), F.count(F.lit(1)).alias("total"), F.round(F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)), 6).alias("rate"), F.date_format(F.max("run_at"), "yyyy-MM-dd HH:mm").alias("run_at"))
 
 
-@query()
+@query(_intervals_sql("SELECT doc_id AS id, toxic::VARCHAR AS g, quality FROM labels", {"quality": "quality::DOUBLE"}))
 def bootstrap_by_toxic(spark: SparkSession, d: str) -> DataFrame:
-    """numpy's resampling as a grouped aggregate over all of a group's values."""
-    v = table(spark, d, "labels").groupBy("toxic").agg(stats.bootstrap_udaf(F.col("quality").cast("double")).alias("b"))
-    return v.select("toxic", *[F.round(F.get("b", F.lit(i)), 6).alias(c) for i, c in enumerate(("mean", "low", "high"))])
+    """The interval of each group, from sums that tasks have made."""
+    return _shown(stats.intervals(table(spark, d, "labels"), "doc_id", {"quality": F.col("quality")}, "toxic"))
 
 
 @query("""WITH f AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS up, count(*) FILTER (quality = 0 AND toxic = 1) AS down FROM labels)

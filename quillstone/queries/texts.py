@@ -187,12 +187,14 @@ def entity_lexicon(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lcs_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Questions of 12 to 60 characters whose longest run in common with their source is short; with the reason. Each
-    item's first sentence asks, and its whole text is the source."""
-    b = table(spark, d, "benchmark").select("item_id", F.substring_index("text", ".", 1).alias("q"), F.substring_index("text", ".", -2).alias("src"))
-    lcs = b.withColumn("lcs", stats.lcs_udf("q", "src"))
-    reason = F.when(~F.length("q").between(12, 60), "length").when(F.col("lcs") > 6, "copied")
-    return lcs.select("item_id", "lcs", reason.isNull().alias("ok"), reason.alias("reason"))
+    """Questions of 12 to 60 characters whose longest run in common with their source is short; with the reason. User
+    turns ask, and the turn that follows, whole, is the source; a turn without one has an empty source."""
+    c = table(spark, d, "conversations")
+    replies = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("source"))
+    b = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(replies, ["conv_id", "turn"], "left")
+    lcs = b.withColumn("lcs", stats.lcs_udf("question", "source"))
+    reason = F.when(~F.coalesce(F.length("question").between(12, 60), F.lit(False)), "length").when(F.col("lcs") > 6, "copied")
+    return lcs.select("conv_id", "turn", "lcs", reason.isNull().alias("ok"), reason.alias("reason"))
 
 
 _QUERY_TERMS = ["idiot", "license", "token", "the", "Licensed under", "xyzzy"]
