@@ -7,6 +7,7 @@ query already has. The scores are the same as over rows: double products, rounde
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -298,7 +299,7 @@ def _seeded(means: DataFrame, blocks: DataFrame, ids: pa.Array, q: np.ndarray, k
     order = np.lexsort([-scores, who])
     who, scores = who[order], scores[order]
     start = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, np.int64)
-    for a, z in zip(start.tolist(), [*start[1:].tolist(), len(who)], strict=True):
+    for a, z in itertools.pairwise([*start.tolist(), len(who)]):
         if z - a >= k:
             least[who[a]] = scores[a + k - 1]
     return least

@@ -17,6 +17,8 @@ from ..functions.text import clean, strip
 from ..operators.decisions import any_of
 from ..operators.lexicons import EXAM
 from ..operators.similarity import normalised
+from ..operators.vectors import vector_blocks
+from . import snapshots
 
 ENDINGS = ("txt", "docx", "doc", "pdf")
 #: The longest value that a binary column can hold; a longer member is an error row.
@@ -240,11 +242,11 @@ def read_prompt(spark: SparkSession, path: str) -> str:
     return "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).toLocalIterator())
 
 
-def write_vectors(chunks: DataFrame, path: str, key: str = "cid", vector: str = "embedding") -> None:
-    """The vector table: ids and unit vectors of floats, in ranges of the id, rebuilt as a whole. A null vector is left
-    out, as it is in no index."""
-    rows = chunks.filter(F.col(vector).isNotNull()).select(F.col(key), normalised(F.col(vector)).cast("array<float>").alias(vector))
-    rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+def write_vectors(chunks: DataFrame, path: str, key: str = "cid", vector: str = "embedding", cells: int = 64) -> None:
+    """The vector collection, rebuilt as a whole: unit vectors in blocks of near ones, each with its mean and radius, as
+    search_blocks() reads them. A null vector is left out, as it is in no index."""
+    rows = chunks.filter(F.col(vector).isNotNull()).select(F.col(key), normalised(F.col(vector)).alias(vector))
+    snapshots.write(vector_blocks(rows, key, vector, cells), path)
 
 
 def write_results(results: DataFrame, path: str) -> None:
@@ -252,18 +254,13 @@ def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def rewrite(spark: SparkSession, path: str, make: Callable[[DataFrame], DataFrame]) -> bool:
-    """Replaces a table of JSON lines by make(table): the new one is written beside it, the old one is kept as .bak, and
-    only then does the new one take its place. False, and nothing done, where nothing changes."""
-    old = spark.read.json(path)
-    new = make(old)
-    if old.schema == new.schema and old.exceptAll(new).isEmpty() and new.exceptAll(old).isEmpty():
+def rewrite(spark: SparkSession, root: str, make: Callable[[DataFrame], DataFrame]) -> bool:
+    """Replaces a table below root (see snapshots) by make(table). The version before it stays as the backup, and those
+    before that go. False, and nothing done, where nothing changes."""
+    if snapshots.update(spark, root, make) is None:
         return False
-    new.write.mode("overwrite").json(f"{path}.new")
-    at = lambda end: spark._jvm.org.apache.hadoop.fs.Path(path + end)
-    files = at("").getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(at(".bak"), True)
-    return files.rename(at(""), at(".bak")) and files.rename(at(".new"), at(""))
+    snapshots.vacuum(spark, root, 2)
+    return True
 
 
 def read_splits(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -291,10 +288,9 @@ def numbered(df: DataFrame, order: list[str], name: str = "id", parts: int = 64)
 
 
 def write_tables(chunks: DataFrame, root: str) -> None:
-    """The chunk table and its edge list, rebuilt as a whole: chunks without their references, and a row for each
-    reference. chunks has id and refs (array of structs)."""
-    chunks.drop("refs").write.mode("overwrite").parquet(f"{root}/chunks")
-    chunks.select(F.col("id").alias("chunk_id"), F.inline("refs")).write.mode("overwrite").parquet(f"{root}/chunk_laws")
+    """The chunk table and its edge list, rebuilt as a whole and replaced together: "chunks" without their references, and
+    "chunk_laws", a row for each reference. chunks has id and refs (array of structs)."""
+    snapshots.write_set({"chunks": chunks.drop("refs"), "chunk_laws": chunks.select(F.col("id").alias("chunk_id"), F.inline("refs"))}, root)
 
 
 def write_parsed(chunks: DataFrame, notices_: DataFrame, parsed: DataFrame, root: str) -> None:

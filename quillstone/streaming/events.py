@@ -42,10 +42,3 @@ def deliver(stream: DataFrame, send: Callable[[DataFrame, int], None], checkpoin
     """Hands each batch to `send`; a batch number that was sent before can be told by the sink."""
     w = stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
-
-
-def ingest(docs: DataFrame, out: str, checkpoint: str, key: str = "doc_id", text: str = "text"):
-    """Incremental ingest: new documents are chunked and appended as they arrive."""
-    from ..functions.chunking import chunk_documents
-
-    return chunk_documents(docs, key, text).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

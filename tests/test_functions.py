@@ -13,7 +13,7 @@ from quillstone.operators import relational as R
 from quillstone.operators import similarity as S
 from quillstone.plans import answering
 from quillstone.plans.models import Models, hashed
-from quillstone.sources import files, html
+from quillstone.sources import files, snapshots, html
 
 
 def one(spark, column, **values):
@@ -184,7 +184,7 @@ def test_gate_and_cascade(spark):
 def test_knn_in_blocks(spark, monkeypatch):
     e = spark.createDataFrame([(i, np.random.default_rng(i).normal(size=4).tolist()) for i in range(40)], "vec_id long, embedding array<double>")
     whole = sorted(map(tuple, S.knn(e, e, 3, "vec_id", "vec_id").collect()))
-    monkeypatch.setattr(S, "QUERY_ROWS", 7)
+    monkeypatch.setattr("quillstone.operators.vectors.QUERY_BYTES", 200)
     assert sorted(map(tuple, S.knn(e, e, 3, "vec_id", "vec_id").collect())) == whole and len(whole) == 120
 
 
@@ -414,7 +414,7 @@ def test_tables_of_files(spark, tmp_path):
     files.write_splits(df.withColumn("split", F.lit("train")), str(tmp_path / "s"))
     assert files.read_splits(spark, str(tmp_path / "s"), "k long").count() == 100
     files.write_tables(spark.createDataFrame([(1, "t", [("act", 28)]), (2, "u", [])], "id long, text string, refs array<struct<law_name:string,article_no:int>>"), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t/chunk_laws")).count() == 1
+    assert snapshots.read(spark, str(tmp_path / "t"), "chunk_laws").count() == 1
 
 
 def test_sinks_and_loads(spark, tmp_path):
@@ -426,11 +426,14 @@ def test_sinks_and_loads(spark, tmp_path):
     (tmp_path / "p.txt").write_text("one {x}\ntwo")
     assert files.read_prompt(spark, f"{root}/p.txt") == "one {x}\ntwo"
     files.write_vectors(spark.createDataFrame([(2, [3.0, 4.0]), (1, [0.0, 0.0]), (3, None)], "cid int, embedding array<double>"), f"{root}/v")
-    assert [(r["cid"], [round(x, 3) for x in r["embedding"]]) for r in spark.read.parquet(f"{root}/v").orderBy("cid").collect()] == [(1, [0.0, 0.0]), (2, [0.6, 0.8])]
+    held = {i: v for r in snapshots.read(spark, f"{root}/v").collect() for i, v in zip(r["ids"], np.frombuffer(r["vectors"]).reshape(r["n"], r["dim"]).round(3).tolist(), strict=True)}
+    assert held == {1: [0.0, 0.0], 2: [0.6, 0.8]}
     files.write_results(spark.createDataFrame([(1, None), (2, "x")], "a int, b string"), f"{root}/r.json")
-    assert files.rewrite(spark, f"{root}/r.json", lambda df: df) is False
-    assert files.rewrite(spark, f"{root}/r.json", lambda df: df.withColumn("a", F.col("a") + 1)) is True
-    assert sorted(r["a"] for r in spark.read.json(f"{root}/r.json").collect()) == [2, 3] and sorted(r["a"] for r in spark.read.json(f"{root}/r.json.bak").collect()) == [1, 2]
+    assert '"b":null' in "".join(r[0] for r in spark.read.text(f"{root}/r.json").collect())
+    snapshots.write(spark.createDataFrame([(1, None), (2, "x")], "a int, b string"), f"{root}/s", "json")
+    assert files.rewrite(spark, f"{root}/s", lambda df: df) is False
+    assert files.rewrite(spark, f"{root}/s", lambda df: df.withColumn("a", F.col("a") + 1)) is True
+    assert sorted(r["a"] for r in snapshots.read(spark, f"{root}/s").collect()) == [2, 3] and len(snapshots.versions(spark, f"{root}/s")) == 2
     chunks = spark.createDataFrame([(p, n, "t") for p in "cab" for n in (1, 0)], "path string, chunk_no int, text string").repartition(3)
     files.write_parsed(chunks, spark.createDataFrame([("f", "1")], "file string, no string"), spark.createDataFrame([("x", "failed", "empty")], "path string, status string, reason string"), f"{root}/out")
     assert [(r["path"], r["chunk_no"]) for r in spark.read.json(f"{root}/out/chunks").orderBy("id").collect()] == [(p, n) for p in "abc" for n in (0, 1)]
