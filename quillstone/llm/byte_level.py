@@ -23,9 +23,11 @@ from .common import PieceEncoder
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: Stands behind every text while it is cut; texts that hold it are encoded in one go, as other odd ones.
+#: Stands behind every text while it is cut; texts that hold it, or another of CONTROLS, are encoded in one go.
 END = "\x1c"
 _STOP = END.encode()
+#: Controls on which regex engines disagree whether they are white space.
+CONTROLS = "\x1c\x1d\x1e\x1f"
 OTHER, LETTER, DIGIT, SPACE, STOP, ODD = range(6)
 
 
@@ -155,7 +157,7 @@ class ByteLevelEncoder(PieceEncoder):
         """The ids of all texts, one after the other, `end` behind each; and how many each text has."""
         tail = np.array(end or [], self.width)
         data = [x.encode() for x in texts]
-        odd = {i for i, x in enumerate(texts) if END in x or (self.added and self.added.search(x))}
+        odd = {i for i, x in enumerate(texts) if any(c in x for c in CONTROLS) or (self.added and self.added.search(x))}
         joined = b"".join(x + _STOP for i, x in enumerate(data) if i not in odd)
         new, strange = self._cut(joined)
         if len(strange):

@@ -63,10 +63,10 @@ def test_pieces_equal_whole_texts():
 def test_byte_level_pieces_equal_whole_texts():
     r = random.Random(5)
     lib = Tokenizer.from_file(BYTE)
-    alphabets = [" \n  aB'sllveré1.漢²", " \n\t\r\x0b\x85\xa0　 aB'sé1.!<|́Σİ😀\x1c\x00\u200d²½ªǅ٣漢\u200b\u180e", "ab ', \n"]
+    alphabets = ["".join(map(chr, range(128))), "\n\x1d\x1e\x1f\x1c 's\xa0a1", " \n  aB'sllveré1.漢²", " \n\t\r\x0b\x85\xa0　 aB'sé1.!<|́Σİ😀\x1c\x00\u200d²½ªǅ٣漢\u200b\u180e", "ab ', \n"]
     texts = ["".join(r.choice(a) for _ in range(r.randint(0, 30))) for a in alphabets for _ in range(3000)]
     r.shuffle(texts)
-    texts += ["", "", "<|endoftext|> x", "don't 's 'sea it''s", "a   b", "", "\x1c", prose(1, 500)]
+    texts += ["\n\n\x1d", "\x1f's", "\xa0\xa0\x1f", "a" * 50 + "\x1e", "", "", "<|endoftext|> x", "don't 's 'sea it''s", "a   b", "", "\x1c", prose(1, 500)]
     want = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
     for most in (1_000_000, 40):
         enc = ByteLevelEncoder(BYTE, most)
