@@ -118,7 +118,7 @@ def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     x[:, col["top_word_share"]] = top / some
     echo = np.concatenate([[False], (ids[1:] == ids[:-1]) & (doc[1:] == doc[:-1])]).astype(np.float64)
     x[:, col["echo_share"]] = total(echo) / some
-    x[:, col["wide_chars"]] = 1 - chars / np.maximum(total(flag(pc.binary_length(coded.dictionary))[ids]), 1)
+    x[:, col["wide_chars"]] = (sizes > 0) - chars / np.maximum(total(flag(pc.binary_length(coded.dictionary))[ids]), 1)
     # Shares of single lines, the worst of a text.
     per_line = [len(line.split()) for t in texts for line in t.split(b"\n")]
     line_doc = np.repeat(np.arange(k), [t.count(b"\n") + 1 for t in texts])
