@@ -207,23 +207,30 @@ def _parts(df: DataFrame, column: str) -> list[DataFrame]:
     return [df] if n == 1 else [df.filter(F.pmod(F.xxhash64(column), F.lit(n)) == k) for k in range(n)]
 
 
-def _candidates(level: DataFrame, buckets: np.ndarray, bits: int) -> DataFrame:
-    """The distinct pairs of these buckets."""
+def _candidates(level: DataFrame, buckets: np.ndarray, bits: int, least: int) -> DataFrame:
+    """The distinct pairs of these buckets, without those that can't occur `least` times.
+
+    Of n tasks, one at least has an n-th of a frequent pair's occurrences: a task sends the pairs that it has that often.
+    """
+    tasks = max(1, level.rdd.getNumPartitions())
+    local = -(-least // tasks)
     shared = level.sparkSession.sparkContext.broadcast(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
+        seen, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for keys in _pairs(batches):
             hot = shared.value
             b = (mixed(keys, 0) >> np.uint64(64 - bits)).astype(np.int64)
             at = np.minimum(np.searchsorted(hot, b), len(hot) - 1)
-            seen = np.union1d(seen, keys[hot[at] == b])
-            if len(seen) > WORDS:
+            seen, back = np.unique(np.concatenate([seen, keys[hot[at] == b]]), return_inverse=True)
+            times = np.bincount(back, np.concatenate([times, np.ones(len(back) - len(times))]), len(seen)).astype(np.int64)
+            if len(seen) > PAIRS:  # counts that are cut off here prove nothing: all go
                 yield _binary("key", [pa.array(seen)])
-                seen = np.zeros(0, np.int64)
-        yield _binary("key", [pa.array(seen)])
+                seen, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield _binary("key", [pa.array(seen[times >= local])])
 
-    return level.mapInArrow(run, "key long").distinct()
+    # No more tasks than were counted, whatever the cluster does meanwhile.
+    return level.coalesce(tasks).mapInArrow(run, "key long").distinct()
 
 
 def _counted(level: DataFrame, shared, offset: int, least: int) -> DataFrame:
@@ -282,7 +289,6 @@ def _advanced(level: DataFrame, shared, frequent, offset: int, last: bool) -> Da
 def _word_level(texts: DataFrame, frequent: DataFrame) -> tuple[DataFrame | None, DataFrame | None, list[DataFrame]]:
     """(arrays of word slots, slot and counts of each frequent word, tables to delete at the end)."""
     spark = texts.sparkSession
-    tables: list[tuple[list, list]] = []
     level, slotted, spent, offset = texts.withColumn("slots", F.lit(None).cast("binary")), None, [], 0
 
     def of(rows: Iterator) -> Iterator[tuple[list, list]]:
@@ -315,7 +321,6 @@ def _word_level(texts: DataFrame, frequent: DataFrame) -> tuple[DataFrame | None
         spent.append(level)
         offset += len(block[0])
         block = after
-    del tables
     return (level if slotted is not None else None), slotted, spent
 
 
@@ -349,7 +354,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
         candidates = None
         for part in _parts(hot, "bucket"):
             if len(buckets := _collected(part)):
-                mine = written(_candidates(level, buckets, bits), "phrase-candidates")
+                mine = written(_candidates(level, buckets, bits, least), "phrase-candidates")
                 spent.append(mine)
                 candidates = mine if candidates is None else candidates.union(mine)
         discard(hot)
