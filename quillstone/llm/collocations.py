@@ -36,7 +36,7 @@ RANGE_BITS, MOST_BITS = 20, 36
 #: Slots in one array of counts.
 COUNTS = 1 << 14
 #: Pairs that a task sorts at once, and distinct words it counts before it sends them on.
-PAIRS, WORDS = 4 << 20, 500_000
+PAIRS, WORDS = 1 << 20, 250_000
 _FOLD = bytes(32 if i == 9 else 10 if chr(i) in ".,;:!?" or 10 <= i <= 13 else ord(chr(i).lower()) if i < 128 else i for i in range(256))
 
 
@@ -113,11 +113,11 @@ def _encoder(shared, last: bool):
         for whole in batches:
             for b in slices(whole, "text"):
                 langs, texts, before = b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist()
+                if sum(map(len, known.values())) > 2 * WORDS:
+                    known.clear()
                 docs = [tokens(t) for t in texts]
                 for lang in set(langs):
                     mine = known.setdefault(lang, {b"\n": -1, b"": -2})
-                    if len(mine) > 2 * WORDS:
-                        mine = known[lang] = {b"\n": -1, b"": -2}
                     new = list(set().union(*(d for a, d in zip(langs, docs, strict=True) if a == lang)) - mine.keys())
                     mine.update(zip(new, shared.value.slots(lang, new), strict=True))
                 out = []
@@ -216,21 +216,44 @@ def _candidates(level: DataFrame, buckets: np.ndarray, bits: int, least: int) ->
     local = -(-least // tasks)
     shared = level.sparkSession.sparkContext.broadcast(buckets)
 
+    shift = max(0, bits - RANGE_BITS)
+
+    def sent(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Keys by the range of buckets they are in, as arrays."""
+        part = (mixed(keys, 0) >> np.uint64(64 - bits)).astype(np.int64) >> (bits - shift)
+        order = np.argsort(part, kind="stable")
+        parts, first = np.unique(part[order], return_index=True)
+        yield _binary("k0, keys", [pa.array(parts), pa.array([x.tobytes() for x in np.split(keys[order], first[1:])] if len(parts) else [], pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for keys in _pairs(batches):
             hot = shared.value
             b = (mixed(keys, 0) >> np.uint64(64 - bits)).astype(np.int64)
             at = np.minimum(np.searchsorted(hot, b), len(hot) - 1)
-            seen, back = np.unique(np.concatenate([seen, keys[hot[at] == b]]), return_inverse=True)
-            times = np.bincount(back, np.concatenate([times, np.ones(len(back) - len(times))]), len(seen)).astype(np.int64)
+            own, n = np.unique(keys[hot[at] == b], return_counts=True)
+            seen, back = np.unique(np.concatenate([seen, own]), return_inverse=True)
+            times = np.bincount(back, np.concatenate([times, n]), len(seen)).astype(np.int64)
             if len(seen) > PAIRS:  # counts that are cut off here prove nothing: all go
-                yield _binary("key", [pa.array(seen)])
+                yield from sent(seen)
                 seen, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield _binary("key", [pa.array(seen[times >= local])])
+        yield from sent(seen[times >= local])
 
-    # No more tasks than were counted, whatever the cluster does meanwhile.
-    return level.coalesce(tasks).mapInArrow(run, "key long").distinct()
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, have = None, np.zeros(0, np.int64)
+        for b in batches:
+            for part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if part != at:
+                    if len(have):
+                        yield _binary("key", [pa.array(have)])
+                    at, have = part, np.zeros(0, np.int64)
+                have = np.union1d(have, np.frombuffer(raw, np.int64))
+        if len(have):
+            yield _binary("key", [pa.array(have)])
+
+    # No more tasks than were counted, whatever the cluster does meanwhile. A pair is of one range: each comes out once.
+    arrays = level.coalesce(tasks).mapInArrow(run, "k0 long, keys binary")
+    return arrays.repartition("k0").sortWithinPartitions("k0").mapInArrow(merged, "key long")
 
 
 def _counted(level: DataFrame, shared, offset: int, least: int) -> DataFrame:
