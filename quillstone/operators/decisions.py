@@ -117,6 +117,11 @@ def verdict_line(report: Column) -> Column:
     return F.when(found.isin("高風險", "high"), "high").when(found.isin("有疑慮", "medium"), "medium").when(found.isin("合規", "low"), "low")
 
 
+def without_verdict(report: Column) -> Column:
+    """The report without the verdict line at its end."""
+    return strip(F.regexp_replace(report, r"(?i)\n*\**VERDICT\**\s*[:：]?\s*\**\s*(高風險|有疑慮|合規|low|medium|high)\**\s*$", ""))
+
+
 def report_level(report: Column, high: tuple[str, ...], medium: tuple[str, ...]) -> Column:
     """The verdict line's level, else what the report's words show, else low."""
     return F.coalesce(verdict_line(report), F.when(any_of(report, high), "high").when(any_of(report, medium), "medium").otherwise("low"))

@@ -28,8 +28,16 @@ def hashed(text: str | None, dim: int = DIM) -> list[float]:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """hashed() of a batch at once: each distinct word is hashed once, and all places are summed by one count."""
     for b in batches:
-        yield b.map(hashed)
+        docs = [(t or "").lower().split() for t in b]
+        number: dict[str, int] = {}
+        at = np.array([number.setdefault(w, len(number)) for d in docs for w in d], np.int64)
+        h = np.array([zlib.crc32(w.encode()) for w in number], np.int64)
+        cell = np.repeat(np.arange(len(docs)), [len(d) for d in docs]) * DIM
+        v = np.bincount(cell + (h % DIM)[at], np.where(h & 0x10000, 1.0, -1.0)[at], len(docs) * DIM).reshape(-1, DIM) if len(at) else np.zeros((len(docs), DIM))
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        yield pd.Series(list(v / np.where(n, n, 1)), index=b.index)
 
 
 def words(x: Column) -> Column:
@@ -48,8 +56,8 @@ def rewrite(query: Column) -> Column:
     return F.when(F.size(long) > 0, F.array_join(long, " ")).otherwise(query)
 
 
-def generate(question: Column, evidence: Column) -> Column:
-    """Extractive: the opening of the best evidence, after the question's."""
+def generate(question: Column, evidence: Column, notes: Column | None = None) -> Column:
+    """Extractive: the opening of the best evidence, after the question's. Notes are for models that can follow them."""
     return F.concat(F.lit("Q: "), F.substring(question, 1, 60), F.lit(" A: "), F.substring(F.coalesce(F.get(evidence, F.lit(0)), F.lit("")), 1, 200))
 
 
@@ -69,7 +77,8 @@ class Models:
     encode: Callable[[Column], Column] = encode
     rerank: Callable[[Column, Column], Column] = overlap
     rewrite: Callable[[Column], Column] = rewrite
-    generate: Callable[[Column, Column], Column] = generate
+    #: question, evidence, notes on what to answer from or in which order (empty for none) -> an answer.
+    generate: Callable[[Column, Column, Column], Column] = generate
     #: question, evidence, answer, labels that the evidence does not have -> another answer, empty for none.
     regenerate: Callable[[Column, Column, Column, Column], Column] = regenerate
     #: question -> a JSON list of sub-questions, or null.

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.citations import haystack
+from ..operators import cocitation
 from ..operators import similarity as S
-from ..plans import answering
+from ..plans import answering, loop
 from ..plans.models import Models
 from ..session import table
+from ..stages import Stages
 from .decisions import LEXICON
 from .registry import query
 from .similarity import _DOT, _TOP
@@ -28,8 +33,10 @@ def gated_retrieval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str, models: Models) -> DataFrame:
+    """Documents as chunks that come from an article each."""
     docs = table(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("cid"), "text", models.encode(F.col("text")).alias("embedding"))
+    law = F.concat(F.lit("食安法第"), (F.col("doc_id") % 60 + 1).cast("string"), F.lit("條"))
+    return docs.select(F.col("doc_id").alias("cid"), "text", models.encode(F.col("text")).alias("embedding"), law.alias("primary_law"))
 
 
 @query()
@@ -37,7 +44,8 @@ def pipeline_query(spark: SparkSession, d: str) -> DataFrame:
     """The fixed path: benchmark passages ask, documents answer or the question is refused."""
     models = Models()
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    return answering.fixed_path(questions, _chunks(spark, d, models), models, split="[.]+")
+    with Stages(spark, "pipeline-query") as stages:
+        return answering.fixed_path(questions, stages.table(_chunks(spark, d, models), "chunks"), models, split="[.]+")
 
 
 @query()
@@ -46,7 +54,8 @@ def review_path(spark: SparkSession, d: str) -> DataFrame:
     models = Models()
     texts = table(spark, d, "conversations").filter("role = 'user'").select(F.struct("conv_id", "turn").alias("qid"), F.col("text").alias("question"))
     rules = table(spark, d, "benchmark").select(F.col("item_id").alias("cid"), "text", models.encode(F.col("text")).alias("embedding"))
-    out = answering.review_path(texts, rules, LEXICON, models, F.col("cid") < 3)
+    with Stages(spark, "review-query") as stages:
+        out = answering.review_path(texts, stages.table(rules, "rules"), LEXICON, models, F.col("cid") < 3)
     return out.select("qid.*", F.size("matched.grave").alias("grave"), F.size("matched.mild").alias("mild"), "sources", "level")
 
 
@@ -100,8 +109,66 @@ def search_tool(spark: SparkSession, d: str) -> DataFrame:
     """The tool that searches regulations: the first words of each item call it, the whole item is the original."""
     models = Models()
     calls = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring_index("text", " ", 6).alias("query"), F.col("text").alias("original"))
-    out = answering.search_tool(calls, _chunks(spark, d, models), models, "%s: which rules hold?", marks="[.]+")
-    return out.select("qid", "confident", "top_score", F.size("kept").alias("n_kept"), "drift", "used_retry", "query")
+    with Stages(spark, "search-tool") as stages:
+        out = answering.search_tool(calls, stages.table(_chunks(spark, d, models), "chunks"), models, "%s: which rules hold?", marks="[.]+", stages=stages)
+        return stages.result(out.select("qid", "confident", "top_score", F.size("kept").alias("n_kept"), "drift", "used_retry", "query"))
+
+
+@query()
+def agent_loop(spark: SparkSession, d: str) -> DataFrame:
+    """The tool loop hop by hop: user turns ask, documents are the regulations, benchmark items the cases, and the parts of
+    one order the articles that stand together. The next tool depends on what the last one found."""
+    models = Models()
+    turns = table(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
+    edges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.lit("食安法").alias("law_name"), (F.col("l_partkey") % 60 + 1).cast("string").alias("article"))
+    name = f"loop_edges_{uuid.uuid4().hex[:12]}"
+    with Stages(spark, "agent-loop") as stages:
+        chunks = stages.table(_chunks(spark, d, models), "chunks")
+        items = table(spark, d, "benchmark").select(F.col("item_id").alias("cid"), "text", models.encode(F.col("text")).alias("embedding"))
+        items = stages.table(items, "items")
+        cocitation.write_edges(edges, name)
+        try:
+            policy = loop.Policy(
+                F.when(F.col("calls") == 0, F.when(F.col("qid") % 5 == 0, "search_violation_cases").when(F.col("qid") % 7 == 0, "search_the_web").otherwise("search_regulations"))
+                .when((F.col("last_tool") == "search_regulations") & F.col("last_confident"), F.when(F.col("qid") % 2 == 0, "search_related_laws"))
+                .when((F.col("last_tool") == "search_regulations") & ~F.col("last_confident"), F.lit("search_violation_cases")),
+                F.when(F.col("last_tool") == "search_regulations", F.coalesce(F.get("last_pieces", F.lit(0))["primary_law"], F.col("question"))).otherwise(F.substring_index("question", " ", 8)),
+                F.lit(1500),
+            )
+            tools = {"search_regulations": loop.regulations(chunks, models, stages, "%s: which rules hold?"), "search_violation_cases": loop.violation_cases(items, models, stages), "search_related_laws": loop.related(name)}
+            states, trace = loop.run_loop(turns, tools, policy, stages)
+            out = loop.loop_answers(states, trace, models)
+            return stages.result(out.select("qid", "calls", "llm_calls", "tokens", "grounded", "stop", F.array_join("tools", ",").alias("tools"), F.size("sources").alias("n_sources"), "answer", F.size("unsupported").alias("n_unsupported")))
+        finally:
+            cocitation.drop_edges(spark, name)
+
+
+_VERIFIED = """WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey % 120 + 1 AS a, CASE WHEN l_suppkey % 7 = 0 THEN '之一' ELSE '' END AS tail FROM lineitem),
+o AS (SELECT l_orderkey AS qid, string_agg('依食安法第' || a || '條' || tail || '辦理。', '' ORDER BY l_linenumber, '依食安法第' || a || '條' || tail || '辦理。') AS answer,
+string_agg(CASE l_linenumber % 4 WHEN 1 THEN '規定第' || a || '條' || tail || chr(10) WHEN 3 THEN '另見' || chr(10) || '食安法第' || a || '條' || tail WHEN 0 THEN CASE WHEN tail = '' THEN '第 ' || a || ' 條' ELSE '第' || a || tail || '條' END || chr(10) END, chr(10)) AS hay FROM l GROUP BY 1),
+c AS (SELECT qid, min(pos) AS pos, a, tail FROM (SELECT l_orderkey AS qid, l_linenumber AS pos, a, tail FROM l) GROUP BY qid, a, tail),
+u AS (SELECT c.qid, list('食安法第' || a || '條' || tail ORDER BY pos, '食安法第' || a || '條' || tail || '辦理。') AS labels FROM c JOIN o USING (qid) WHERE NOT (contains(coalesce(hay, ''), '第' || a || '條' || tail) OR contains(coalesce(hay, ''), '第 ' || a || ' 條' || tail) OR (tail <> '' AND contains(coalesce(hay, ''), '第' || a || tail || '條'))) GROUP BY c.qid),
+r AS (SELECT o.qid, answer, coalesce(labels, []) AS labels, array_to_string(list_filter(string_split(answer, '。'), lambda s: len(list_filter(coalesce(labels, []), lambda x: contains(s, x))) = 0), '。') AS better FROM o LEFT JOIN u USING (qid))
+SELECT qid, len(labels) > 0 AS regenerated, CASE WHEN len(labels) > 0 AND better <> '' THEN better ELSE answer END AS answer, CASE WHEN len(labels) > 0 AND better = '' THEN array_to_string(labels, ',') ELSE '' END AS unsupported FROM r"""
+
+
+@query(_VERIFIED)
+def citations_verified(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that cite an article for each line of an order, and evidence for some of the lines: in its text, spelled in
+    several ways, or only as the article it comes from. What nothing supports is written out of the answer."""
+    line, tail = F.col("l_linenumber") % 4, F.when(F.col("l_suppkey") % 7 == 0, "之一").otherwise("")
+    no = (F.col("l_partkey") % 120 + 1).cast("string")
+    own = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    spelled = F.when(F.col("tail") == "", own("第 ", F.col("no"), " 條")).otherwise(own("第", F.col("no"), F.col("tail"), "條"))
+    plain = own("第", F.col("no"), "條", F.col("tail"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("qid"), "l_linenumber", line.alias("line"), no.alias("no"), tail.alias("tail"))
+    text = F.when(F.col("line") == 1, own("規定", plain)).when(F.col("line") == 3, F.lit("另見")).when(F.col("line") == 0, spelled)
+    law = F.when(F.col("line") == 3, own("食安法", plain))
+    rows = rows.select("qid", F.struct("l_linenumber", own("依食安法", plain, "辦理。").alias("s"), text.alias("text"), haystack(text, law).alias("hay")).alias("x"))
+    lists = rows.groupBy("qid").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    pieces = F.filter("x", lambda x: x["text"].isNotNull())
+    answers = lists.select("qid", F.lit("").alias("question"), F.array_join(F.transform("x", lambda x: x["s"]), "").alias("answer"), F.transform(pieces, lambda x: x["text"]).alias("evidence"), F.transform(pieces, lambda x: x["hay"]).alias("haystacks"))
+    return answering.verify(answers, Models()).select("qid", "regenerated", "answer", F.array_join("unsupported", ",").alias("unsupported"))
 
 
 @query(f"""WITH a AS ({_BEST.format(" AND c.label % 2 = 0")}), b AS ({_BEST.format("")})
@@ -114,4 +181,4 @@ def drift_check(spark: SparkSession, d: str) -> DataFrame:
     return answering.drift_checked(one(e.filter("label % 2 = 0")), one(e))
 
 
-__all__ = ["_DOT", "agent_answers", "agent_hops", "agent_results", "drift_check", "gated_retrieval", "pipeline_query", "review_path", "search_tool"]
+__all__ = ["_DOT", "agent_answers", "agent_hops", "agent_loop", "agent_results", "citations_verified", "drift_check", "gated_retrieval", "pipeline_query", "review_path", "search_tool"]

@@ -34,6 +34,15 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def stored_bytes(df: DataFrame) -> int | None:
+    """Bytes of a stage table's files, asked of the file system; None for anything else."""
+    path = getattr(df, "_stage_path", None)
+    if path is None:
+        return None
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    return int(at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(at).getLength())
+
+
 def _delete_results() -> None:
     for spark, path in _RESULTS:
         try:
@@ -50,7 +59,7 @@ class Stages:
     """with Stages(spark, "plan") as stages: a = stages.table(df, "a"); ...; return stages.result(df)"""
 
     def __init__(self, spark: SparkSession, plan: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/quillstone/{plan}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.written = spark, f"{shared_folder(spark)}/quillstone/{plan}-{uuid.uuid4().hex}", 0
 
     def __enter__(self) -> Stages:
         return self
@@ -60,11 +69,14 @@ class Stages:
 
     def _written(self, df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._stage_path = path
+        return out
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """df, computed now, as a table that later stages read; a name is used once."""
-        return self._written(df, f"{self.root}/stages/{name}")
+        """df, computed now, as a table that later stages read."""
+        self.written += 1
+        return self._written(df, f"{self.root}/stages/{self.written:03d}-{name}")
 
     def result(self, df: DataFrame) -> DataFrame:
         """df, computed now: the rows of the plan, which outlive its stages."""
