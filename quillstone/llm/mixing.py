@@ -58,12 +58,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share: fl
     So each source's taken words equal its target but for rounding, and no document exceeds max_epochs x its size.
 
     Large sources are cut by a seeded hash into groups of about GROUP_ROWS documents, each of which meets its share
-    of the fraction: a running sum never covers more, however much of the corpus one source holds.
+    of the fraction: a running sum never covers many more, however much of the corpus one source holds, and rows that
+    repeat (one id and text, or none) have groups of their own as soon as they would fill one.
     Null text or no words: size 0, taken 0. Null source: a source of its own, last. Repeated rows and ids: each
     counts. Empty table: no rows. The same input and seed give the same result. Other columns are ignored.
     """
     more = [key] if key else []
-    d = doc_rows(docs, text, doc_id, source, *more).withColumnRenamed(source, "source").select(*more, "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text", F.lit(seed)).alias("_order2"))
+    d = doc_rows(docs, text, doc_id, source, *more).withColumnRenamed(source, "source").select(*more, "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text", F.lit(seed)).alias("_order2"), F.monotonically_increasing_id().alias("_row"))
     # Sizes are needed twice; the second time they come from here and not from the texts.
     d = written(d, "mix-sizes")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
@@ -72,7 +73,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total_share: fl
     plan = plan.withColumn("_groups", F.ceil(F.col("_rows") / GROUP_ROWS)).withColumn("_ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     # As many rows as sources: a table by itself, so that Spark sees its size before it chooses how to join.
     plan = written(plan.withColumnRenamed("source", "_source"), "mix-plan")
-    d = d.join(plan, d["source"].eqNullSafe(plan["_source"])).withColumn("_whole", F.floor("_ratio")).withColumn("_group", F.pmod(F.xxhash64("doc_id", "_order2", F.lit(seed)), F.col("_groups")))
+    d = d.join(plan, d["source"].eqNullSafe(plan["_source"])).withColumn("_whole", F.floor("_ratio"))
+    # Rows that repeat more often than a group is large have groups of their own, as many as they fill.
+    alike = d.groupBy("source", "doc_id", "_order2").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > GROUP_ROWS)
+    alike = written(alike.select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("_order2").alias("_o"), F.ceil(F.col("_n") / GROUP_ROWS).alias("_parts")), "mix-repeated")
+    d = d.join(alike, d["source"].eqNullSafe(alike["_s"]) & d["doc_id"].eqNullSafe(alike["_d"]) & (d["_order2"] == alike["_o"]), "left")
+    own = F.xxhash64("doc_id", "_order2", F.pmod(F.col("_row"), F.col("_parts"))).bitwiseAND(F.lit((1 << 62) - 1))
+    d = d.withColumn("_group", F.when(F.col("_parts").isNotNull(), -1 - own).otherwise(F.pmod(F.xxhash64("doc_id", "_order2", F.lit(seed)), F.col("_groups"))))
     order = F.xxhash64(F.lit(seed + 1), "doc_id", "_order2")
     group = Window.partitionBy("source", "_group")
     run = group.orderBy(order, "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
