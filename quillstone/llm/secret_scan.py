@@ -1,10 +1,12 @@
 """Secret scans: base patterns, and a linear-chain conditional random field that adds spans.
 
 The field tags a text's words as begin, inside or outside of a secret. A word's score for each tag is the sum of
-weights of its own features (shape: length, classes of characters, entropy, changes between letters and digits),
-those of the two words before and the one after, and those of the text as a whole; tags that follow each other
-have weights too. Weights are trained in numpy by the exact gradient (forward-backward) on a bounded sample whose
-tags come from the base patterns, with neighbours hidden at random so that shape alone can tell. Viterbi decodes.
+weights of its own features (shape: length, classes of characters, entropy, changes between them, vowels), those of
+the two words before and the one after, and those of the text as a whole; tags that follow each other have weights
+too. Weights are trained in numpy by the exact gradient (forward-backward) on a bounded sample whose tags come from
+the base patterns, with neighbours hidden at random so that shape alone can tell. So that the field finds more than the
+patterns know, training also sees the sample's own contexts with other secrets and with what only looks like one set
+in: other keywords, separators, prefixes and alphabets; ids, dates, addresses, versions, file names. Viterbi decodes.
 """
 
 from __future__ import annotations
@@ -32,11 +34,13 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SAMPLE_HITS, SAMPLE_OTHERS = 600, 200
 #: Words of these texts around which training looks: every word of a hit, every long word, and this many others of each
 #: text; of more than SAMPLE_WINDOWS in all, a seeded choice of as many.
-OTHER_WORDS, SAMPLE_WINDOWS = 5, 6_000
+OTHER_WORDS, SAMPLE_WINDOWS = 5, 4_000
+#: Contexts that get another secret, and as many that get something that is none.
+VARIANTS = 1_800
 B, I, O = 0, 1, 2  # noqa: E741
 _REACH = 5  # words on each side of a hit that training looks at
 _CORE = "\"'`()<>[]{},;:.!?"
-_KEY = re.compile(r"passw|secret|token|api_?key|credential|auth|bearer|private|access")
+_KEY = re.compile(r"passw|passphrase|pwd|secret|token|api[_-]?key|credential|auth|bearer|private|access|signing|_key")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -51,38 +55,68 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _LENGTHS = (4, 8, 12, 16, 20, 24, 32, 48)
-N_FEATURES = 40
+N_FEATURES = 50
+_INNER = re.compile(r"^(.*?[A-Za-z_\"'])(?::=|=>|[=:])[\"']?(?!/)([^=:\"']{4,}=*)$")
+_PREFIX = re.compile(r"[A-Za-z]{2,6}[_-][^_-]{12,}$")
+_RUNS = re.compile(r"[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+")
+_HEXES = frozenset("0123456789abcdefABCDEF")
 
 
 def features(word: bytes) -> list[int]:
-    """The word's active features, by number."""
+    """The word's active features, by number. Those of shape are of the value, where the word is name=value."""
     w = word.decode("utf-8", "replace")
     core = w.strip(_CORE)
     n = len(core)
-    out = [sum(n >= x for x in _LENGTHS)]  # 0 to 8
-    if core.isalpha():
-        out += [9, 10 if core.islower() else 11]
-        if n >= 5 and _KEY.search(core.lower()):
+    out = []
+    if core.isalpha() and n < 20:
+        out += [sum(n >= x for x in _LENGTHS), 9, 10 if core.islower() else 11]  # to 8, then 9 to 11
+        if n >= 3 and _KEY.search(core.lower()):
             out.append(12)
     else:
-        has = [any(c.islower() for c in core), any(c.isupper() for c in core), any(c.isdigit() for c in core), any(c in "+/_=-" for c in core)]
-        out += [13 + k for k, x in enumerate(has) if x]
-        if core and all(c in "0123456789abcdefABCDEF" for c in core):
-            out.append(17)
-        if n >= 5 and _KEY.search(core.lower()):
+        inner = _INNER.match(core)
+        value = inner[2] if inner else core
+        n = len(value)
+        out.append(sum(n >= x for x in _LENGTHS))
+        if inner:
+            out.append(37)
+            if _KEY.search(inner[1].lower()):
+                out.append(38)
+        elif n >= 3 and _KEY.search(core.lower()):
             out.append(12)
-        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:]))
-        out.append(18 + min(turns // 3, 4))  # to 22
+        runs = _RUNS.findall(value)
+        kinds = {"a" if r[0] in "abcdefghijklmnopqrstuvwxyz" else "A" if "A" <= r[0] <= "Z" else "0" if r[0].isdigit() and r[0].isascii() else "-" for r in runs}
+        out += [13 + k for k, x in enumerate("aA0-") if x in kinds]
+        if value and _HEXES.issuperset(value):
+            out.append(17)
+            if n >= 16 and "A" in kinds and "0" in kinds and "a" not in kinds:
+                out.append(45)
+        out.append(18 + min(len(runs) // 3, 4))  # to 22
         if n >= 8:
-            counts = Counter(core).values()
-            entropy = -sum(c / n * math.log2(c / n) for c in counts)
+            entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
             out.append(23 + min(int(entropy), 5))  # to 28
-        if sum(c.isdigit() for c in core) * 2 > n:
+        digits = sum(len(r) for r in runs if r[0].isdigit())
+        if digits * 2 > n:
             out.append(29)
-        if core.startswith("AKIA"):
+        if value.startswith("AKIA"):
             out.append(30)
-        if "://" in core or "@" in core or "www." in core:
+        if "://" in w or "@" in w or "www." in w or "/" in value and "." in value.rsplit("/", 1)[-1]:
             out.append(31)
+        if _PREFIX.match(value):
+            out.append(39)
+        letters = sum(len(r) for r in runs if r[0].isalpha())
+        if letters >= 6:
+            vowels = sum(value.count(v) for v in "aeiouAEIOU")
+            out += [40] if vowels * 5 < letters else [41] if vowels * 20 >= letters * 7 else []
+        if letters == 0:
+            out.append(46 if digits == n else 42)
+        if value.count("-") >= 2:
+            out.append(43)
+        if value.count(".") >= 2:
+            out.append(44)
+        if letters == n and len(runs) >= 5:
+            out.append(47)
+        if not value.isascii():
+            out.append(48)
     if w in ("=", ":", ":=", "=>"):
         out.append(32)
     if w[-1:] in "=:":
@@ -96,6 +130,80 @@ def features(word: bytes) -> list[int]:
     return out
 
 
+_LOWER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_ALPHABETS = [_LOWER + _LOWER.upper() + _DIGITS] * 3 + [_LOWER + _LOWER.upper() + _DIGITS + "+/", _LOWER + _LOWER.upper() + _DIGITS + "_-.", "ABCDEF" + _DIGITS, "abcdef" + _DIGITS, _LOWER + _DIGITS, _LOWER.upper() + _DIGITS]
+_TYPED = _LOWER + _LOWER.upper() + _DIGITS * 2 + "!#%&*@^~"
+_NAMES = ["passphrase", "client_secret", "auth", "credential", "signing_key", "access_key", "bearer_token", "auth_token", "PASSWORD", "Secret", "user_token", "db_password", "encryption_key", "service_credentials"]
+_NO_NAMES = ["id", "ref", "order", "page", "file", "see", "item", "version", "date", "user", "title", "count", "no", "name", "time"]
+
+
+def _secret(rng: np.random.Generator) -> tuple[list[str], list[int]]:
+    """Words of a secret in some form, and their tags."""
+    draw = lambda xs: xs[int(rng.integers(len(xs)))]
+    value = lambda least: "".join(draw(alphabet) for _ in range(int(rng.integers(least, 49)))) if (alphabet := draw(_ALPHABETS)) else ""
+    form = int(rng.integers(8))
+    if form < 4:
+        name, v = draw(_NAMES), value(10) if rng.random() < 0.6 else "".join(draw(_TYPED) for _ in range(int(rng.integers(8, 25))))
+        return ([f"{name}:", v], [O, B]) if form == 0 else ([name, draw(["=", ":", ":=", "=>"]), draw([v, f'"{v}"', f"'{v}'"])], [O, O, B]) if form == 1 else ([draw([f"{name}={v}", f'{name}="{v}"', f"{name}:{v}"])], [B]) if form == 2 else ([f'"{name}":', f'"{v}",'], [O, B])
+    if form == 4:
+        return [draw(["Authorization:", "X-Auth:", "header"]), draw(["Bearer", "Basic", "Token"]), value(20)], [O, O, B]
+    if form == 5:
+        mixed = draw(_ALPHABETS[:3])
+        if rng.random() < 0.3:  # a prefix, a number and the rest
+            return [draw("-_.").join(["".join(draw(a) for _ in range(int(rng.integers(least, most)))) for a, least, most in ((_LOWER, 2, 6), (_DIGITS, 6, 14), (mixed, 16, 33))])], [B]
+        return ["".join(draw(_LOWER) for _ in range(int(rng.integers(2, 5)))) + draw("_-") + "".join(draw(mixed) for _ in range(int(rng.integers(18, 45))))], [B]
+    return [value(26)], [B]
+
+
+def _no_secret(rng: np.random.Generator, word: str) -> list[str]:
+    """Words of something that is no secret, though it has digits, capitals, marks or a name before it."""
+    draw = lambda xs: xs[int(rng.integers(len(xs)))]
+    digits = lambda n: "".join(draw(_DIGITS) for _ in range(n))
+    letters = lambda n: "".join(draw(_LOWER) for _ in range(n))
+    n = int(rng.integers(4, 13))
+    thing = [
+        lambda: [digits(n)],
+        lambda: [f"{draw(['ORD', 'INV', 'DOC', 'ab'])}-{digits(4)}-{digits(5)}"],
+        lambda: [f"20{digits(2)}-0{draw('123456789')}-1{draw(_DIGITS)}"],
+        lambda: [f"{digits(2)}:{digits(2)}:{digits(2)}"],
+        lambda: [f"v{digits(1)}.{digits(2)}.{digits(1)}-{letters(4)}"],
+        lambda: [f"{word}.{letters(5)}{digits(2)}@{letters(7)}.org"],
+        lambda: [f"https://{letters(7)}.com/{word}/{digits(6)}?q={letters(6)}{digits(3)}"],
+        lambda: [f"{word}_{letters(6)}_{digits(2)}.{draw(['txt', 'csv', 'py', 'json'])}"],
+        lambda: ["/".join(letters(int(rng.integers(3, 8))) for _ in range(4))],
+        lambda: [f"{digits(8)}-{letters(4)}-4{digits(3)}-a{digits(3)}-{digits(12)}"],
+        lambda: [f"+{digits(2)}-{digits(3)}-{digits(7)}"],
+        lambda: [word.capitalize() + letters(6).capitalize() + letters(7).capitalize()],
+        lambda: [f"{word.upper()}_{letters(5).upper()}_{letters(6).upper()}"],
+        lambda: [f"{draw(_NO_NAMES)}={draw([digits(6), letters(8), letters(5) + digits(2)])}"],
+        lambda: [f"{draw(_NO_NAMES)}:", draw([digits(9), letters(9), letters(4).upper() + digits(4)])],
+        lambda: [draw(_NAMES), draw(["is", "was", "and", "=", ":"]), word],
+        lambda: [f"{draw(_NAMES)}:", draw(["none", "required", "optional", "see", word])],
+        lambda: [letters(3) + digits(4)],
+        lambda: ["".join(f"{draw('abcdef')}{draw(_DIGITS)}" for _ in range(4))[:7]],
+        lambda: [letters(10) + word + letters(10)],
+        lambda: [f"{word}-{letters(6)}-{letters(8)}-{letters(5)}"],
+        lambda: [f"{digits(3)}.{digits(2)}.{digits(1)}.{digits(3)}:{digits(4)}"],
+    ]
+    return draw(thing)()
+
+
+def _varied(rng: np.random.Generator, docs: list[list[bytes]], n: int) -> list[tuple[list[bytes], list[int]]]:
+    """Words and tags around n places of the sample's texts, with a secret set in; and n with something that is none."""
+    out = []
+    docs = [d for d in docs if d]
+    for k in range(2 * n if docs else 0):
+        words = docs[int(rng.integers(len(docs)))]
+        at = int(rng.integers(len(words) + 1))
+        plain = [w for w in words[max(0, at - 60) : at + 60] if len(w) < 13 and w.isalpha()] or [b"word"]
+        mine, tags = _secret(rng) if k % 2 else (_no_secret(rng, plain[int(rng.integers(len(plain)))].decode()), None)
+        # The words around it: only those that are surely none themselves.
+        side = lambda part: [w if len(w) < 13 and w.isalpha() else plain[int(rng.integers(len(plain)))] for w in part]  # noqa: B023, E731
+        before, after = side(words[max(0, at - _REACH) : at]), side(words[at : at + _REACH])
+        out.append(([*before, *(w.encode() for w in mine), *after], [O] * len(before) + (tags or [O] * len(mine)) + [O] * len(after)))
+    return out
+
+
 def text_features(text: bytes) -> np.ndarray:
     """Of the file: keywords in it, marks of code, any long run of digits and letters."""
     n = max(1, len(text))
@@ -144,7 +252,37 @@ def _tags(text: str) -> tuple[list[bytes], np.ndarray]:
     return [m[0].encode() for m in words], tags
 
 
-def train(texts: list[str], seed: int = 5, rounds: int = 70) -> Field | None:
+def likelihood(params: list[np.ndarray], x: np.ndarray, places: tuple[np.ndarray, ...], files: np.ndarray, gold: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The negative log likelihood of the tags of all windows, and its gradient, by forward-backward.
+
+    params as in Field; x: a row of features for each word; places: the words' numbers themselves, then those before, two
+    before and after; files: text features of each window; gold: windows x places x 3, one 1 each."""
+    own, before, before2, after, file, follow = params
+    seqs, width = places[0], places[0].shape[1]
+    e = sum((x @ w)[ids] for w, ids in zip((own, before, before2, after), places, strict=True)) + (files @ file)[:, None]
+    alpha, beta = np.zeros_like(e), np.zeros_like(e)
+    alpha[:, 0] = e[:, 0]
+    for t in range(1, width):
+        m = alpha[:, t - 1, :, None] + follow
+        top = m.max(1)
+        alpha[:, t] = top + np.log(np.exp(m - top[:, None]).sum(1)) + e[:, t]
+    for t in range(width - 2, -1, -1):
+        m = follow + (e[:, t + 1] + beta[:, t + 1])[:, None, :]
+        top = m.max(2)
+        beta[:, t] = top + np.log(np.exp(m - top[..., None]).sum(2))
+    z = alpha[:, -1].max(1) + np.log(np.exp(alpha[:, -1] - alpha[:, -1].max(1, keepdims=True)).sum(1))
+    d = np.exp(alpha + beta - z[:, None, None]) - gold
+    both = alpha[:, :-1, :, None] + follow + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
+    pairs = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
+    flat, grads = d.reshape(-1, 3), []
+    for ids in places:
+        per_word = np.stack([np.bincount(ids.reshape(-1), flat[:, k], len(x)) for k in range(3)], 1)
+        grads.append(x.T @ per_word)
+    grads += [files.T @ d.sum(1), np.exp(both).sum((0, 1)) - pairs]
+    return float(z.sum() - (gold * e).sum() - (pairs * follow).sum()), grads
+
+
+def train(texts: list[str], seed: int = 5, rounds: int = 80) -> Field | None:
     """None where no text of the sample has a hit."""
     rng = np.random.default_rng(seed)
     number: dict[bytes, int] = {b"": 0}
@@ -169,6 +307,14 @@ def train(texts: list[str], seed: int = 5, rounds: int = 70) -> Field | None:
     files = [kept[k][2] for k, _ in places]
     if not seqs or not any((g != O).any() for g in golds):
         return None
+    for words, tags in _varied(rng, [t.encode().split() for t in texts], VARIANTS):
+        # What is set in stands near the middle; longer pieces lose words at their ends.
+        first = max(0, (len(words) - width) // 2)
+        ids = [number.setdefault(w, len(number)) for w in words[first : first + width]]
+        pad = width - len(ids)
+        seqs.append(np.array([0] * (pad // 2) + ids + [0] * (pad - pad // 2)))
+        golds.append(np.array([O] * (pad // 2) + tags[first : first + width] + [O] * (pad - pad // 2)))
+        files.append(text_features(b" ".join(words)) * (rng.random() < 0.5))
     seqs, golds, files = np.array(seqs), np.array(golds), np.array(files)
     x = np.zeros((len(number), N_FEATURES))
     for w, i in number.items():
@@ -182,30 +328,9 @@ def train(texts: list[str], seed: int = 5, rounds: int = 70) -> Field | None:
     params[5][O, I] = -4
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     gold = np.eye(3)[golds]
-    pairs = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
     n = len(seqs)
     for step in range(1, rounds + 1):
-        own, before, before2, after, file, follow = params
-        e = (x @ own)[seqs] + (x @ before)[around[0]] + (x @ before2)[around[1]] + (x @ after)[around[2]] + (files @ file)[:, None]
-        alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0]
-        for t in range(1, width):
-            m = alpha[:, t - 1, :, None] + follow
-            top = m.max(1)
-            alpha[:, t] = top + np.log(np.exp(m - top[:, None]).sum(1)) + e[:, t]
-        for t in range(width - 2, -1, -1):
-            m = follow + (e[:, t + 1] + beta[:, t + 1])[:, None, :]
-            top = m.max(2)
-            beta[:, t] = top + np.log(np.exp(m - top[..., None]).sum(2))
-        z = alpha[:, -1].max(1) + np.log(np.exp(alpha[:, -1] - alpha[:, -1].max(1, keepdims=True)).sum(1))
-        d = np.exp(alpha + beta - z[:, None, None]) - gold
-        both = alpha[:, :-1, :, None] + follow + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        flat = d.reshape(-1, 3)
-        grads = []
-        for ids in (seqs, *around):
-            per_word = np.stack([np.bincount(ids.reshape(-1), flat[:, k], len(x)) for k in range(3)], 1)
-            grads.append(x.T @ per_word)
-        grads += [files.T @ d.sum(1), np.exp(both).sum((0, 1)) - pairs]
+        _, grads = likelihood(params, x, (seqs, *around), files, gold)
         for (m, v), p, g in zip(state, params, grads, strict=True):
             g = g / n + 2e-4 * p
             m += 0.1 * (g - m)
@@ -224,6 +349,7 @@ class Scanner:
         if field:
             self.weights = np.concatenate([field.own, field.before, field.before2, field.after], 1)
             self.margin = field.gains()
+            self.sums: dict[tuple[int, ...], np.ndarray] = {}  # by sets of features: far fewer than words
             self._reset()
 
     def _reset(self) -> None:
@@ -240,8 +366,11 @@ class Scanner:
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
         for i, w in enumerate(new, at):
             self.number[w] = i
-            f = features(w)
-            self.scores[i] = self.weights[f].sum(0)
+            f = tuple(features(w))
+            row = self.sums.get(f)
+            if row is None:
+                row = self.sums[f] = self.weights[list(f)].sum(0)
+            self.scores[i] = row
 
     def tagged(self, words: list[bytes], file: np.ndarray) -> list[tuple[int, int]]:
         """Runs [first word, end) that Viterbi tags as secrets.
@@ -295,6 +424,8 @@ class Scanner:
                         a += 1
                     while a < b and text[b - 1] in _CORE:
                         b -= 1
+                    if end == first + 1 and (inner := _INNER.match(text[a:b])):
+                        a += inner.start(2)  # of name=value, the value
                     if a < b and not any(x < b and a < y for x, _, y in base):
                         extra.append((a, 3, b))
                 spans = sorted(base + extra)

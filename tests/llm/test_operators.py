@@ -745,3 +745,79 @@ def test_field_tags_held_out_texts():
         want = set(np.flatnonzero(tags != secret_scan.O).tolist())
         right, wrong, lost = right + len(found & want), wrong + len(found - want), lost + len(want - found)
     assert right > 100 and right / (right + wrong) >= 0.95 and right / (right + lost) >= 0.95
+
+
+def test_field_gradient_against_differences():
+    r = np.random.default_rng(4)
+    x, seqs = r.integers(0, 2, (9, secret_scan.N_FEATURES)).astype(float), r.integers(0, 9, (5, 4))
+    places = (seqs, *[r.integers(0, 9, (5, 4)) for _ in range(3)])
+    files, gold = r.integers(0, 2, (5, 3)).astype(float), np.eye(3)[r.integers(0, 3, (5, 4))]
+    params = [r.normal(0, 0.5, (secret_scan.N_FEATURES, 3)) for _ in range(4)] + [r.normal(0, 0.5, (3, 3)) for _ in range(2)]
+    loss, grads = secret_scan.likelihood(params, x, places, files, gold)
+    # The likelihood itself, over all paths of the first window.
+    from itertools import product
+
+    e = sum((x @ w)[p] for w, p in zip(params[:4], places, strict=True)) + (files @ params[4])[:, None]
+    score = lambda n, p: sum(e[n, i, t] for i, t in enumerate(p)) + sum(params[5][a, b] for a, b in zip(p, p[1:], strict=False))
+    want = sum(np.log(sum(np.exp(score(n, p)) for p in product(range(3), repeat=4))) - score(n, gold[n].argmax(1)) for n in range(5))
+    assert loss == pytest.approx(want)
+    for p, g in zip(params, grads, strict=True):
+        for at in [(int(r.integers(p.shape[0])), int(r.integers(3))) for _ in range(6)]:
+            was, step = p[at], 1e-5
+            p[at] = was + step
+            up = secret_scan.likelihood(params, x, places, files, gold)[0]
+            p[at] = was - step
+            down = secret_scan.likelihood(params, x, places, files, gold)[0]
+            p[at] = was
+            assert g[at] == pytest.approx((up - down) / (2 * step), abs=1e-5)
+
+
+def test_field_finds_forms_that_the_patterns_miss():
+    """Five forms that no base pattern has, planted in held-out texts; and clean texts, which hold look-alikes."""
+    r = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n, a=letters: "".join(r.choices(a, k=n))
+    base = [lambda: f"password = {key(24)}", lambda: f"api_key={key(20)}", lambda: f"AKIA{key(16).upper()}", lambda: "%040x" % r.getrandbits(160)]
+    learn = [f"{prose(k, 12)} {base[k % 4]()} {prose(k + 1, 12)}" if k % 3 else prose(k, 40) for k in range(200)]
+    scanner = secret_scan.Scanner(secret_scan.train(learn))
+    forms = {
+        "ghp": lambda: ("", "ghp_" + key(36)), "bearer": lambda: ("Authorization: Bearer ", key(r.randint(24, 60))), "upper hex": lambda: ("", key(r.choice([32, 40]), "0123456789ABCDEF")),
+        "private_key": lambda: ("private_key = ", key(r.randint(20, 44), letters + "+/")), "pwd": lambda: ("pwd: ", key(r.randint(12, 20))),
+    }
+    wrong = total = 0
+    for form in forms.values():
+        found = 0
+        for k in range(60):
+            head, value = form()
+            before, after = prose(7000 + k, 15), prose(8000 + k, 15)
+            text = f"{before} {head}{value} {after}"
+            at = len(before) + 1 + len(head)
+            ((base_spans, spans),) = scanner.scan([text.encode()])
+            assert not base_spans
+            hit = [x for x in spans if x[0] < at + len(value) and at < x[2]]
+            found, wrong, total = found + bool(hit), wrong + len(spans) - len(hit), total + len(spans)
+        assert found >= 54
+    clean = [prose(9000 + k, 60) + " see https://example.org/a/b2/c?d=12 order ORD-2024-00017 on 2024-11-05 at 12:30:05, mail a.b7@example.org v1.2.3 data_file_07.csv" for k in range(60)]
+    wrong += sum(len(spans) for _, spans in scanner.scan([t.encode() for t in clean]))
+    assert total - wrong >= 0.9 * total and wrong <= 0.1 * total
+
+
+def test_the_value_of_a_name_is_the_span():
+    field = secret_scan.train([f"{prose(k, 10)} token = {random.Random(k).getrandbits(128):032x} {prose(k, 9)}" for k in range(40)])
+    value = "Qw7Rt9Zx3Lk8Mn2Pv5Ty"
+    ((_, spans),) = secret_scan.Scanner(field).scan([f"alpha beta signing_key='{value}', gamma".encode()])
+    assert [f"{a}:{b}" for a, _, b in spans] in ([], ["24:44"])
+
+
+def test_repeated_rows_are_dealt_to_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 10)
+    rows = [(None, "a b c", "x")] * 300 + [(7, "d e", "y")] * 200 + [(100 + i, "f g h i", "x") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(df).collect()
+    assert len(got) == 600 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    for source in "xy":
+        mine = [r for r in got if r["source"] == source]
+        # A word for each group at most is lost or won by rounding.
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 45
+    plan = mixing.mix(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "mix-repeated" in plan or "_parts" in plan
