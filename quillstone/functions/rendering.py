@@ -48,6 +48,14 @@ def case_label(text: Column) -> Column:
     return F.when(F.coalesce(found, F.lit("")) != "", found).otherwise("other")
 
 
+def learning_rows(cases: DataFrame) -> DataFrame:
+    """cases(product, violation, penalty, law_cited, ...) -> text, penalty, log_penalty, label and the other columns: both
+    texts with single spaces; rows without a text, or without a penalty above zero, are left out."""
+    whole = F.concat_ws(" ", F.coalesce("product", F.lit("")), F.coalesce("violation", F.lit("")))
+    rows = cases.withColumn("text", strip(F.regexp_replace(whole, r"(?U)\s+", " "))).filter((F.col("text") != "") & (F.col("penalty") > 0))
+    return rows.withColumn("log_penalty", F.log("penalty")).withColumn("label", case_label(F.col("law_cited"))).drop("product", "violation", "law_cited")
+
+
 def part_ok(answer: Column, must_any: Column, case: Column, none_ok: Column, money_pattern: str, actor_pattern: str, none_pattern: str) -> Column:
     """A part of a compound answer: one of the texts it must have; for a case, an amount and an actor; where no result
     is acceptable, a sentence that says so."""

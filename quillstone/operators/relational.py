@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +40,23 @@ def either_side(left: DataFrame, edges: DataFrame, on: tuple[str, str], left_tes
     return joined.filter(F.coalesce(left_test, F.lit(False)) | F.col("_hit").isNotNull()).drop("_hit")
 
 
+def by_law(chunks: DataFrame, edges: DataFrame, law: str | None) -> DataFrame:
+    """chunks(id, primary_law, ...), edges(chunk_id, article_full): the chunks that come from a law's article or refer to it.
+    A law without an article: those that come from it alone, and the edges are not read. No law: all. Each chunk once."""
+    if not law:
+        return chunks
+    own = F.col("primary_law") == law
+    article = re.search(r"第(\d+(?:之[一二三四五]|之\d+)?)條", law)
+    return either_side(chunks, edges, ("id", "chunk_id"), own, F.col("article_full") == article[1]) if article else chunks.filter(own)
+
+
+def replayed(records: DataFrame, miss: bool = False, grep: str | None = None, question: str = "question", hit: str = "hit") -> DataFrame:
+    """The records of a run that are shown: with miss, those without a hit (null counts as none); with grep, those whose
+    question has the text as it stands."""
+    out = records.filter(~F.coalesce(F.col(hit), F.lit(False))) if miss else records
+    return containing(out, question, grep)
+
+
 def keep_first(df: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
     """One row for each text, white space at its ends aside: the first by `order`. Null texts are one text.
 

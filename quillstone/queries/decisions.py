@@ -48,13 +48,35 @@ def route_confusion(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumn("recall", F.round("recall", 6))
 
 
-@query(f"""SELECT source, count(*) AS n, round(avg(CASE WHEN gold = intent THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) FILTER (gold = 'multi_hop' AND intent <> 'multi_hop') AS harmful, count(*) FILTER (gold <> 'multi_hop' AND intent = 'multi_hop') AS wasteful FROM (SELECT {_GOLD} AS gold, intent, source FROM ({_ROUTED})) GROUP BY source""")
+@query(f"""SELECT source, count(*) AS n, round(avg(CASE WHEN gold = intent THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) FILTER (gold = 'multi_hop' AND intent <> 'multi_hop') AS harmful, count(*) FILTER (gold <> 'multi_hop' AND intent = 'multi_hop') AS wasteful, count(*) FILTER (gold <> intent AND gold <> 'multi_hop' AND intent <> 'multi_hop') AS others FROM (SELECT {_GOLD} AS gold, intent, source FROM ({_ROUTED})) GROUP BY source""")
 def route_source_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage and accuracy of each source; errors that lose evidence apart from those that only cost time."""
+    """Coverage and accuracy of each source; errors that lose evidence, those that only cost time, and the others."""
     gold = F.when(F.col("role") == "user", "regulation_qa").when(F.col("role") == "assistant", "multi_hop").otherwise("case_lookup")
     t = _turns(spark, d).withColumn("gold", gold)
     multi = lambda c: F.col(c) == "multi_hop"
-    return t.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("gold") == F.col("intent"), 1.0).otherwise(0.0)), 6).alias("accuracy"), F.count_if(multi("gold") & ~multi("intent")).alias("harmful"), F.count_if(~multi("gold") & multi("intent")).alias("wasteful"))
+    return t.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("gold") == F.col("intent"), 1.0).otherwise(0.0)), 6).alias("accuracy"), F.count_if(multi("gold") & ~multi("intent")).alias("harmful"), F.count_if(~multi("gold") & multi("intent")).alias("wasteful"), F.count_if((F.col("gold") != F.col("intent")) & ~multi("gold") & ~multi("intent")).alias("others"))
+
+
+#: Questions in the domain's words, and near misses of its cues; two of them make a compound one.
+_ASKED = (
+    "膠囊食品要怎麼標示?", "這樣算不算誇大?", "有人被罰過嗎?", "被罰多少錢?", "沒標示會罰多少?", "食安法第28條常跟哪些條文一起被引用?", "幫我看這段文案",
+    "益生菌違反哪條?", "今天天氣很好", "添加上限是多少?", "最近的案例有哪些?", "請審稿:本產品三天見效", "需要登錄嗎？", "可以嗎", "規定的單位", "罰鍰多少才合法?", "開罰單位是誰", "關聯不大的問題呢?", "案子例外嗎?", "什麼是防腐劑?",
+)
+_OWN = D.Cues()
+_PLAIN = tuple(w for w in _OWN.case if w != _OWN.amount_only)
+_CASE = f"({_any(_PLAIN)} OR ({_any((_OWN.amount_only,))} AND NOT regexp_matches(x, '{_OWN.amount}')))"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN {_any(_OWN.related)} THEN 'multi_hop' WHEN {_CASE} AND {_any(_OWN.rule)} THEN 'multi_hop' WHEN {_any(_OWN.review)} THEN 'ad_review'
+WHEN len(p) >= 2 THEN CASE WHEN len(list_filter(p, lambda s: {_any((*_OWN.case, *_OWN.penalty, *_OWN.related), "s")} OR NOT {_any((*_OWN.rule, *_OWN.weak), "s")})) = 0 THEN 'regulation_qa' END
+WHEN {_CASE} OR {_any(_OWN.penalty)} THEN NULL WHEN ({_any(_OWN.rule)} OR {_any(_OWN.weak)}) AND {_any(_OWN.asks)} THEN 'regulation_qa' END AS intent
+FROM (SELECT o_orderkey, x, list_transform(list_filter(list_transform(regexp_split_to_array(x, '[?？]+'), lambda y: trim(y, ' ' || chr(9) || chr(13) || chr(10) || ',，;；、。')), lambda y: length(y) >= 2), lambda y: y || '?') AS p
+FROM (SELECT o_orderkey, {"[" + ", ".join(f"'{w}'" for w in _ASKED) + "]"}[o_orderkey % {len(_ASKED)} + 1] || CASE WHEN o_custkey % 3 = 0 THEN {"[" + ", ".join(f"'{w}'" for w in _ASKED) + "]"}[o_custkey % {len(_ASKED)} + 1] ELSE '' END AS x FROM orders))""")
+def route_domain(spark: SparkSession, d: str) -> DataFrame:
+    """The rules on the domain's own cues: single and compound questions, near misses among them."""
+    pick = lambda i: F.element_at(F.array(*[F.lit(w) for w in _ASKED]), (i % len(_ASKED) + 1).cast("int"))
+    asked = F.concat(pick(F.col("o_orderkey")), F.when(F.col("o_custkey") % 3 == 0, pick(F.col("o_custkey"))).otherwise(""))
+    return table(spark, d, "orders").select("o_orderkey", D.route(asked).alias("intent"))
 
 
 LEXICON = D.Lexicon({"grave": ("idiot", "scum"), "mild": ("token", "License"), "white": ("gentle",)}, {"grave": 2, "mild": 1, "white": 0})

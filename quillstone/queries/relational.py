@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations
+from ..functions.rendering import learning_rows
 from ..operators import relational as R
 from ..session import table
+from ..sources.files import classify_pages
 from .registry import query
 
 
@@ -168,14 +170,15 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("""SELECT event_id, CASE WHEN ok THEN event_type ELSE 'other' END AS intent, CASE WHEN ok THEN 'model' ELSE 'fallback' END AS source FROM (SELECT event_id, event_type, event_type IN ('click', 'view', 'purchase') AND value <= 60 AS ok FROM events)""")
+@query("""SELECT event_id, CASE WHEN ok THEN event_type ELSE 'other' END AS intent, CASE WHEN ok THEN 'model' ELSE 'fallback' END AS source, CASE WHEN ok THEN repeat('x', 60) ELSE 'no valid reply' END AS reason FROM (SELECT event_id, event_type, event_type IN ('click', 'view', 'purchase') AND value <= 60 AS ok FROM events)""")
 def json_validate_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """A reply must be JSON with an intent of the list; a broken one, or anything else, falls back."""
+    """A reply must be JSON with an intent of the list; a broken one, or anything else, falls back. Of a reason the first 60
+    characters are kept."""
     whole = F.to_json(F.struct(F.col("event_type").alias("intent"), F.lit("x" * 80).alias("reason")))
     reply = F.when(F.col("value") > 60, F.substring(whole, 1, 30)).otherwise(whole)
     parsed = F.from_json(reply, "intent string, reason string")
     ok = F.coalesce(parsed["intent"].isin("click", "view", "purchase"), F.lit(False))
-    return table(spark, d, "events").select("event_id", F.when(ok, parsed["intent"]).otherwise("other").alias("intent"), F.when(ok, "model").otherwise("fallback").alias("source"))
+    return table(spark, d, "events").select("event_id", F.when(ok, parsed["intent"]).otherwise("other").alias("intent"), F.when(ok, "model").otherwise("fallback").alias("source"), F.when(ok, F.substring(parsed["reason"], 1, 60)).otherwise("no valid reply").alias("reason"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem""")
@@ -222,10 +225,10 @@ def truncate_preview(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.when(F.length("text") > 120, F.concat(F.substring("text", 1, 120), F.lit("..."))).otherwise(F.col("text")).alias("preview"))
 
 
-@query("""SELECT w, array_to_string(list_sort(list(DISTINCT doc_id))[:20], ',') AS docs, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) WHERE length(w) BETWEEN 9 AND 10 GROUP BY w HAVING count(DISTINCT doc_id) >= 3""")
+@query("""SELECT w, array_to_string(list_sort(list(DISTINCT doc_id))[:20], ',') AS docs, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) WHERE w <> '' GROUP BY w HAVING count(DISTINCT doc_id) >= 3""")
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     """Term -> ordered distinct documents (the first 20 shown), for terms in three documents or more."""
-    w = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")).filter(F.length("w").between(9, 10)).distinct()
+    w = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w")).filter("w <> ''").distinct()
     # The shown ones are cut off within each task before they meet; the counts are sums. No list of all documents.
     shown = w.withColumn("_p", F.row_number().over(Window.partitionBy("w").orderBy("doc_id"))).filter("_p <= 20")
     lists = shown.groupBy("w").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("docs"))
@@ -290,12 +293,53 @@ def health(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("""SELECT conv_id, turn, o.o_orderkey AS label_no, CASE WHEN o.o_custkey % 5 = 4 THEN NULL WHEN o.o_custkey % 5 = 3 THEN '0' WHEN o.o_custkey % 5 = 0 THEN (o.o_orderkey % 60 + 1)::VARCHAR ELSE (o.o_orderkey % 60 + 1) || '之' || CASE o.o_custkey % 5 WHEN 1 THEN '一' ELSE '2' END END AS article FROM conversations c JOIN orders o ON o.o_orderkey = c.conv_id""")
+@query("""SELECT o_orderkey AS label_no, CASE WHEN o_custkey % 5 = 4 THEN NULL WHEN o_custkey % 5 = 3 THEN '0' WHEN o_custkey % 5 = 0 THEN (o_orderkey % 60 + 1)::VARCHAR ELSE (o_orderkey % 60 + 1) || '之' || CASE o_custkey % 5 WHEN 1 THEN '一' ELSE '2' END END AS article FROM orders""")
 def label_references(spark: SparkSession, d: str) -> DataFrame:
     """Labels of laws as references: plain, with a suffix on either side, a whole act, none."""
     no = (F.col("o_orderkey") % 60 + 1).cast("string")
     kind = F.col("o_custkey") % 5
     label = F.when(kind == 0, F.concat(F.lit("食安法第"), no, F.lit("條"))).when(kind == 1, F.concat(F.lit("食安法第"), no, F.lit("條之一"))).when(kind == 2, F.concat(F.lit("食安法第"), no, F.lit("之2條"))).when(kind == 3, "健康食品管理法").otherwise("其他")
-    o = table(spark, d, "orders").select("o_orderkey", citations.law_reference(label)["article_full"].alias("article"))
-    c = table(spark, d, "conversations").select("conv_id", "turn")
-    return c.join(o, F.col("conv_id") == F.col("o_orderkey")).select("conv_id", "turn", F.col("o_orderkey").alias("label_no"), "article")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("label_no"), citations.law_reference(label)["article_full"].alias("article"))
+
+
+_LAWS = """WITH c AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN '健康食品管理法' ELSE '食安法第' || (o_custkey % 40 + 1) || '條' END AS law FROM orders), e AS (SELECT l_orderkey AS id, (l_partkey % 60 + 1)::VARCHAR AS a FROM lineitem)"""
+
+
+@query(f"""{_LAWS} SELECT '28' AS asked, id FROM c WHERE law = '食安法第28條' OR id IN (SELECT id FROM e WHERE a = '28') UNION ALL SELECT 'act', id FROM c WHERE law = '健康食品管理法' UNION ALL SELECT 'none', id FROM c""")
+def law_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by a law: those that come from the article or refer to it; by an act without an article, those that come from
+    it alone, and the edges are not read; without a law all."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    law = F.when(F.col("o_custkey") % 3 == 0, "健康食品管理法").otherwise(F.concat(F.lit("食安法第"), (F.col("o_custkey") % 40 + 1).cast("string"), F.lit("條")))
+    chunks, edges = o.select(F.col("o_orderkey").alias("id"), law.alias("primary_law")), li.select(F.col("l_orderkey").alias("chunk_id"), (F.col("l_partkey") % 60 + 1).cast("string").alias("article_full"))
+    asked = {"28": "食安法第28條", "act": "健康食品管理法", "none": None}
+    parts = [R.by_law(chunks, edges, law).select(F.lit(name).alias("asked"), "id") for name, law in asked.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("""SELECT path, n_pages, round(avg_chars, 6) AS avg_chars, CASE WHEN message IS NOT NULL THEN CASE WHEN regexp_matches(lower(message), 'password|encrypt') THEN 'encrypted' ELSE 'corrupted' END WHEN (CASE WHEN chars > 0 THEN codes / chars ELSE 0 END) >= 0.15 OR avg_chars < 30 THEN 'needs_ocr' WHEN tables THEN 'has_tables' ELSE 'normal_text' END AS kind
+FROM (SELECT l_orderkey AS path, count(*) AS n_pages, avg(length(regexp_replace(t, '^\\s+|\\s+$', '', 'g'))) AS avg_chars, bool_or(l_suppkey % 9 = 0) AS tables, coalesce(sum(length(t) - length(regexp_replace(t, '\\(cid:[0-9]+\\)', '', 'g'))) FILTER (l_linenumber <= 5), 0)::DOUBLE AS codes, coalesce(sum(length(t)) FILTER (l_linenumber <= 5), 0) + greatest(count(*) FILTER (l_linenumber <= 5) - 1, 0) AS chars, max(CASE WHEN l_orderkey % 50 = 0 THEN 'File has not been decrypted' WHEN l_orderkey % 51 = 0 THEN 'Password required' END) AS message
+FROM (SELECT *, CASE l_partkey % 6 WHEN 0 THEN repeat(' ', 400) WHEN 1 THEN repeat('x', 100) WHEN 2 THEN repeat('(cid:12)', 5) || 'abc' WHEN 3 THEN '  short  ' WHEN 4 THEN '' ELSE repeat('y z ', 20) END AS t FROM lineitem) GROUP BY 1)""")
+def page_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Files by what their pages hold: text, tables, blanks, font codes, or nothing that a reader could open."""
+    kind = F.col("l_partkey") % 6
+    text = F.when(kind == 0, " " * 400).when(kind == 1, "x" * 100).when(kind == 2, "(cid:12)" * 5 + "abc").when(kind == 3, "  short  ").when(kind == 5, "y z " * 20)
+    message = F.when(F.col("l_orderkey") % 50 == 0, "File has not been decrypted").when(F.col("l_orderkey") % 51 == 0, "Password required")
+    pages = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("page"), text.alias("text"), (F.col("l_suppkey") % 9 == 0).alias("has_table"), message.alias("error"))
+    return classify_pages(pages, error="error").withColumn("avg_chars", F.round("avg_chars", 6))
+
+
+@query("""SELECT conv_id, question, hit FROM (SELECT conv_id, arg_min(text, turn) AS question, bool_or(role = 'assistant' AND contains(text, 'ing ')) AS hit FROM conversations GROUP BY 1) WHERE NOT coalesce(hit, false) AND contains(question, 'the')""")
+def trace_misses(spark: SparkSession, d: str) -> DataFrame:
+    """The records of a run that missed, and whose question has a text."""
+    c = table(spark, d, "conversations")
+    records = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"), F.bool_or((F.col("role") == "assistant") & F.contains("text", F.lit("ing "))).alias("hit"))
+    return R.replayed(records, miss=True, grep="the")
+
+
+@query("""SELECT p_partkey, trim(regexp_replace(coalesce(p_name, '') || ' ' || coalesce(p_type, ''), '\\s+', ' ', 'g')) AS text, (p_size % 7)::BIGINT AS penalty, round(ln(p_size % 7), 9) AS log_penalty, CASE WHEN p_partkey % 3 = 0 THEN '第' || (p_partkey % 50) || '條第' || (p_partkey % 4) || '項' ELSE 'other' END AS label FROM part WHERE p_size % 7 <> 0""")
+def training_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Cases as rows to learn from: text without runs of white space, a penalty above zero and its logarithm, the article."""
+    law = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("違反第"), (F.col("p_partkey") % 50).cast("string"), F.lit("條第"), (F.col("p_partkey") % 4).cast("string"), F.lit("項"))).otherwise("第3條")
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.col("p_name"), F.lit(" \n\t ")).alias("product"), F.col("p_type").alias("violation"), (F.col("p_size") % 7).cast("long").alias("penalty"), law.alias("law_cited"))
+    return learning_rows(rows).withColumn("log_penalty", F.round("log_penalty", 9)).select("p_partkey", "text", "penalty", "log_penalty", "label")

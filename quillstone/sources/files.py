@@ -150,7 +150,7 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 def open_error(message: Column) -> Column:
     """encrypted or corrupted, by what a reader said when it failed; null where it did not."""
-    return F.when(F.regexp_like(F.lower(message), F.lit("password|encrypt|decrypt")), "encrypted").when(message.isNotNull(), "corrupted")
+    return F.when(F.regexp_like(F.lower(message), F.lit("password|encrypt")), "encrypted").when(message.isNotNull(), "corrupted")
 
 
 def joined_pages(pages: DataFrame, path: str = "path", text: str = "text", page: str = "page") -> DataFrame:
@@ -173,13 +173,13 @@ def settled(parsed: DataFrame, how: str = "how", text: str = "text", status: str
 def classify_pages(pages: DataFrame, path: str = "path", text: str = "text", has_table: str = "has_table", page: str = "page", error: str | None = None) -> DataFrame:
     """Per file, from its pages (one with a null page if it has none): encrypted or corrupted, by the reader's message in
     the column `error`, if one is named; empty, needs_ocr (font codes in 15 of 100 characters of the first five pages, or fewer
-    than 30 characters a page), has_tables or normal_text."""
+    than 30 characters a page, white space at a page's ends aside), has_tables or normal_text."""
     t = F.coalesce(F.col(text), F.lit(""))
     codes = F.length(t) - F.length(F.regexp_replace(t, r"\(cid:[0-9]+\)", ""))
     early = F.col(page) <= 5
     a = pages.groupBy(path).agg(
-        F.count(F.col(page)).alias("n_pages"), F.avg(F.length(t)).alias("avg_chars"), F.bool_or(F.coalesce(F.col(has_table), F.lit(False))).alias("tables"),
-        F.sum(F.when(early, codes).otherwise(0)).alias("codes"), F.sum(F.when(early, F.length(t)).otherwise(0)).alias("chars"),
+        F.count(F.col(page)).alias("n_pages"), F.avg(F.length(strip(t))).alias("avg_chars"), F.bool_or(F.coalesce(F.col(has_table), F.lit(False))).alias("tables"),
+        F.sum(F.when(early, codes).otherwise(0)).alias("codes"), (F.sum(F.when(early, F.length(t)).otherwise(0)) + F.greatest(F.count_if(early) - 1, F.lit(0))).alias("chars"),
         F.max(F.col(error) if error else F.lit(None).cast("string")).alias("message"),
     )
     ratio = F.when(F.col("chars") > 0, F.col("codes") / F.col("chars")).otherwise(0.0)
@@ -305,27 +305,51 @@ def write_failed(parsed: DataFrame, root: str) -> None:
     parsed.filter("status = 'failed'").select("path", "reason", F.current_timestamp().alias("detected_at")).write.mode("overwrite").json(f"{root}/failed")
 
 
-_QUESTION, _OPTION = re.compile(r"^\s*(\d{1,3})\s*[.、．]\s*(.+)"), re.compile(r"^\s*[(（]?([A-D])[)）.、．]\s*(.+)")
-
-
-def exam_items(lines: list[str], answers: dict[int, str]) -> list[tuple[int, str, dict[str, str], str]]:
-    """(number, stem, options, answer): questions with four options and an answer. Lines without a mark go on with what
-    stands before."""
-    out: list[list] = []
-    for line in lines:
-        line = line.translate(str.maketrans("ＡＢＣＤ", "ABCD"))
-        # A number that does not go on from the last question's is part of its text.
-        if (m := _QUESTION.match(line)) and (not out or int(m[1]) == out[-1][0] + 1):
-            out.append([int(m[1]), m[2].strip(), {}])
-        elif out and (m := _OPTION.match(line)):
-            out[-1][2][m[1]] = m[2].strip()
-        elif out and line.strip():
-            if out[-1][2]:
-                last = max(out[-1][2])
-                out[-1][2][last] += line.strip()
-            else:
-                out[-1][1] += line.strip()
-    return [(n, stem, options, answers[n]) for n, stem, options in out if len(options) == 4 and answers.get(n) in options]
+# Where the questions with options begin, the head and foot of a page, a question's number, an option's letter.
+_PART = "測驗題部分"
+_EDGES = r"代號：\d+\r?\n頁次：\d+－\d+(?:\r?\n)?"
+_QUESTION, _OPTION = r"(?U)^\s*(\d{1,3})[.、．\s]\s*(.*)$", r"(?U)^\s*[(（]?([A-D])[)）.、．]\s*(.*)$"
+
+
+def exam_lines(paper: Column) -> Column:
+    """The lines of a paper's questions with options: from the part that is headed so, if there is one; without the heads
+    and feet of pages, empty lines, and white space at their ends; full-width letters as plain ones."""
+    at = F.instr(paper, _PART)
+    own = F.when(at > 0, F.substr(paper, at + len(_PART))).otherwise(paper)
+    lines = F.split(F.translate(F.regexp_replace(own, _EDGES, ""), "ＡＢＣＤ", "ABCD"), r"\r?\n")
+    return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), lambda x: x != "")
+
+
+def exam_items(paper: Column) -> Column:
+    """array<struct(no, stem, options)> of a paper, in order: a line with the next number begins a question, one with a
+    letter an option of it, and any other goes on with what stands before. What stands before the first question is
+    left out; a number that does not go on from the last question's is part of the text; of a letter that comes twice
+    the last counts. Null: null."""
+    nothing = F.create_map().cast("map<string,string>")
+    finished = lambda s: F.when(s["no"].isNull(), s["done"]).otherwise(F.array_append(s["done"], F.struct(s["no"].alias("no"), s["stem"].alias("stem"), s["options"].alias("options"))))
+
+    def state(done: Column, no: Column, stem: Column, options: Column, open_: Column) -> Column:
+        return F.struct(done.alias("done"), no.alias("no"), stem.alias("stem"), options.alias("options"), open_.alias("open"))
+
+    text = F.lit(None).cast("string")
+    none = state(F.array().cast("array<struct<no:int,stem:string,options:map<string,string>>>"), F.lit(None).cast("int"), text, nothing, text)
+
+    def put(options: Column, letter: Column, text: Column) -> Column:
+        return F.map_concat(F.map_filter(options, lambda k, _: k != letter), F.create_map(letter, text))
+
+    def step(s: Column, line: Column) -> Column:
+        part = lambda pattern, i: F.regexp_extract(line, pattern, i)
+        number, letter = F.try_to_number(F.nullif(part(_QUESTION, 1), F.lit("")), F.lit("999")).cast("int"), part(_OPTION, 1)
+        begins = number.isNotNull() & (letter == "") & (s["no"].isNull() | (number == s["no"] + 1))
+        return (
+            F.when(F.coalesce(begins, F.lit(False)), state(finished(s), number, strip(part(_QUESTION, 2)), nothing, text))
+            .when(s["no"].isNull(), s)
+            .when(letter != "", state(s["done"], s["no"], s["stem"], put(s["options"], letter, strip(part(_OPTION, 2))), letter))
+            .when(s["open"].isNotNull(), state(s["done"], s["no"], s["stem"], put(s["options"], s["open"], F.concat(F.element_at(s["options"], s["open"]), strip(line))), s["open"]))
+            .otherwise(state(s["done"], s["no"], F.concat(s["stem"], strip(line)), s["options"], s["open"]))
+        )
+
+    return F.aggregate(exam_lines(paper), none, step, finished)
 
 
 def answer_key(sheet: Column) -> Column:
@@ -344,12 +368,8 @@ def about_rules(stem: Column, options: Column, cues: tuple[str, ...] = EXAM) ->
 
 
 def exam_table(files: DataFrame, keys: DataFrame) -> DataFrame:
-    """files(year, text), keys(year, no, answer) -> year, no, stem, options, answer."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(y, n, s, o, a) for y, t, k in zip(f["year"], f["text"], f["k"], strict=True) for n, s, o, a in exam_items((t or "").split("\n"), dict((int(x["no"]), x["answer"]) for x in k))]
-            yield pd.DataFrame(rows, columns=["year", "no", "stem", "options", "answer"])
-
-    key = keys.groupBy("year").agg(F.collect_list(F.struct("no", "answer")).alias("k"))
-    return files.join(key, "year").select("year", "text", "k").mapInPandas(run, "year int, no int, stem string, options map<string,string>, answer string")
+    """files(year, text), keys(year, no, answer) -> year, no, stem, options, answer: the questions with four options and an
+    answer among them. Null texts have none; a question with several answers has a row for each."""
+    items = files.select("year", F.inline(exam_items(F.col("text")))).filter(F.size("options") == 4)
+    found = items.join(keys.select("year", "no", "answer"), ["year", "no"])
+    return found.filter(F.map_contains_key("options", F.col("answer"))).select("year", "no", "stem", "options", "answer")

@@ -441,10 +441,10 @@ def test_sinks_and_loads(spark, tmp_path):
 
 
 def test_pages(spark):
-    pages = spark.createDataFrame([("a", 2, "two", None), ("a", 1, "one", None), ("a", 3, " ", None), ("e", None, None, "File has not been decrypted"), ("f", None, None, "EOF marker not found"), ("g", None, None, None)], "path string, page int, text string, error string")
+    pages = spark.createDataFrame([("a", 2, "two", None), ("a", 1, "one", None), ("a", 3, " ", None), ("e", None, None, "The file is password protected"), ("f", None, None, "EOF marker not found"), ("h", 1, " " * 400, None), ("i", 1, "x" * 40, None), ("g", None, None, None)], "path string, page int, text string, error string")
     assert {r["path"]: r["text"] for r in files.joined_pages(pages.filter("path = 'a'")).collect()} == {"a": "one\n\ntwo"}
     kinds = {r["path"]: r["kind"] for r in files.classify_pages(pages.withColumn("has_table", F.lit(False)), error="error").collect()}
-    assert kinds == {"a": "needs_ocr", "e": "encrypted", "f": "corrupted", "g": "empty"}
+    assert kinds == {"a": "needs_ocr", "e": "encrypted", "f": "corrupted", "g": "empty", "h": "needs_ocr", "i": "normal_text"}
     rows = spark.createDataFrame([("ocr", "x" * 49, "ok", None), ("ocr", "x" * 50, "ok", None), ("txt", "x", "ok", None)], "how string, text string, status string, reason string")
     assert [(r["status"], r["reason"]) for r in files.settled(rows).collect()] == [("failed", "ocr_no_text"), ("ok", None), ("ok", None)]
 
@@ -452,19 +452,46 @@ def test_pages(spark):
 def test_answer_sheets(spark):
     sheet = "標題\n題號 第1題 第2題 3\n答案ＡC#\n題號 4 5\n無\n題號 6\n答案 D"
     assert [tuple(x) for x in one(spark, files.answer_key(F.col("s")), s=sheet)] == [(1, "A"), (2, "C"), (6, "D")]
-    lines = "1. 題幹\n7. 是題幹的一部分\n(A) 甲\n(B) 乙\n(C) 丙\n(D) 丁\n2. 次題\n(A) 甲\n(B) 乙\n(C) 丙\n(D) 標示".split("\n")
-    items = files.exam_items(lines, {1: "A", 2: "D"})
-    assert [(n, stem) for n, stem, *_ in items] == [(1, "題幹7. 是題幹的一部分"), (2, "次題")]
-    hint = spark.createDataFrame([(stem, options) for _, stem, options, _ in items], "stem string, options map<string,string>").select(files.about_rules(F.col("stem"), F.col("options")).alias("x"))
+    paper = "1. 題幹\n7. 是題幹的一部分\n(A) 甲\n(B) 乙\n(C) 丙\n(D) 丁\n2. 次題\n(A) 甲\n(B) 乙\n(C) 丙\n(D) 標示"
+    items = one(spark, files.exam_items(F.col("s")), s=paper)
+    assert [(r["no"], r["stem"]) for r in items] == [(1, "題幹7. 是題幹的一部分"), (2, "次題")]
+    hint = spark.createDataFrame([(r["stem"], r["options"]) for r in items], "stem string, options map<string,string>").select(files.about_rules(F.col("stem"), F.col("options")).alias("x"))
     assert [r["x"] for r in hint.collect()] == [False, True]
 
 
 def test_exam(spark):
     paper = "1. 題幹\n續行\n(A) 甲\n(B) 乙\n(C) 丙\n(D) 丁\n2. 缺\n(A) 甲"
-    (item,) = files.exam_items(paper.split("\n"), {1: "B", 2: "A"})
-    assert item == (1, "題幹續行", {"A": "甲", "B": "乙", "C": "丙", "D": "丁"}, "B")
-    got = files.exam_table(spark.createDataFrame([(113, paper)], "year int, text string"), spark.createDataFrame([(113, 1, "B")], "year int, no int, answer string")).collect()
-    assert len(got) == 1 and got[0]["answer"] == "B"
+    (first, second) = one(spark, files.exam_items(F.col("s")), s=paper)
+    assert tuple(first) == (1, "題幹續行", {"A": "甲", "B": "乙", "C": "丙", "D": "丁"}) and second["options"] == {"A": "甲"}
+    papers = [(113, paper), (112, REAL_PAPER), (111, None), (110, "")]
+    keys = [(113, 1, "B"), (113, 2, "A"), (112, 1, "C"), (112, 2, "D"), (112, 3, "#")]
+    got = files.exam_table(spark.createDataFrame(papers, "year int, text string"), spark.createDataFrame(keys, "year int, no int, answer string")).orderBy("year", "no").collect()
+    assert [(r["year"], r["no"], r["stem"], r["answer"]) for r in got] == [(112, 1, "下列何者正確？", "C"), (112, 2, "依第28條,何者為12 倍?續行", "D"), (113, 1, "題幹續行", "B")]
+    assert got[0]["options"] == {"A": "甲", "B": "乙", "C": "丙續", "D": "丁"} and one(spark, files.exam_items(F.col("s")), s=None) is None
+
+
+#: As papers come: an essay part, heads and feet within a question, numbers followed by a space, full-width letters.
+REAL_PAPER = """甲、申論題部分
+1 申論題不算
+乙、測驗題部分
+說明文字
+1 下列何者正確？
+A.甲
+B. 乙
+代號：1234
+頁次：4－2
+C.丙
+續
+Ｄ.丁
+2 依第28條,何者為
+12 倍?續行
+A.一
+B.二
+C.三
+D.四
+3 沒有四個選項
+A.一
+"""
 
 
 def test_html():
