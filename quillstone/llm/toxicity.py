@@ -24,7 +24,7 @@ from .common import doc_rows, slices, texts_of
 BUCKETS, DIM = 1 << 16, 2
 #: Zero vectors in each average, and what the average is multiplied by before the softmax.
 PAD, SCALE = 200, 400.0
-#: The softmax's log odds for a text without words.
+#: The softmax's log odds for a text without words, before training.
 BIAS = -0.8
 #: Labelled documents that training may see, chosen by a hash of doc_id: the bound of the sample.
 SAMPLE_DOCS = 3_000
@@ -71,9 +71,56 @@ class Model:
         return self.table.astype(np.float64) @ (self.weight[:, 1] - self.weight[:, 0]) * SCALE
 
 
+@dataclass
+class Bags:
+    """Texts as words and words as rows of the table: which word stands in which text with what share of its average, and
+    which row is of which word."""
+
+    word: np.ndarray
+    doc: np.ndarray
+    share: np.ndarray
+    rows: np.ndarray
+    owner: np.ndarray
+    n_docs: int
+    n_words: int
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of a value for each row, each text's average (times SCALE)."""
+        return np.bincount(self.doc, self.share * np.bincount(self.owner, values[self.rows], self.n_words)[self.word], self.n_docs)
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Of a value for each text, what reaches each row: the transpose of sums()."""
+        return np.bincount(self.rows, np.bincount(self.word, self.share * values[self.doc], self.n_words)[self.owner], BUCKETS)
+
+
+def loss_and_gradient(table: np.ndarray, weight: np.ndarray, bias: np.ndarray, bags: Bags, y: np.ndarray, balance: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """The balanced cross-entropy of the softmax over averaged rows, and its gradient by table, weight and bias."""
+    h = np.stack([bags.sums(table[:, k]) for k in range(table.shape[1])], 1)
+    z = h @ weight + bias
+    odds = np.clip(z[:, 1] - z[:, 0], -30, 30)
+    g = (1 / (1 + np.exp(-odds)) - y) * balance
+    gz = np.stack([-g, g], 1)
+    gh = gz @ weight.T
+    loss = float((balance * (np.logaddexp(0, odds) - y * odds)).sum())
+    return loss, np.stack([bags.spread(gh[:, k]) for k in range(table.shape[1])], 1), h.T @ gz, gz.sum(0)
+
+
+def counted(text: bytes) -> dict[bytes, int]:
+    """The words of a text and how often each stands in it, in order of first place."""
+    seen: dict[bytes, int] = {}
+    for w in words_for(text):
+        seen[w] = seen.get(w, 0) + 1
+    return seen
+
+
 def train(texts: list[bytes], labels: list[int], seed: int = 7, rounds: int = 100, rate: float = 0.1) -> Model:
-    """Both classes weigh the same in the loss; the softmax's bias is fixed.
-    Without texts, or with one class only, the table is zero and every text gets the bias alone."""
+    """train_counts() of the words of texts."""
+    return train_counts([counted(t) for t in texts], labels, seed, rounds, rate)
+
+
+def train_counts(texts: list[dict[bytes, int]], labels: list[int], seed: int = 7, rounds: int = 100, rate: float = 0.1) -> Model:
+    """Both classes weigh the same in the loss; table, weights and bias move together.
+    Without texts, or with one class only, the table is zero and every text gets the first bias alone."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, np.float64)
     n1, n0 = y.sum(), (1 - y).sum()
@@ -83,42 +130,28 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, rounds: int = 10
         return Model(np.zeros((BUCKETS, DIM)), weight, bias)
     # Texts -> distinct words with counts; words -> rows.
     number: dict[bytes, int] = {}
-    word, count, sizes = [], [], []
-    for text in texts:
-        seen: dict[bytes, int] = {}
-        for w in words_for(text):
-            seen[w] = seen.get(w, 0) + 1
-        word += [number.setdefault(w, len(number)) for w in seen]
-        count += seen.values()
-        sizes.append(len(seen))
-    word, count = np.array(word, np.int32), np.array(count, np.float64)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    rows, lengths = [], []
-    for w in number:
-        f = features(w)
-        rows.append(np.array(f, np.int32))
-        lengths.append(len(f))
-    lengths = np.array(lengths)
-    rows = np.concatenate(rows)
+    word = np.array([number.setdefault(w, len(number)) for seen in texts for w in seen], np.int32)
+    count = np.array([n for seen in texts for n in seen.values()], np.float64)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(seen) for seen in texts])
+    of = [np.array(features(w), np.int32) for w in number]
+    lengths = np.array([len(f) for f in of])
+    rows = np.concatenate(of)
     owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     share = count * SCALE / (np.bincount(doc, count * lengths[word], len(texts)) + PAD)[doc]
+    bags = Bags(word, doc, share, rows, owner, len(texts), len(lengths))
     # A row occurs in at least as many texts as the most frequent of its words does.
     frequent = np.zeros(BUCKETS, np.int64)
     np.add.at(frequent, rows, np.bincount(word, minlength=len(lengths))[owner])
     keep = (frequent >= max(2, LEAST_SHARE * len(texts)))[:, None]
     table *= keep
     balance = np.where(y == 1, 0.5 / n1, 0.5 / n0)
-    state, most = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, weight)], None
+    params = (table, weight, bias)
+    state, most = [(np.zeros_like(p), np.zeros_like(p)) for p in params], None
     for step in range(1, rounds + 1):
-        h = np.stack([np.bincount(doc, share * np.bincount(owner, table[rows, k])[word], len(texts)) for k in range(DIM)], 1)
-        z = h @ weight + bias
-        g = (1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -30, 30))) - y) * balance
-        gz = np.stack([-g, g], 1)
-        gh = gz @ weight.T
-        gt = np.stack([np.bincount(rows, np.bincount(word, share * gh[doc, k], len(lengths))[owner], BUCKETS) for k in range(DIM)], 1)
+        _, gt, gw, gb = loss_and_gradient(table, weight, bias, bags, y, balance)
         gt = gt * keep + 1e-5 * table
         most = most or np.abs(gt).max()
-        for (m, v), p, grad, least in zip(state, (table, weight), (gt, h.T @ gz + 1e-4 * weight), (most, 1e-8), strict=True):
+        for (m, v), p, grad, least in zip(state, params, (gt, gw + 1e-4 * weight, gb), (most, 1e-8, 1e-8), strict=True):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + least)
@@ -170,8 +203,8 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE_DOCS) -> Model:
-    """Trains on at most `sample` labelled rows that are not held out, chosen by a hash of doc_id. Documents come
-    to the driver only as far as the sample has them. Null labels, ids and texts do not take part. Of repeated ids with
+    """Trains on at most `sample` labelled rows that are not held out, chosen by a hash of doc_id. The words of these
+    rows, with their counts, come to the driver. Null labels, ids and texts do not take part. Of repeated ids with
     labels that differ the greatest counts, and of documents that share an id one, by a hash of the text. Empty tables:
     a model that gives every text the bias alone. Other columns are ignored."""
     chosen = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null and _y is not null")
@@ -181,8 +214,17 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     rows = d.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
     # Repeated ids in documents could exceed the sample: a row each, in a fixed order.
     rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("_y").alias("_y"))
-    got = sorted((r[0], r[1].encode(), r[2]) for r in rows.toLocalIterator())
-    return train([x for _, x, _ in got], [1 if y else 0 for _, _, y in got])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                seen = [counted(x) for x in texts_of(b.column(1))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(c) for c in seen], pa.list_(pa.binary())), pa.array([list(c.values()) for c in seen], pa.list_(pa.int64()))], ["doc_id", "y", "words", "counts"])
+
+    # Distinct words and their counts come to the driver, not texts.
+    counts = rows.mapInArrow(run, "doc_id long, y int, words array<binary>, counts array<long>")
+    got = sorted(((r[0], r[1], r[2], r[3]) for r in counts.toLocalIterator()), key=lambda r: r[0])
+    return train_counts([dict(zip(map(bytes, w), n, strict=True)) for _, _, w, n in got], [1 if y else 0 for _, y, _, _ in got])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
