@@ -20,35 +20,43 @@ from .token_output import token_output
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token shards of all documents, written and read back."""
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), vocab=50257, end_id=2)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, linked at three bits or fewer."""
     return near_duplicates(table(spark, sf_dir, "documents"), radius=3, width=3)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows of 20 that stand earlier."""
     return substring_dedup(table(spark, sf_dir, "documents"), window=20).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_factors")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document, by canonical digests."""
     return licences.licence_scan(table(spark, sf_dir, "documents"), licences.known_digests(spark))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
     return mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), total_share=1.5, max_epochs=2.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, by a model of the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a TIFF, read back page by page."""
     pages = tiff_pages(text_tiffs(table(spark, sf_dir, "documents")))
     return pages.select(
         "doc_id",
@@ -67,10 +75,12 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.8)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base patterns, and what the field adds."""
     docs = table(spark, sf_dir, "documents")
     found = secret_scan.secret_scan(docs, secret_scan.fit(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")

@@ -821,3 +821,39 @@ def test_repeated_rows_are_dealt_to_groups(spark, monkeypatch):
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 45
     plan = mixing.mix(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "mix-repeated" in plan or "_parts" in plan
+
+
+def test_toxicity_gradient_against_differences():
+    r = np.random.default_rng(2)
+    texts = [b"one two three", b"two two four", b"five one", b"three four four six"]
+    number: dict = {}
+    word = np.array([number.setdefault(w, len(number)) for t in texts for w in toxicity.counted(t)])
+    doc = np.repeat(np.arange(4), [len(toxicity.counted(t)) for t in texts])
+    of = [np.array(toxicity.features(w)) for w in number]
+    bags = toxicity.Bags(word, doc, r.random(len(word)), np.concatenate(of), np.repeat(np.arange(len(of)), [len(f) for f in of]), 4, len(of))
+    table, weight, bias = r.normal(0, 1, (toxicity.BUCKETS, 2)), r.normal(0, 1, (2, 2)), r.normal(0, 1, 2)
+    y, balance = np.array([1.0, 0, 1, 0]), np.array([0.2, 0.3, 0.4, 0.1])
+    loss = lambda: toxicity.loss_and_gradient(table, weight, bias, bags, y, balance)[0]
+    _, gt, gw, gb = toxicity.loss_and_gradient(table, weight, bias, bags, y, balance)
+    used = np.unique(bags.rows)
+    for p, g, places in ((table, gt, [(int(used[k]), k % 2) for k in range(8)]), (weight, gw, [(0, 0), (0, 1), (1, 0), (1, 1)]), (bias, gb, [(0,), (1,)])):
+        for at in places:
+            was, step = p[at], 1e-6
+            p[at] = was + step
+            up = loss()
+            p[at] = was - step
+            down = loss()
+            p[at] = was
+            assert g[at] == pytest.approx((up - down) / (2 * step), abs=1e-6)
+    assert not gt[np.setdiff1d(np.arange(toxicity.BUCKETS), used)].any()
+
+
+def test_shards_of_tables_that_are_no_files(spark, tmp_path):
+    rows = [(i, prose(i, 30)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert write_token_shards(df, f"file://{tmp_path}/a", BYTE, 50257, 2).count() == 1
+    joined = df.join(df.select("doc_id"), "doc_id")
+    assert write_token_shards(joined, f"file://{tmp_path}/b", BYTE, 50257, 2).count() == 1
+    df.write.parquet(f"{tmp_path}/p")
+    assert write_token_shards(spark.read.parquet(f"{tmp_path}/p"), f"file://{tmp_path}/c", BYTE, 50257, 2).count() == 1
+    assert write_token_shards(df.limit(0), f"file://{tmp_path}/d", BYTE, 50257, 2).count() == 0
