@@ -9,6 +9,7 @@ from ..functions import stats
 from ..operators.similarity import knn
 from ..plans import learning
 from ..session import table
+from ..stages import Stages
 from .registry import query
 from .similarity import _TOP
 
@@ -46,18 +47,24 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     return knn(q, e, 1, "vec_id", "vec_id").join(e.select(F.col("vec_id").alias("qid"), (F.col("label") < 7).alias("inside")), "qid").select("qid", "score", "inside")
 
 
+def _swept(spark: SparkSession, d: str) -> DataFrame:
+    """The sweep reads its scores several times: they are written once, and nothing is searched again."""
+    with Stages(spark, "sweep") as stages:
+        return stages.result(stats.threshold_sweep(stages.table(_scores(spark, d), "scores"), "score", "inside"))
+
+
 @query(f"""WITH s AS ({_SCORES}), t AS (SELECT DISTINCT score AS threshold FROM s)
 SELECT threshold, (SELECT count(*) FROM s WHERE inside AND score < threshold) AS false_rejects, (SELECT count(*) FROM s WHERE NOT inside AND score >= threshold) AS false_accepts,
 (SELECT count(*) FROM s WHERE inside AND score < threshold) + (SELECT count(*) FROM s WHERE NOT inside AND score >= threshold) AS errors FROM t""")
 def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return stats.threshold_sweep(_scores(spark, d), "score", "inside")
+    return _swept(spark, d)
 
 
 @query(f"""WITH s AS ({_SCORES}), t AS (SELECT DISTINCT score AS threshold FROM s), e AS (SELECT threshold, (SELECT count(*) FROM s WHERE inside AND score < threshold) + (SELECT count(*) FROM s WHERE NOT inside AND score >= threshold) AS errors FROM t)
 SELECT threshold, errors FROM e ORDER BY errors, threshold LIMIT 1""")
 def threshold_argmin(spark: SparkSession, d: str) -> DataFrame:
     """Fewest errors; of equals, the lowest threshold."""
-    return stats.threshold_sweep(_scores(spark, d), "score", "inside").orderBy("errors", "threshold").limit(1).select("threshold", "errors")
+    return _swept(spark, d).orderBy("errors", "threshold").limit(1).select("threshold", "errors")
 
 
 @query(f"""WITH s AS ({_SCORES}) SELECT min(score) FILTER (inside) AS low_in, max(score) FILTER (NOT inside) AS high_out, round(min(score) FILTER (inside) - max(score) FILTER (NOT inside), 6) AS gap,

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.terms import term_pairs
+from ..operators import cocitation as C
 from ..operators import relational as R
 from ..operators import similarity as S
 from ..operators import vectors as V
+from ..plans.answering import boosted
 from ..session import table
 from ..stages import Stages
 from .registry import query
@@ -116,3 +122,57 @@ def fuzzy_remap_best(spark: SparkSession, d: str) -> DataFrame:
     queries are the rows whose id is divisible by 100, against all rows but themselves."""
     t = table(spark, d, "documents").select("doc_id", "text")
     return S.fuzzy_best(t.filter("doc_id % 100 = 0"), t, "doc_id", "doc_id", "text", 0.9, exclude_self=True)
+
+
+_NOUNS = "SELECT DISTINCT w AS noun, item_id AS cid FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark) WHERE length(w) >= 9"
+
+
+def _nouns(spark: SparkSession, d: str) -> DataFrame:
+    """Long words of the benchmark's items, and the items that have them."""
+    w = table(spark, d, "benchmark").select(F.col("item_id").alias("cid"), F.explode(F.split("text", "[^A-Za-z]+")).alias("noun"))
+    return w.filter(F.length("noun") >= 9).select("noun", "cid").distinct()
+
+
+@query(f"""SELECT conv_id, turn, noun FROM conversations JOIN (SELECT DISTINCT noun FROM ({_NOUNS})) ON contains(text, noun)""")
+def terms_in_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Which of many terms each turn contains: one walk of an automaton over each text."""
+    turns = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("k"), "text")
+    return term_pairs(turns, _nouns(spark, d), "k", "text", "noun").select("k.*", "noun")
+
+
+@query(f"""SELECT DISTINCT conv_id * 1000 + turn AS qid, cid FROM (SELECT * FROM conversations WHERE role = 'user') JOIN ({_NOUNS}) ON contains(text, noun)""")
+def boosted_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that the nouns of a question add to the pool of its search."""
+    q = table(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
+    return boosted(q, _nouns(spark, d))
+
+
+_EDGES = "SELECT DISTINCT l_orderkey AS c, CASE WHEN l_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS law, (l_partkey % 90)::VARCHAR AS a FROM lineitem"
+
+
+def _edge_tables(spark: SparkSession, d: str, make: Callable[[str], DataFrame]) -> DataFrame:
+    """make(name) over bucketed tables of orders as chunks and their parts as articles; the tables go afterwards."""
+    law = F.when(F.col("l_suppkey") % 2 == 0, "even").otherwise("odd")
+    edges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), law.alias("law_name"), (F.col("l_partkey") % 90).cast("string").alias("article"))
+    name = f"edges_{uuid.uuid4().hex[:12]}"
+    C.write_edges(edges, name)
+    try:
+        with Stages(spark, "co-citation") as stages:
+            return stages.result(make(name))
+    finally:
+        C.drop_edges(spark, name)
+
+
+@query(f"""WITH e AS ({_EDGES}) SELECT x.law AS law_name, x.a AS article, y.law AS related_law, y.a AS related_article, count(*) AS co_count FROM e x JOIN e y ON x.c = y.c AND (x.law <> y.law OR x.a <> y.a) GROUP BY 1, 2, 3, 4""")
+def co_cited_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Articles that stand in the same chunks, and in how many: a self-join of bucketed edges that moves none of them."""
+    return _edge_tables(spark, d, lambda name: C.co_cited(spark, name))
+
+
+@query(f"""WITH e AS ({_EDGES}), q AS (SELECT c_custkey AS qid, (c_custkey % 100)::VARCHAR AS article FROM customer), n AS (SELECT a, count(DISTINCT c) AS n FROM e GROUP BY 1),
+r AS (SELECT x.a, y.law, y.a AS b, count(DISTINCT x.c) AS k, row_number() OVER (PARTITION BY x.a ORDER BY count(DISTINCT x.c) DESC, y.law, y.a) AS rank FROM e x JOIN e y ON x.c = y.c AND (x.law <> y.law OR x.a <> y.a) GROUP BY 1, 2, 3)
+SELECT qid, article, coalesce(n.n, 0) AS n_chunks, rank::INTEGER AS rank, law AS related_law, b AS related_article, k AS co_count FROM q LEFT JOIN n ON n.a = q.article LEFT JOIN r ON r.a = q.article AND r.rank <= 5""")
+def related_articles(spark: SparkSession, d: str) -> DataFrame:
+    """For each question's article, in how many chunks it stands and the articles most often beside it."""
+    q = table(spark, d, "customer").select(F.col("c_custkey").alias("qid"), (F.col("c_custkey") % 100).cast("string").alias("article"))
+    return _edge_tables(spark, d, lambda name: C.related_laws(q, name, 5))
