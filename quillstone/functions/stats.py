@@ -18,6 +18,11 @@ def reciprocal(rank: Column) -> Column:
     return F.coalesce(1.0 / rank, F.lit(0.0))
 
 
+def ratio(part: Column, whole: Column, digits: int) -> Column:
+    """part / whole, halves to the even digit as Python rounds; 0 for nothing."""
+    return F.when(whole != 0, F.bround(part / whole, digits)).otherwise(0.0)
+
+
 def by_group_and_all(df: DataFrame, group: str, *aggs: Column) -> DataFrame:
     """Each group, and "all", in one pass (grouping sets)."""
     return df.groupingSets([[F.col(group)], []], F.col(group)).agg(F.grouping(group).alias("_all"), *aggs).withColumn(group, F.when(F.col("_all") == 1, "all").otherwise(F.col(group).cast("string"))).drop("_all")

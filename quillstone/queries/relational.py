@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import citations
+from ..functions import chunking, citations, stats
 from ..functions.rendering import learning_rows
 from ..operators import relational as R
 from ..session import table
@@ -194,8 +194,7 @@ def insert_primary_ref(spark: SparkSession, d: str) -> DataFrame:
     """The primary reference goes to the head of the list unless it is in it."""
     li = table(spark, d, "lineitem")
     refs = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("refs"))
-    primary = F.lit(7).cast("long")
-    full = F.when(F.array_contains("refs", primary), F.col("refs")).otherwise(F.concat(F.array(primary), F.col("refs")))
+    full = citations.with_primary(F.col("refs"), F.lit(7).cast("long"))
     return refs.select("l_orderkey", full[0].alias("head"), F.size(full).alias("n"))
 
 
@@ -343,3 +342,15 @@ def training_cases(spark: SparkSession, d: str) -> DataFrame:
     law = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("違反第"), (F.col("p_partkey") % 50).cast("string"), F.lit("條第"), (F.col("p_partkey") % 4).cast("string"), F.lit("項"))).otherwise("第3條")
     rows = table(spark, d, "part").select("p_partkey", F.concat(F.col("p_name"), F.lit(" \n\t ")).alias("product"), F.col("p_type").alias("violation"), (F.col("p_size") % 7).cast("long").alias("penalty"), law.alias("law_cited"))
     return learning_rows(rows).withColumn("log_penalty", F.round("log_penalty", 9)).select("p_partkey", "text", "penalty", "log_penalty", "label")
+
+
+@query("""SELECT o_custkey, count(*) AS n, round_even(count(*) FILTER (o_orderstatus = 'F') / 8, 2) AS eighths FROM orders GROUP BY 1""")
+def half_even(spark: SparkSession, d: str) -> DataFrame:
+    """A ratio whose halves go to the even digit."""
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), stats.ratio(F.count_if(F.col("o_orderstatus") == "F"), F.lit(8), 2).alias("eighths"))
+
+
+@query("""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INTEGER AS n, s AS start, coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY s), l) AS "end" FROM (SELECT doc_id, l, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, p FROM (SELECT doc_id, length(text) AS l, generate_subscripts(x, 1) AS i, unnest(x) AS p FROM (SELECT doc_id, text, string_split(replace(text, chr(10), chr(7) || chr(10)), chr(7)) AS x FROM documents))) WHERE p <> ''""")
+def header_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans from each line's beginning to the next."""
+    return chunking.header_spans(table(spark, d, "documents"), "\n")

@@ -9,7 +9,10 @@ from ..functions import rendering as G
 from ..functions import stats
 from ..operators.relational import quota_sample
 from ..operators.similarity import knn
+from ..plans.models import Models
+from ..plans.questions import question_set, sampled_chunks
 from ..session import table
+from ..stages import Stages
 from .registry import query
 
 
@@ -81,3 +84,16 @@ def gold_overlap(spark: SparkSession, d: str) -> DataFrame:
     hit = F.arrays_overlap("found", F.array(*[F.lit(x).cast("long") for x in (1, 2, 3, 5, 8)]))
     j = table(spark, d, "orders").join(found, F.col("o_orderkey") == F.col("l_orderkey")).select(hit.alias("f"))
     return j.agg(F.count(F.lit(1)).alias("n"), F.count_if("f").alias("full_hit"), F.count_if(~F.col("f")).alias("missed"))
+
+
+@query()
+def generated_questions(spark: SparkSession, d: str) -> DataFrame:
+    """A question set: turns of each role without near duplicates, a stand-in that asks by a turn's first words, and by its
+    last ones when it is asked again."""
+    models = Models()
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("cid"), F.col("role").alias("kind"), "text", models.encode(F.col("text")).alias("embedding"))
+    ask = lambda text, attempt: F.when(attempt == 1, F.concat(F.substring(text, 1, 30), F.lit("?"))).otherwise(F.concat(F.lit("What of "), F.reverse(F.substring(F.reverse(text), 1, 10)), F.lit("?")))
+    with Stages(spark, "questions") as stages:
+        chunks = stages.table(c, "chunks")
+        picked = sampled_chunks(chunks, {"user": 60, "assistant": 40}, stages, lengths=(20, 2000))
+        return stages.result(question_set(picked, ask, stages))

@@ -20,6 +20,8 @@ from ..operators.similarity import normalised
 from ..operators.vectors import vector_blocks
 from . import snapshots
 
+# Fixed value: how a binary DOC begins.
+OLE = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
 ENDINGS = ("txt", "docx", "doc", "pdf")
 #: The longest value that a binary column can hold; a longer member is an error row.
 MOST_MEMBER = (1 << 31) - 1
@@ -129,7 +131,8 @@ def parse_file(path: str, data: bytes | None) -> tuple[str, str | None, str]:
         if end == "txt":
             return "ok", None, decoded(data)
         if end == "docx":
-            return "ok", None, docx_text(data)
+            # A binary DOC under another name: it needs a converter, and is no damaged DOCX.
+            return ("failed", "binary_doc", "") if data.startswith(OLE) else ("ok", None, docx_text(data))
     except (zipfile.BadZipFile, KeyError):
         return "failed", "not_a_docx", ""
     except ElementTree.ParseError:

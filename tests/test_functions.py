@@ -417,6 +417,10 @@ def test_tables_of_files(spark, tmp_path):
     assert snapshots.read(spark, str(tmp_path / "t"), "chunk_laws").count() == 1
 
 
+def test_a_binary_doc_under_another_name():
+    assert files.parse_file("a.docx", files.OLE + b"rest")[:2] == ("failed", "binary_doc") and files.parse_file("a.docx", b"PK damaged")[:2] == ("failed", "not_a_docx")
+
+
 def test_sinks_and_loads(spark, tmp_path):
     root = str(tmp_path)
     assert files.read_nouns(spark, f"{root}/none.json").count() == 0 and files.read_prompt(spark, f"{root}/none.txt") == ""

@@ -183,3 +183,38 @@ def test_related_laws_as_a_tool(spark):
         assert [p["primary_law"] for p in got[1]["pieces"]] == ["食安法第45條", "食安法第7條"] and not got[1]["confident"] and not got[2]["pieces"]
     finally:
         cocitation.drop_edges(spark, "loop_test")
+
+
+# --- question sets ---
+
+
+def test_question_sets(spark):
+    from quillstone.plans import questions as Q
+
+    texts = [(i, "ab"[i % 2], f"chunk number {i} " + " ".join(f"w{i}x{j}" for j in range(25)) if i % 4 else "twin chunk " * 15) for i in range(40)] + [(90, "a", "short"), (91, "c", "other kind " * 20), (92, "a", None)]
+    chunks = spark.createDataFrame([(i, k, t, hashed(t)) for i, k, t in texts], "cid long, kind string, text string, embedding array<double>")
+    replies = {1: lambda i: None if i % 5 == 0 else "ok" if i % 5 == 1 else f"chunk number {i} w" if i % 5 == 2 else f"what is said there about {i}?", 2: lambda i: "no" if i % 3 else f"asked again about {i}, please?"}
+    asked = {n: spark.sparkContext.broadcast({t: f(i) for i, _, t in texts if t}) for n, f in replies.items()}
+    reply = lambda n: F.udf(lambda t: asked[n].value.get(t), "string")
+    ask = lambda text, attempt: F.when(attempt == 1, reply(1)(text)).otherwise(reply(2)(text))
+    with Stages(spark, "questions") as stages:
+        kept = stages.table(chunks, "chunks")
+        picked = {r["cid"]: r for r in Q.sampled_chunks(kept, {"a": 6, "b": 9}, stages, seed=1).collect()}
+        every = {r["cid"] for r in Q.sampled_chunks(kept, {"a": 99, "b": 99}, stages, seed=1, seen=spark.createDataFrame([(1,), (2,)], "cid long")).collect()}
+        got = {r["cid"]: r for r in Q.question_set(kept.filter("cid < 40 and cid % 4 <> 0"), ask, stages).collect()}
+        assert Q.sampled_chunks(kept.limit(0), {"a": 3}, stages).count() == 0
+    # Twins are near duplicates of each other (all multiples of four); a quota is met from the others.
+    assert len(picked) == 6 + 9 and not any(i % 4 == 0 or i >= 90 for i in picked) and every == {i for i in range(40) if i % 4} - {1, 2}
+
+    def lcs(a, b):
+        return max((n for n in range(len(a) + 1) for s in range(len(a) - n + 1) if a[s : s + n] in b), default=0)
+
+    text = {i: t for i, _, t in texts}
+    bad = lambda q, t: "no reply" if q is None else "length" if not 12 <= len(q) <= 60 else "copied" if lcs(q, t) > 12 else None
+    for i, r in got.items():
+        one = replies[1](i)
+        why = bad(one, text[i])
+        two = replies[2](i) if why in ("length", "copied") else None
+        taken = two if two and bad(two, text[i]) is None else one
+        assert (r["question"], r["reason"], r["attempts"]) == (taken, bad(taken, text[i]), 2 if two else 1)
+    assert {r["reason"] for r in got.values()} == {None, "length", "copied", "no reply"}
