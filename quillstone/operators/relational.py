@@ -61,9 +61,9 @@ def keep_first(df: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
     """One row for each text, white space at its ends aside: the first by `order`. Null texts are one text.
 
     By aggregation (min over a struct), not by a window: the partial minimum is taken before the shuffle, so a text
-    that a third of all rows share is one row for each task.
+    that a third of all rows share is one row for each task. Texts meet by their digest (SHA-256), not as keys.
     """
-    stripped = F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "")
+    stripped = F.sha2(F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", ""), 256)
     rest = [c for c in df.columns if c not in order]
     best = df.groupBy(stripped.alias("_key")).agg(F.min(F.struct(*order)).alias("_first"), F.min_by(F.struct(*rest), F.struct(*order)).alias("_rest"))
     cols = [F.col(f"_first.{c}") if c in order else F.col(f"_rest.{c}") for c in df.columns]
