@@ -105,12 +105,15 @@ def test_queries_have_their_columns(spark, tables):
         "op6_mixing": {"doc_id", "size", "source_size", "target", "taken"}, "op7_toxicity": {"doc_id", "held_out", "score", "predicted"},
         "op8_media_columns": {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"},
         "op10_secret_scan": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
+        "op11_quality_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
+        "op12_periodic_runs": {"doc_id", "n_words", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
+        "op13_phrase_collocations": {"lang", "rank", "phrase", "a", "l", "r", "n", "score"},
     }
-    assert len(QUERIES) == 10
+    assert len(QUERIES) == 13
     for name, columns in want.items():
         df = QUERIES[name](spark, root)
         assert columns <= set(df.columns)
-        if name in ("op5_token_counts", "op8_media_columns", "op10_secret_scan"):
+        if name in ("op5_token_counts", "op8_media_columns", "op10_secret_scan", "op11_quality_rules", "op12_periodic_runs"):
             assert df.count() == len(tables[1])
 
 
