@@ -8,6 +8,7 @@ visible the last character stands apart; a contraction is a piece where its apos
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from functools import cache
@@ -103,15 +104,17 @@ class ByteLevelEncoder(PieceEncoder):
         self._reset()
 
     def _reset(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = {b"": 0}
         self.start, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, self.width), 0
 
     def _learn(self, pieces: list[bytes]) -> np.ndarray:
         """The number of each piece in the tables of ids."""
-        new = list(dict.fromkeys(p for p in pieces if p not in self.number))
-        if len(self.number) + len(new) > self.most:
+        # Pieces are distinct but for the empty one, which has no ids and is known from the beginning.
+        known = self.number
+        new = [p for p in pieces if p not in known]
+        if len(known) + len(new) > self.most:
             self._reset()
-            new = list(dict.fromkeys(pieces))
+            new = [p for p in pieces if p]
         if new:
             data = np.frombuffer(_STOP.join(new), np.uint8)
             mapped = byte_letters().take(data).tobytes().decode("utf-32-le").split(chr(byte_letters()[ord(END)]))
@@ -122,7 +125,7 @@ class ByteLevelEncoder(PieceEncoder):
                 self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
             while self.used + total > len(self.flat):
                 self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), self.width, total)
+            self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), self.width, total)
             self.start[at : at + len(new)] = self.used + np.cumsum(sizes) - sizes
             self.size[at : at + len(new)] = sizes
             self.used += total
