@@ -292,13 +292,16 @@ def health(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("""SELECT o_orderkey AS label_no, CASE WHEN o_custkey % 5 = 4 THEN NULL WHEN o_custkey % 5 = 3 THEN '0' WHEN o_custkey % 5 = 0 THEN (o_orderkey % 60 + 1)::VARCHAR ELSE (o_orderkey % 60 + 1) || '之' || CASE o_custkey % 5 WHEN 1 THEN '一' ELSE '2' END END AS article FROM orders""")
+@query("""SELECT c.conv_id, c.turn, o.o_orderkey AS label_no, CASE WHEN o.o_custkey % 5 = 4 THEN NULL WHEN o.o_custkey % 5 = 3 THEN '0' WHEN o.o_custkey % 5 = 0 THEN (o.o_orderkey % 60 + 1)::VARCHAR ELSE (o.o_orderkey % 60 + 1) || '之' || CASE o.o_custkey % 5 WHEN 1 THEN '一' ELSE '2' END END AS article FROM conversations c FULL JOIN orders o ON o.o_orderkey = c.conv_id""")
 def label_references(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of laws as references: plain, with a suffix on either side, a whole act, none."""
+    """Labels of laws as references, plain, with a suffix on either side, a whole act, none, beside the turns of the
+    conversation of their number. Labels without a turn and turns without a label have rows too."""
     no = (F.col("o_orderkey") % 60 + 1).cast("string")
     kind = F.col("o_custkey") % 5
     label = F.when(kind == 0, F.concat(F.lit("食安法第"), no, F.lit("條"))).when(kind == 1, F.concat(F.lit("食安法第"), no, F.lit("條之一"))).when(kind == 2, F.concat(F.lit("食安法第"), no, F.lit("之2條"))).when(kind == 3, "健康食品管理法").otherwise("其他")
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("label_no"), citations.law_reference(label)["article_full"].alias("article"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("label_no"), citations.law_reference(label)["article_full"].alias("article"))
+    c = table(spark, d, "conversations").select("conv_id", "turn")
+    return c.join(o, F.col("conv_id") == F.col("label_no"), "full").select("conv_id", "turn", "label_no", "article")
 
 
 _LAWS = """WITH c AS (SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN '健康食品管理法' ELSE '食安法第' || (o_custkey % 40 + 1) || '條' END AS law FROM orders), e AS (SELECT l_orderkey AS id, (l_partkey % 60 + 1)::VARCHAR AS a FROM lineitem)"""
