@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +31,11 @@ SPACED_CJK = r"(?<=[一-鿿㐀-䶿豈-﫿]) (?=[一-鿿㐀-䶿豈-﫿])"
 _SPACED_RUN = re.compile("(?:[一-鿿㐀-䶿豈-﫿] ){2,}[一-鿿㐀-䶿豈-﫿]")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once for a row and not at each place, or for each element, that mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """All white space at both ends, as Python's str.strip does."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import split_questions, strip
+from ..functions.text import bound, split_questions, strip
 
 
 def any_of(x: Column, words: tuple[str, ...]) -> Column:
@@ -105,10 +105,12 @@ REFUSAL_CUES = (
 def refused(answer: Column, sentence: str = REFUSAL, cues: tuple[str, ...] = REFUSAL_CUES, ends: str = "[。\n]", prefix: int = 14) -> Column:
     """The sentence itself, its first `prefix` characters at the beginning, or a cue in every sentence. A text without
     sentences is no refusal."""
-    a = strip(answer)
-    parts = F.filter(F.transform(F.split(a, ends), strip), lambda s: s != "")
-    every = (F.size(parts) > 0) & F.forall(parts, lambda s: any_of(s, cues))
-    return F.coalesce((a == sentence) | F.startswith(a, F.lit(sentence[:prefix])) | every, F.lit(False))
+    def of(a: Column) -> Column:
+        parts = F.filter(F.transform(F.split(a, ends), strip), lambda s: s != "")
+        every = bound(parts, lambda p: (F.size(p) > 0) & F.forall(p, lambda s: any_of(s, cues)))
+        return (a == sentence) | F.startswith(a, F.lit(sentence[:prefix])) | every
+
+    return F.coalesce(bound(strip(answer), of), F.lit(False))
 
 
 def verdict_line(report: Column) -> Column:

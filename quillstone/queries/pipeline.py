@@ -156,18 +156,23 @@ SELECT qid, len(labels) > 0 AS regenerated, CASE WHEN len(labels) > 0 AND better
 def citations_verified(spark: SparkSession, d: str) -> DataFrame:
     """Answers that cite an article for each line of an order, and evidence for some of the lines: in its text, spelled in
     several ways, or only as the article it comes from. What nothing supports is written out of the answer."""
-    line, tail = F.col("l_linenumber") % 4, F.when(F.col("l_suppkey") % 7 == 0, "之一").otherwise("")
-    no = (F.col("l_partkey") % 120 + 1).cast("string")
     own = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    spelled = F.when(F.col("tail") == "", own("第 ", F.col("no"), " 條")).otherwise(own("第", F.col("no"), F.col("tail"), "條"))
-    plain = own("第", F.col("no"), "條", F.col("tail"))
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("qid"), "l_linenumber", line.alias("line"), no.alias("no"), tail.alias("tail"))
-    text = F.when(F.col("line") == 1, own("規定", plain)).when(F.col("line") == 3, F.lit("另見")).when(F.col("line") == 0, spelled)
-    law = F.when(F.col("line") == 3, own("食安法", plain))
-    rows = rows.select("qid", F.struct("l_linenumber", own("依食安法", plain, "辦理。").alias("s"), text.alias("text"), haystack(text, law).alias("hay")).alias("x"))
-    lists = rows.groupBy("qid").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    pieces = F.filter("x", lambda x: x["text"].isNotNull())
-    answers = lists.select("qid", F.lit("").alias("question"), F.array_join(F.transform("x", lambda x: x["s"]), "").alias("answer"), F.transform(pieces, lambda x: x["text"]).alias("evidence"), F.transform(pieces, lambda x: x["hay"]).alias("haystacks"))
+    no, tail = (F.col("l_partkey") % 120 + 1).cast("string"), F.when(F.col("l_suppkey") % 7 == 0, "之一").otherwise("")
+    # A line travels as its sentence alone; what its evidence says follows from that and its number.
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("qid"), F.struct("l_linenumber", own(no, "條", tail, "辦理。").alias("s")).alias("x"))
+    lists = rows.groupBy("qid").agg(F.sort_array(F.collect_list("x")).alias("x"))
+
+    def evidence(x: Column) -> Column:
+        line, plain = x["l_linenumber"] % 4, own("第", F.substring_index(x["s"], "辦", 1))
+        article = F.substring_index(x["s"], "條", 1)
+        spelled = F.when(F.endswith(plain, F.lit("之一")), own("第", article, "之一條")).otherwise(own("第 ", article, " 條"))
+        text = F.when(line == 1, own("規定", plain)).when(line == 3, F.lit("另見")).when(line == 0, spelled)
+        return F.struct(text.alias("text"), haystack(text, F.when(line == 3, own("食安法", plain))).alias("hay"))
+
+    pieces = F.transform(F.filter("x", lambda x: x["l_linenumber"] % 4 != 2), evidence)
+    answer = F.array_join(F.transform("x", lambda x: own("依食安法第", x["s"])), "")
+    answers = lists.select("qid", F.lit("").alias("question"), answer.alias("answer"), pieces.alias("pieces"))
+    answers = answers.select("qid", "question", "answer", F.col("pieces.text").alias("evidence"), F.col("pieces.hay").alias("haystacks"))
     return answering.verify(answers, Models()).select("qid", "regenerated", "answer", F.array_join("unsupported", ",").alias("unsupported"))
 
 

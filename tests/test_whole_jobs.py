@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from quillstone.functions import citations
 
 
 def written(spark, folder, **tables):
@@ -19,3 +20,15 @@ def test_label_references_keep_every_label_and_every_turn(spark, tmp_path):
     )
     got = {tuple(r) for r in contract.queries()["label_references"](spark, d).select("conv_id", "turn", "label_no", "article").collect()}
     assert got == {(None, None, 1, "2"), (2, 0, 2, "3之一"), (2, 1, 2, "3之一"), (None, None, 3, "4之2"), (4, 0, 4, "0"), (None, None, 5, None), (9, 0, None, None)}
+
+
+def test_citations_are_cut_out_once(spark):
+    rows = [
+        (1, "依食安法😀😀😀😀😀😀第3條、第4條、第5條之2、第3條", [(3, None, "食安法"), (4, None, None), (5, "二", None)]),
+        (2, "本法第1條第2條第3條第4條第5條", [(1, None, "本法"), (2, None, "本法"), (3, None, "本法"), (4, None, "本法"), (5, None, None)]),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "i int, a string").select("i", citations.cited(F.col("a")).alias("c"))
+    assert {r["i"]: [tuple(c) for c in r["c"]] for r in df.collect()} == {i: want for i, _, want in rows}
+    # The text itself is matched and split once: neither four times nor again for each citation.
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(coalesce(a#") == 1 and plan.count("split(coalesce(a#") == 1
