@@ -95,8 +95,8 @@ def is_plain(tokenizer) -> bool:
 class ByteLevelEncoder(PieceEncoder):
     """PieceEncoder for such tokenizers; texts with special strings of the tokenizer are encoded in one go too."""
 
-    def __init__(self, path: str, most: int = 1_000_000, width: str = "<u2"):
-        super().__init__(path, "byte", most, width)
+    def __init__(self, path: str, most: int = 1_000_000, width: str = "<u2", tokenizer=None):
+        super().__init__(path, "byte", most, width, tokenizer)
         if not is_plain(self.tokenizer):
             raise ValueError("not a byte-level BPE tokenizer with the standard pattern")
         added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
@@ -213,7 +213,10 @@ class ByteLevelEncoder(PieceEncoder):
         ends = np.cumsum(size)
         if not len(ends) or not ends[-1]:
             return np.zeros(0, self.width)
-        return self.flat.take(np.repeat(start - ends + size, size) + np.arange(ends[-1]))
+        kind = np.int32 if max(ends[-1], len(self.flat)) < 1 << 31 else np.int64
+        at = np.repeat((start - ends + size).astype(kind), size)
+        at += np.arange(ends[-1], dtype=kind)
+        return self.flat.take(at)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         flat, lengths = self.encoded(texts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -63,6 +64,15 @@ def keyed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return written(df.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
+def give_back() -> None:
+    """Returns what earlier tasks of this worker have freed to the system: workers outlive the stages of a pipeline."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each piece holds about `most` bytes of a text or binary column, or a single row."""
     col = batch.column(batch.schema.get_field_index(text))
@@ -111,11 +121,11 @@ class PieceEncoder:
     #: Control characters on which regex engines disagree; a text with one is encoded in one go.
     ODD = re.compile("[\x1c-\x1f᠎​⁠﻿]")
 
-    def __init__(self, path: str, pre: str, most: int = 1_000_000, width: str = "<u2"):
+    def __init__(self, path: str, pre: str, most: int = 1_000_000, width: str = "<u2", tokenizer=None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path) if tokenizer is None else tokenizer
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.pre, self.most, self.width = pre, most, width

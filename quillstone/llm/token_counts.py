@@ -18,7 +18,8 @@ def encoder(path: str, pre: str, width: str = "<u2") -> PieceEncoder:
     key = (path, pre, width)
     if key not in _ENCODERS:
         out = PieceEncoder(path, pre, width=width)
-        _ENCODERS[key] = ByteLevelEncoder(path, width=width) if pre == "byte" and is_plain(out.tokenizer) else out
+        # The loaded vocabulary is handed on: two of them at once are most of what a worker holds when it starts.
+        _ENCODERS[key] = ByteLevelEncoder(path, width=width, tokenizer=out.tokenizer) if pre == "byte" and is_plain(out.tokenizer) else out
     return _ENCODERS[key]
 
 

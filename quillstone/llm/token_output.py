@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_rows, shared_dir, slices, written
+from .common import doc_rows, give_back, shared_dir, slices, written
 from .rangecoder import BLOCK_IDS, decode_block, encode_block
 from .token_counts import encoder
 
@@ -29,7 +29,7 @@ MAGIC = b"QTOK1\0\0\0"
 _TRAILER = struct.Struct("<IIQQI8s")
 MANIFEST = "shard int, path string, n_docs long, n_ids long, n_bytes long, crc32 long"
 #: Text bytes that are encoded at once: each piece of them is looked up once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Input text bytes that one shard gets, about.
 SHARD_BYTES = 32 << 20
 
@@ -147,6 +147,7 @@ def write_token_shards(docs: DataFrame, out: str, tokenizer: str, vocab: int, en
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
+        give_back()
         enc, sink = encoder(tokenizer, pre, width), None
         for whole in batches:
             for b in slices(whole, "text", BATCH_BYTES):

@@ -1,5 +1,7 @@
 """Queries over tables whose rows don't all match, repeat or fit: nothing is lost, and nothing is computed again."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
@@ -32,3 +34,21 @@ def test_citations_are_cut_out_once(spark):
     # The text itself is matched and split once: neither four times nor again for each citation.
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(coalesce(a#") == 1 and plan.count("split(coalesce(a#") == 1
+
+
+def test_a_worker_loads_a_vocabulary_once(monkeypatch):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    from quillstone.llm import byte_level, token_counts
+
+    loads, load = [], tokenizers.Tokenizer.from_file
+
+    class Counted:
+        from_file = staticmethod(lambda path: loads.append(path) or load(path))
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    monkeypatch.setattr(token_counts, "_ENCODERS", {})
+    path = public.path("byte_bpe_50k.json")
+    enc = token_counts.encoder(path, "byte")
+    assert isinstance(enc, byte_level.ByteLevelEncoder) and loads == [path]
+    texts = ["It's  a test,\n\n twice  twice", "", "Ünïcode　 第3條 😀"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in enc.ids(texts)] == [load(path).encode(x, add_special_tokens=False).ids for x in texts]
