@@ -52,3 +52,32 @@ def test_a_worker_loads_a_vocabulary_once(monkeypatch):
     assert isinstance(enc, byte_level.ByteLevelEncoder) and loads == [path]
     texts = ["It's  a test,\n\n twice  twice", "", "Ünïcode　 第3條 😀"]
     assert [np.frombuffer(x, "<u2").tolist() for x in enc.ids(texts)] == [load(path).encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_near_texts_meet_without_moving_grams(spark, monkeypatch):
+    from quillstone.functions.gramsets import gram_sets
+    from quillstone.functions.gramsets import similarity as jaccard
+    from quillstone.operators import similarity as S
+
+    r = np.random.default_rng(5)
+    texts = ["".join(r.choice(list("abcdefghijk 　"), int(n))) for n in r.integers(0, 400, 60)]
+    near = lambda t, k: "".join("é" if i in r.choice(len(t), k) else c for i, c in enumerate(t)) if t else t
+    rows = [(i, t) for i, t in enumerate([*texts, *[near(t, k) for t in texts for k in (1, 2, 4)], None, "ab", *texts[:9]])]
+    df = spark.createDataFrame(rows, "id long, t string")
+    sets = [set(x.tolist()) for x in gram_sets([t for _, t in rows])]
+    plain = lambda t: {u[i : i + 3] for u in ["".join((t or "").split())] for i in range(len(u) - 2)}
+    assert [len(s) for s in sets] == [len(plain(t)) for _, t in rows]
+    want = {}
+    for i, t in rows[::3]:
+        best = [(1.0 if t == u and t is not None else round(len(a & b) / len(a | b), 6) if (a := plain(t)) and (b := plain(u)) else 0.0, t == u, -j) for j, u in rows if j != i]
+        same = max((x for x in best if x[1] and t is not None), default=None)
+        top = same or max(best, key=lambda x: (x[0], x[2]))
+        if same or top[0] >= 0.8:
+            want[i] = (-top[2], top[0], "exact" if same else "fuzzy")
+    assert jaccard(*list(gram_sets(["abcd", "abce"]))) == 1 / 3
+    monkeypatch.setattr(S, "SIGNATURE_BYTES", 4000)  # several blocks
+    out = S.fuzzy_best(df.filter("id % 3 = 0"), df, "id", "id", "t", 0.8, exclude_self=True)
+    got = {x["lid"]: (x["rid"], x["similarity"], x["how"]) for x in out.collect()}
+    assert got.keys() == want.keys() and all(got[i][::2] == w[::2] and abs(got[i][1] - w[1]) < 2e-6 for i, w in want.items()) and {x[2] for x in want.values()} == {"exact", "fuzzy"}
+    # Grams stay in the tasks that cut them: the plan has no row for each.
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
