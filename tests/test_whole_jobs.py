@@ -81,3 +81,31 @@ def test_near_texts_meet_without_moving_grams(spark, monkeypatch):
     assert got.keys() == want.keys() and all(got[i][::2] == w[::2] and abs(got[i][1] - w[1]) < 2e-6 for i, w in want.items()) and {x[2] for x in want.values()} == {"exact", "fuzzy"}
     # Grams stay in the tasks that cut them: the plan has no row for each.
     assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_grams_are_cut_twice_and_counted_exactly(spark, monkeypatch):
+    from collections import Counter
+
+    from quillstone.plans import learning
+
+    r = np.random.default_rng(4)
+    texts = ["", None, "a", "ab", "日本語x", *["".join(r.choice(list("ab c日é😀"), int(n))) for n in r.integers(0, 60, 30)], "".join(map(chr, range(0x4E00, 0x9F00)))]
+    plain = lambda t: Counter(t[i : i + k] for k in (2, 3, 4) for i in range(len(t) - k + 1))
+    whole = [t or "" for t in texts]
+    for part in (whole, whole[:-1], [""], ["a"]):
+        got = Counter()
+        for runs, times in learning.gram_counts(part):
+            got.update(dict(zip(runs, times, strict=True)))
+        assert got == sum(map(plain, part), Counter())
+    some = [*sorted(sum(map(plain, whole[:-1]), Counter()))[::3], "\u4e00\u4e01"]
+    for entries in (0, 1 << 23):
+        monkeypatch.setattr(learning, "TABLE", entries)
+        got = learning.Trie(some).counts(whole)
+        assert got.tolist() == [[c[g] for g in some] for c in map(plain, whole)]
+    monkeypatch.setattr(learning, "SLICE", 50)
+    # The texts are cut to choose grams and to write vectors; neither the fit nor the errors cut them again.
+    cuts = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(i, float(i % 5), ("train", "val", "test")[i % 3]) for i in range(60)], "doc_id long, y double, split string").coalesce(1)
+    counted = F.udf(lambda i: cuts.add(1) or f"text {i} of {i % 5}")
+    got = learning.experiment(rows.withColumn("text", counted.asNondeterministic()("doc_id")), 50)
+    assert {x["split"]: x["n"] for x in got.collect()} == {"train": 20, "val": 20, "test": 20} and 0 < cuts.value <= 120
