@@ -52,15 +52,18 @@ class Best:
         self.k, self.least = k, np.full(queries, -np.inf)
         self.rows: list[list[tuple]] = [[] for _ in range(queries)]
 
-    def add(self, queries: np.ndarray, scores: np.ndarray, ids: list, skip: list | None) -> None:
-        """scores: queries x ids, rounded. skip: the id that each query does not meet."""
-        some = scores >= self.least[queries, None]
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids: list, skip: list | None, digits: int | None = None) -> None:
+        """scores: queries x ids, rounded, or still to be rounded to digits. skip: the id that each query does not meet."""
+        # Most scores can't be among the best, and are not rounded: half a unit of the last digit is what rounding adds.
+        slack = 0.0 if digits is None else 0.5001 * 10.0**-digits
+        some = scores >= (self.least[queries] - slack)[:, None]
         for at in np.flatnonzero(some.any(1)).tolist():
             q, mine = int(queries[at]), np.flatnonzero(some[at])
             if len(mine) > 4 * self.k:  # only those that can be among the best, and one more for the one that is skipped
                 cut = np.partition(scores[at, mine], len(mine) - self.k - 1)[len(mine) - self.k - 1]
-                mine = mine[scores[at, mine] >= cut]
-            new = [(-float(scores[at, j]), ids[j]) for j in mine.tolist() if skip is None or ids[j] != skip[q]]
+                mine = mine[scores[at, mine] >= cut - 2 * slack]
+            values = scores[at, mine] if digits is None else rounded(scores[at, mine], digits)
+            new = [(-v, ids[j]) for v, j in zip(values.tolist(), mine.tolist(), strict=True) if skip is None or ids[j] != skip[q]]
             self.rows[q] = sorted(self.rows[q] + new)[: self.k]
             if len(self.rows[q]) == self.k:
                 self.least[q] = -self.rows[q][-1][0]
@@ -102,15 +105,16 @@ def search_rows(queries: DataFrame, corpus: DataFrame, k: int, digits: int, excl
         def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
             best, skip, kind = Best(len(q), k), qid.to_pylist() if exclude_self else None, None
-            step, everyone = max(1, SCORES // len(q)), np.arange(len(q))
             for b in batches:
                 kind = b.column(0).type
                 places, x = matrix(b.column(1))
                 if x.shape[1] != q.shape[1]:
                     continue
                 ids = b.column(0).take(pa.array(places)).to_pylist()
-                for at in range(0, len(x), step):
-                    best.add(everyone, rounded(q @ x[at : at + step].T, digits), ids[at : at + step], skip)
+                # A query meets all rows of a batch at once: it is looked at once for them, not once for each few.
+                step = max(1, SCORES // max(1, len(x)))
+                for at in range(0, len(q), step):
+                    best.add(np.arange(at, min(at + step, len(q))), q[at : at + step] @ x.T, ids, skip, digits)
             if kind is not None:
                 yield _batch(qid, best, kind)
 
@@ -237,7 +241,7 @@ def search_blocks(queries: DataFrame, blocks: DataFrame, k: int, qid: str, vecto
                     skipped[go] -= 1
                     if len(go):
                         x = np.frombuffer(raw, "<f8").reshape(n, dim)
-                        best.add(go, rounded(q[go] @ x.T, digits), cids, skip)
+                        best.add(go, q[go] @ x.T, cids, skip, digits)
             if seen:
                 got = _batch(ids, best, pa.int64())
                 none = pa.nulls(len(got), pa.int64())

@@ -109,3 +109,18 @@ def test_grams_are_cut_twice_and_counted_exactly(spark, monkeypatch):
     counted = F.udf(lambda i: cuts.add(1) or f"text {i} of {i % 5}")
     got = learning.experiment(rows.withColumn("text", counted.asNondeterministic()("doc_id")), 50)
     assert {x["split"]: x["n"] for x in got.collect()} == {"train": 20, "val": 20, "test": 20} and 0 < cuts.value <= 120
+
+
+def test_searches_round_only_what_can_win(spark, monkeypatch):
+    from quillstone.operators import vectors as V
+
+    r = np.random.default_rng(7)
+    x = np.round(r.normal(size=(600, 3)), 1)  # many ties
+    x[:50] += 4e-6
+    done, plain = [], V.rounded
+    monkeypatch.setattr(V, "rounded", lambda a, digits: done.append(a.size) or plain(a, digits))
+    best, skip, ids = V.Best(40, 3), list(range(40)), list(range(600))
+    for at in (0, 300):
+        best.add(np.arange(40), x[:40] @ x[at : at + 300].T, ids[at : at + 300], skip, 5)
+    want = [sorted((-float(s), j) for j, s in enumerate(plain(x[q] @ x.T, 5)) if j != q)[:3] for q in range(40)]
+    assert best.rows == want and sum(done) < 40 * 600 / 10
